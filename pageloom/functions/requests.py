@@ -32,7 +32,7 @@ def intent_depth(intent_type: Column, suggested: Column | None = None) -> Column
 
 def content_target(query: Column, url: Column) -> Column:
     """The request without its URL and filler words."""
-    rest = F.replace(query, url, F.lit(""))
+    rest = F.replace(query, F.coalesce(url, F.lit("")), F.lit(""))
     rest = F.regexp_replace(rest, r"(?iU)\b(" + "|".join(FILLER_WORDS) + r")\b", " ")
     return F.btrim(F.regexp_replace(rest, r"(?U)\s{2,}", " "), F.lit(" ,.?!"))
 

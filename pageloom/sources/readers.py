@@ -34,10 +34,11 @@ def read_attempts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("url", "layer", "rnk", "status_code", "html", "error")
 
 
-def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """S3: job documents, one JSON file each; unreadable files are skipped."""
+def read_jobs(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """S3: job documents, one JSON file each or (``one_per_file=False``) one per line; unreadable
+    ones are skipped."""
     return (
-        spark.read.schema(JOB).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+        spark.read.schema(JOB).option("multiLine", one_per_file).option("mode", "DROPMALFORMED").json(path)
         .where("job_id is not null"))
 
 
