@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from pageloom.plans import (  # noqa: F401  (importing registers)
-    page_queries, request_queries, site_queries,
+    item_queries, page_queries, request_queries, site_queries,
 )
 from pageloom.plans.registry import ORACLES, QUERIES
 
