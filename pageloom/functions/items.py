@@ -49,20 +49,18 @@ def normalise_values(item: Column, fields: Column | Sequence[str]) -> Column:
         return F.transform(parts, lambda p: F.struct(p.alias("text"), match_key(p, fs).alias("field")))
 
     def place(ps: Column) -> Column:
+        """``at``: place of the part that gives each field, 0 when none does."""
         matched = F.transform(ps, lambda p: p["field"])
-        first_of = lambda f: F.array_position(matched, f).cast("int")
-        loose = F.filter(
-            ps, lambda p, i: p["field"].isNull() | (first_of(p["field"]) != i + 1))
-        return let(
-            F.struct(loose.alias("loose"),
-                     F.transform(fs, lambda f: first_of(f)).alias("at")),
-            lambda s: F.transform(fs, lambda f, i: _value(ps, s, i)))
-
-    def _value(ps: Column, s: Column, i: Column) -> Column:
-        at = nth(s["at"], i)
-        open_before = F.size(F.filter(F.slice(s["at"], F.lit(1), i), lambda a: F.coalesce(a, F.lit(0)) == 0))
-        filled = nth(F.transform(s["loose"], lambda p: p["text"]), open_before)
-        return F.when(at > 0, part_value(nth(ps, at - 1)["text"])).otherwise(F.coalesce(filled, F.lit("")))
+        at = let(matched, lambda m: F.transform(
+            fs, lambda f: F.coalesce(F.array_position(m, f), F.lit(0)).cast("int")))
+        return let(at, lambda at_: let(
+            F.filter(ps, lambda _, i: ~F.array_contains(at_, i + 1)),
+            lambda loose: F.transform(at_, lambda a, i: value(ps, at_, loose, a, i))))
+
+    def value(ps: Column, at: Column, loose: Column, a: Column, i: Column) -> Column:
+        open_before = F.size(F.filter(F.slice(at, F.lit(1), i), lambda b: b == 0))
+        filled = nth(loose, open_before)["text"]
+        return F.when(a > 0, part_value(nth(ps, a - 1)["text"])).otherwise(F.coalesce(filled, F.lit("")))
 
     many = let(keyed(split_parts(item)), place)
     return F.when(F.size(fs) == 1, F.array(item)).otherwise(many)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -25,8 +26,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def contains_any(c: Column, words: Iterable[str]) -> Column:
-    """True when the string holds at least one of the (literal) words."""
-    return c.rlike("|".join(re.escape(w) for w in words))
+    """True when the string holds at least one of the (literal) words.
+
+    Plain substring searches: on whole page bodies several times faster than one alternation.
+    """
+    return reduce(or_, [c.contains(w) for w in words])
 
 
 def nth(array: Column, index: Column) -> Column:

@@ -19,7 +19,7 @@ from pageloom.functions.replies import decode_response, reply_bool, reply_string
 from pageloom.functions.text import let, nth
 from pageloom.functions.urls import authority
 from pageloom.operators.clean import main_text_of
-from pageloom.operators.html import classes, is_element
+from pageloom.operators.html import classes, is_element, parse_pages
 from pageloom.operators.ranking import first_k_per_key
 from pageloom.operators.select import XPATH_PREFIX, apply_selectors, sample_items, selected_items
 
@@ -118,7 +118,7 @@ def _samples(items: DataFrame, keys: list[str], k: int, chars: int, line: Column
         F.count(F.lit(1)).alias("n"))
 
 
-def validation_prompts(candidates: DataFrame, parsed: DataFrame, targets: DataFrame) -> DataFrame:
+def validation_prompts(candidates: DataFrame, pages: DataFrame, targets: DataFrame) -> DataFrame:
     """Per candidate the matches sampled into a prompt; without matches a verdict and no prompt.
 
     Result: page_id, attempt, selector, prompt, prompt_id, valid, reason.
@@ -126,7 +126,7 @@ def validation_prompts(candidates: DataFrame, parsed: DataFrame, targets: DataFr
     tried = candidates.select(
         "page_id", "attempt", candidate_selector(F.col("selector"), F.col("xpath")).alias("selector")
     ).where(F.col("selector").isNotNull())
-    items = apply_selectors(parsed.select("page_id", "nodes"), tried)
+    items = apply_selectors(pages.select("page_id", "html"), tried)
     line = F.format_string("  %d. %s", "sample_no", "item")
     samples = _samples(items, ["page_id", "selector"], VALIDATION_SAMPLES, VALIDATION_SAMPLE_CHARS, line)
     prompt = F.concat(F.lit(VALIDATION_HEAD), "content_target", F.lit("\nSelector: "), "selector",
@@ -202,31 +202,38 @@ def infer_fields(responses: DataFrame) -> DataFrame:
         F.array(F.lit("value"))).alias("fields"))
 
 
-def extract(parsed: DataFrame, targets: DataFrame | None = None, choices: DataFrame | None = None,
-            fields: DataFrame | None = None) -> DataFrame:
+def with_choices(pages: DataFrame, targets: DataFrame, choices: DataFrame,
+                 fields: DataFrame | None = None, on: str = "page_id") -> DataFrame:
+    """Pages with the ``selector`` and ``fields`` that apply to them (null for text pages).
+
+    ``targets(on, content_target)``, ``choices(on, selector)``, ``fields(on, fields)``. Joined to the
+    HTML rows, before parsing makes them larger.
+    """
+    lookup = targets.where(F.col("content_target") != "").select(on) \
+        .join(choices.where(F.col("selector").isNotNull()).select(on, "selector"), on)
+    lookup = lookup.join(fields.select(on, "fields"), on, "left") if fields is not None \
+        else lookup.withColumn("fields", F.lit(None).cast("array<string>"))
+    return pages.join(lookup, on, "left")
+
+
+def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """X11: result per page: items, selector_used, schema_fields, cleaned_text, method.
 
-    ``targets(page_id, content_target)``, ``choices(page_id, selector)``, ``fields(page_id, fields)``.
-    A page without target, selector or matches is a text page: its text is its only item. Items are
-    built inside the page's row, so nothing is gathered.
+    ``pages`` comes from ``with_choices``; without ``selector`` and ``fields`` columns all pages are
+    text pages. A page without selector or matches is a text page: its text is its only item. Other
+    columns are kept, and everything is built inside the page's row.
     """
-    read = parsed.select("page_id", "nodes", main_text_of(F.col("nodes")).alias("cleaned_text"))
-    if targets is None or choices is None:
-        found = read.select("page_id", "cleaned_text", F.lit(None).cast("array<string>").alias("found"),
-                            F.lit(None).cast("string").alias("selector"),
-                            F.lit(None).cast("array<string>").alias("fields"))
-    else:
-        lookup = targets.where(F.col("content_target") != "").select("page_id") \
-            .join(choices.where(F.col("selector").isNotNull()).select("page_id", "selector"), "page_id")
-        lookup = lookup.join(fields.select("page_id", "fields"), "page_id", "left") if fields is not None \
-            else lookup.withColumn("fields", F.lit(None).cast("array<string>"))
-        found = read.join(lookup, "page_id", "left").select(
-            "page_id", "cleaned_text", "selector", "fields",
-            F.when(F.col("selector").isNotNull(),
-                   selected_items(F.col("nodes"), F.col("selector"))).alias("found"))
+    for name, kind in (("selector", "string"), ("fields", "array<string>")):
+        if name not in pages.columns:
+            pages = pages.withColumn(name, F.lit(None).cast(kind))
+    parsed = parse_pages(pages, html)
+    kept = [c for c in parsed.columns if c not in ("nodes", "selector", "fields")]
+    found = parsed.select(
+        *kept, "selector", "fields", main_text_of(F.col("nodes")).alias("cleaned_text"),
+        F.when(F.col("selector").isNotNull(), selected_items(F.col("nodes"), F.col("selector"))).alias("found"))
     by_selector = F.coalesce(F.size("found") > 0, F.lit(False))
     return found.select(
-        "page_id", F.when(by_selector, F.col("found")).otherwise(F.array("cleaned_text")).alias("items"),
+        *kept, F.when(by_selector, F.col("found")).otherwise(F.array("cleaned_text")).alias("items"),
         F.when(by_selector, F.col("selector")).alias("selector_used"),
         F.when(by_selector, F.coalesce("fields", F.array(F.lit("value"))))
         .otherwise(F.array(F.lit("content"))).alias("schema_fields"),

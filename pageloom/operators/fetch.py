@@ -17,7 +17,7 @@ from pageloom.functions.fetch import is_blocked, needs_js
 from pageloom.functions.text import let, nth
 from pageloom.operators.clean import body_of, render
 from pageloom.operators.html import attr, parse_pages, subtree
-from pageloom.operators.select import css_matches
+from pageloom.operators.select import check_selector, css_matches
 
 
 def attempt_flags(attempts: DataFrame, layers: Sequence[str] = LAYERS) -> DataFrame:
@@ -80,10 +80,11 @@ def chosen_html(attempts: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def _first_match(nodes: Column, selectors: Sequence[str]) -> Column:
     """(priority, node) of the first listed selector that matches anything."""
+    listed = F.array(*[F.lit(check_selector(s)) for s in selectors])
+
     def hit(ns: Column) -> Column:
-        found = F.array(*[
-            F.struct(F.lit(i).alias("priority"), nth(css_matches(ns, s), F.lit(0)).alias("node"))
-            for i, s in enumerate(selectors)])
+        found = F.transform(listed, lambda s, i: F.struct(
+            i.alias("priority"), nth(css_matches(ns, s), F.lit(0)).alias("node")))
         return nth(F.filter(found, lambda f: f["node"].isNotNull()), F.lit(0))
     return let(nodes, hit)
 

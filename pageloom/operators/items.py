@@ -50,10 +50,20 @@ def result_metadata(items: DataFrame, jobs: DataFrame, run_at: str) -> DataFrame
 
 
 def with_placeholder(items: DataFrame, jobs: DataFrame) -> DataFrame:
-    """A job without items gets one placeholder item."""
-    wanted = jobs.select("job_id").distinct()
-    return wanted.join(items, "job_id", "left").withColumn("placeholder", F.col("item").isNull()) \
-        .withColumn("item", F.coalesce("item", F.lit(NO_DATA_ITEM)))
+    """A job without items gets one placeholder item.
+
+    Only job ids are joined; the items themselves are passed on where they are.
+    """
+    missing = jobs.select("job_id").distinct().join(items.select("job_id").distinct(), "job_id", "left_anti")
+    placeholders = missing.select("job_id", F.lit(NO_DATA_ITEM).alias("item"), F.lit(True).alias("placeholder"))
+    return items.withColumn("placeholder", F.lit(False)).unionByName(placeholders, allowMissingColumns=True)
+
+
+def _first_items(items: DataFrame, prefix: int) -> DataFrame:
+    order = ["url_seq", "pos"]
+    rest = [c for c in items.columns if c not in ("job_id", *order)]
+    first = F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("_first")
+    return items.groupBy("job_id", item_key(F.col("item"), prefix).alias("_key")).agg(first)
 
 
 def dedup_items(items: DataFrame, prefix: int = DEDUP_PREFIX) -> DataFrame:
@@ -62,12 +72,7 @@ def dedup_items(items: DataFrame, prefix: int = DEDUP_PREFIX) -> DataFrame:
     An aggregate, not a window: repeats are dropped before the shuffle, so an item that makes up a
     third of all rows costs one row per task.
     """
-    order = ["url_seq", "pos"]
-    rest = [c for c in items.columns if c not in ("job_id", *order)]
-    first = F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("_first")
-    return (
-        items.groupBy("job_id", item_key(F.col("item"), prefix).alias("_key")).agg(first)
-        .select("job_id", "_first.*"))
+    return _first_items(items, prefix).select("job_id", "_first.*")
 
 
 def dedup_links(links: DataFrame) -> DataFrame:
@@ -94,8 +99,8 @@ def dedup_report(items: DataFrame, prefix: int = DEDUP_PREFIX) -> DataFrame:
 def new_items(items: DataFrame, saved: DataFrame, prefix: int = DEDUP_PREFIX) -> DataFrame:
     """Items of this run that an earlier run of the job has not saved, repeats dropped.
 
-    Repeats go first, so the anti join sees one row per key on both sides.
+    Repeats go first, so the anti join sees one row per key on both sides and keeps the
+    partitioning of the two aggregates.
     """
-    keyed = dedup_items(items, prefix).withColumn("_key", item_key(F.col("item"), prefix))
     known = saved.select("job_id", item_key(F.col("item"), prefix).alias("_key")).distinct()
-    return keyed.join(known, ["job_id", "_key"], "left_anti").drop("_key")
+    return _first_items(items, prefix).join(known, ["job_id", "_key"], "left_anti").select("job_id", "_first.*")

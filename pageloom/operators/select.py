@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pageloom.functions.text import let, nth, strip
 from pageloom.operators.clean import joined_text, text_pieces
-from pageloom.operators.html import RAW, TEXT, attr, is_element, subtree
+from pageloom.operators.html import RAW, TEXT, attr, is_element, parse_pages, subtree
 
 _BRACKET = r"\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\]"
 _ATTR_TEST = r"\[\s*[\w:-]+\s*(?:[~^$*|]?=\s*(?:\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\]"
@@ -220,14 +220,22 @@ def element_records(parsed: DataFrame, selector: Column | str, key: str = "page_
     return parsed.select(key, F.posexplode(items).alias("pos", "item"))
 
 
-def apply_selectors(parsed: DataFrame, selectors: DataFrame, on: str = "page_id") -> DataFrame:
-    """Items of every page under its own selector; ``selectors`` has ``on`` and ``selector``,
-    and may hold several per key. The join is left to the planner, which checks sizes."""
-    key = [c for c in parsed.columns if c != "nodes"]
-    joined = parsed.join(selectors.select(on, "selector").distinct(), on)
-    return joined.select(
-        *key, "selector",
-        F.posexplode(selected_items(F.col("nodes"), F.col("selector"))).alias("pos", "item"))
+def apply_selectors(pages: DataFrame, selectors: DataFrame, on: str = "page_id",
+                    html: str = "html") -> DataFrame:
+    """Items of every page under its own selectors; ``selectors(on, selector)`` may hold several
+    per key.
+
+    The selectors of a key are joined as one array before parsing: a join that has to shuffle moves
+    the HTML, not the larger node arrays, and each page is parsed once whatever the number of
+    selectors. Small selector tables are broadcast by the planner, which checks their size.
+    """
+    grouped = selectors.groupBy(on).agg(F.collect_set("selector").alias("_selectors"))
+    parsed = parse_pages(pages.join(grouped, on), html)
+    key = [c for c in parsed.columns if c not in ("nodes", "_selectors")]
+    found = F.flatten(F.transform("_selectors", lambda s: F.transform(
+        selected_items(F.col("nodes"), s),
+        lambda item, i: F.struct(s.alias("selector"), i.alias("pos"), item.alias("item")))))
+    return parsed.select(*key, F.inline(found))
 
 
 def sample_items(items: DataFrame, k: int, seed: int = 0, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:

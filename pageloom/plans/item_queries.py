@@ -11,7 +11,7 @@ from pageloom.operators import chunks as chunk_ops, clean, extract, items, jobs
 from pageloom.operators.links import extract_links
 from pageloom.plans.derived import ITEMS, JOB_METADATA, SELECTOR_RESPONSES, TEXT_ITEMS
 from pageloom.plans.page_queries import (
-    _LINKS, _PARAGRAPHS, _VISIBLE, DISTINCT_LINKS_SQL, MAIN_TEXT_SQL, _decoded, _pieces, _trimmed,
+    CHUNKS_SQL, _LINKS, _PARAGRAPHS, _VISIBLE, DISTINCT_LINKS_SQL, MAIN_TEXT_SQL, _decoded, _pieces, _trimmed,
 )
 from pageloom.plans.registry import pages, parsed, query, run_sql, table
 from pageloom.session import scratch_path
@@ -72,7 +72,8 @@ def _selector_prompts(spark, sf):
     return extract.selector_prompts(cut, targets).drop("prompt")
 
 
-@query("page_selector_prompts")
+@query("page_selector_prompts", f"""with {CHUNKS_SQL} select page_id, chunk_no as attempt,
+ sha256(concat('{_quoted(extract.SELECTOR_HEAD)}', 'names', chr(10), 'HTML:', chr(10), html)) as prompt_id from chunks""")
 def _page_selector_prompts(spark, sf):
     """Discovery prompts over the chunks of cleaned pages."""
     found = chunk_ops.chunk_pages(clean.clean_pages(parsed(spark, sf).select("page_id", "nodes")))
@@ -100,11 +101,9 @@ select t.page_id, t.attempt::bigint as attempt, t.selector, sha256(concat('{_quo
 from t left join s on s.page_id = t.page_id and s.selector = t.selector""".replace(
     "sha256(concat('", "case when s.samples is not null then sha256(concat('", 1).replace("nullif(s.samples, '')))", "s.samples)) end"))
 def _validation_prompts(spark, sf):
-    source = parsed(spark, sf)
-    targets = source.select("page_id").withColumn("content_target", F.lit("names"))
-    found = extract.selector_candidates(_responses(spark, sf))
     targets = table(spark, sf, "pages").select("page_id", F.lit("names").alias("content_target"))
-    return extract.validation_prompts(found, source, targets).drop("prompt")
+    found = extract.selector_candidates(_responses(spark, sf))
+    return extract.validation_prompts(found, pages(spark, sf), targets).drop("prompt")
 
 
 @query("validation_verdicts", f"""select page_id, attempt::bigint as attempt, verdict like '%true%' as valid,
@@ -171,10 +170,9 @@ select page_id, case when sel then selector end as selector_used, case when sel
  (case when sel then n else 1 end)::bigint as items, md5(case when sel then items else text end) as item_digest, md5(text) as text_digest,
  case when not sel then 'content' when page_id % 4 = 3 then 'id,7' else 'value' end as schema_fields from e""")
 def _extract(spark, sf):
-    source = parsed(spark, sf)
     targets = table(spark, sf, "pages").select("page_id", F.expr("case when page_id % 4 = 0 then '' else 'names' end").alias("content_target"))
     fields = extract.infer_fields(run_sql(spark, sf, _FIELD_REPLIES, "pages"))
-    results = extract.extract(source, targets, _choices(spark, sf), fields)
+    results = extract.extract(extract.with_choices(pages(spark, sf), targets, _choices(spark, sf), fields))
     return results.select(
         "page_id", "selector_used", "method", F.size("items").alias("items"),
         F.md5(F.array_join("items", "\x01")).alias("item_digest"), F.md5("cleaned_text").alias("text_digest"),

@@ -12,6 +12,8 @@ from pageloom.sources.readers import read_pages, spread
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+# Tables with long texts: work per row is large enough to be spread over all cores.
+WIDE = ("pages", "documents")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -35,7 +37,8 @@ def widened(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in WIDE else found
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
