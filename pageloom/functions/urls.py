@@ -67,6 +67,7 @@ def resolve_href(base: Column, href: Column) -> Column:
         ref_scheme = F.lower(F.regexp_extract(ref, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
         other_scheme = (ref_scheme != "") & (ref_scheme != scheme)
         rest = F.when(ref_scheme == scheme, F.regexp_replace(ref, _SCHEME, "")).otherwise(ref)
+        rest = F.regexp_replace(rest, r"^([^?#]*)\?(?=#|$)", "$1")  # an empty query is no query
         root = F.concat(scheme, F.lit("://"), host)
         ref_path = F.regexp_extract(rest, r"^[^?#]*", 0)
         tail = F.regexp_extract(rest, r"(?s)^[^?#]*(.*)$", 1)

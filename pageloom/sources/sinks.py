@@ -17,9 +17,6 @@ from pageloom.operators.html import parse_pages
 from pageloom.operators.ranking import number_rows
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
-_CSV = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
-        "emptyValue": "", "nullValue": ""}
-LINE = ("job_id", "line_no", "line")
 
 
 def _numbered(records: DataFrame) -> DataFrame:
@@ -45,17 +42,22 @@ def to_json_lines(records: DataFrame, fields: Sequence[str], meta: DataFrame,
     return head.unionByName(body).unionByName(_lines(meta, F.col("item_count") + 1, tail))
 
 
+def _csv_cell(cell: Column) -> Column:
+    quoted = F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(cell.rlike('[,"\\n\\r]'), quoted).otherwise(cell)
+
+
 def csv_row(fields: Sequence[str]) -> Column:
-    """One CSV line: minimal quoting, doubled quotes."""
-    line = F.to_csv(F.struct(*fields), _CSV)
-    return F.when(F.col(fields[0]) == "", '""').otherwise(line) if len(fields) == 1 else line
+    """One CSV line: minimal quoting, doubled quotes. ``to_csv`` would also quote a leading ``#``."""
+    line = F.concat_ws(",", *[_csv_cell(F.coalesce(f, F.lit(""))) for f in fields])
+    return F.when(line == "", '""').otherwise(line) if len(fields) == 1 else line
 
 
 def to_csv_lines(records: DataFrame, fields: Sequence[str], meta: DataFrame,
                  include_metadata: bool = True) -> DataFrame:
     """Header, rows and a comment line per job; a job without items has no lines."""
     filled = meta.where(F.col("item_count") > 0)
-    header = F.to_csv(F.struct(*[F.lit(f).alias(f) for f in fields]), _CSV)
+    header = F.concat_ws(",", *[_csv_cell(F.lit(f)) for f in fields])
     out = _lines(filled, F.lit(0), header).unionByName(
         _lines(_numbered(records), F.col("n"), csv_row(fields)))
     if include_metadata:
