@@ -56,13 +56,17 @@ MAX_DEPTH = 512  # deeper elements become children of the element at this depth
 # One markup token: comment, declaration, end tag or start tag (quoted values may hold ``>``; the
 # second start-tag form takes over when a quote is never closed).
 _TOKEN = re.compile(
-    r"<!--(?P<comment>.*?)(?:-->|\Z)|<[!?](?P<other>[^>]*)(?:>|\Z)"
-    r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<loose>[a-zA-Z][^\s/>]*)(?P<loose_attrs>[^>]*)(?:>|\Z)", re.S)
+    r"<(?:(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
+    r"|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
+    r"|!--(?P<comment>.*?)(?:-->|\Z)|[!?](?P<other>[^>]*)(?:>|\Z)"
+    r"|(?P<loose>[a-zA-Z][^\s/>]*)(?P<loose_attrs>[^>]*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-# Elements whose content is text up to their end tag, and whether entities in it are decoded.
-_UNPARSED = {"script": False, "style": False, "title": True, "textarea": True}
+_NO_ATTRS: list[tuple[str, str]] = []
+# Elements whose content is text up to their end tag: are entities in it decoded, and where it ends.
+_UNPARSED = {
+    tag: (decode, re.compile(rf"</{tag}(?=[\s/>])", re.I))
+    for tag, decode in (("script", False), ("style", False), ("title", True), ("textarea", True))
+}
 
 
 def _attributes(source: str) -> list[tuple[str, str]]:
@@ -78,48 +82,49 @@ class _Nodes:
 
     def __init__(self) -> None:
         self.last: list[int] = []
-        self.parent: list[int] = []
         self.anc: list[list[int]] = []
         self.tag: list[str] = []
         self.attrs: list[list[tuple[str, str]] | None] = []
         self.text: list[str | None] = []
         self.open: list[int] = []
+        # ancestor lists of the open elements' children; one list is shared by all siblings
+        self.paths: list[list[int]] = [[]]
         self.seen: set[str] = set()
 
-    def _add(self, tag: str, attrs: list[tuple[str, str]] | None, text: str | None) -> int:
-        pre = len(self.tag)
-        self.last.append(pre)
-        path = self.open[:MAX_DEPTH]
-        self.parent.append(path[-1] if path else -1)
-        self.anc.append(path)
+    def _add(self, tag: str, attrs: list[tuple[str, str]] | None, text: str | None) -> None:
+        self.last.append(len(self.last))
+        self.anc.append(self.paths[-1])
         self.tag.append(tag)
         self.attrs.append(attrs)
         self.text.append(text)
-        return pre
 
     def _push(self, tag: str, attrs: list[tuple[str, str]]) -> None:
         self.seen.add(tag)
-        self.open.append(self._add(tag, attrs, None))
+        pre, path = len(self.last), self.paths[-1]
+        self._add(tag, attrs, None)
+        self.open.append(pre)
+        self.paths.append([*path, pre] if len(path) < MAX_DEPTH else path)
 
     def _close_to(self, depth: int) -> None:
         """Close every open element at or above ``depth`` of the stack."""
-        end = len(self.tag) - 1
+        end = len(self.last) - 1
         while len(self.open) > depth:
             self.last[self.open.pop()] = end
+            self.paths.pop()
 
     def _in_body(self, tag: str) -> None:
         """Open the html/head/body elements that the source leaves out."""
         if "html" not in self.seen:
-            self._push("html", [])
+            self._push("html", _NO_ATTRS)
         if "body" in self.seen:
             return
         in_head = any(self.tag[i] == "head" for i in self.open)
         if tag in _HEAD_ONLY:
             if not in_head and "head" not in self.seen:
-                self._push("head", [])
+                self._push("head", _NO_ATTRS)
         elif not (in_head and tag == TEXT and self.tag[self.open[-1]] != "head"):
             self._close_to(1)
-            self._push("body", [])
+            self._push("body", _NO_ATTRS)
 
     def _close_implied(self, tag: str) -> None:
         closes = _CLOSES.get(tag)
@@ -137,9 +142,9 @@ class _Nodes:
             self._close_to(cut)
 
     def read(self, html: str) -> None:
-        pos, size = 0, len(html)
+        pos, size, search = 0, len(html), _TOKEN.search
         while pos < size:
-            token = _TOKEN.search(html, pos)
+            token = search(html, pos)
             start = token.start() if token else size
             if start > pos:
                 self._text(html[pos:start])
@@ -147,30 +152,34 @@ class _Nodes:
                 break
             pos = token.end()
             kind = token.lastgroup
-            if kind == "end":
+            if kind == "attrs" or kind == "loose_attrs":
+                source = token[kind]
+                tag = (token["start"] or token["loose"]).lower()
+                self._start(tag, _attributes(source) if source else _NO_ATTRS)
+                if tag in _UNPARSED:
+                    pos = self._unparsed(tag, html, pos)
+            elif kind == "end":
                 self._end(token["end"].lower())
             elif kind == "comment":
                 self._add(COMMENT, None, token["comment"])
-            elif kind != "other":
-                tag = (token["start"] or token["loose"]).lower()
-                source = token["attrs"] if kind == "attrs" else token["loose_attrs"]
-                self._start(tag, _attributes(source) if source else [])
-                if tag in _UNPARSED:
-                    close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, pos)
-                    stop = close.start() if close else size
-                    if stop > pos:
-                        body = html[pos:stop]
-                        self._add(TEXT if _UNPARSED[tag] else RAW, None,
-                                  unescape(body) if _UNPARSED[tag] else body)
-                    pos = stop
         self._close_to(0)
 
+    def _unparsed(self, tag: str, html: str, pos: int) -> int:
+        """Content of a script, style, title or textarea; returns where its end tag starts."""
+        close = _UNPARSED[tag][1].search(html, pos)
+        stop = close.start() if close else len(html)
+        if stop > pos:
+            decode = _UNPARSED[tag][0]
+            body = html[pos:stop]
+            self._add(TEXT if decode else RAW, None, unescape(body) if decode else body)
+        return stop
+
     def _start(self, tag: str, pairs: list[tuple[str, str]]) -> None:
         if tag in ("html", "body", "head"):
             if tag in self.seen or (tag == "head" and "body" in self.seen):
                 return
             if tag != "html" and "html" not in self.seen:
-                self._push("html", [])
+                self._push("html", _NO_ATTRS)
             if tag == "body":
                 self._close_to(1)
             self._push(tag, pairs)
@@ -204,27 +213,28 @@ class _Nodes:
 def _node_list(documents: list[str | None]) -> pa.Array:
     """One list of node structs per document."""
     offsets = [0]
-    cols: list[list] = [[] for _ in range(6)]
+    cols: list[list] = [[] for _ in range(5)]
     for html in documents:
         reader = _Nodes()
         if html:
             reader.read(html)
-        for col, part in zip(cols, (reader.last, reader.parent, reader.anc, reader.tag,
-                                    reader.attrs, reader.text)):
+        for col, part in zip(cols, (reader.last, reader.anc, reader.tag, reader.attrs, reader.text)):
             col.extend(part)
         offsets.append(len(cols[0]))
     ints = pa.int32()
     pres = [i for a, b in zip(offsets, offsets[1:]) for i in range(b - a)]
+    last, anc, tag, attrs, text = cols
     fields = [
-        pa.array(pres, ints), pa.array(cols[0], ints), pa.array(cols[1], ints),
-        pa.array(cols[2], pa.list_(ints)), pa.array(cols[3], pa.string()),
-        pa.array(cols[4], pa.map_(pa.string(), pa.string())), pa.array(cols[5], pa.string()),
+        pa.array(pres, ints), pa.array(last, ints),
+        pa.array([path[-1] if path else -1 for path in anc], ints), pa.array(anc, pa.list_(ints)),
+        pa.array(tag, pa.string()), pa.array(attrs, pa.map_(pa.string(), pa.string())),
+        pa.array(text, pa.string()),
     ]
     structs = pa.StructArray.from_arrays(fields, names=NODE.names)
     return pa.ListArray.from_arrays(pa.array(offsets, ints), structs)
 
 
-def parse_pages(pages: DataFrame, html: str = "html", batch_chars: int = 4_000_000) -> DataFrame:
+def parse_pages(pages: DataFrame, html: str = "html", batch_chars: int = 1_000_000) -> DataFrame:
     """Node array per page: all other columns of ``pages`` plus ``nodes``; the HTML is dropped.
 
     Filter and project ``pages`` first, nothing is pushed through the Python stage. Output batches
