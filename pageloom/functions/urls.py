@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pageloom.functions.text import empty_to_null, let, nth
+from pageloom.functions.sqltext import bind
+from pageloom.functions.text import empty_to_null
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
@@ -36,58 +37,47 @@ def strip_fragment(url: Column) -> Column:
     return F.regexp_replace(url, r"(?d)#.*$", "")
 
 
-def _fold_dots(segments: Column) -> Column:
-    """Resolve ``.`` and ``..`` in a list of path segments."""
-    empty = F.array().cast("array<string>")
-    folded = F.aggregate(
-        segments, empty,
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))),
-    )
-    ends_in_dot = F.element_at(segments, -1).isin(".", "..")
-    return F.when(ends_in_dot, F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-
-
-def _merge_path(base_path: Column, path: Column) -> Column:
-    """Path of a relative or root-relative reference against the base path."""
-    base_dir = F.regexp_replace(base_path, r"[^/]*$", "")
-    joined = F.when(path.startswith("/"), path).otherwise(
-        # a relative reference also loses doubled slashes inside the joined path
-        F.regexp_replace(F.concat(F.when(base_dir == "", "/").otherwise(base_dir), path), r"/{2,}", "/"))
-    folded = F.array_join(_fold_dots(F.split(joined, "/", -1)), "/")
-    resolved = F.when(joined.rlike(r"(?:^|/)\.\.?(?:/|$)"), folded).otherwise(joined)
-    return F.when(resolved.startswith("/"), resolved).otherwise(F.concat(F.lit("/"), resolved))
-
-
-def resolve_href(base: Column, href: Column) -> Column:
-    """Absolute form of a reference found on page ``base`` (RFC 3986 rules)."""
-    def body(p: Column) -> Column:
-        scheme, host, path, query = (p[k] for k in ("scheme", "host", "path", "query"))
-        ref = p["ref"]
-        ref_scheme = F.lower(F.regexp_extract(ref, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-        other_scheme = (ref_scheme != "") & (ref_scheme != scheme)
-        rest = F.when(ref_scheme == scheme, F.regexp_replace(ref, _SCHEME, "")).otherwise(ref)
-        rest = F.regexp_replace(rest, r"^([^?#]*)\?(?=#|$)", "$1")  # an empty query is no query
-        root = F.concat(scheme, F.lit("://"), host)
-        ref_path = F.regexp_extract(rest, r"^[^?#]*", 0)
-        tail = F.regexp_extract(rest, r"(?s)^[^?#]*(.*)$", 1)
-        keep_query = F.when(tail.startswith("?"), tail).otherwise(F.concat(query, tail))
-        return (
-            F.when(ref == "", p["base"])
-            .when(other_scheme | (scheme == ""), ref)
-            .when(rest.startswith("//"), F.concat(scheme, F.lit(":"), rest))
-            .when(ref_path == "", F.concat(root, path, keep_query))
-            .otherwise(F.concat(root, _merge_path(path, ref_path), tail)))
-
-    parts = F.struct(
-        F.translate(href, "\t\r\n", "").alias("ref"),
-        base.alias("base"),
-        F.lower(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)).alias("scheme"),
-        authority(base).alias("host"),
-        F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1).alias("path"),
-        F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1).alias("query"),
-    )
-    return let(parts, body)
+def base_sql(url: str) -> str:
+    """Parts of a base address: scheme, host, path, query, and the address itself."""
+    return (f"struct({url} as base, lower(regexp_extract({url}, r'^([A-Za-z][A-Za-z0-9+.-]*):', 1)) as scheme, "
+            f"regexp_extract({url}, r'^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) as host, "
+            f"regexp_extract({url}, r'^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) as path, "
+            f"regexp_extract({url}, r'^[^?#]*(\\?[^#]*)?', 1) as query)")
+
+
+def _merge_path_sql(base_path: str, path: str) -> str:
+    """Path of a relative or root-relative reference against the base path, dot segments folded."""
+    folded = ("aggregate(split(j, '/', -1), cast(array() as array<string>), (acc, s) -> case s "
+              "when '..' then slice(acc, 1, greatest(size(acc) - 1, 0)) when '.' then acc else concat(acc, array(s)) end)")
+    folded_path = (f"array_join(concat({folded}, if(element_at(split(j, '/', -1), -1) in ('.', '..'), array(''), "
+                   f"cast(array() as array<string>))), '/')")
+    # a relative reference also loses doubled slashes inside the joined path
+    joined = (f"if(startswith({path}, '/'), {path}, regexp_replace(concat("
+              f"coalesce(nullif(regexp_replace({base_path}, r'[^/]*$', ''), ''), '/'), {path}), '/{{2,}}', '/'))")
+    dotted = "(contains(j, '/.') or startswith(j, '.'))"
+    return bind(joined, "j", bind(f"if({dotted}, {folded_path}, j)", "f", "if(startswith(f, '/'), f, concat('/', f))"))
+
+
+def resolve_sql(base: str, href: str) -> str:
+    """Absolute form of ``href`` against the parts of ``base_sql`` (RFC 3986 rules)."""
+    root = f"concat({base}.scheme, '://', {base}.host"
+    scheme = f"if(contains(r, ':'), lower(regexp_extract(r, r'^([A-Za-z][A-Za-z0-9+.-]*):', 1)), '')"
+    rest = f"if(s = {base}.scheme and s <> '', substring(r, length(s) + 2), r)"
+    path, tail = "regexp_extract(t, r'^[^?#]*', 0)", "regexp_extract(t, r'(?s)^[^?#]*(.*)$', 1)"
+    resolved = (f"case when startswith(t, '//') then concat({base}.scheme, ':', t) "
+                f"when startswith(t, '/') and not contains(t, '/.') then {root}, t) "
+                f"when {path} = '' then {root}, {base}.path, if(startswith({tail}, '?'), {tail}, concat({base}.query, {tail}))) "
+                f"else {root}, {_merge_path_sql(f'{base}.path', path)}, {tail}) end")
+    # an empty query is no query
+    trimmed = f"if(contains(t0, '?'), regexp_replace(t0, r'^([^?#]*)\\?(?=#|$)', '$1'), t0)"
+    inner = bind(rest, "t0", bind(trimmed, "t", resolved))
+    chosen = bind(scheme, "s", f"if((s <> '' and s <> {base}.scheme) or {base}.scheme = '', r, {inner})")
+    return bind(f"translate({href}, '\\t\\r\\n', '')", "r", f"if(r = '', {base}.base, {chosen})")
+
+
+def resolve_href(base: str, href: str) -> Column:
+    """Absolute form of a reference found on page ``base``; both are SQL expressions."""
+    return F.expr(bind(base_sql(base), "base_parts", resolve_sql("base_parts", href)))
 
 
 def url_slug(url: Column) -> Column:

@@ -2,98 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pageloom.constants import CHUNK_CHARS
-from pageloom.functions.text import let, nth, strip
-from pageloom.operators.clean import body_of, close_markup, open_markup, render
-from pageloom.operators.html import TEXT, is_element, subtree
+from pageloom.functions.sqltext import bind, strip_sql
+from pageloom.operators.clean import body_sql, close_sql, open_sql, render_sql, subtree_sql
+from pageloom.operators.html import TEXT
 
+# Characters of the markup of every node with its subtree (null for cut-out nodes); a node without
+# children is its own size.
+_SIZES = bind(
+    f"transform(ns, n -> coalesce(length({open_sql('n')}) + length({close_sql('n.tag')}), 0))", "own",
+    "transform(ns, n -> case when n is null then null when n.last = n.pre then get(own, n.pre) "
+    "else aggregate(slice(own, n.pre + 1, n.last - n.pre + 1), 0, (x, y) -> x + y) end)")
 
-def _sizes(nodes: Column) -> Column:
-    """Characters of the markup of every node with its subtree (null for cut-out nodes)."""
-    own = F.transform(nodes, lambda n: F.coalesce(
-        F.length(open_markup(n)) + F.length(close_markup(n)), F.lit(0)))
-    return let(own, lambda sizes: F.transform(nodes, lambda n: F.when(n.isNotNull(), F.aggregate(
-        F.slice(sizes, n["pre"] + 1, n["last"] - n["pre"] + 1), F.lit(0), lambda a, s: a + s))))
 
-
-def _blocks(nodes: Column, sizes: Column, limit: int, keep_text: bool) -> Column:
+def _blocks_sql(limit: int, keep_text: bool) -> str:
     """Children of the body and of every oversized element below it, in document order.
 
     A parent above the limit implies the same for all its ancestors, so one look at the parent
     decides. ``drill`` marks the elements that are replaced by their own children.
     """
-    body = let(body_of(nodes), lambda b: F.struct(
-        F.coalesce(b["pre"], F.lit(-1)).alias("pre"),
-        F.coalesce(b["last"], F.size(nodes)).alias("last")))
-    fits = lambda n: nth(sizes, n["pre"]) <= limit
-
-    def listed(b: Column) -> Column:
-        def wanted(n: Column) -> Column:
-            kind = is_element(n)
-            if keep_text:
-                kind = kind | ((n["tag"] == TEXT) & (strip(n["text"]) != ""))
-            inside = (n["pre"] > b["pre"]) & (n["pre"] <= b["last"])
-            return kind & inside & (
-                (n["parent"] == b["pre"]) | (nth(sizes, n["parent"]) > limit))
-        return F.transform(F.filter(nodes, lambda n: F.coalesce(wanted(n), F.lit(False))),
-                           lambda n: F.struct(
-            n["pre"].alias("pre"), n["parent"].alias("parent"),
-            nth(sizes, n["pre"]).alias("size"), (is_element(n) & ~fits(n)).alias("drill")))
-
-    return let(body, listed)
-
-
-def _chunk_starts(blocks: Column, limit: int) -> Column:
-    """Indexes of the blocks that open a chunk: greedy fill, closed by every drilled block."""
-    state = F.struct(
-        F.array().cast("array<int>").alias("starts"), F.lit(False).alias("open"),
-        F.lit(-1).alias("parent"), F.lit(0).alias("chars"))
-    numbered = F.transform(blocks, lambda b, i: F.struct(i.alias("at"), b.alias("b")))
-
-    def fill(acc: Column, x: Column) -> Column:
-        b = x["b"]
-        joins = acc["open"] & (acc["parent"] == b["parent"]) & (acc["chars"] + b["size"] <= limit)
-        return (
-            F.when(b["drill"], acc.withField("open", F.lit(False)))
-            .when(joins, acc.withField("chars", acc["chars"] + b["size"]))
-            .otherwise(F.struct(
-                F.concat(acc["starts"], F.array(x["at"])).alias("starts"), F.lit(True).alias("open"),
-                b["parent"].alias("parent"), b["size"].alias("chars"))))
-
-    return F.aggregate(numbered, state, fill, lambda acc: acc["starts"])
-
-
-def page_chunks(nodes: Column, max_chars: int = CHUNK_CHARS, keep_text: bool = False) -> Column:
+    kind = "not startswith(n.tag, '#')"
+    if keep_text:
+        kind = f"({kind} or (n.tag = '{TEXT}' and {strip_sql('n.text')} <> ''))"
+    listed = f"{kind} and n.pre > b.pre and n.pre <= b.last and (n.parent = b.pre or get(sizes, n.parent) > {limit})"
+    block = (f"struct(n.pre as pre, n.parent as parent, get(sizes, n.pre) as size, "
+             f"not startswith(n.tag, '#') and get(sizes, n.pre) > {limit} as drill)")
+    body = bind(body_sql("ns"), "found", "struct(coalesce(found.pre, -1) as pre, coalesce(found.last, size(ns)) as last)")
+    return bind(_SIZES, "sizes", bind(
+        body, "b", f"transform(filter(ns, n -> coalesce({listed}, false)), n -> {block})"))
+
+
+def _starts_sql(limit: int) -> str:
+    """Indexes of the blocks ``bs`` that open a chunk: greedy fill, closed by every drilled block."""
+    joins = f"(acc.open and acc.parent = x.b.parent and acc.chars + x.b.size <= {limit})"
+    step = (f"case when x.b.drill then struct(acc.starts as starts, false as open, acc.parent as parent, acc.chars as chars) "
+            f"when {joins} then struct(acc.starts as starts, true as open, acc.parent as parent, acc.chars + x.b.size as chars) "
+            f"else struct(concat(acc.starts, array(x.at)) as starts, true as open, x.b.parent as parent, x.b.size as chars) end")
+    return (f"aggregate(transform(bs, (b, i) -> struct(i as at, b as b)), "
+            f"struct(cast(array() as array<int>) as starts, false as open, -1 as parent, 0 as chars), "
+            f"(acc, x) -> {step}, acc -> acc.starts)")
+
+
+def chunks_sql(nodes: str, max_chars: int = CHUNK_CHARS, keep_text: bool = False) -> str:
     """Array of chunk strings of a cleaned page."""
-    def cut(ns: Column) -> Column:
-        blocks = let(_sizes(ns), lambda sizes: _blocks(ns, sizes, max_chars, keep_text))
-
-        def assemble(bs: Column) -> Column:
-            def chunk(starts: Column, start: Column, i: Column) -> Column:
-                stop = F.coalesce(nth(starts, i + 1), F.size(bs))
-                members = F.filter(F.slice(bs, start + 1, stop - start), lambda b: ~b["drill"])
-                text = F.array_join(F.transform(
-                    members, lambda b: render(subtree(ns, nth(ns, b["pre"])))), "\n")
-                if not keep_text:
-                    return F.array(text)
-                # the only block above the limit is a loose text on its own: slice it
-                return F.when(nth(members, F.lit(0))["size"] > max_chars, let(text, slices)) \
-                    .otherwise(F.array(text))
-
-            def slices(t: Column) -> Column:
-                return F.transform(
-                    F.sequence(F.lit(0), F.length(t) - 1, F.lit(max_chars)),
-                    lambda s: F.substring(t, s + 1, F.lit(max_chars)))
-
-            return let(_chunk_starts(bs, max_chars),
-                       lambda starts: F.flatten(F.transform(starts, lambda s, i: chunk(starts, s, i))))
-
-        return let(let(blocks, assemble), lambda found: F.when(F.size(found) > 0, found).otherwise(
-            F.array(F.substring(render(ns), 1, max_chars))))
-
-    return let(nodes, cut)
+    members = "filter(slice(bs, s + 1, coalesce(get(starts, i + 1), size(bs)) - s), b -> not b.drill)"
+    text = f"array_join(transform(members, m -> {render_sql('ns', subtree_sql('ns', 'get(ns, m.pre)'))}), '\\n')"
+    chunk = f"array({text})"
+    if keep_text:  # the only block above the limit is a loose text on its own: slice it
+        sliced = bind(text, "t", f"transform(sequence(0, length(t) - 1, {max_chars}), c -> substring(t, c + 1, {max_chars}))")
+        chunk = f"if(get(members, 0).size > {max_chars}, {sliced}, {chunk})"
+    built = bind(_blocks_sql(max_chars, keep_text), "bs", bind(
+        _starts_sql(max_chars), "starts", f"flatten(transform(starts, (s, i) -> {bind(members, 'members', chunk)}))"))
+    return bind(nodes, "ns", bind(
+        built, "found", f"if(size(found) > 0, found, array(substring({render_sql('ns', 'ns')}, 1, {max_chars})))"))
 
 
 def chunk_pages(cleaned: DataFrame, max_chars: int = CHUNK_CHARS, keep_text: bool = False) -> DataFrame:
@@ -102,6 +65,6 @@ def chunk_pages(cleaned: DataFrame, max_chars: int = CHUNK_CHARS, keep_text: boo
     Text directly inside an element that is split up is lost unless ``keep_text`` is set.
     """
     key = [c for c in cleaned.columns if c != "nodes"]
-    chunks = page_chunks(F.col("nodes"), max_chars, keep_text)
+    chunks = F.expr(chunks_sql("nodes", max_chars, keep_text))
     return cleaned.select(*key, F.posexplode(chunks).alias("at", "html")).select(
         *key, (F.col("at") + 1).alias("chunk_no"), "html", F.length("html").alias("n_chars"))

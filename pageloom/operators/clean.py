@@ -5,95 +5,89 @@ Cut-out nodes become null entries, so array indexes keep their meaning for every
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pageloom.constants import CHUNK_CHARS, KEEP_ATTRS, OVERLAY_PATTERNS, STRIP_TAGS
-from pageloom.functions.text import contains_any, let, nth, strip
-from pageloom.operators.html import COMMENT, RAW, TEXT, VOID, attr, is_element, subtree
+from pageloom.functions.sqltext import bind, lit, lits, strip_sql
+from pageloom.operators.html import COMMENT, RAW, TEXT, VOID
 
 
-def _cut(nodes: Column, is_root: Callable[[Column], Column]) -> Column:
-    """Null out every node that is, or lies inside, a root."""
-    def body(pair: Column) -> Column:
-        ns, roots = pair["ns"], pair["roots"]
-        return F.transform(
-            ns, lambda n: F.when(
-                n.isNotNull() & ~nth(roots, n["pre"])
-                & ~F.exists(n["anc"], lambda a: nth(roots, a)), n))
+def _cut_sql(nodes: str, root: str) -> str:
+    """Null out every node ``n`` for which ``root`` holds, and all nodes inside one."""
+    flags = f"transform(cs, n -> coalesce({root}, false))"
+    kept = "transform(cs, n -> if(n is null or get(roots, n.pre) or exists(n.anc, a -> get(roots, a)), null, n))"
+    return bind(nodes, "cs", bind(flags, "roots", f"if(array_contains(roots, true), {kept}, cs)"))
 
-    def flagged(ns: Column) -> Column:
-        flags = F.transform(ns, lambda n: F.coalesce(is_root(n), F.lit(False)))
-        return let(F.struct(ns.alias("ns"), flags.alias("roots")), body)
 
-    return F.when(F.exists(nodes, lambda n: F.coalesce(is_root(n), F.lit(False))), let(nodes, flagged)) \
-        .otherwise(nodes)
+def cut_tags_sql(nodes: str, tags: Sequence[str] = STRIP_TAGS) -> str:
+    return _cut_sql(nodes, f"n.tag in ({lits(tags)})")
 
 
-def cut_tags(nodes: Column, tags: Sequence[str] = STRIP_TAGS) -> Column:
-    return _cut(nodes, lambda n: n["tag"].isin(*tags))
-
-
-def overlay_key(node: Column) -> Column:
-    """``id`` and class names of an element, lower-cased, in one string."""
-    value = lambda name: F.coalesce(attr(node, name), F.lit(""))
-    return F.lower(F.concat(value("id"), F.lit(" "), value("class")))
-
-
-def cut_overlays(nodes: Column, patterns: Sequence[str] = OVERLAY_PATTERNS) -> Column:
-    return _cut(nodes, lambda n: is_element(n) & contains_any(overlay_key(n), patterns))
-
-
-def kept_attrs(attrs: Column) -> Column:
-    return F.map_filter(attrs, lambda k, _: k.isin(*KEEP_ATTRS) | k.startswith("data-"))
+def cut_overlays_sql(nodes: str, patterns: Sequence[str] = OVERLAY_PATTERNS) -> str:
+    key = "lower(concat(coalesce(try_element_at(n.attrs, 'id'), ''), ' ', coalesce(try_element_at(n.attrs, 'class'), '')))"
+    hit = bind(key, "k", " or ".join(f"contains(k, {lit(p)})" for p in patterns))
+    return _cut_sql(nodes, f"size(n.attrs) > 0 and {hit}")
 
 
 def strip_tags(parsed: DataFrame, tags: Sequence[str] = STRIP_TAGS) -> DataFrame:
     """H2: cut whole boilerplate subtrees."""
-    return parsed.withColumn("nodes", cut_tags(F.col("nodes"), tags))
+    return parsed.withColumn("nodes", F.expr(cut_tags_sql("nodes", tags)))
 
 
 def strip_overlays(parsed: DataFrame, patterns: Sequence[str] = OVERLAY_PATTERNS) -> DataFrame:
     """H3: cut consent overlays, found by fragments of their id or class names."""
-    return parsed.withColumn("nodes", cut_overlays(F.col("nodes"), patterns))
+    return parsed.withColumn("nodes", F.expr(cut_overlays_sql("nodes", patterns)))
+
+
+def _compact_sql(nodes: str) -> str:
+    kept = f"map_filter(n.attrs, (k, v) -> k in ({lits(KEEP_ATTRS)}) or startswith(k, 'data-'))"
+    parts = "'pre', n.pre, 'last', n.last, 'parent', n.parent, 'anc', n.anc, 'tag', n.tag"
+    return (f"transform({nodes}, n -> if(size(n.attrs) > 0, "
+            f"named_struct({parts}, 'attrs', {kept}, 'text', n.text), n))")
 
 
 def compact_attrs(parsed: DataFrame) -> DataFrame:
     """H4: keep the attributes that identify structure."""
-    return parsed.withColumn("nodes", F.transform(
-        "nodes", lambda n: F.when(
-            n.isNotNull(), n.withField("attrs", kept_attrs(n["attrs"])))))
+    return parsed.withColumn("nodes", F.expr(_compact_sql("nodes")))
+
+
+def body_sql(nodes: str) -> str:
+    """The body element, null when the document has none."""
+    return f"get(filter({nodes}, n -> n.tag = 'body'), 0)"
+
+
+def clean_sql(nodes: str) -> str:
+    """Node array without boilerplate and overlays, attributes compacted, body only."""
+    inside = "transform(ns, n -> if(n.pre between b.pre and b.last, n, null))"
+    compact = _compact_sql(cut_overlays_sql(cut_tags_sql(nodes)))
+    return bind(compact, "ns", bind(body_sql("ns"), "b", f"if(b is null, ns, {inside})"))
 
 
 def clean_pages(parsed: DataFrame) -> DataFrame:
     """H5: boilerplate and overlays cut, attributes compacted, body only."""
-    cleaned = compact_attrs(strip_overlays(strip_tags(parsed)))
-    return cleaned.withColumn("nodes", let(
-        F.col("nodes"), lambda ns: let(
-            body_of(ns), lambda b: F.when(b.isNull(), ns).otherwise(
-                F.transform(ns, lambda n: F.when(n["pre"].between(b["pre"], b["last"]), n))))))
+    return parsed.withColumn("nodes", F.expr(clean_sql("nodes")))
 
 
-def body_of(nodes: Column) -> Column:
-    """The body element, null when the document has none."""
-    return nth(F.filter(nodes, lambda n: n["tag"] == "body"), F.lit(0))
+def pieces_sql(nodes: str) -> str:
+    """Stripped, non-empty text nodes in document order."""
+    return f"filter(transform(filter({nodes}, n -> n.tag = '{TEXT}'), n -> {strip_sql('n.text')}), t -> t <> '')"
 
 
-def text_pieces(nodes: Column) -> Column:
-    """Stripped, non-empty text nodes in document order."""
-    texts = F.filter(nodes, lambda n: n["tag"] == TEXT)
-    return F.filter(F.transform(texts, lambda n: strip(n["text"])), lambda t: t != "")
+def text_sql(nodes: str, sep: str) -> str:
+    return f"array_join({pieces_sql(nodes)}, {lit(sep)})"
 
 
-def joined_text(nodes: Column, sep: str) -> Column:
-    return F.array_join(text_pieces(nodes), sep)
+def subtree_sql(nodes: str, node: str) -> str:
+    """The node and its descendants; cut-out nodes are null entries and are left out."""
+    return f"filter(slice({nodes}, {node}.pre + 1, {node}.last - {node}.pre + 1), d -> d is not null)"
 
 
 def page_text(parsed: DataFrame) -> DataFrame:
     """H6: visible text, one piece per line, boilerplate left out."""
     key = [c for c in parsed.columns if c != "nodes"]
-    return parsed.select(*key, joined_text(cut_tags(F.col("nodes")), "\n").alias("text"))
+    return parsed.select(*key, F.expr(text_sql(cut_tags_sql("nodes"), "\n")).alias("text"))
 
 
 BLOCK_TAGS = [
@@ -102,99 +96,67 @@ BLOCK_TAGS = [
 ]
 
 
-def _text_blocks(ns: Column) -> Column:
-    """Innermost text blocks with their text and the number of its characters inside links."""
-    holds_block = lambda n: F.exists(
-        F.slice(ns, n["pre"] + 2, n["last"] - n["pre"]), lambda d: d["tag"].isin(*BLOCK_TAGS))
-
-    def measure(n: Column) -> Column:
-        inside = subtree(ns, n)
-        linked = F.filter(inside, lambda d: F.exists(
-            d["anc"], lambda a: (a >= n["pre"]) & (nth(ns, a)["tag"] == "a")))
-        return F.struct(n["pre"].alias("pre"), n["tag"].alias("tag"),
-                        joined_text(inside, " ").alias("text"),
-                        F.length(joined_text(linked, " ")).alias("link_chars"))
-
-    found = F.filter(ns, lambda n: n["tag"].isin(*BLOCK_TAGS) & ~holds_block(n))
-    return F.filter(F.transform(found, measure), lambda b: b["text"] != "")
-
-
-def main_text_of(nodes: Column, min_chars: int = 25, max_link_share: float = 0.5) -> Column:
-    def wanted(b: Column) -> Column:
-        chars = F.length(b["text"])
-        return (b["link_chars"] <= chars * max_link_share) & (
-            (chars >= min_chars) | b["tag"].rlike("^(?:h[1-6]|t[dh])$"))
-
-    def dense_text(ns: Column) -> Column:
-        kept = F.filter(_text_blocks(ns), wanted)
-        dense = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-        return F.coalesce(F.nullif(dense, F.lit("")), joined_text(ns, "\n"))
-
-    return let(cut_tags(nodes), dense_text)
+def main_text_sql(nodes: str, min_chars: int = 25, max_link_share: float = 0.5) -> str:
+    """Innermost text blocks that are headings, cells or long enough and not mostly links."""
+    block = f"in ({lits(BLOCK_TAGS)})"
+    innermost = f"filter(ns, n -> n.tag {block} and not exists(slice(ns, n.pre + 2, n.last - n.pre), d -> d.tag {block}))"
+    linked = "filter(inside, d -> exists(d.anc, a -> a >= n.pre and get(ns, a).tag = 'a'))"
+    link_chars = f"if(exists(inside, d -> d.tag = 'a') or exists(n.anc, a -> get(ns, a).tag = 'a'), length({text_sql(linked, ' ')}), 0)"
+    measured = bind(subtree_sql("ns", "n"), "inside",
+                    f"struct(n.tag as tag, {text_sql('inside', ' ')} as text, {link_chars} as links)")
+    wanted = (f"b.text <> '' and b.links <= length(b.text) * {max_link_share}D and "
+              f"(length(b.text) >= {min_chars} or b.tag rlike '^(?:h[1-6]|t[dh])$')")
+    dense = f"array_join(transform(filter(transform({innermost}, n -> {measured}), b -> {wanted}), b -> b.text), '\\n')"
+    return bind(cut_tags_sql(nodes), "ns", f"coalesce(nullif({dense}, ''), {text_sql('ns', chr(10))})")
 
 
 def main_text(parsed: DataFrame, min_chars: int = 25, max_link_share: float = 0.5) -> DataFrame:
     """H7: main content by text density: blocks that are headings, cells or long enough and not
     mostly links, one per line; H6 when no block qualifies."""
     key = [c for c in parsed.columns if c != "nodes"]
-    return parsed.select(*key, main_text_of(F.col("nodes"), min_chars, max_link_share).alias("text"))
+    return parsed.select(*key, F.expr(main_text_sql("nodes", min_chars, max_link_share)).alias("text"))
 
 
 # Rendering -------------------------------------------------------------------------------------
 
-def _escape(c: Column) -> Column:
-    out = F.replace(c, F.lit("&"), F.lit("&amp;"))
-    out = F.replace(out, F.lit("<"), F.lit("&lt;"))
-    return F.replace(out, F.lit(">"), F.lit("&gt;"))
+def _escape_sql(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-def _attr_markup(attrs: Column) -> Column:
-    pairs = F.transform(F.map_entries(attrs), lambda e: F.concat(
-        F.lit(" "), e["key"], F.lit('="'),
-        F.replace(_escape(e["value"]), F.lit('"'), F.lit("&quot;")), F.lit('"')))
-    return F.array_join(pairs, "")
+_VOID = lits(sorted(VOID))
 
 
-def open_markup(node: Column) -> Column:
+def open_sql(n: str) -> str:
     """Start tag, text or comment of one node."""
-    tag = node["tag"]
-    return (
-        F.when(tag == TEXT, _escape(node["text"])).when(tag == RAW, node["text"])
-        .when(tag == COMMENT, F.concat(F.lit("<!--"), node["text"], F.lit("-->")))
-        .otherwise(F.concat(F.lit("<"), tag, _attr_markup(node["attrs"]),
-                            F.when(tag.isin(*sorted(VOID)), "/>").otherwise(">"))))
+    attrs = (f"if(size({n}.attrs) > 0, array_join(transform(map_entries({n}.attrs), e -> concat(' ', e.key, '=\"', "
+             f"replace({_escape_sql('e.value')}, '\"', '&quot;'), '\"')), ''), '')")
+    return (f"case {n}.tag when '{TEXT}' then {_escape_sql(f'{n}.text')} when '{RAW}' then {n}.text "
+            f"when '{COMMENT}' then concat('<!--', {n}.text, '-->') "
+            f"else concat('<', {n}.tag, {attrs}, if({n}.tag in ({_VOID}), '/>', '>')) end")
 
 
-def close_markup(node: Column) -> Column:
+def close_sql(tag: str) -> str:
     """End tag of an element, empty for everything else."""
-    tag = node["tag"]
-    bare = tag.startswith("#") | tag.isin(*sorted(VOID))
-    return F.when(bare, "").otherwise(F.concat(F.lit("</"), tag, F.lit(">")))
+    return f"if(startswith({tag}, '#') or {tag} in ({_VOID}), '', concat('</', {tag}, '>'))"
 
 
-def render(nodes: Column) -> Column:
-    """Markup of a run of whole subtrees: start and end tags put in order by one sort.
+def render_sql(nodes: str, run: str) -> str:
+    """Markup of ``run``: whole sibling subtrees of the array ``nodes``, null entries left out.
 
-    An end tag follows the last node of its element; of several at one place the innermost comes
-    first.
+    The path of the next node is a prefix of this node's path plus itself, so what closes between
+    the two is the rest of that path, innermost first. No stack and no sort is needed.
     """
-    def events(ns: Column) -> Column:
-        opens = F.transform(ns, lambda n: F.struct(
-            n["pre"].alias("at"), F.lit(0).alias("phase"), F.lit(0).alias("inner"),
-            open_markup(n).alias("markup")))
-        containers = F.filter(ns, lambda n: close_markup(n) != "")
-        closes = F.transform(containers, lambda n: F.struct(
-            n["last"].alias("at"), F.lit(1).alias("phase"), (-n["pre"]).alias("inner"),
-            close_markup(n).alias("markup")))
-        ordered = F.array_sort(F.concat(opens, closes))
-        return F.array_join(F.transform(ordered, lambda e: e["markup"]), "")
-
-    return let(F.filter(nodes, lambda n: n.isNotNull()), events)
+    depth = "size(coalesce(get(rs, i + 1), get(rs, 0)).anc)"
+    outer = f"array_join(transform(reverse(slice(r.anc, {depth} + 1, size(r.anc))), a -> concat('</', get(whole, a).tag, '>')), '')"
+    closes = f"if({depth} > size(r.anc), '', concat({close_sql('r.tag')}, {outer}))"
+    return bind(nodes, "whole", bind(
+        f"filter({'whole' if run == nodes else run}, d -> d is not null)", "rs",
+        f"array_join(transform(rs, (r, i) -> concat({open_sql('r')}, {closes})), '')"))
 
 
 def render_html(parsed: DataFrame) -> DataFrame:
     """H8: one document string per page."""
-    return parsed.withColumn("html", render(F.col("nodes"))).drop("nodes")
+    return parsed.withColumn("html", F.expr(render_sql("nodes", "nodes"))).drop("nodes")
 
 
 def chunk_text(docs: DataFrame, text: str = "text", max_chars: int = CHUNK_CHARS) -> DataFrame:

@@ -18,10 +18,10 @@ from pageloom.constants import (
 from pageloom.functions.replies import decode_response, reply_bool, reply_string
 from pageloom.functions.text import let, nth
 from pageloom.functions.urls import authority
-from pageloom.operators.clean import main_text_of
+from pageloom.operators.clean import main_text_sql
 from pageloom.operators.html import classes, is_element, parse_pages
 from pageloom.operators.ranking import first_k_per_key
-from pageloom.operators.select import XPATH_PREFIX, apply_selectors, sample_items, selected_items
+from pageloom.operators.select import XPATH_PREFIX, apply_selectors, items_sql, sample_items
 
 SELECTOR_HEAD = """Name one CSS selector for the element that repeats once per wanted item and holds
 all wanted fields. Prefer tags, data attributes and structure over generated class names; give an
@@ -229,8 +229,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     parsed = parse_pages(pages, html)
     kept = [c for c in parsed.columns if c not in ("nodes", "selector", "fields")]
     found = parsed.select(
-        *kept, "selector", "fields", main_text_of(F.col("nodes")).alias("cleaned_text"),
-        F.when(F.col("selector").isNotNull(), selected_items(F.col("nodes"), F.col("selector"))).alias("found"))
+        *kept, "selector", "fields", F.expr(main_text_sql("nodes")).alias("cleaned_text"),
+        F.expr(f"if(selector is not null, {items_sql('nodes', 'selector')}, null)").alias("found"))
     by_selector = F.coalesce(F.size("found") > 0, F.lit(False))
     return found.select(
         *kept, F.when(by_selector, F.col("found")).otherwise(F.array("cleaned_text")).alias("items"),

@@ -14,10 +14,10 @@ from pageloom.constants import (
     BLOCK_CODES, CONSENT_SELECTORS, DEFAULT_MAX_PAGES, LAYERS, NEXT_PAGE_SELECTORS,
 )
 from pageloom.functions.fetch import is_blocked, needs_js
-from pageloom.functions.text import let, nth
-from pageloom.operators.clean import body_of, render
-from pageloom.operators.html import attr, parse_pages, subtree
-from pageloom.operators.select import check_selector, css_matches
+from pageloom.functions.sqltext import bind, lits
+from pageloom.operators.clean import body_sql, render_sql, subtree_sql
+from pageloom.operators.html import parse_pages
+from pageloom.operators.select import check_selector, css_sql
 
 
 def attempt_flags(attempts: DataFrame, layers: Sequence[str] = LAYERS) -> DataFrame:
@@ -78,31 +78,29 @@ def chosen_html(attempts: DataFrame, chosen: DataFrame) -> DataFrame:
         chosen.select("url", "layer", "rnk"), ["url", "layer", "rnk"]).select("url", "html")
 
 
-def _first_match(nodes: Column, selectors: Sequence[str]) -> Column:
-    """(priority, node) of the first listed selector that matches anything."""
-    listed = F.array(*[F.lit(check_selector(s)) for s in selectors])
+def _first_match_sql(selectors: Sequence[str]) -> str:
+    """(priority, node) of the first listed selector that matches anything on the page."""
+    listed = f"array({lits(check_selector(s) for s in selectors)})"
+    found = f"transform({listed}, (want, i) -> struct(i as priority, get({css_sql('nodes', 'want')}, 0) as node))"
+    return f"get(filter({found}, f -> f.node is not null), 0)"
 
-    def hit(ns: Column) -> Column:
-        found = F.transform(listed, lambda s, i: F.struct(
-            i.alias("priority"), nth(css_matches(ns, s), F.lit(0)).alias("node")))
-        return nth(F.filter(found, lambda f: f["node"].isNotNull()), F.lit(0))
-    return let(nodes, hit)
+
+def _control_pages(parsed: DataFrame, selectors: Sequence[str], key: str) -> DataFrame:
+    return parsed.select(key, F.expr(_first_match_sql(selectors)).alias("hit")).where(F.col("hit").isNotNull())
 
 
 def next_page_links(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     """the next-page control of each page that has one: priority of its selector and its href."""
-    return (
-        parsed.select(key, _first_match(F.col("nodes"), NEXT_PAGE_SELECTORS).alias("hit"))
-        .where(F.col("hit").isNotNull())
-        .select(key, F.col("hit.priority").alias("priority"), attr(F.col("hit.node"), "href").alias("next_href")))
+    return _control_pages(parsed, NEXT_PAGE_SELECTORS, key).select(
+        key, F.col("hit.priority").alias("priority"),
+        F.expr("try_element_at(hit.node.attrs, 'href')").alias("next_href"))
 
 
 def consent_overlays(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     """F8: pages carrying a consent control, with the selector that found it."""
     names = F.array(*[F.lit(s) for s in CONSENT_SELECTORS])
-    return (
-        parsed.select(key, _first_match(F.col("nodes"), CONSENT_SELECTORS).alias("hit"))
-        .where(F.col("hit").isNotNull()).select(key, nth(names, F.col("hit.priority")).alias("selector")))
+    return _control_pages(parsed, CONSENT_SELECTORS, key).select(
+        key, F.get(names, F.col("hit.priority")).alias("selector"))
 
 
 def combine_pages(snapshots: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
@@ -116,8 +114,8 @@ def combine_pages(snapshots: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> D
         "url", "page_no", "html", F.when(F.col("page_no") == 1, F.col("html")).alias("source"))
     bodies = parse_pages(walked).select(
         "url", "page_no", "source",
-        let(F.col("nodes"), lambda ns: let(body_of(ns), lambda b: F.when(
-            b.isNull(), render(ns)).otherwise(render(subtree(ns, b))))).alias("body"))
+        F.expr(bind(body_sql("nodes"), "body", f"if(body is null, {render_sql('nodes', 'nodes')}, "
+                    f"{render_sql('nodes', subtree_sql('nodes', 'body'))})")).alias("body"))
     gathered = bodies.groupBy("url").agg(
         F.count(F.lit(1)).alias("pages"), F.max("source").alias("source"),
         F.array_sort(F.collect_list(F.struct("page_no", "body"))).alias("parts"))

@@ -275,18 +275,7 @@ def is_element(node: Column) -> Column:
     return ~node["tag"].startswith("#")
 
 
-def attr(node: Column, name: str | Column) -> Column:
-    """Attribute value of a node, null when it has none of that name."""
-    return F.try_element_at(node["attrs"], F.lit(name) if isinstance(name, str) else name)
-
-
 def classes(attrs: Column) -> Column:
     """Class names of an attribute map."""
     value = F.coalesce(F.try_element_at(attrs, F.lit("class")), F.lit(""))
     return F.filter(F.split(value, r"(?U)\s+"), lambda c: c != "")
-
-
-def subtree(nodes: Column, node: Column) -> Column:
-    """The node and its descendants; cut-out nodes are null entries and are left out."""
-    return F.filter(F.slice(nodes, node["pre"] + 1, node["last"] - node["pre"] + 1),
-                    lambda n: n.isNotNull())

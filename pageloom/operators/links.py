@@ -2,41 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from pageloom.functions.text import let, nth, strip
-from pageloom.functions.urls import resolve_href, strip_fragment
-from pageloom.operators.clean import joined_text
-from pageloom.operators.html import attr, subtree
+from pageloom.functions.sqltext import bind, strip_sql
+from pageloom.functions.urls import base_sql, resolve_sql
+from pageloom.operators.clean import subtree_sql, text_sql
 
 
-def page_links(nodes: Column, url: Column) -> Column:
+def page_links_sql(nodes: str, url: str) -> str:
     """Array of (pos, text, href): followable anchors, first one per absolute address.
 
     Repeats are found by sorting on (href, pos) and comparing neighbours, so a page with very many
     links stays cheap.
     """
-    def anchors(ns: Column) -> Column:
-        raw = F.filter(
-            F.transform(
-                F.filter(ns, lambda n: (n["tag"] == "a") & attr(n, "href").isNotNull()),
-                lambda n: F.struct(strip(attr(n, "href")).alias("href"), n.alias("node"))),
-            lambda a: ~a["href"].rlike("^(?:$|#|javascript:|mailto:)"))
-        resolved = F.transform(raw, lambda a, i: F.struct(
-            strip_fragment(resolve_href(url, a["href"])).alias("href"), i.alias("pos"),
-            a["node"]["pre"].alias("pre")))
-        ordered = F.array_sort(resolved)
-        firsts = let(ordered, lambda o: F.filter(
-            o, lambda a, i: (i == 0) | (nth(o, F.greatest(i - 1, F.lit(0)))["href"] != a["href"])))
-        in_page_order = F.array_sort(F.transform(firsts, lambda a: F.struct(
-            a["pos"].alias("pos"), a["pre"].alias("pre"), a["href"].alias("href"))))
-        return F.transform(in_page_order, lambda a: F.struct(
-            a["pos"].alias("pos"), joined_text(subtree(ns, nth(ns, a["pre"])), "").alias("text"),
-            a["href"].alias("href")))
-
-    return let(nodes, anchors)
+    hrefs = (f"filter(transform(filter(ns, n -> n.tag = 'a' and try_element_at(n.attrs, 'href') is not null), "
+             f"n -> struct({strip_sql('try_element_at(n.attrs, \'href\')')} as href, n.pre as pre)), "
+             f"x -> not (x.href = '' or startswith(x.href, '#') or startswith(x.href, 'javascript:') or startswith(x.href, 'mailto:')))")
+    resolved = f"transform({hrefs}, (x, i) -> struct(substring_index({resolve_sql('base', 'x.href')}, '#', 1) as href, i as pos, x.pre as pre))"
+    firsts = bind(f"array_sort({resolved})", "o", "filter(o, (x, i) -> i = 0 or get(o, i - 1).href <> x.href)")
+    ordered = f"array_sort(transform({firsts}, x -> struct(x.pos as pos, x.pre as pre, x.href as href)))"
+    text = text_sql(subtree_sql("ns", "get(ns, x.pre)"), "")
+    return bind(nodes, "ns", bind(
+        base_sql(url), "base", f"transform({ordered}, x -> struct(x.pos as pos, {text} as text, x.href as href))"))
 
 
 def extract_links(parsed: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """One row per distinct link of a page, in document order."""
-    return parsed.select(key, F.inline(page_links(F.col("nodes"), F.col(url))))
+    return parsed.select(key, F.expr(f"inline({page_links_sql('nodes', url)})"))

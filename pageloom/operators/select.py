@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from pageloom.functions.text import let, nth, strip
-from pageloom.operators.clean import joined_text, text_pieces
-from pageloom.operators.html import RAW, TEXT, attr, is_element, parse_pages, subtree
+from pageloom.functions.sqltext import bind, lit, lits, strip_sql
+from pageloom.operators.clean import pieces_sql, subtree_sql, text_sql
+from pageloom.operators.html import RAW, TEXT, parse_pages
 
 _BRACKET = r"\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\]"
 _ATTR_TEST = r"\[\s*[\w:-]+\s*(?:[~^$*|]?=\s*(?:\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\]"
@@ -40,184 +40,122 @@ def check_selector(selector: str) -> str:
     return selector
 
 
-def _as_selector(selector: Column | str) -> Column:
-    return selector if isinstance(selector, Column) else F.lit(check_selector(selector))
-
-
-def _attr_tests(body: Column) -> Column:
-    """(name, op, value) of every bracket of a step; ``op`` is empty for a presence test."""
-    def test(b: Column) -> Column:
-        quoted = F.regexp_extract(b, r"[=,]\s*(?:\"([^\"]*)\"|'[^']*')", 1)
-        single = F.regexp_extract(b, r"[=,]\s*'([^']*)'", 1)
-        bare = F.regexp_extract(b, r"=\s*([\w-]+)", 1)
-        has_contains = b.contains("contains(")
-        return F.struct(
-            F.lower(F.regexp_extract(b, r"@?([\w:-]+)\s*[~^$*|=,\]]", 1)).alias("name"),
-            F.when(has_contains, "*=").otherwise(F.regexp_extract(b, r"([~^$*|]?=)", 1)).alias("op"),
-            F.when(quoted != "", quoted).when(single != "", single).otherwise(bare).alias("value"))
-    return F.transform(F.regexp_extract_all(body, F.lit(_BRACKET), F.lit(0)), test)
-
-
-def _step(text: Column, child: Column) -> Column:
-    bare = F.regexp_replace(text, _BRACKET, "")
-    return F.struct(
-        child.alias("child"),
-        F.lower(F.regexp_extract(bare, r"^([A-Za-z][\w-]*)", 1)).alias("tag"),
-        F.regexp_extract_all(bare, F.lit(r"#([\w-]+)"), F.lit(1)).alias("ids"),
-        F.regexp_extract_all(bare, F.lit(r"\.([\w-]+)"), F.lit(1)).alias("classes"),
-        _attr_tests(text).alias("attrs"))
-
-
-def css_steps(selector: Column) -> Column:
-    """Alternatives of a CSS selector, each an array of steps; empty when it is not supported."""
-    alternatives = F.regexp_extract_all(selector, F.lit(rf"(?:[^,\[]|{_BRACKET})+"), F.lit(0))
-    parsed = F.transform(alternatives, lambda alt: F.transform(
-        F.regexp_extract_all(alt, F.lit(rf">?\s*(?:[^\s>\[]|{_BRACKET})+"), F.lit(0)),
-        lambda s: _step(F.regexp_replace(s, r"^>\s*|^\s+", ""), s.startswith(">"))))
-    return F.when(selector.rlike(CSS), parsed).otherwise(F.slice(parsed, F.lit(1), F.lit(0)))
-
-
-def _attr_holds(node: Column, test: Column) -> Column:
-    value, op, want = attr(node, test["name"]), test["op"], test["value"]
-    words = F.concat(F.lit(" "), F.translate(value, "\t\r\n\f", "    "), F.lit(" "))
-    return value.isNotNull() & (
-        F.when(op == "", True).when(op == "=", value == want)
-        .when(want == "", False)
-        .when(op == "*=", F.contains(value, want))
-        .when(op == "^=", F.startswith(value, want))
-        .when(op == "$=", F.endswith(value, want))
-        .when(op == "~=", F.contains(words, F.concat(F.lit(" "), want, F.lit(" "))))
-        .when(op == "|=", (value == want) | F.startswith(value, F.concat(want, F.lit("-"))))
-        .otherwise(False))
-
-
-def _step_holds(node: Column, step: Column) -> Column:
-    names = F.concat(F.lit(" "), F.translate(attr(node, "class"), "\t\r\n\f", "    "), F.lit(" "))
-    return (
-        is_element(node)
-        & ((step["tag"] == "") | (step["tag"] == node["tag"]))
-        & F.forall(step["ids"], lambda i: F.coalesce(attr(node, "id") == i, F.lit(False)))
-        & F.forall(step["classes"], lambda c: F.coalesce(
-            F.contains(names, F.concat(F.lit(" "), c, F.lit(" "))), F.lit(False)))
-        & F.forall(step["attrs"], lambda t: _attr_holds(node, t)))
-
-
-def _flags(nodes: Column, steps: Column) -> Column:
+def _step_sql(text: str, child: str) -> str:
+    """(child, tag, ids, classes, attrs) of one compound selector or XPath step."""
+    value = lambda pattern: f"regexp_extract(t, {lit(pattern)}, 1)"
+    double, single, bare = value(r"[=,]\s*\"([^\"]*)\""), value(r"[=,]\s*'([^']*)'"), value(r"=\s*([\w-]+)")
+    test = (f"struct(lower({value(r'@?([\w:-]+)\s*[~^$*|=,\]]')}) as name, "
+            f"if(contains(t, 'contains('), '*=', {value(r'([~^$*|]?=)')}) as op, "
+            f"case when {double} <> '' then {double} when {single} <> '' then {single} else {bare} end as value)")
+    attrs = f"transform(regexp_extract_all(w, {lit(_BRACKET)}, 0), t -> {test})"
+    bare_text = f"regexp_replace(w, {lit(_BRACKET)}, '')"
+    return bind(text, "w", bind(bare_text, "v", f"struct({child} as child, "
+                f"lower(regexp_extract(v, '^([A-Za-z][A-Za-z0-9_-]*)', 1)) as tag, "
+                f"regexp_extract_all(v, {lit(r'#([\w-]+)')}, 1) as ids, "
+                f"regexp_extract_all(v, {lit(r'\.([\w-]+)')}, 1) as classes, {attrs} as attrs)"))
+
+
+def css_steps_sql(selector: str) -> str:
+    """Alternatives of a CSS selector, each an array of steps; none when it is not supported."""
+    alternatives = f"regexp_extract_all({selector}, {lit(rf'(?:[^,\[]|{_BRACKET})+')}, 0)"
+    steps = f"regexp_extract_all(alt, {lit(rf'>?\s*(?:[^\s>\[]|{_BRACKET})+')}, 0)"
+    step = _step_sql(f"regexp_replace(s, {lit(r'^>\s*|^\s+')}, '')", "startswith(s, '>')")
+    supported = f"if({selector} rlike {lit(CSS)}, {alternatives}, cast(array() as array<string>))"
+    return f"transform({supported}, alt -> transform({steps}, s -> {step}))"
+
+
+_WORDS = "concat(' ', translate(try_element_at(n.attrs, {name}), '\\t\\r\\n\\f', '    '), ' ')"
+_VALUE = "try_element_at(n.attrs, t.name)"
+_ATTR_HOLDS = (
+    f"({_VALUE} is not null and case when t.op = '' then true when t.op = '=' then {_VALUE} = t.value when t.value = '' then false "
+    f"when t.op = '*=' then contains({_VALUE}, t.value) when t.op = '^=' then startswith({_VALUE}, t.value) "
+    f"when t.op = '$=' then endswith({_VALUE}, t.value) "
+    f"when t.op = '~=' then contains({_WORDS.format(name='t.name')}, concat(' ', t.value, ' ')) "
+    f"when t.op = '|=' then {_VALUE} = t.value or startswith({_VALUE}, concat(t.value, '-')) else false end)")
+# Does node ``n`` satisfy step ``st`` on its own.
+_STEP_HOLDS = (
+    "(st.tag = n.tag or (st.tag = '' and not startswith(n.tag, '#'))) "
+    "and (size(st.ids) = 0 or forall(st.ids, i -> coalesce(try_element_at(n.attrs, 'id') = i, false))) "
+    f"and (size(st.classes) = 0 or forall(st.classes, c -> coalesce(contains({_WORDS.format(name=chr(39) + 'class' + chr(39))}, concat(' ', c, ' ')), false))) "
+    f"and (size(st.attrs) = 0 or forall(st.attrs, t -> {_ATTR_HOLDS}))")
+
+
+def _flags_sql(nodes: str, steps: str) -> str:
     """One flag per node: does it match the last of the steps."""
-    def apply(acc: Column, step: Column) -> Column:
-        def holds(n: Column) -> Column:
-            first = F.size(acc) == 0
-            under = F.when(first, ~step["child"] | (n["parent"] == -1)) \
-                .when(step["child"], nth(acc, n["parent"])) \
-                .otherwise(F.exists(n["anc"], lambda a: nth(acc, a)))
-            return F.coalesce(_step_holds(n, step) & under, F.lit(False))
-        return F.transform(nodes, holds)
+    under = ("case when size(acc) = 0 then not st.child or n.parent = -1 when st.child then get(acc, n.parent) "
+             "else exists(n.anc, a -> get(acc, a)) end")
+    return (f"aggregate({steps}, cast(array() as array<boolean>), "
+            f"(acc, st) -> transform({nodes}, n -> coalesce({_STEP_HOLDS} and {under}, false)))")
 
-    return F.aggregate(steps, F.array().cast("array<boolean>"), apply)
 
+def css_sql(nodes: str, selector: str) -> str:
+    """Nodes of the array matching a selector (both SQL expressions), in document order."""
+    flags = f"transform({css_steps_sql('sel')}, alt -> {_flags_sql('ns', 'alt')})"
+    return bind(nodes, "ns", bind(selector, "sel", bind(
+        flags, "fs", "filter(ns, n -> n is not null and exists(fs, f -> get(f, n.pre)))")))
 
-def css_matches(nodes: Column, selector: Column | str) -> Column:
-    """Nodes matching a CSS selector, in document order.
+
+def select_css(parsed: DataFrame, selector: str, key: str = "page_id") -> DataFrame:
+    """One row per element matching a CSS selector: key, pos (from 0), pre, tag.
 
     Supported: tag, ``*``, ``.class``, ``#id``, ``[a]``, ``[a=v]`` and the other attribute tests,
-    descendant and ``>`` combinators, and lists with ``,``.
+    descendant and ``>`` combinators, and lists with ``,``; anything else raises ValueError.
     """
-    def matched(ns: Column) -> Column:
-        flags = F.transform(css_steps(_as_selector(selector)), lambda alt: _flags(ns, alt))
-        return let(flags, lambda fs: F.filter(
-            ns, lambda n: n.isNotNull() & F.exists(fs, lambda f: nth(f, n["pre"]))))
-    return let(nodes, matched)
-
-
-def select_css(parsed: DataFrame, selector: Column | str, key: str = "page_id") -> DataFrame:
-    """One row per matching element: key, pos (from 0), pre, tag."""
-    hits = F.transform(css_matches(F.col("nodes"), selector),
-                       lambda n: F.struct(n["pre"].alias("pre"), n["tag"].alias("tag")))
-    return parsed.select(key, F.posexplode(hits).alias("pos", "hit")).select(key, "pos", "hit.*")
+    hits = f"transform({css_sql('nodes', lit(check_selector(selector)))}, n -> struct(n.pre as pre, n.tag as tag))"
+    return parsed.select(key, F.expr(f"posexplode({hits})").alias("pos", "hit")).select(key, "pos", "hit.*")
 
 
-def xpath_texts(nodes: Column, path: Column) -> Column:
+def xpath_sql(nodes: str, path: str) -> str:
     """Texts of the nodes a path selects, stripped, empties dropped, in document order."""
-    ending = F.regexp_extract(path, r"//?(?:text\(\)|@[\w:-]+)$", 0)
-    trunk = F.regexp_replace(path, r"//?(?:text\(\)|@[\w:-]+)$", "")
-    steps = F.transform(
-        F.regexp_extract_all(trunk, F.lit(rf"//?(?:[^/\[]|{_BRACKET})+"), F.lit(0)),
-        lambda s: _step(F.regexp_replace(s, "^//?", ""), ~s.startswith("//")))
-    deep = ending.startswith("//")
-    name = F.regexp_extract(ending, r"@(.+)$", 1)
-
-    def texts(ns: Column) -> Column:
-        every = F.size(steps) == 0
-        # `//x` after a step also reaches the element itself for attributes, not for text()
-        def below(flag: Column, n: Column, own: Column) -> Column:
-            inside = F.coalesce(nth(flag, n["parent"]), F.lit(False)) | (
-                deep & F.exists(n["anc"], lambda a: nth(flag, a)))
-            return inside | own
-
-        def read(flag: Column) -> Column:
-            whole = F.transform(
-                F.filter(ns, lambda n: nth(flag, n["pre"])),
-                lambda n: strip(F.array_join(F.transform(
-                    F.filter(subtree(ns, n), lambda d: d["tag"].isin(TEXT, RAW)),
-                    lambda d: d["text"]), "")))
-            pieces = F.transform(
-                F.filter(ns, lambda n: n["tag"].isin(TEXT, RAW)
-                         & (every | below(flag, n, F.lit(False)))),
-                lambda n: strip(n["text"]))
-            values = F.transform(
-                F.filter(ns, lambda n: attr(n, name).isNotNull() & (
-                    every | F.when(deep, below(flag, n, nth(flag, n["pre"])))
-                    .otherwise(nth(flag, n["pre"])))),
-                lambda n: strip(attr(n, name)))
-            return F.when(ending == "", whole).when(name == "", pieces).otherwise(values)
-
-        return let(_flags(ns, steps), read)
-
-    found = F.filter(let(nodes, texts), lambda t: t != "")
-    return F.when((path != "") & path.rlike(XPATH), found).otherwise(F.slice(found, F.lit(1), F.lit(0)))
+    ending = lit(r"//?(?:text\(\)|@[\w:-]+)$")
+    steps = (f"transform(regexp_extract_all(regexp_replace(p, {ending}, ''), {lit(rf'//?(?:[^/\[]|{_BRACKET})+')}, 0), "
+             f"s -> {_step_sql('regexp_replace(s, \'^//?\', \'\')', 'not startswith(s, \'//\')')})")
+    # `//x` after a step also reaches the element itself for attributes, not for text()
+    below = ("(coalesce(get(flag, n.parent), false) or (startswith(e, '//') and exists(n.anc, a -> get(flag, a))))")
+    every = "size(steps) = 0"
+    whole = (f"transform(filter(ns, n -> get(flag, n.pre)), n -> {strip_sql('array_join(transform(filter(' + subtree_sql('ns', 'n') + f', d -> d.tag in (\'{TEXT}\', \'{RAW}\')), d -> d.text), \'\')')})")
+    pieces = f"transform(filter(ns, n -> n.tag in ('{TEXT}', '{RAW}') and ({every} or {below})), n -> {strip_sql('n.text')})"
+    value = "try_element_at(n.attrs, substring_index(e, '@', -1))"
+    values = (f"transform(filter(ns, n -> {value} is not null and ({every} or get(flag, n.pre) "
+              f"or (startswith(e, '//') and {below}))), n -> {strip_sql(value)})")
+    read = f"case when e = '' then {whole} when contains(e, '@') then {values} else {pieces} end"
+    found = bind(nodes, "ns", bind(f"regexp_extract(p, {ending}, 0)", "e", bind(
+        steps, "steps", bind(_flags_sql("ns", "steps"), "flag", read))))
+    return bind(path, "p", f"if(p <> '' and p rlike {lit(XPATH)}, filter({found}, x -> x <> ''), cast(array() as array<string>))")
 
 
 def select_xpath(parsed: DataFrame, path: str, key: str = "page_id") -> DataFrame:
     """One row per text a path selects: key, pos, text. Paths outside the subset raise."""
     bare = path.removeprefix(XPATH_PREFIX)
     check_selector(XPATH_PREFIX + bare)
-    return parsed.select(key, F.posexplode(xpath_texts(F.col("nodes"), F.lit(bare))).alias("pos", "text"))
+    return parsed.select(key, F.expr(f"posexplode({xpath_sql('nodes', lit(bare))})").alias("pos", "text"))
 
 
-def element_record(nodes: Column, node: Column) -> Column:
+def record_sql(nodes: str, node: str) -> str:
     """Text of a matched element; an element with an address becomes ``name:``/``url:`` lines."""
-    href = F.coalesce(F.nullif(attr(node, "href"), F.lit("")), F.nullif(attr(node, "data-href"), F.lit("")))
-
-    def record(inside: Column) -> Column:
-        headings = F.filter(inside, lambda d: d["tag"].isin(*HEADINGS) & (d["pre"] > node["pre"]))
-        heading = nth(headings, F.lit(0))
-        lines = F.filter(
-            F.split(joined_text(inside, "\n"), "\\R|[\\x1c-\\x1e]"), lambda l: strip(l) != "")
-        name = F.when(heading.isNotNull(), joined_text(subtree(nodes, heading), "")) \
-            .otherwise(F.coalesce(nth(lines, F.lit(0)), F.lit("")))
-        linked = F.when(name != "", F.concat(F.lit("name: "), name, F.lit("\nurl: "), href)) \
-            .otherwise(F.concat(F.lit("url: "), href))
-        return F.when(href.isNotNull(), linked).otherwise(F.array_join(text_pieces(inside), "\n"))
-
-    return let(subtree(nodes, node), record)
-
-
-def selected_items(nodes: Column, selector: Column | str) -> Column:
+    address = (f"coalesce(nullif(try_element_at({node}.attrs, 'href'), ''), nullif(try_element_at({node}.attrs, 'data-href'), ''))")
+    heading = f"get(filter(inside, h -> h.tag in ({lits(HEADINGS)}) and h.pre > {node}.pre), 0)"
+    first_line = lit(r"^[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*")
+    # pieces are stripped and not empty, so the first line of the first one is the first real line
+    line = f"coalesce(regexp_extract(get({pieces_sql('inside')}, 0), {first_line}, 0), '')"
+    name = bind(heading, "head", f"if(head is null, {line}, {text_sql(subtree_sql(nodes, 'head'), '')})")
+    linked = bind(name, "name", "if(name <> '', concat('name: ', name, '\\nurl: ', address), concat('url: ', address))")
+    return bind(subtree_sql(nodes, node), "inside", bind(
+        address, "address", f"if(address is not null, {linked}, {text_sql('inside', chr(10))})"))
+
+
+def items_sql(nodes: str, selector: str) -> str:
     """Item strings a selector (CSS, or XPath after ``xpath:``) yields on one page."""
-    sel = _as_selector(selector)
-
-    def by_css(ns: Column) -> Column:
-        records = F.transform(css_matches(ns, sel), lambda n: element_record(ns, n))
-        return F.filter(records, lambda r: r != "")
-
-    by_path = xpath_texts(nodes, F.substring(sel, F.lit(len(XPATH_PREFIX) + 1), F.length(sel)))
-    return F.when(sel.startswith(XPATH_PREFIX), by_path).otherwise(let(nodes, by_css))
+    records = f"transform({css_sql('page', 'chosen')}, m -> {record_sql('page', 'm')})"
+    by_path = xpath_sql("page", f"substring(chosen, {len(XPATH_PREFIX) + 1})")
+    return bind(nodes, "page", bind(selector, "chosen", (
+        f"if(startswith(chosen, '{XPATH_PREFIX}'), {by_path}, filter({records}, r -> r <> ''))")))
 
 
-def element_records(parsed: DataFrame, selector: Column | str, key: str = "page_id") -> DataFrame:
-    """One row per item: key, pos, item."""
-    items = selected_items(F.col("nodes"), selector)
-    return parsed.select(key, F.posexplode(items).alias("pos", "item"))
+def element_records(parsed: DataFrame, selector: str, key: str = "page_id") -> DataFrame:
+    """One row per item of a literal selector: key, pos, item."""
+    items = items_sql("nodes", lit(check_selector(selector)))
+    return parsed.select(key, F.expr(f"posexplode({items})").alias("pos", "item"))
 
 
 def apply_selectors(pages: DataFrame, selectors: DataFrame, on: str = "page_id",
@@ -232,10 +170,9 @@ def apply_selectors(pages: DataFrame, selectors: DataFrame, on: str = "page_id",
     grouped = selectors.groupBy(on).agg(F.collect_set("selector").alias("_selectors"))
     parsed = parse_pages(pages.join(grouped, on), html)
     key = [c for c in parsed.columns if c not in ("nodes", "_selectors")]
-    found = F.flatten(F.transform("_selectors", lambda s: F.transform(
-        selected_items(F.col("nodes"), s),
-        lambda item, i: F.struct(s.alias("selector"), i.alias("pos"), item.alias("item")))))
-    return parsed.select(*key, F.inline(found))
+    found = (f"flatten(transform(_selectors, want -> transform({items_sql('nodes', 'want')}, "
+             "(item, i) -> struct(want as selector, i as pos, item as item))))")
+    return parsed.select(*key, F.expr(f"inline({found})"))
 
 
 def sample_items(items: DataFrame, k: int, seed: int = 0, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:

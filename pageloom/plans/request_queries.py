@@ -239,7 +239,7 @@ _UP = f"regexp_replace({_DIR}, '[^/]+/$', '')"
  when 5 then concat({_BASE}, {_UP}, 'up') when 6 then concat({_BASE}, {_DIR}, 'here/x') else href end as href from h""")
 def _resolve_href(spark, sf):
     return run_sql(spark, sf, _HREFS, "pages").select(
-        "page_id", "k", urls.resolve_href(F.col("url"), F.col("href")).alias("href"))
+        "page_id", "k", urls.resolve_href("url", "href").alias("href"))
 
 
 @query("strip_fragment", "select page_id, split_part(url, '#', 1) as url from pages")

@@ -135,10 +135,10 @@ _JOB_ID = "concat('job_20260101_', lpad(cast(page_id as string), 8, '0'))"
 
 def _job_documents(spark, sf):
     from pageloom.operators.html import parse_pages
-    from pageloom.operators.links import page_links
+    from pageloom.operators.links import page_links_sql
 
     parsed = parse_pages(pages(spark, sf))
-    found = page_links(F.col("nodes"), F.col("url"))
+    found = F.expr(page_links_sql("nodes", "url"))
     hrefs = F.transform(found, lambda l: l["href"])
     state = F.expr("case page_id % 4 when 0 then 'complete' when 1 then 'partial' when 2 then 'running' else 'pending' end")
     result = F.when(F.col("page_id") % 2 == 0, F.struct(
