@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.constants import CHUNK_CHARS
 from pageloom.functions.sqltext import bind, strip_sql
-from pageloom.operators.clean import body_sql, close_sql, open_sql, render_sql, subtree_sql
+from pageloom.operators.clean import body_sql, join_marks_sql, marks_sql, subtree_sql
 from pageloom.operators.html import TEXT
 
 # Characters of the markup of every node with its subtree (null for cut-out nodes); a node without
 # children is its own size.
 _SIZES = bind(
-    f"transform(ns, n -> coalesce(length({open_sql('n')}) + length({close_sql('n.tag')}), 0))", "own",
+    "transform(marks, m -> coalesce(length(m.o) + length(m.c), 0))", "own",
     "transform(ns, n -> case when n is null then null when n.last = n.pre then get(own, n.pre) "
     "else aggregate(slice(own, n.pre + 1, n.last - n.pre + 1), 0, (x, y) -> x + y) end)")
 
@@ -48,15 +48,16 @@ def _starts_sql(limit: int) -> str:
 def chunks_sql(nodes: str, max_chars: int = CHUNK_CHARS, keep_text: bool = False) -> str:
     """Array of chunk strings of a cleaned page."""
     members = "filter(slice(bs, s + 1, coalesce(get(starts, i + 1), size(bs)) - s), b -> not b.drill)"
-    text = f"array_join(transform(members, m -> {render_sql('ns', subtree_sql('ns', 'get(ns, m.pre)'))}), '\\n')"
+    text = f"array_join(transform(members, m -> {join_marks_sql(subtree_sql('ns', 'get(ns, m.pre)'))}), '\\n')"
     chunk = f"array({text})"
     if keep_text:  # the only block above the limit is a loose text on its own: slice it
         sliced = bind(text, "t", f"transform(sequence(0, length(t) - 1, {max_chars}), c -> substring(t, c + 1, {max_chars}))")
         chunk = f"if(get(members, 0).size > {max_chars}, {sliced}, {chunk})"
     built = bind(_blocks_sql(max_chars, keep_text), "bs", bind(
         _starts_sql(max_chars), "starts", f"flatten(transform(starts, (s, i) -> {bind(members, 'members', chunk)}))"))
-    return bind(nodes, "ns", bind(
-        built, "found", f"if(size(found) > 0, found, array(substring({render_sql('ns', 'ns')}, 1, {max_chars})))"))
+    whole = join_marks_sql("filter(ns, d -> d is not null)")
+    return bind(nodes, "ns", bind(marks_sql("ns"), "marks", bind(
+        built, "found", f"if(size(found) > 0, found, array(substring({whole}, 1, {max_chars})))")))
 
 
 def chunk_pages(cleaned: DataFrame, max_chars: int = CHUNK_CHARS, keep_text: bool = False) -> DataFrame:

@@ -140,23 +140,31 @@ def close_sql(tag: str) -> str:
     return f"if(startswith({tag}, '#') or {tag} in ({_VOID}), '', concat('</', {tag}, '>'))"
 
 
-def render_sql(nodes: str, run: str) -> str:
-    """Markup of ``run``: whole sibling subtrees of the array ``nodes``, null entries left out.
+def marks_sql(nodes: str) -> str:
+    """Start and end markup of every node, by index."""
+    return f"transform({nodes}, n -> if(n is null, null, struct({open_sql('n')} as o, {close_sql('n.tag')} as c)))"
+
+
+def join_marks_sql(run: str) -> str:
+    """Markup of ``run`` (whole sibling subtrees) from the array ``marks`` of ``marks_sql``.
 
     The path of the next node is a prefix of this node's path plus itself, so what closes between
     the two is the rest of that path, innermost first. No stack and no sort is needed.
     """
     depth = "size(coalesce(get(rs, i + 1), get(rs, 0)).anc)"
-    outer = f"array_join(transform(reverse(slice(r.anc, {depth} + 1, size(r.anc))), a -> concat('</', get(whole, a).tag, '>')), '')"
-    closes = f"if({depth} > size(r.anc), '', concat({close_sql('r.tag')}, {outer}))"
-    return bind(nodes, "whole", bind(
-        f"filter({'whole' if run == nodes else run}, d -> d is not null)", "rs",
-        f"array_join(transform(rs, (r, i) -> concat({open_sql('r')}, {closes})), '')"))
+    outer = f"array_join(transform(reverse(slice(r.anc, {depth} + 1, size(r.anc))), a -> get(marks, a).c), '')"
+    closes = f"if({depth} > size(r.anc), '', concat(get(marks, r.pre).c, {outer}))"
+    return bind(run, "rs", f"array_join(transform(rs, (r, i) -> concat(get(marks, r.pre).o, {closes})), '')")
+
+
+def render_sql(nodes: str, run: str | None = None) -> str:
+    """Markup of the whole array or of ``run``, an array of whole sibling subtrees of it."""
+    return bind(nodes, "whole", bind(marks_sql("whole"), "marks", join_marks_sql(run or "filter(whole, d -> d is not null)")))
 
 
 def render_html(parsed: DataFrame) -> DataFrame:
     """H8: one document string per page."""
-    return parsed.withColumn("html", F.expr(render_sql("nodes", "nodes"))).drop("nodes")
+    return parsed.withColumn("html", F.expr(render_sql("nodes"))).drop("nodes")
 
 
 def chunk_text(docs: DataFrame, text: str = "text", max_chars: int = CHUNK_CHARS) -> DataFrame:

@@ -114,7 +114,7 @@ def combine_pages(snapshots: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> D
         "url", "page_no", "html", F.when(F.col("page_no") == 1, F.col("html")).alias("source"))
     bodies = parse_pages(walked).select(
         "url", "page_no", "source",
-        F.expr(bind(body_sql("nodes"), "body", f"if(body is null, {render_sql('nodes', 'nodes')}, "
+        F.expr(bind(body_sql("nodes"), "body", f"if(body is null, {render_sql('nodes')}, "
                     f"{render_sql('nodes', subtree_sql('nodes', 'body'))})")).alias("body"))
     gathered = bodies.groupBy("url").agg(
         F.count(F.lit(1)).alias("pages"), F.max("source").alias("source"),
