@@ -8,9 +8,10 @@ from pageloom.functions.text import strip
 
 
 def unfence(raw: Column) -> Column:
-    """Reply text without its Markdown code fence."""
+    """Reply text without its Markdown code fence; replies without one skip the patterns."""
     opened = F.regexp_replace(strip(raw), r"(?mU)^```(?:json)?\s*", "")
-    return strip(F.regexp_replace(strip(opened), r"(?mU)\s*```$", ""))
+    bare = strip(F.regexp_replace(strip(opened), r"(?mU)\s*```$", ""))
+    return F.when(raw.contains("```"), bare).otherwise(strip(raw))
 
 
 def decode_response(raw: Column) -> Column:

@@ -263,7 +263,7 @@ def _links_display(spark, sf):
 
 
 def _meta(spark, sf, source):
-    return items.result_metadata(source, spark.sql(JOB_METADATA), RUN_AT)
+    return items.result_metadata(source, run_sql(spark, sf, JOB_METADATA, "region"), RUN_AT)
 
 
 _META = f"""meta as (select j.job_id, j.url, '{RUN_AT}' as timestamp, (select count(*) from ({ITEMS}) i where i.job_id = j.job_id)::bigint as item_count,
@@ -276,9 +276,9 @@ def _metadata(spark, sf):
 
 
 @query("with_placeholder", f"""select job_id, url_seq::bigint as url_seq, item, false as placeholder from ({ITEMS})
- union all select 'empty', null, 'No data extracted.', true""")
+ union all select job_id, null, 'No data extracted.', true from ({JOB_METADATA}) where job_id in ('empty', 'idle')""")
 def _placeholder(spark, sf):
-    return items.with_placeholder(_items(spark, sf), spark.sql(JOB_METADATA)).drop("pos")
+    return items.with_placeholder(_items(spark, sf), run_sql(spark, sf, JOB_METADATA, "region")).drop("pos")
 
 
 _FIRST = f"select * exclude (n) from (select *, row_number() over (partition by job_id, substr(item, 1, 200) order by url_seq, pos) as n from (({TEXT_ITEMS}) union all ({ITEMS}))) where n = 1"
@@ -336,11 +336,11 @@ def _job_result(spark, sf):
 def _two_fields(spark, sf):
     """Items of the jobs with fields name and url, the texts as one more job, and their metadata."""
     found = _items(spark, sf).where(F.col("job_id") != "parts").unionByName(_documents(spark, sf))
-    meta = items.result_metadata(found, spark.sql(_TWO_JOBS), RUN_AT)
+    meta = items.result_metadata(found, run_sql(spark, sf, _TWO_JOBS, "region"), RUN_AT)
     return found, items.records_wide(found, ["name", "url"]), meta
 
 
-_TWO_JOBS = JOB_METADATA.replace("'parts'", "'texts'").replace("/p'", "/t'")
+_TWO_JOBS = JOB_METADATA.replace("'parts'", "'texts'")
 _DOCUMENTS = "select 'texts' as job_id, doc_id as url_seq, 0 as pos, concat(source, chr(10), text) as item from documents"
 
 
