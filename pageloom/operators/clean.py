@@ -107,7 +107,7 @@ def main_text_sql(nodes: str, min_chars: int = 25, max_link_share: float = 0.5)
     wanted = (f"b.text <> '' and b.links <= length(b.text) * {max_link_share}D and "
               f"(length(b.text) >= {min_chars} or b.tag rlike '^(?:h[1-6]|t[dh])$')")
     dense = f"array_join(transform(filter(transform({innermost}, n -> {measured}), b -> {wanted}), b -> b.text), '\\n')"
-    return bind(cut_tags_sql(nodes), "ns", f"coalesce(nullif({dense}, ''), {text_sql('ns', chr(10))})")
+    return bind(cut_tags_sql(nodes), "ns", bind(dense, "dense", f"if(dense = '', {text_sql('ns', chr(10))}, dense)"))
 
 
 def main_text(parsed: DataFrame, min_chars: int = 25, max_link_share: float = 0.5) -> DataFrame:

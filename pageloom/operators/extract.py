@@ -123,9 +123,9 @@ def validation_prompts(candidates: DataFrame, pages: DataFrame, targets: DataFra
 
     Result: page_id, attempt, selector, prompt, prompt_id, valid, reason.
     """
-    tried = candidates.select(
-        "page_id", "attempt", candidate_selector(F.col("selector"), F.col("xpath")).alias("selector")
-    ).where(F.col("selector").isNotNull())
+    # exploding drops nulls without a filter, which would be pushed down and decode replies again
+    tried = candidates.select("page_id", "attempt", F.explode(F.array_compact(F.array(
+        candidate_selector(F.col("selector"), F.col("xpath"))))).alias("selector"))
     items = apply_selectors(pages.select("page_id", "html"), tried)
     line = F.format_string("  %d. %s", "sample_no", "item")
     samples = _samples(items, ["page_id", "selector"], VALIDATION_SAMPLES, VALIDATION_SAMPLE_CHARS, line)
@@ -163,9 +163,10 @@ def choose_selector(pages: DataFrame, candidates: DataFrame, verdicts: DataFrame
     good = verdicts.where("valid").select("page_id", "attempt")
     picks = candidates.select(
         "page_id", "attempt", candidate_selector(F.col("selector"), F.col("xpath")).alias("selector")
-    ).where(F.col("selector").isNotNull()).join(good, ["page_id", "attempt"], "left_semi")
+    ).join(good, ["page_id", "attempt"], "left_semi")
+    place = F.when(F.col("selector").isNotNull(), F.col("attempt"))
     best = picks.groupBy("page_id").agg(
-        F.min_by("selector", "attempt").alias("selector"), F.min("attempt").alias("attempt"))
+        F.min_by("selector", place).alias("selector"), F.min(place).alias("attempt"))
     return pages.select("page_id").join(best, "page_id", "left")
 
 
@@ -198,8 +199,8 @@ def infer_fields(responses: DataFrame) -> DataFrame:
     """Field names of each schema reply, ``["value"]`` when it names none."""
     key = [c for c in responses.columns if c != "raw"]
     names = F.try_variant_get(decode_response(F.col("raw")), "$.fields", "array<string>")
-    return responses.select(*key, F.when(F.size(names) > 0, names).otherwise(
-        F.array(F.lit("value"))).alias("fields"))
+    return responses.select(*key, let(names, lambda found: F.when(F.size(found) > 0, found).otherwise(
+        F.array(F.lit("value")))).alias("fields"))
 
 
 def with_choices(pages: DataFrame, targets: DataFrame, choices: DataFrame,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pageloom.constants import (
     BLOCK_CODES, CONSENT_SELECTORS, DEFAULT_MAX_PAGES, LAYERS, NEXT_PAGE_SELECTORS,
 )
-from pageloom.functions.fetch import is_blocked, needs_js
+from pageloom.functions.fetch import blocked_code, body_flags
 from pageloom.functions.sqltext import bind, lits
 from pageloom.operators.clean import body_sql, render_sql, subtree_sql
 from pageloom.operators.html import parse_pages
@@ -22,19 +22,21 @@ from pageloom.operators.select import check_selector, css_sql
 
 def attempt_flags(attempts: DataFrame, layers: Sequence[str] = LAYERS) -> DataFrame:
     """Attempts with the body replaced by what the decisions need; the body never reaches a shuffle."""
-    plain, browser = F.col("layer") == layers[0], F.col("layer") == layers[1]
     has_html = F.coalesce(F.col("html") != "", F.lit(False))
-    clean = F.col("error").isNull()
-    blocked = is_blocked(F.col("status_code"), F.col("html"))
-    scripted = needs_js(F.col("html"))
-    accepted = (
-        F.when(plain, (F.col("status_code") == 200) & ~blocked & ~scripted & clean)
-        .when(browser, has_html & ~blocked & clean)
-        .otherwise(has_html & clean))
-    return attempts.select(
+    narrow = attempts.select(
         "url", "layer", "rnk", "status_code", "error", has_html.alias("has_html"),
-        blocked.alias("blocked"), scripted.alias("needs_js"),
-        F.coalesce(accepted, F.lit(False)).alias("accepted"))
+        body_flags(F.col("html")).alias("_body"))
+    flagged = narrow.select(
+        "url", "layer", "rnk", "status_code", "error", "has_html",
+        (blocked_code(F.col("status_code")) | F.col("_body.signed")).alias("blocked"),
+        F.col("_body.needs_js").alias("needs_js"))
+    fetched = F.col("has_html") & F.col("error").isNull()
+    accepted = (
+        F.when(F.col("layer") == layers[0], (F.col("status_code") == 200) & ~F.col("blocked")
+               & ~F.col("needs_js") & F.col("error").isNull())
+        .when(F.col("layer") == layers[1], fetched & ~F.col("blocked"))
+        .otherwise(fetched))
+    return flagged.withColumn("accepted", F.coalesce(accepted, F.lit(False)))
 
 
 def resolve_layer(attempts: DataFrame, layers: Sequence[str] = LAYERS,

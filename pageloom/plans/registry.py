@@ -37,8 +37,7 @@ def widened(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(found) if name in WIDE else found
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +51,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_sql(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
     """A derived input: SQL for both engines (array literals are spelled differently)."""
     text = text.replace("unnest(list_value(", "explode(array(")
-    frames = {name: table(spark, sf_dir, name) for name in tables}
-    for name, frame in frames.items():
-        frame.createOrReplaceTempView(name)
+    for name in tables:
+        frame = table(spark, sf_dir, name)
+        (spread(frame) if name in WIDE else frame).createOrReplaceTempView(name)
     return spark.sql(text)
