@@ -77,7 +77,7 @@ def crawl(links: DataFrame, intents: DataFrame, same_domain_only: bool = True,
     (hop, order of the linking page, link position). ``path`` lists the link positions from the seed
     and gives that order without ranking whole jobs; ``rank`` is null for uncapped jobs.
 
-    One join wave per hop. Each wave is checkpointed to the shared folder: it feeds two inputs of
+    ``links`` is read once per hop, so pass a stored table. One join wave per hop. Each wave is checkpointed to the shared folder: it feeds two inputs of
     the next one, and a lost executor must not replay the whole walk. Only the wave's row count
     reaches the driver.
     """
@@ -92,7 +92,7 @@ def crawl(links: DataFrame, intents: DataFrame, same_domain_only: bool = True,
     frontier = rules.select(
         "job_id", F.col("seed").alias("url"), F.lit(0).alias("hop"),
         F.array().cast("array<int>").alias("path"),
-        F.when(F.col("max_urls") > 0, 1).alias("rank")).checkpoint()
+        F.when(F.col("max_urls") > 0, 1).alias("rank"))
     visited = frontier
     edges = links.select(F.col("src").alias("url"), F.col("pos").cast("int").alias("pos"), "href") \
         .where(F.col("href").isNotNull())

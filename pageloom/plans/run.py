@@ -13,7 +13,9 @@ from pageloom.operators.extract import extract
 from pageloom.operators.html import parse_pages
 from pageloom.operators.items import dedup_items, dedup_links, new_items
 from pageloom.operators.links import extract_links
+from pageloom.operators.jobs import resume_frontier, saved_items
 from pageloom.operators.ranking import number_rows
+from pageloom.session import use_checkpoint_dir
 
 
 def link_table(pages: DataFrame) -> DataFrame:
@@ -34,9 +36,15 @@ def visit_order(visits: DataFrame) -> DataFrame:
 def visited_pages(intents: DataFrame, pages: DataFrame, links: DataFrame | None = None,
                   same_domain_only: bool = True) -> DataFrame:
     """The snapshots each job reaches: job_id, url_seq, page_id, url, html, intent_type,
-    content_target. ``links`` defaults to the links of the snapshots; pass a stored table to reuse it.
+    content_target.
+
+    ``links`` defaults to the links of the snapshots, written once to the checkpoint folder because
+    the walk reads them once per hop; pass a stored link table to save that parse.
     """
-    walk = crawl(link_table(pages) if links is None else links, intents, same_domain_only)
+    if links is None:
+        use_checkpoint_dir(pages.sparkSession)
+        links = link_table(pages).checkpoint()
+    walk = crawl(links, intents, same_domain_only)
     wanted = visit_order(walk).join(intents.select("job_id", "intent_type", "content_target"), "job_id")
     return wanted.join(pages.select("page_id", "url", "html"), "url").select(
         "job_id", "url_seq", "page_id", "url", "html", "intent_type", "content_target")
@@ -68,3 +76,21 @@ def job_items(results: DataFrame, saved: DataFrame | None = None) -> DataFrame:
     """Items of each job in walk order without repeats, and without those of ``saved(job_id, item)``."""
     rows = results.select("job_id", "url_seq", F.posexplode("items").alias("pos", "item"))
     return dedup_items(rows) if saved is None else new_items(rows, saved)
+
+
+def resumed_pages(jobs: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pending snapshots of unfinished job documents, as ``visited_pages`` gives them.
+
+    Failed URLs are not tried again. ``url_seq`` goes on after the results already saved.
+    """
+    intents = jobs.select("job_id", "intent.intent_type", "intent.content_target",
+                          F.greatest(F.size("results"), F.lit(0)).alias("_saved"))
+    return resume_frontier(jobs).join(intents, "job_id").join(pages.select("page_id", "url", "html"), "url").select(
+        "job_id", (F.col("url_seq") + F.col("_saved")).cast("bigint").alias("url_seq"), "page_id", "url", "html",
+        "intent_type", "content_target")
+
+
+def resumed_items(results: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Items of a resumed run: those saved before, then the new ones that do not repeat them."""
+    saved = saved_items(jobs).select("job_id", F.col("url_seq").cast("bigint").alias("url_seq"), "pos", "item")
+    return saved.unionByName(job_items(results, saved.select("job_id", "item")))

@@ -148,3 +148,18 @@ def test_whole_run(spark):
     assert deep == ["text of a that is long enough to keep", "same words on every single page", "text of b that is long enough to keep", "text of c that is long enough to keep"]
     saved = found.where("url_seq = 1").select("job_id", "item")
     assert run.job_items(results, saved).where("job_id = 'deep'").count() == 2
+
+
+def test_resumed_run(spark):
+    pages = spark.createDataFrame([(i, f"https://a.test/{i}", f"<p>item {i % 3} of the list that goes on</p>") for i in range(6)], "page_id bigint, url string, html string")
+    doc = {"job_id": "j", "status": "partial", "intent": {"url": "https://a.test/0", "intent_type": "deep_content", "content_target": "items"},
+           "urls_pending": ["https://a.test/4", "https://a.test/2", "https://a.test/5"], "urls_processed": ["https://a.test/0"], "urls_failed": ["https://a.test/3"],
+           "results": [{"url": "https://a.test/0", "items": ["item 1 of the list that goes on"], "selector": "p", "method": "llm_selector"}]}
+    jobs_ = spark.read.schema("job_id string, status string, intent struct<url string, intent_type string, content_target string>, urls_pending array<string>, "
+                              "results array<struct<url string, links array<struct<text string, href string>>, items array<string>, selector string>>").json(
+        spark.createDataFrame([(json.dumps(doc),)], "v string").rdd.map(lambda r: r.v))
+    visited = run.resumed_pages(jobs_, pages)
+    assert [(r.url_seq, r.page_id) for r in visited.orderBy("url_seq").collect()] == [(1, 4), (2, 2), (3, 5)]
+    results = run.job_results(visited, pages.select("url", F.lit("p").alias("selector")))
+    rows = run.resumed_items(results, jobs_).orderBy("url_seq").collect()
+    assert [(r.url_seq, r.item[:6]) for r in rows] == [(0, "item 1"), (2, "item 2")]
