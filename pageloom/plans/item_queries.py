@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
-from pageloom.functions.items import match_key, normalise_values, split_parts
+from pageloom.functions.items import match_key, split_parts
 from pageloom.functions.replies import decode_response, reply_string
-from pageloom.functions.urls import authority, url_slug
+from pageloom.functions.urls import authority
 from pageloom.operators import chunks as chunk_ops, clean, extract, items, jobs
 from pageloom.operators.links import extract_links
 from pageloom.plans.derived import ITEMS, JOB_METADATA, SELECTOR_RESPONSES, TEXT_ITEMS
 from pageloom.plans.page_queries import (
-    CHUNKS_SQL, _LINKS, _PARAGRAPHS, _VISIBLE, DISTINCT_LINKS_SQL, MAIN_TEXT_SQL, _decoded, _pieces, _trimmed,
+    CHUNKS_SQL, _LINKS, _PARAGRAPHS, DISTINCT_LINKS_SQL, MAIN_TEXT_SQL, _decoded, _pieces, _trimmed,
 )
 from pageloom.plans.registry import pages, parsed, query, run_sql, table
 from pageloom.session import scratch_path

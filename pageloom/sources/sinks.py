@@ -1,7 +1,8 @@
 """Rendered output as numbered lines, and writers.
 
 Documents are tables of ``(job_id, line_no, line)``: a job's document is its lines in order, so a
-job of any size is rendered and written by many tasks and never gathered into one cell.
+job of any size is rendered and written by many tasks and never gathered into one cell. Numbering and
+counting read the items more than once: pass a stored table, not a plan that still has to parse pages.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from hypothesis import HealthCheck, given, settings, strategies as st
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from pageloom.operators import chunks, clean, html, links, select

@@ -13,9 +13,9 @@ def column(spark, values, fn):
 
 
 def test_urls(spark):
-    assert column(spark, ["get prices from https://books.toscrape.com/catalogue", "scrape http://example.com please",
+    assert column(spark, ["get prices from https://shop.test/catalogue", "scrape http://example.com please",
                           "no url here", "check https://example.com.", "see 'https://a.test/x'), ok"], urls.extract_url) == [
-        "https://books.toscrape.com/catalogue", "http://example.com", None, "https://example.com", "https://a.test/x"]
+        "https://shop.test/catalogue", "http://example.com", None, "https://example.com", "https://a.test/x"]
     assert column(spark, ["https://example.com/", "example.com", "a.test//", "example.com:8080/x"], urls.normalise_url) == [
         "https://example.com", "https://example.com", "https://a.test", "example.com:8080/x"]
 
@@ -38,7 +38,7 @@ def test_resolve_href_equals_urljoin(spark):
 
 
 def test_heuristics(spark):
-    queries = ["give me all the links on https://example.com", "get product name and price from https://books.toscrape.com",
+    queries = ["give me all the links on https://example.com", "get product name and price from https://shop.test",
                "get the title and summary of each article on https://blog.example.com", "what is on https://example.com",
                "get me some data", "get all links from https://news.ycombinator.com"]
     df = spark.createDataFrame(list(enumerate(queries)), "request_id int, query string")
