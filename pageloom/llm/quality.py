@@ -12,8 +12,8 @@ from pageloom.llm.text import map_texts
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Texts with fewer letters or words are not held against a reference: their histograms say little.
 MIN_CHARS, MIN_COMPARED = 200, 40
-#: Largest Jensen-Shannon distance (base 2, 0 to 1) to the nearest language, by histogram.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.95
+#: Largest Jensen-Shannon distances (base 2, 0 to 1) to the nearest language: of characters, of words, their sum.
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MAX_SUM = 0.3, 0.92, 1.0
 SYMBOLS = b"#*$%&|<>"
 #: Frequent short words of the languages that references are made for.
 COMMON_WORDS = {
@@ -146,7 +146,8 @@ def quality(docs: DataFrame, keep=("doc_id",), known: dict | None = None) -> Dat
                 far = False
                 if points >= MIN_CHARS and len(words) >= MIN_COMPARED:
                     chars, common_words = _distances(classes, common, refs)
-                    far = chars > MAX_CHAR_DISTANCE or common_words > MAX_WORD_DISTANCE
+                    far = (chars > MAX_CHAR_DISTANCE or common_words > MAX_WORD_DISTANCE
+                           or chars + common_words > MAX_SUM)
                 rows.append((len(words), points - blank, int(counts[list(SYMBOLS)].sum()), _repeated_lines(text),
                              repeat, failed, not failed and not far, chars, common_words))
             return [list(x) for x in zip(*rows)] if rows else [[]] * 9
