@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -170,8 +171,12 @@ class WordBpe:
         return out
 
 
+@lru_cache(maxsize=1)
 def bpe_chunks(path: str) -> Chunks:
-    """Chunks encoded by WordBpe; the tokenizers library only normalises and splits unusual ones."""
+    """Chunks encoded by WordBpe; the tokenizers library only normalises and splits unusual ones.
+
+    Kept for a worker's next task.
+    """
     tokenizer, model = load(path)
     bpe = WordBpe(model["vocab"], model["merges"])
     added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}

@@ -10,6 +10,7 @@ import json
 import os
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -114,8 +115,9 @@ def as_letters(word: str) -> str:
     return word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
 
 
+@lru_cache(maxsize=1)
 def library_chunks(path: str, remember: int = REMEMBER) -> Chunks:
-    """Chunks encoded by the tokenizers library, add_special_tokens=False."""
+    """Chunks encoded by the tokenizers library, add_special_tokens=False; kept for a worker's next task."""
     tokenizer, model = load(path)
     # the same model without the steps that plain words don't need
     bare, _ = load(path)
