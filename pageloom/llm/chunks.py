@@ -13,14 +13,15 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 #: The only normalizer and splitter for which the short ways below hold; others raise ValueError.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: ASCII marks that make one run of their own after letters (an apostrophe may begin "'s" and the like).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_MARK = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=[ \n])")
+#: A mark that alone follows a letter; what may stand there comes first, so that the search is fast.
+_MARK = re.compile(r"[.,](?=[ \n])(?<=[a-z\xdf-\xf6\xf8-\xff].)")
 REMEMBER = 800_000
 
 
@@ -70,34 +71,34 @@ class Chunks:
             except UnicodeEncodeError:
                 return told.replace("\n", " ").split(" ")
         # in Latin-1, lower case does not depend on the place in a word or on the version of Unicode
-        return _MARK.sub(r" \1", told.lower()).replace("\n", " ").split(" ")
+        return _MARK.sub(r" \g<0>", told.lower()).replace("\n", " ").split(" ")
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str], into: dict[str, bytes]) -> None:
         known = self.known
         plain = list(filter(_is_plain, new))
         rest, split = set(new).difference(plain), []
         for chunk in rest:
             stem = chunk.rstrip(MARKS)
             if stem in known and _is_plain(stem):
-                split.append((chunk, stem, chunk[len(stem):]))
+                split.append((chunk, known[stem], chunk[len(stem):]))
         rest.difference_update([x for x, _, _ in split])
         rest.update({tail for _, _, tail in split} - known.keys())
         rest = list(rest)
-        known.update(zip(plain, self.words(plain), strict=True))
-        known.update(zip(rest, self.others(rest), strict=True))
-        known.update([(chunk, known[stem] + known[tail]) for chunk, stem, tail in split])
+        into.update(zip(plain, self.words(plain), strict=True))
+        into.update(zip(rest, self.others(rest), strict=True))
+        into.update([(chunk, ids + (into.get(tail) or known[tail])) for chunk, ids, tail in split])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        get, before = self.known.get, len(self.known)
+        get = self.known.get
         rows = list(map(self._chunks, texts))
         found = [list(map(get, row)) for row in rows]
-        self._learn(list({c for row, ids in zip(rows, found) for c, x in zip(row, ids) if x is None}))
-        known = self.known
-        out = [b"".join([known[c] if x is None else x for c, x in zip(row, ids)]) for row, ids in zip(rows, found)]
-        if len(known) > self.remember:
-            for key in list(known)[max(before, self.remember // 2):]:
-                del known[key]
-        return out
+        missing = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        into = self.known if len(self.known) < self.remember else {}
+        self._learn(list({row[i] for row, at in zip(rows, missing) for i in at}), into)
+        for row, ids, at in zip(rows, found, missing):
+            for i in at:
+                ids[i] = into[row[i]]
+        return list(map(b"".join, found))
 
 
 def byte_letters() -> list[str]:
@@ -119,9 +120,11 @@ def as_letters(word: str) -> str:
 def library_chunks(path: str, remember: int = REMEMBER) -> Chunks:
     """Chunks encoded by the tokenizers library, add_special_tokens=False; kept for a worker's next task."""
     tokenizer, model = load(path)
-    # the same model without the steps that plain words don't need
-    bare, _ = load(path)
-    bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+    # the same model without the steps that plain words don't need, and without a cache, as each comes once
+    bare = Tokenizer(models.BPE(
+        vocab=model["vocab"], merges=[tuple(m) for m in model["merges"]], cache_capacity=0,
+        end_of_word_suffix=model["end_of_word_suffix"]))
+    bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     ends = np.zeros(tokenizer.get_vocab_size() + 1, dtype=bool)
     for token, i in model["vocab"].items():
         ends[i] = token.endswith("</w>")
