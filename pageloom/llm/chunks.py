@@ -22,7 +22,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A mark that alone follows a letter; what may stand there comes first, so that the search is fast.
 _MARK = re.compile(r"[.,](?=[ \n])(?<=[a-z\xdf-\xf6\xf8-\xff].)")
-REMEMBER = 800_000
+REMEMBER = 200_000
 
 
 def load(path: str) -> tuple[Tokenizer, dict]:
