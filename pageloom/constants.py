@@ -76,12 +76,8 @@ FORMATS = ["json", "csv", "md", "text"]
 
 # Limits and defaults.
 CHUNK_CHARS = 6000
-PROMPT_CHUNK_CHARS = 10000
-MAX_CHUNK_ATTEMPTS = 50
-VALIDATION_SAMPLES, VALIDATION_SAMPLE_CHARS = 5, 200
-SCHEMA_SAMPLES, SCHEMA_SAMPLE_CHARS = 10, 300
-DEDUP_PREFIX = 200
-MARKDOWN_CELL_CHARS = 120
+VALIDATION_SAMPLES = 5
+SCHEMA_SAMPLES = 10
 PREVIEW_ITEMS = 5
 DEFAULT_MAX_URLS = 25
 DEFAULT_DEPTH = 1

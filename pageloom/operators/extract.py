@@ -12,8 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.constants import (
-    MAX_CHUNK_ATTEMPTS, NO_MATCH_REASON, PROMPT_CHUNK_CHARS, SCHEMA_SAMPLES, SCHEMA_SAMPLE_CHARS,
-    VALIDATION_SAMPLES, VALIDATION_SAMPLE_CHARS,
+    NO_MATCH_REASON, SCHEMA_SAMPLES, VALIDATION_SAMPLES,
 )
 from pageloom.functions.replies import decode_response, reply_bool, reply_string
 from pageloom.functions.text import let, nth
@@ -51,15 +50,15 @@ def answer_prompts(prompts: DataFrame, answer: Callable[[pd.Series], pd.Series])
 
 
 def selector_prompts(chunks: DataFrame, targets: DataFrame,
-                     max_attempts: int = MAX_CHUNK_ATTEMPTS) -> DataFrame:
+                     max_attempts: int | None = None) -> DataFrame:
     """One discovery prompt per chunk: page_id, attempt, prompt, prompt_id.
 
     ``chunks(page_id, chunk_no, html)``, ``targets(page_id, content_target)``; pages without a target
-    are text pages and get none.
+    are text pages and get none. Whole chunks are asked about, all of them unless ``max_attempts`` is given.
     """
-    asked = chunks.where(F.col("chunk_no") <= max_attempts).select(
-        "page_id", F.col("chunk_no").alias("attempt"),
-        F.substring("html", 1, PROMPT_CHUNK_CHARS).alias("snippet"))
+    if max_attempts is not None:
+        chunks = chunks.where(F.col("chunk_no") <= max_attempts)
+    asked = chunks.select("page_id", F.col("chunk_no").alias("attempt"), F.col("html").alias("snippet"))
     wanted = targets.where(F.col("content_target") != "").select("page_id", "content_target")
     prompt = F.concat(F.lit(SELECTOR_HEAD), "content_target", F.lit("\nHTML:\n"), "snippet")
     return _with_id(asked.join(wanted, "page_id").select("page_id", "attempt", prompt.alias("prompt")))
@@ -108,10 +107,10 @@ def mine_selectors(parsed: DataFrame, k: int = 20) -> DataFrame:
         .drop("_pages", "_elements")
 
 
-def _samples(items: DataFrame, keys: list[str], k: int, chars: int, line: Column) -> DataFrame:
+def _samples(items: DataFrame, keys: list[str], k: int, line: Column) -> DataFrame:
     """Up to ``k`` sampled items per key as one block of lines."""
     sampled = sample_items(items, k, keys=tuple(keys)).select(
-        *keys, "sample_no", F.substring("item", 1, chars).alias("item"))
+        *keys, "sample_no", "item")
     lines = F.array_sort(F.collect_list(F.struct("sample_no", line.alias("line"))))
     return sampled.groupBy(*keys).agg(
         F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("samples"),
@@ -128,7 +127,7 @@ def validation_prompts(candidates: DataFrame, pages: DataFrame, targets: DataFra
         candidate_selector(F.col("selector"), F.col("xpath"))))).alias("selector"))
     items = apply_selectors(pages.select("page_id", "html"), tried)
     line = F.format_string("  %d. %s", "sample_no", "item")
-    samples = _samples(items, ["page_id", "selector"], VALIDATION_SAMPLES, VALIDATION_SAMPLE_CHARS, line)
+    samples = _samples(items, ["page_id", "selector"], VALIDATION_SAMPLES, line)
     prompt = F.concat(F.lit(VALIDATION_HEAD), "content_target", F.lit("\nSelector: "), "selector",
                       F.lit("\nSamples:\n"), "samples")
     joined = tried.join(targets.select("page_id", "content_target"), "page_id") \
@@ -189,7 +188,7 @@ def lookup_selector(urls: DataFrame, cache: DataFrame) -> DataFrame:
 
 def schema_prompts(items: DataFrame, targets: DataFrame, key: str = "page_id") -> DataFrame:
     """A prompt naming the fields of up to ten sampled items per key."""
-    samples = _samples(items, [key], SCHEMA_SAMPLES, SCHEMA_SAMPLE_CHARS, F.concat(F.lit("  - "), "item"))
+    samples = _samples(items, [key], SCHEMA_SAMPLES, F.concat(F.lit("  - "), "item"))
     prompt = F.concat(F.lit(SCHEMA_HEAD), "content_target", F.lit("\nSamples:\n"), "samples")
     return _with_id(samples.join(targets.select(key, "content_target"), key).select(
         key, prompt.alias("prompt")))

@@ -9,14 +9,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.constants import DEDUP_PREFIX, NO_DATA_ITEM
+from pageloom.constants import NO_DATA_ITEM
 from pageloom.functions.items import normalise_map, normalise_values
 from pageloom.functions.text import nth
 
 
-def item_key(item: Column, prefix: int = DEDUP_PREFIX) -> Column:
-    """What makes two items the same: their first characters."""
-    return F.substring(item, 1, prefix)
+def item_key(item: Column) -> Column:
+    """What makes two items the same: a digest of the whole item, 32 bytes however long it is."""
+    return F.unhex(F.sha2(item, 256))
 
 
 def normalise_items(items: DataFrame, fields: Column | Sequence[str]) -> DataFrame:
@@ -59,20 +59,20 @@ def with_placeholder(items: DataFrame, jobs: DataFrame) -> DataFrame:
     return items.withColumn("placeholder", F.lit(False)).unionByName(placeholders, allowMissingColumns=True)
 
 
-def _first_items(items: DataFrame, prefix: int) -> DataFrame:
+def _first_items(items: DataFrame) -> DataFrame:
     order = ["url_seq", "pos"]
     rest = [c for c in items.columns if c not in ("job_id", *order)]
     first = F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("_first")
-    return items.groupBy("job_id", item_key(F.col("item"), prefix).alias("_key")).agg(first)
+    return items.groupBy("job_id", item_key(F.col("item")).alias("_key")).agg(first)
 
 
-def dedup_items(items: DataFrame, prefix: int = DEDUP_PREFIX) -> DataFrame:
+def dedup_items(items: DataFrame) -> DataFrame:
     """The first item of every key of a job, over all its pages.
 
     An aggregate, not a window: repeats are dropped before the shuffle, so an item that makes up a
     third of all rows costs one row per task.
     """
-    return _first_items(items, prefix).select("job_id", "_first.*")
+    return _first_items(items).select("job_id", "_first.*")
 
 
 def dedup_links(links: DataFrame) -> DataFrame:
@@ -82,13 +82,13 @@ def dedup_links(links: DataFrame) -> DataFrame:
         "job_id", "_first.*", "text", "href")
 
 
-def dedup_report(items: DataFrame, prefix: int = DEDUP_PREFIX) -> DataFrame:
+def dedup_report(items: DataFrame) -> DataFrame:
     """Items seen, kept and skipped per page of a job.
 
     First rows per key are counted where they occur; both sides are small aggregates.
     """
     seen = items.groupBy("job_id", "url_seq").agg(F.count(F.lit(1)).alias("items"))
-    firsts = items.groupBy("job_id", item_key(F.col("item"), prefix).alias("_key")).agg(
+    firsts = items.groupBy("job_id", item_key(F.col("item")).alias("_key")).agg(
         F.min("url_seq").alias("url_seq"))
     kept = firsts.groupBy("job_id", "url_seq").agg(F.count(F.lit(1)).alias("kept"))
     return seen.join(kept, ["job_id", "url_seq"], "left").select(
@@ -96,11 +96,11 @@ def dedup_report(items: DataFrame, prefix: int = DEDUP_PREFIX) -> DataFrame:
         (F.col("items") - F.coalesce("kept", F.lit(0))).alias("skipped"))
 
 
-def new_items(items: DataFrame, saved: DataFrame, prefix: int = DEDUP_PREFIX) -> DataFrame:
+def new_items(items: DataFrame, saved: DataFrame) -> DataFrame:
     """Items of this run that an earlier run of the job has not saved, repeats dropped.
 
     Repeats go first, so the anti join sees one row per key on both sides and keeps the
     partitioning of the two aggregates.
     """
-    known = saved.select("job_id", item_key(F.col("item"), prefix).alias("_key")).distinct()
-    return _first_items(items, prefix).join(known, ["job_id", "_key"], "left_anti").select("job_id", "_first.*")
+    known = saved.select("job_id", item_key(F.col("item")).alias("_key")).distinct()
+    return _first_items(items).join(known, ["job_id", "_key"], "left_anti").select("job_id", "_first.*")

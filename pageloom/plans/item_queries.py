@@ -63,8 +63,8 @@ def _decode(spark, sf):
 _DOC_CHUNKS = "select doc_id as page_id, (i // 6000 + 1) as chunk_no, substr(text, i + 1, 6000) as html from (select doc_id, text, unnest(range(0, length(text)::bigint, 6000)) as i from documents)"
 
 
-@query("selector_prompts", f"""select page_id, chunk_no::bigint as attempt, sha256(concat('{_quoted(extract.SELECTOR_HEAD)}', source, chr(10), 'HTML:', chr(10), substr(html, 1, 10000))) as prompt_id
- from ({_DOC_CHUNKS}) c join (select doc_id, source from documents where source <> '') d on d.doc_id = c.page_id where chunk_no <= 50""")
+@query("selector_prompts", f"""select page_id, chunk_no::bigint as attempt, sha256(concat('{_quoted(extract.SELECTOR_HEAD)}', source, chr(10), 'HTML:', chr(10), html)) as prompt_id
+ from ({_DOC_CHUNKS}) c join (select doc_id, source from documents where source <> '') d on d.doc_id = c.page_id""")
 def _selector_prompts(spark, sf):
     docs = table(spark, sf, "documents")
     cut = clean.chunk_text(docs.select(F.col("doc_id").alias("page_id"), "text")).withColumnRenamed("chunk", "html")
@@ -95,7 +95,7 @@ _SELECTED = f"""x as (select page_id, 'nav a' as selector, pos, concat('name: ',
 
 @query("validation_prompts", f"""with {_CHOSEN}, {_SELECTED},
  r as (select *, row_number() over (partition by page_id, selector order by md5(concat('0:', item)), pos) as n from x where item <> ''),
- s as (select page_id, selector, string_agg(concat('  ', n, '. ', substr(item, 1, 200)), chr(10) order by n) as samples from r where n <= 5 group by page_id, selector)
+ s as (select page_id, selector, string_agg(concat('  ', n, '. ', item), chr(10) order by n) as samples from r where n <= 5 group by page_id, selector)
 select t.page_id, t.attempt::bigint as attempt, t.selector, sha256(concat('{_quoted(extract.VALIDATION_HEAD)}', 'names', chr(10), 'Selector: ', t.selector, chr(10), 'Samples:', chr(10), nullif(s.samples, ''))) as prompt_id,
  case when s.samples is null then false end as valid, case when s.samples is null then 'Selector returned 0 elements.' end as reason
 from t left join s on s.page_id = t.page_id and s.selector = t.selector""".replace(
@@ -145,7 +145,7 @@ def _coverage(spark, sf):
 
 
 @query("schema_prompts", f"""with r as (select doc_id, lang, text, row_number() over (partition by lang order by md5(concat('0:', text)), doc_id) as n from documents),
- s as (select lang, string_agg(concat('  - ', substr(text, 1, 300)), chr(10) order by n) as samples from r where n <= 10 group by lang)
+ s as (select lang, string_agg(concat('  - ', text), chr(10) order by n) as samples from r where n <= 10 group by lang)
 select lang, sha256(concat('{_quoted(extract.SCHEMA_HEAD)}', lang, chr(10), 'Samples:', chr(10), samples)) as prompt_id from s""")
 def _schema_prompts(spark, sf):
     docs = table(spark, sf, "documents").select("lang", F.col("doc_id").alias("pos"), F.col("text").alias("item"))
@@ -281,7 +281,7 @@ def _placeholder(spark, sf):
     return items.with_placeholder(_items(spark, sf), run_sql(spark, sf, JOB_METADATA, "region")).drop("pos")
 
 
-_FIRST = f"select * exclude (n) from (select *, row_number() over (partition by job_id, substr(item, 1, 200) order by url_seq, pos) as n from (({TEXT_ITEMS}) union all ({ITEMS}))) where n = 1"
+_FIRST = f"select * exclude (n) from (select *, row_number() over (partition by job_id, item order by url_seq, pos) as n from (({TEXT_ITEMS}) union all ({ITEMS}))) where n = 1"
 
 
 def _all_items(spark, sf):
@@ -313,7 +313,7 @@ _SAVED = "select d.lang as job_id, d.text as item from documents d join labels l
 
 
 @query("new_items", f"""select job_id, url_seq::bigint as url_seq, md5(item) as digest from ({_FIRST}) f where not exists (
- select 1 from ({_SAVED}) s where s.job_id = f.job_id and substr(s.item, 1, 200) = substr(f.item, 1, 200))""")
+ select 1 from ({_SAVED}) s where s.job_id = f.job_id and s.item = f.item)""")
 def _new(spark, sf):
     saved = run_sql(spark, sf, _SAVED, "documents", "labels")
     return items.new_items(_all_items(spark, sf), saved).select("job_id", "url_seq", F.md5("item").alias("digest"))
@@ -376,7 +376,7 @@ def _csv(spark, sf):
     return sinks.to_csv_lines(records, ["name", "url"], meta)
 
 
-_CELL = "substr(replace({}, '|', '\\|'), 1, 120)"
+_CELL = "replace({}, '|', '\\|')"
 
 
 @query("to_markdown", f"""with {_RECORDS} select job_id, (n + 3)::bigint as line_no, concat('| ', {_CELL.format('name')}, ' | ', {_CELL.format('url')}, ' |') as line from rec
@@ -438,12 +438,12 @@ def _stream_links(spark, sf):
     return _drained(spark, streams.stream_links(source), "stream-links")
 
 
-@query("stream_dedup", "select distinct lang as job_id, md5(substr(text, 1, 200)) as digest from documents")
+@query("stream_dedup", "select distinct lang as job_id, md5(text) as digest from documents")
 def _stream_dedup(spark, sf):
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())])
     docs = streams.stream_pages(spark, sf, schema, file_glob="documents.parquet")
     kept = streams.stream_dedup(docs.select(F.col("lang").alias("job_id"), F.col("text").alias("item")))
-    return _drained(spark, kept, "stream-dedup").select("job_id", F.md5(F.substring("item", 1, 200)).alias("digest"))
+    return _drained(spark, kept, "stream-dedup").select("job_id", F.md5("item").alias("digest"))
 
 
 @query("stream_job_state", """select user_id as job_id, event_type as url, arg_max(case when value > 50 then 'failed' else 'processed' end, event_id) as state

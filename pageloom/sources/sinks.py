@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.constants import MARKDOWN_CELL_CHARS, NO_DATA_MARKDOWN
+from pageloom.constants import NO_DATA_MARKDOWN
 from pageloom.functions.urls import url_slug
 from pageloom.operators.clean import clean_pages, render_html
 from pageloom.operators.html import parse_pages
@@ -69,9 +69,8 @@ def to_csv_lines(records: DataFrame, fields: Sequence[str], meta: DataFrame,
 
 
 def markdown_row(fields: Sequence[str]) -> Column:
-    """One table row: bars escaped, then cells cut to 120 characters."""
-    cells = [F.substring(F.replace(F.coalesce(f, F.lit("")), F.lit("|"), F.lit("\\|")), 1, MARKDOWN_CELL_CHARS)
-             for f in fields]
+    """One table row: bars escaped, cells whole."""
+    cells = [F.replace(F.coalesce(f, F.lit("")), F.lit("|"), F.lit("\\|")) for f in fields]
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
 
 

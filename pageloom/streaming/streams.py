@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from pageloom.constants import DEDUP_PREFIX
 from pageloom.operators.html import parse_pages
 from pageloom.operators.items import item_key
 from pageloom.operators.links import extract_links
@@ -39,14 +38,13 @@ def stream_items(pages: DataFrame, selector: str) -> DataFrame:
     return element_records(parse_pages(pages), selector)
 
 
-def stream_dedup(items: DataFrame, event_time: str | None = None, delay: str = "1 day",
-                 prefix: int = DEDUP_PREFIX) -> DataFrame:
+def stream_dedup(items: DataFrame, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
     """Drop items whose key the job has shown before.
 
     State is spread by (job, key), so a large job is not one task. With ``event_time`` keys are
     forgotten ``delay`` after they were last needed; without it state grows with distinct keys.
     """
-    keyed = items.withColumn("_key", item_key(F.col("item"), prefix))
+    keyed = items.withColumn("_key", item_key(F.col("item")))
     if event_time:
         return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["job_id", "_key"]).drop("_key")
     return keyed.dropDuplicates(["job_id", "_key"]).drop("_key")

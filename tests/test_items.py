@@ -71,11 +71,11 @@ def rows_of(spark, *texts, job="j"):
 
 def test_dedup_and_saved(spark):
     found = rows_of(spark, "a" * 200 + "1", "b", "a" * 200 + "2", "b", "c")
-    assert sorted((r.url_seq, r.item[-1]) for r in items.dedup_items(found).collect()) == [(0, "1"), (1, "b"), (4, "c")]
+    assert sorted((r.url_seq, r.item[-1]) for r in items.dedup_items(found).collect()) == [(0, "1"), (1, "b"), (2, "2"), (4, "c")]
     once = items.dedup_items(found)
     assert sorted(items.dedup_items(once).collect()) == sorted(once.collect())
     saved = rows_of(spark, "b")
-    assert sorted(r.url_seq for r in items.new_items(found, saved).collect()) == [0, 4]
+    assert sorted(r.url_seq for r in items.new_items(found, saved).collect()) == [0, 2, 4]
     report = {r.url_seq: (r["items"], r.kept, r.skipped) for r in items.dedup_report(found).collect()}
     assert report[0] == (1, 1, 0) and report[3] == (1, 0, 1)
 
