@@ -81,7 +81,6 @@ SCHEMA_SAMPLES = 10
 PREVIEW_ITEMS = 5
 DEFAULT_MAX_URLS = 25
 DEFAULT_DEPTH = 1
-DEFAULT_MAX_PAGES = 20
 NO_DATA_ITEM = "No data extracted."
 NO_DATA_MARKDOWN = "_No data extracted._"
 NO_MATCH_REASON = "Selector returned 0 elements."

@@ -81,5 +81,7 @@ def resolve_href(base: str, href: str) -> Column:
 
 
 def url_slug(url: Column) -> Column:
-    """File key of a page: non-word characters to ``_``, 50 characters, outer ``_`` removed."""
-    return F.btrim(F.substring(F.regexp_replace(url, r"(?U)[^\w]", "_"), 1, 50), F.lit("_"))
+    """File key of a page: up to 50 readable characters (non-word ones as ``_``, none outside) and a
+    digest of the whole URL, so long URLs with the same start keep different keys."""
+    readable = F.btrim(F.substring(F.regexp_replace(url, r"(?U)[^\w]", "_"), 1, 50), F.lit("_"))
+    return F.concat(readable, F.lit("_"), F.substring(F.sha2(url, 256), 1, 16))

@@ -15,12 +15,13 @@ from pageloom.constants import (
     NO_MATCH_REASON, SCHEMA_SAMPLES, VALIDATION_SAMPLES,
 )
 from pageloom.functions.replies import decode_response, reply_bool, reply_string
+from pageloom.functions.sqltext import lit
 from pageloom.functions.text import let, nth
 from pageloom.functions.urls import authority
-from pageloom.operators.clean import main_text_sql
+from pageloom.operators.clean import clean_sql, main_text_sql
 from pageloom.operators.html import classes, is_element, parse_pages
 from pageloom.operators.ranking import first_k_per_key
-from pageloom.operators.select import XPATH_PREFIX, apply_selectors, items_sql, sample_items
+from pageloom.operators.select import XPATH_PREFIX, items_sql, sample_items, selector_items
 
 SELECTOR_HEAD = """Name one CSS selector for the element that repeats once per wanted item and holds
 all wanted fields. Prefer tags, data attributes and structure over generated class names; give an
@@ -120,14 +121,16 @@ def _samples(items: DataFrame, keys: list[str], k: int, line: Column) -> DataFra
 def validation_prompts(candidates: DataFrame, pages: DataFrame, targets: DataFrame) -> DataFrame:
     """Per candidate the matches sampled into a prompt; without matches a verdict and no prompt.
 
-    Result: page_id, attempt, selector, prompt, prompt_id, valid, reason.
+    Result: page_id, attempt, selector, prompt, prompt_id, valid, reason. Samples are those of
+    ``sample_items``, taken inside the page's row, where all matches of a selector are.
     """
     # exploding drops nulls without a filter, which would be pushed down and decode replies again
     tried = candidates.select("page_id", "attempt", F.explode(F.array_compact(F.array(
         candidate_selector(F.col("selector"), F.col("xpath"))))).alias("selector"))
-    items = apply_selectors(pages.select("page_id", "html"), tried)
-    line = F.format_string("  %d. %s", "sample_no", "item")
-    samples = _samples(items, ["page_id", "selector"], VALIDATION_SAMPLES, line)
+    ranked = "array_sort(transform(items, (x, i) -> struct(md5(concat('0:', x)) as h, i as i, x as item)))"
+    lines = f"transform(slice({ranked}, 1, {VALIDATION_SAMPLES}), (x, i) -> format_string('  %d. %s', i + 1, x.item))"
+    samples = selector_items(pages.select("page_id", "html"), tried).select("page_id", "selector", F.expr(
+        f"if(size(items) > 0, array_join({lines}, {lit(chr(10))}), null)").alias("samples"))
     prompt = F.concat(F.lit(VALIDATION_HEAD), "content_target", F.lit("\nSelector: "), "selector",
                       F.lit("\nSamples:\n"), "samples")
     joined = tried.join(targets.select("page_id", "content_target"), "page_id") \
@@ -157,15 +160,15 @@ def field_coverage(records: DataFrame, field: str = "field", value: str = "value
     return shares.withColumn("coverage", F.col("present") / F.col("items")).join(valid, "job_id")
 
 
-def choose_selector(pages: DataFrame, candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Per page the first attempt with a valid verdict; none means text mode (null selector)."""
+def choose_selector(pages: DataFrame, tried: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Per page the first attempt with matches and a valid verdict; none means text mode (null
+    selector). ``tried`` is the result of ``validation_prompts``: an attempt without matches is out
+    whatever a verdict says of it."""
     good = verdicts.where("valid").select("page_id", "attempt")
-    picks = candidates.select(
-        "page_id", "attempt", candidate_selector(F.col("selector"), F.col("xpath")).alias("selector")
-    ).join(good, ["page_id", "attempt"], "left_semi")
-    place = F.when(F.col("selector").isNotNull(), F.col("attempt"))
+    picks = tried.where(F.coalesce("valid", F.lit(True))).select("page_id", "attempt", "selector") \
+        .join(good, ["page_id", "attempt"], "left_semi")
     best = picks.groupBy("page_id").agg(
-        F.min_by("selector", place).alias("selector"), F.min(place).alias("attempt"))
+        F.min_by("selector", "attempt").alias("selector"), F.min("attempt").alias("attempt"))
     return pages.select("page_id").join(best, "page_id", "left")
 
 
@@ -220,8 +223,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """X11: result per page: items, selector_used, schema_fields, cleaned_text, method.
 
     ``pages`` comes from ``with_choices``; without ``selector`` and ``fields`` columns all pages are
-    text pages. A page without selector or matches is a text page: its text is its only item. Other
-    columns are kept, and everything is built inside the page's row.
+    text pages. A page without selector or matches is a text page: its text is its only item. Selectors
+    are tried on the cleaned page. Other columns are kept, and everything is built inside the page's row.
     """
     for name, kind in (("selector", "string"), ("fields", "array<string>")):
         if name not in pages.columns:
@@ -230,7 +233,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     kept = [c for c in parsed.columns if c not in ("nodes", "selector", "fields")]
     found = parsed.select(
         *kept, "selector", "fields", F.expr(main_text_sql("nodes")).alias("cleaned_text"),
-        F.expr(f"if(selector is not null, {items_sql('nodes', 'selector')}, null)").alias("found"))
+        F.expr(f"if(selector is not null, {items_sql(clean_sql('nodes'), 'selector')}, null)").alias("found"))
     by_selector = F.coalesce(F.size("found") > 0, F.lit(False))
     return found.select(
         *kept, F.when(by_selector, F.col("found")).otherwise(F.array("cleaned_text")).alias("items"),

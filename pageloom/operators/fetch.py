@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.constants import (
-    BLOCK_CODES, CONSENT_SELECTORS, DEFAULT_MAX_PAGES, LAYERS, NEXT_PAGE_SELECTORS,
+    BLOCK_CODES, CONSENT_SELECTORS, LAYERS, NEXT_PAGE_SELECTORS,
 )
 from pageloom.functions.fetch import blocked_code, body_flags
 from pageloom.functions.sqltext import bind, lits
@@ -49,7 +49,7 @@ def resolve_layer(attempts: DataFrame, layers: Sequence[str] = LAYERS,
     usable = attempts.where(F.col("layer").isin(*layers))
     if browser_only is not None:
         usable = usable.where(~(browser_only & (F.col("layer") == layers[0])))
-    order = F.when(F.col("accepted"), F.col("rnk")).otherwise(1_000_000 - F.col("rnk"))
+    order = F.struct(~F.col("accepted"), F.when(F.col("accepted"), F.col("rnk")).otherwise(-F.col("rnk")))
     row = F.struct("layer", "rnk", "status_code", "error", "has_html", "blocked", "needs_js", "accepted")
     return (
         attempt_flags(usable, layers).groupBy("url")
@@ -105,14 +105,16 @@ def consent_overlays(parsed: DataFrame, key: str = "page_id") -> DataFrame:
         key, F.get(names, F.col("hit.priority")).alias("selector"))
 
 
-def combine_pages(snapshots: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
+def combine_pages(snapshots: DataFrame, max_pages: int | None = None) -> DataFrame:
     """snapshots(url, page_no from 1, html) to one document per URL: url, pages, html.
 
-    Bodies in page order, one per line, inside one document; a single page stays as it is. Pages
-    after ``max_pages`` are not part of the walk, which bounds every group. Bodies are cut out before
-    the one shuffle; only first pages also carry their source.
+    Bodies in page order, one per line, inside one document; a single page stays as it is. All
+    pages are taken unless the caller's walk ends at ``max_pages``. Bodies are cut out before the one
+    shuffle; only first pages also carry their source.
     """
-    walked = snapshots.where(F.col("page_no") <= max_pages).select(
+    if max_pages is not None:
+        snapshots = snapshots.where(F.col("page_no") <= max_pages)
+    walked = snapshots.select(
         "url", "page_no", "html", F.when(F.col("page_no") == 1, F.col("html")).alias("source"))
     bodies = parse_pages(walked).select(
         "url", "page_no", "source",

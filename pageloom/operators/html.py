@@ -11,6 +11,7 @@ Catalyst expression over that array: no shuffle, and no regrouping of nodes into
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -90,6 +91,7 @@ class _Nodes:
         # ancestor lists of the open elements' children; one list is shared by all siblings
         self.paths: list[list[int]] = [[]]
         self.seen: set[str] = set()
+        self.opened: Counter[str] = Counter()  # open elements by tag
 
     def _add(self, tag: str, attrs: list[tuple[str, str]] | None, text: str | None) -> None:
         self.last.append(len(self.last))
@@ -103,13 +105,16 @@ class _Nodes:
         pre, path = len(self.last), self.paths[-1]
         self._add(tag, attrs, None)
         self.open.append(pre)
+        self.opened[tag] += 1
         self.paths.append([*path, pre] if len(path) < MAX_DEPTH else path)
 
     def _close_to(self, depth: int) -> None:
         """Close every open element at or above ``depth`` of the stack."""
         end = len(self.last) - 1
         while len(self.open) > depth:
-            self.last[self.open.pop()] = end
+            pre = self.open.pop()
+            self.last[pre] = end
+            self.opened[self.tag[pre]] -= 1
             self.paths.pop()
 
     def _in_body(self, tag: str) -> None:
@@ -128,7 +133,7 @@ class _Nodes:
 
     def _close_implied(self, tag: str) -> None:
         closes = _CLOSES.get(tag)
-        if not closes:
+        if not closes or not any(self.opened[name] for name in closes):
             return
         barriers = _BARRIERS.get(tag, _SCOPE)
         cut = None
@@ -195,6 +200,8 @@ class _Nodes:
     def _end(self, tag: str) -> None:
         if tag in ("body", "html"):
             return  # closed at the end of the input, so trailing content stays in the body
+        if not self.opened[tag]:
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             name = self.tag[self.open[depth]]
             if name == tag:

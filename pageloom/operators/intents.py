@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.constants import (
-    DEFAULT_DEPTH, DEFAULT_MAX_PAGES, DEFAULT_MAX_URLS, NO_URL_ERROR,
+    DEFAULT_DEPTH, DEFAULT_MAX_URLS, NO_URL_ERROR,
 )
 from pageloom.functions import requests as rules
 from pageloom.functions.replies import decode_response, reply_bool, reply_int, reply_string
@@ -134,7 +134,7 @@ def apply_overrides(intents: DataFrame, overrides: DataFrame) -> DataFrame:
     """Intents of requests with the caller's settings on top.
 
     ``overrides(request_id, max_urls, depth, target, format, output, paginate, max_pages)``, every
-    value nullable. Adds the effective ``format``, ``output``, ``paginate`` and ``max_pages``.
+    value nullable. Adds the effective ``format``, ``output``, ``paginate`` and ``max_pages`` (null: all).
     """
     o = overrides.select("request_id", F.struct(
         "max_urls", "depth", "target", "format", "output", "paginate", "max_pages").alias("o"))
@@ -154,8 +154,7 @@ def apply_overrides(intents: DataFrame, overrides: DataFrame) -> DataFrame:
         effective.alias("format"),
         F.coalesce("o.output", "output_file").alias("output"),
         (F.coalesce("o.paginate", F.lit(False)) | F.coalesce("paginate", F.lit(False))).alias("paginate"),
-        F.coalesce(F.nullif(F.col("o.max_pages"), F.lit(0)), F.col("max_pages"),
-                   F.lit(DEFAULT_MAX_PAGES)).alias("max_pages"))
+        F.coalesce(F.nullif(F.col("o.max_pages"), F.lit(0)), F.col("max_pages")).alias("max_pages"))
 
 
 def plan_report(intents: DataFrame) -> DataFrame:

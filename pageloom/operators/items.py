@@ -50,12 +50,13 @@ def result_metadata(items: DataFrame, jobs: DataFrame, run_at: str) -> DataFrame
 
 
 def with_placeholder(items: DataFrame, jobs: DataFrame) -> DataFrame:
-    """A job without items gets one placeholder item.
+    """A job without items gets one placeholder item, at page 0 and position 0.
 
     Only job ids are joined; the items themselves are passed on where they are.
     """
     missing = jobs.select("job_id").distinct().join(items.select("job_id").distinct(), "job_id", "left_anti")
-    placeholders = missing.select("job_id", F.lit(NO_DATA_ITEM).alias("item"), F.lit(True).alias("placeholder"))
+    place = [F.lit(0).cast(kind).alias(name) for name, kind in items.dtypes if name in ("url_seq", "pos")]
+    placeholders = missing.select("job_id", *place, F.lit(NO_DATA_ITEM).alias("item"), F.lit(True).alias("placeholder"))
     return items.withColumn("placeholder", F.lit(False)).unionByName(placeholders, allowMissingColumns=True)
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pageloom.session import use_checkpoint_dir
+
 
 def first_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: Column,
                     salts: int = 64, rank: str = "rank") -> DataFrame:
@@ -26,20 +29,28 @@ def first_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k:
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], seq: str, ties: Sequence[str] = (),
-                block: int = 4096, name: str = "row_no") -> DataFrame:
+                name: str = "row_no") -> DataFrame:
     """Number the rows of every key from 1 by (seq, ties), also for keys holding billions of rows.
 
-    ``seq`` is a whole number. Rows are numbered inside blocks of ``block`` consecutive ``seq``
-    values; block counts, one row per block, are summed up to give each block its offset.
+    Rows are dealt by range of (keys, seq, ties), so a hot key is spread over tasks whatever its
+    values are. A row's number is its place among the key's rows of its part plus the key's rows in
+    earlier parts; the window is over one row per key and part. Places depend on how rows were dealt,
+    so they are stored once (checkpoint) before anything is counted. Null keys and a null ``seq``
+    are numbered like other values, nulls first.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(seq) / block))
-    inside = Window.partitionBy(*keys, "_block").orderBy(seq, *ties)
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    use_checkpoint_dir(df.sparkSession)
+    order = [*keys, seq, *ties]
+    placed = (
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_at", F.monotonically_increasing_id()).checkpoint())
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_of_part"),
+                (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys],
+                  F.col("_part") == F.col("_of_part"))
     return (
-        blocked.withColumn("_at", F.row_number().over(inside))
-        .join(offsets, [*keys, "_block"])
-        .withColumn(name, F.col("_offset") + F.col("_at"))
-        .drop("_block", "_at", "_offset"))
+        placed.join(shifts, same).withColumn(name, F.col("_at") + F.col("_shift") + 1)
+        .drop("_part", "_at", "_of_part", "_shift", *[f"_of_{k}" for k in keys]))

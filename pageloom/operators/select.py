@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pageloom.functions.sqltext import bind, lit, lits, strip_sql
-from pageloom.operators.clean import pieces_sql, subtree_sql, text_sql
+from pageloom.operators.clean import clean_sql, pieces_sql, subtree_sql, text_sql
 from pageloom.operators.html import RAW, TEXT, parse_pages
 
 _BRACKET = r"\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\]"
@@ -158,23 +158,34 @@ def element_records(parsed: DataFrame, selector: str, key: str = "page_id") -> D
     return parsed.select(key, F.expr(f"posexplode({items})").alias("pos", "item"))
 
 
-def apply_selectors(pages: DataFrame, selectors: DataFrame, on: str = "page_id",
-                    html: str = "html") -> DataFrame:
-    """Items of every page under its own selectors; ``selectors(on, selector)`` may hold several
-    per key.
+def selector_items(pages: DataFrame, selectors: DataFrame, on: str = "page_id", html: str = "html",
+                   cleaned: bool = True) -> DataFrame:
+    """All items of a page under each of its selectors, as one row per page and selector: the other
+    columns of ``pages``, selector, items (empty when nothing matches).
 
-    The selectors of a key are joined as one array before parsing: a join that has to shuffle moves
-    the HTML, not the larger node arrays, and each page is parsed once whatever the number of
-    selectors. Small selector tables are broadcast by the planner, which checks their size.
+    Selectors are tried on the cleaned page (see ``clean_pages``), so menus and footers never match;
+    ``cleaned=False`` tries them on the page as it is. The selectors of a key are joined as one array
+    before parsing: a join that has to shuffle moves the HTML, not the larger node arrays, and each
+    page is parsed and cleaned once whatever the number of selectors. Small selector tables are
+    broadcast by the planner, which checks their size.
     """
     grouped = selectors.groupBy(on).agg(F.collect_set("selector").alias("_selectors"))
     parsed = parse_pages(pages.join(grouped, on), html)
     key = [c for c in parsed.columns if c not in ("nodes", "_selectors")]
-    found = (f"flatten(transform(_selectors, want -> transform({items_sql('nodes', 'want')}, "
-             "(item, i) -> struct(want as selector, i as pos, item as item))))")
+    found = f"transform(_selectors, want -> struct(want as selector, {items_sql('tried', 'want')} as items))"
+    found = bind(clean_sql("nodes") if cleaned else "nodes", "tried", found)
     return parsed.select(*key, F.expr(f"inline({found})"))
 
 
+def apply_selectors(pages: DataFrame, selectors: DataFrame, on: str = "page_id", html: str = "html",
+                    cleaned: bool = True) -> DataFrame:
+    """Items of every page under its own selectors; ``selectors(on, selector)`` may hold several
+    per key. One row per item: the other columns of ``pages``, selector, pos, item."""
+    found = selector_items(pages, selectors, on, html, cleaned)
+    key = [c for c in found.columns if c != "items"]
+    return found.select(*key, F.posexplode("items").alias("pos", "item"))
+
+
 def sample_items(items: DataFrame, k: int, seed: int = 0, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """At most ``k`` items per key, chosen by a seeded hash; all of them when there are fewer.
 

@@ -36,9 +36,14 @@ def _responses(spark, sf):
 _UNFENCED = "trim(regexp_replace(regexp_replace(raw, '^```json\\s*', ''), '\\s*```$', ''), chr(10))"
 _CANDIDATES = f"""c as (select page_id, attempt, json_extract_string(j, '$.selector') as selector, json_extract_string(j, '$.xpath') as xpath, verdict from (
  select page_id, attempt, verdict, {_UNFENCED} as j from ({SELECTOR_RESPONSES})))"""
-_CHOSEN = f"""{_CANDIDATES}, t as (select page_id, attempt, coalesce(selector, concat('xpath:', xpath)) as selector, verdict like '%true%' as valid from c
+# Selectors see cleaned pages: ``nav a`` (menus) and ``table td`` (no tables) match nothing.
+_SELECTED = f"""x as (select page_id, 'article > h1' as selector, 0 as pos, array_to_string({_pieces("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, chr(10)) as item from pages
+ union all select page_id, 'div.ad', 0, array_to_string({_pieces("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")}, chr(10)) from pages
+ union all select page_id, 'article p', pos, array_to_string({_pieces('p')}, chr(10)) from ({_PARAGRAPHS})
+ union all select page_id, 'xpath://p', pos, {_trimmed(_decoded("regexp_replace(p, '<[^>]*>', '', 'g')"))} from ({_PARAGRAPHS}))"""
+_CHOSEN = f"""{_CANDIDATES}, {_SELECTED}, t as (select page_id, attempt, coalesce(selector, concat('xpath:', xpath)) as selector, verdict like '%true%' as valid from c
  where selector is not null or xpath is not null),
- b as (select page_id, arg_min(selector, attempt) as selector, min(attempt) as attempt from t where valid group by page_id)"""
+ b as (select page_id, arg_min(selector, attempt) as selector, min(attempt) as attempt from t where valid and (page_id, selector) in (select page_id, selector from x where item <> '') group by page_id)"""
 
 
 @query("read_responses", f"select page_id, attempt::bigint as attempt, verdict as raw from ({SELECTOR_RESPONSES})")
@@ -86,14 +91,7 @@ def _candidates(spark, sf):
     return extract.selector_candidates(_responses(spark, sf))
 
 
-_SELECTED = f"""x as (select page_id, 'nav a' as selector, pos, concat('name: ', {_trimmed(_decoded('raw_text'))}, chr(10), 'url: ', {_decoded('raw_href')}) as item from ({_LINKS})
- union all select page_id, 'article > h1', 0, array_to_string({_pieces("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, chr(10)) from pages
- union all select page_id, 'div.ad', 0, array_to_string({_pieces("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")}, chr(10)) from pages
- union all select page_id, 'article p', pos, array_to_string({_pieces('p')}, chr(10)) from ({_PARAGRAPHS})
- union all select page_id, 'xpath://p', pos, {_trimmed(_decoded("regexp_replace(p, '<[^>]*>', '', 'g')"))} from ({_PARAGRAPHS}))"""
-
-
-@query("validation_prompts", f"""with {_CHOSEN}, {_SELECTED},
+@query("validation_prompts", f"""with {_CHOSEN},
  r as (select *, row_number() over (partition by page_id, selector order by md5(concat('0:', item)), pos) as n from x where item <> ''),
  s as (select page_id, selector, string_agg(concat('  ', n, '. ', item), chr(10) order by n) as samples from r where n <= 5 group by page_id, selector)
 select t.page_id, t.attempt::bigint as attempt, t.selector, sha256(concat('{_quoted(extract.VALIDATION_HEAD)}', 'names', chr(10), 'Selector: ', t.selector, chr(10), 'Samples:', chr(10), nullif(s.samples, ''))) as prompt_id,
@@ -116,7 +114,9 @@ def _verdicts(spark, sf):
 def _choices(spark, sf):
     replies = _responses(spark, sf)
     verdicts = extract.validation_verdicts(replies.select("page_id", "attempt", F.col("verdict").alias("raw")))
-    return extract.choose_selector(table(spark, sf, "pages"), extract.selector_candidates(replies), verdicts)
+    targets = table(spark, sf, "pages").select("page_id", F.lit("names").alias("content_target"))
+    tried = extract.validation_prompts(extract.selector_candidates(replies), pages(spark, sf), targets)
+    return extract.choose_selector(table(spark, sf, "pages"), tried, verdicts)
 
 
 @query("choose_selector", f"with {_CHOSEN} select p.page_id, b.selector, b.attempt::bigint as attempt from pages p left join b on b.page_id = p.page_id")
@@ -163,7 +163,7 @@ def _infer(spark, sf):
     return found.select("page_id", F.array_join("fields", ",").alias("fields"))
 
 
-@query("extract", f"""with {_CHOSEN}, {_SELECTED}, m as ({MAIN_TEXT_SQL}),
+@query("extract", f"""with {_CHOSEN}, m as ({MAIN_TEXT_SQL}),
  i as (select b.page_id, count(*) as n, string_agg(x.item, chr(1) order by x.pos) as items from b join x on x.page_id = b.page_id and x.selector = b.selector and x.item <> '' group by b.page_id),
  e as (select m.page_id, m.text, b.selector, i.n, i.items, (i.n is not null and m.page_id % 4 <> 0) as sel from m left join b on b.page_id = m.page_id left join i on i.page_id = m.page_id)
 select page_id, case when sel then selector end as selector_used, case when sel then 'llm_selector' else 'text_only' end as method,
@@ -276,7 +276,7 @@ def _metadata(spark, sf):
 
 
 @query("with_placeholder", f"""select job_id, url_seq::bigint as url_seq, item, false as placeholder from ({ITEMS})
- union all select job_id, null, 'No data extracted.', true from ({JOB_METADATA}) where job_id in ('empty', 'idle')""")
+ union all select job_id, 0, 'No data extracted.', true from ({JOB_METADATA}) where job_id in ('empty', 'idle')""")
 def _placeholder(spark, sf):
     return items.with_placeholder(_items(spark, sf), run_sql(spark, sf, JOB_METADATA, "region")).drop("pos")
 
@@ -337,7 +337,8 @@ def _two_fields(spark, sf):
     """Items of the jobs with fields name and url, the texts as one more job, and their metadata."""
     found = _items(spark, sf).where(F.col("job_id") != "parts").unionByName(_documents(spark, sf))
     meta = items.result_metadata(found, run_sql(spark, sf, _TWO_JOBS, "region"), RUN_AT)
-    return found, items.records_wide(found, ["name", "url"]), meta
+    shown = items.with_placeholder(found, meta).drop("placeholder")
+    return shown, items.records_wide(found, ["name", "url"]), meta
 
 
 _TWO_JOBS = JOB_METADATA.replace("'parts'", "'texts'")
@@ -390,7 +391,8 @@ def _markdown(spark, sf):
 
 _TEXT_LINES = f"""with {_RECORDS} select r.job_id, (n + 3)::bigint as line_no, case when m.method = 'llm_selector' then concat(n, '. ', item) else item end as line from rec r join meta m on m.job_id = r.job_id
  union all select job_id, 0, concat('# Source: ', url) from meta union all select job_id, 1, concat('# Extracted: ', timestamp) from meta
- union all select job_id, 2, concat('# Items: ', item_count, '  Method: ', method) from meta union all select job_id, 3, '' from meta"""
+ union all select job_id, 2, concat('# Items: ', item_count, '  Method: ', method) from meta union all select job_id, 3, '' from meta
+ union all select job_id, 4, 'No data extracted.' from meta where item_count = 0"""
 
 
 @query("to_text", _TEXT_LINES)
@@ -405,7 +407,7 @@ def _format_result(spark, sf):
     return sinks.format_result(found, records, ["name", "url"], meta, "yaml")
 
 
-@query("snapshot_pages", """select page_id as job_id, concat(page_id, '_', trim(substr(regexp_replace(url, '[^\\p{L}\\p{N}_]', '_', 'g'), 1, 50), '_')) as file_key, length(html)::bigint as raw_chars from pages""")
+@query("snapshot_pages", """select page_id as job_id, concat(page_id, '_', trim(substr(regexp_replace(url, '[^\\p{L}\\p{N}_]', '_', 'g'), 1, 50), '_'), '_', substr(sha256(url), 1, 16)) as file_key, length(html)::bigint as raw_chars from pages""")
 def _snapshot(spark, sf):
     source = pages(spark, sf).select(F.col("page_id").alias("job_id"), "url", "html")
     path = scratch_path(spark, "snapshots")

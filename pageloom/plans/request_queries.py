@@ -206,7 +206,7 @@ select h.request_id, case when o.target <> '' then o.target else h.content_targe
       when h.output_format is not null and coalesce(o.format, 'json') = 'json' then h.output_format
       else coalesce(o.format, 'json') end as format,
  coalesce(o.output, h.output_file) as output, (o.paginate or h.paginate) as paginate,
- coalesce(o.max_pages, h.max_pages, 20)::bigint as max_pages
+ coalesce(o.max_pages, h.max_pages)::bigint as max_pages
 from h join o on o.request_id = h.request_id""")
 def _overrides(spark, sf):
     given = run_sql(spark, sf, OVERRIDES, "pages")

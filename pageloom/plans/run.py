@@ -29,7 +29,7 @@ def visit_order(visits: DataFrame) -> DataFrame:
     capped = visits.where(F.col("rank").isNotNull()).withColumn("url_seq", F.col("rank").cast("bigint"))
     branch = F.col("hop") * F.lit(1 << 32) + F.coalesce(F.get("path", F.lit(0)), F.lit(0))
     free = number_rows(visits.where(F.col("rank").isNull()).withColumn("_branch", branch),
-                       ["job_id"], "_branch", ["path", "url"], block=1, name="url_seq").drop("_branch")
+                       ["job_id"], "_branch", ["path", "url"], name="url_seq").drop("_branch")
     return capped.unionByName(free).select("job_id", "url", "hop", "url_seq")
 
 

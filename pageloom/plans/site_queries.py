@@ -268,13 +268,13 @@ def _chosen_html(spark, sf):
     return fetch.chosen_html(attempts, fetch.resolve_layer(attempts)).select("url", F.md5("html").alias("digest"))
 
 
-# Result pages of one address: one to three per page, some beyond the limit of 20.
+# Result pages of one address: one to three per page, and a far one.
 _SNAPSHOTS = """select url, page_no, concat('<html><head><title>t</title></head><body><p>', cast(page_no as string), ' ', regexp_extract(html, '<h1>([^<]*)</h1>', 1), '</p></body></html>') as html
  from (select url, html, page_id, unnest(list_value(1, 2, 3, 21)) as page_no from pages) t where page_no = 1 or page_no <= page_id % 3 + 1 or page_no = 21"""
 _H1 = "replace(replace(replace(regexp_replace(regexp_extract(html, '<p>(.*)</p>', 1), '&amp;?', '&', 'g'), '&quot;', '\"'), '&', '&amp;'), '', '')"
 
 
-@query("combine_pages", f"""with s as ({_SNAPSHOTS}), w as (select *, count(*) over (partition by url) as n from s where page_no <= 20)
+@query("combine_pages", f"""with s as ({_SNAPSHOTS}), w as (select *, count(*) over (partition by url) as n from s)
 select url, max(n)::bigint as pages, md5(case when max(n) = 1 then max(html) else concat('<html><body>', string_agg(concat('<body><p>', {_H1}, '</p></body>'), chr(10) order by page_no), '</body></html>') end) as digest
 from w group by url""")
 def _combine(spark, sf):

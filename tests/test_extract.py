@@ -27,7 +27,7 @@ def test_pipeline(spark):
     assert "£51.77" in rows[1, 1].prompt and rows[1, 1].valid is None
     answered = asked.where("prompt is not null").select("page_id", "attempt", F.expr(
         "case when page_id = 4 and attempt = 1 then '{\"valid\": false, \"reason\": \"wrong\"}' else '{\"valid\": true, \"reason\": \"ok\"}' end").alias("raw"))
-    choices = extract.choose_selector(pages, found, extract.validation_verdicts(answered))
+    choices = extract.choose_selector(pages, asked, extract.validation_verdicts(answered))
     assert {r.page_id: r.selector for r in choices.collect()} == {1: "p.price_color", 2: None, 3: "article.book", 4: "p", 5: None, 6: None}
     fields = extract.infer_fields(spark.createDataFrame([(3, '{"fields": ["title", "price"]}'), (4, "oops")], "page_id int, raw string"))
     results = {r.page_id: r for r in extract.extract(extract.with_choices(pages, targets, choices, fields)).collect()}
@@ -38,6 +38,19 @@ def test_pipeline(spark):
     assert {r.page_id for r in extract.extract(pages).where("method = 'text_only'").collect()} == {1, 2, 3, 4, 5, 6}
 
 
+def test_selection_on_cleaned_pages(spark):
+    page = '<nav><a href="/n">Nav</a></nav><ul><li><a href="/a">A</a></li></ul><footer><a href="/f">F</a></footer>'
+    pages = spark.createDataFrame([(1, page)], "page_id int, html string")
+    targets = spark.createDataFrame([(1, "links")], "page_id int, content_target string")
+    chosen = spark.createDataFrame([(1, "a")], "page_id int, selector string")
+    assert extract.extract(extract.with_choices(pages, targets, chosen)).first()["items"] == ["name: A\nurl: /a"]
+    # an attempt without matches is out, also when a reply calls it valid
+    found = extract.selector_candidates(replies(spark, [(1, 1, '{"selector": "nav a"}'), (1, 2, '{"selector": "li a"}')]))
+    tried = extract.validation_prompts(found, pages, targets)
+    yes = extract.validation_verdicts(replies(spark, [(1, 1, '{"valid": true}'), (1, 2, '{"valid": true}')]))
+    assert extract.choose_selector(pages, tried, yes).first().selector == "li a"
+
+
 def test_prompts(spark):
     pages = parse_pages(spark.createDataFrame([(1, "<div>x</div>" * 2000), (2, "<p>y")], "page_id int, html string"))
     targets = spark.createDataFrame([(1, "wanted"), (2, "")], "page_id int, content_target string")

@@ -165,3 +165,12 @@ def test_sample(spark):
     a = select.sample_items(items, 5, seed=1)
     assert a.count() == 15 and sorted(a.collect()) == sorted(select.sample_items(items.repartition(7), 5, seed=1).collect())
     assert select.sample_items(items, 5, seed=2).join(a, ["page_id", "pos"]).count() < 15
+
+
+def test_many_open_elements_parse_in_linear_time():
+    import time
+    from pageloom.operators.html import _Nodes
+    began = time.process_time()
+    reader = _Nodes()
+    reader.read("<div>" * 20_000 + "</i>" * 20_000)
+    assert len(reader.tag) == 20_002 and time.process_time() - began < 5

@@ -58,8 +58,13 @@ def test_rank_helpers_equal_plain_windows(spark):
     df = spark.range(5000).selectExpr("if(id % 10 < 7, 'hot', concat('k', id % 10)) as k", "(id * 7919) % 5003 as seq", "id % 3 as tie")
     w = Window.partitionBy("k").orderBy("seq", "tie")
     plain = df.withColumn("n", F.row_number().over(w))
-    numbered = number_rows(df, ["k"], "seq", ["tie"], block=64, name="n")
+    numbered = number_rows(df, ["k"], "seq", ["tie"], name="n")
     assert sorted(numbered.select("k", "seq", "tie", "n").collect()) == sorted(plain.collect())
+    # sparse, constant and null orders and keys
+    odd = df.selectExpr("if(k = 'k8', null, k) as k", "case k when 'hot' then null when 'k7' then 1 else seq * 1000003 end as seq", "seq as tie")
+    by_tie = Window.partitionBy("k").orderBy("seq", "tie")
+    key = lambda r: tuple(-1 if v is None else v for v in (r.n, r.tie))
+    assert sorted(number_rows(odd, ["k"], "seq", ["tie"], name="n").collect(), key=key) == sorted(odd.withColumn("n", F.row_number().over(by_tie)).collect(), key=key)
     caps = F.when(F.col("k") == "hot", 40).otherwise(3)
     kept = first_k_per_key(df, ["k"], ["seq", "tie"], caps, salts=8, rank="n")
     assert sorted(kept.select("k", "seq", "tie", "n").collect()) == sorted(plain.where(F.col("n") <= caps).collect())
@@ -132,6 +137,8 @@ def test_placeholder_and_result(spark):
     found = rows_of(spark, *[f"i{n}" for n in range(8)])
     filled = items.with_placeholder(found, spark.sql(META))
     assert [r.item for r in filled.where("job_id = 'none'").collect()] == ["No data extracted."] and filled.count() == 9
+    lines = sinks.to_text_lines(filled, items.result_metadata(found, spark.sql(META), "2026-01-01"))
+    assert [r.line for r in lines.where("job_id = 'none' and line_no > 3").collect()] == ["No data extracted."]
     cache = spark.createDataFrame([("j", 2, "late"), ("j", 1, "first")], "job_id string, seq int, selector string")
     r = jobs.job_result(found, cache).first()
     assert (r.item_count, r.preview, r.selector, r.method) == (8, "i0\ni1\ni2\ni3\ni4", "first", "llm_selector")

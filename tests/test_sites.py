@@ -82,7 +82,8 @@ def test_combine_and_controls(spark):
     snaps = spark.createDataFrame([("u", 2, "<p>two"), ("u", 1, "<html><body class=x><p>one</p></body></html>"), ("u", 21, "late"), ("v", 1, "<b>only")],
                                   "url string, page_no int, html string")
     got = {r.url: r.html for r in fetch.combine_pages(snaps).collect()}
-    assert got == {"u": '<html><body><body class="x"><p>one</p></body>\n<body><p>two</p></body></body></html>', "v": "<b>only"}
+    assert got == {"u": '<html><body><body class="x"><p>one</p></body>\n<body><p>two</p></body>\n<body>late</body></body></html>', "v": "<b>only"}
+    assert "late" not in {r.url: r.html for r in fetch.combine_pages(snaps, max_pages=20).collect()}["u"]
     pages = parse_pages(spark.createDataFrame([(1, '<a rel="next" href="/2">n</a><a class="next-page" href="/3">m</a>'), (2, "<p>x"),
                                                (3, '<button aria-label="Accept all cookies" id="a">ok</button>')], "page_id int, html string"))
     assert [tuple(r) for r in fetch.next_page_links(pages).collect()] == [(1, 3, "/2")]
