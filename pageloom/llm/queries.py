@@ -58,7 +58,10 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    two = spark.range(2).select(
+        F.lit(-1).alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    extra = two.select(*[F.col(f.name).cast(f.dataType) for f in turns.schema])
     return chat_digest(format_chats(turns.unionByName(extra)))
 
 
