@@ -79,7 +79,7 @@ CHUNK_CHARS = 6000
 VALIDATION_SAMPLES = 5
 SCHEMA_SAMPLES = 10
 PREVIEW_ITEMS = 5
-DEFAULT_MAX_URLS = 25
+NO_CAP = 0  # max_urls of an intent that names no number: all pages in scope
 DEFAULT_DEPTH = 1
 NO_DATA_ITEM = "No data extracted."
 NO_DATA_MARKDOWN = "_No data extracted._"

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pageloom.constants import CHUNK_CHARS
 from pageloom.functions.sqltext import bind, strip_sql
 from pageloom.operators.clean import body_sql, join_marks_sql, marks_sql, subtree_sql
-from pageloom.operators.html import TEXT
+from pageloom.operators.html import RAW, TEXT
 
 # Characters of the markup of every node with its subtree (null for cut-out nodes); a node without
 # children is its own size.
@@ -17,18 +17,16 @@ _SIZES = bind(
     "else aggregate(slice(own, n.pre + 1, n.last - n.pre + 1), 0, (x, y) -> x + y) end)")
 
 
-def _blocks_sql(limit: int, keep_text: bool) -> str:
-    """Children of the body and of every oversized element below it, in document order.
+def _blocks_sql(limit: int) -> str:
+    """Children of the body and of every oversized element below it, loose texts too, in document order.
 
     A parent above the limit implies the same for all its ancestors, so one look at the parent
     decides. ``drill`` marks the elements that are replaced by their own children.
     """
-    kind = "not startswith(n.tag, '#')"
-    if keep_text:
-        kind = f"({kind} or (n.tag = '{TEXT}' and {strip_sql('n.text')} <> ''))"
+    kind = f"(not startswith(n.tag, '#') or (n.tag in ('{TEXT}', '{RAW}') and {strip_sql('n.text')} <> ''))"
     listed = f"{kind} and n.pre > b.pre and n.pre <= b.last and (n.parent = b.pre or get(sizes, n.parent) > {limit})"
     block = (f"struct(n.pre as pre, n.parent as parent, get(sizes, n.pre) as size, "
-             f"not startswith(n.tag, '#') and get(sizes, n.pre) > {limit} as drill)")
+             f"n.last > n.pre and get(sizes, n.pre) > {limit} as drill)")
     body = bind(body_sql("ns"), "found", "struct(coalesce(found.pre, -1) as pre, coalesce(found.last, size(ns)) as last)")
     return bind(_SIZES, "sizes", bind(
         body, "b", f"transform(filter(ns, n -> coalesce({listed}, false)), n -> {block})"))
@@ -45,27 +43,27 @@ def _starts_sql(limit: int) -> str:
             f"(acc, x) -> {step}, acc -> acc.starts)")
 
 
-def chunks_sql(nodes: str, max_chars: int = CHUNK_CHARS, keep_text: bool = False) -> str:
+def chunks_sql(nodes: str, max_chars: int = CHUNK_CHARS) -> str:
     """Array of chunk strings of a cleaned page."""
+    sliced = lambda t: f"transform(sequence(0, greatest(0, length({t}) - 1), {max_chars}), c -> substring({t}, c + 1, {max_chars}))"
     members = "filter(slice(bs, s + 1, coalesce(get(starts, i + 1), size(bs)) - s), b -> not b.drill)"
     text = f"array_join(transform(members, m -> {join_marks_sql(subtree_sql('ns', 'get(ns, m.pre)'))}), '\\n')"
-    chunk = f"array({text})"
-    if keep_text:  # the only block above the limit is a loose text on its own: slice it
-        sliced = bind(text, "t", f"transform(sequence(0, length(t) - 1, {max_chars}), c -> substring(t, c + 1, {max_chars}))")
-        chunk = f"if(get(members, 0).size > {max_chars}, {sliced}, {chunk})"
-    built = bind(_blocks_sql(max_chars, keep_text), "bs", bind(
+    # a block above the limit has no children (a loose text, say) and is alone in its chunk: slice it
+    chunk = bind(text, "t", f"if(get(members, 0).size > {max_chars}, {sliced('t')}, array(t))")
+    built = bind(_blocks_sql(max_chars), "bs", bind(
         _starts_sql(max_chars), "starts", f"flatten(transform(starts, (s, i) -> {bind(members, 'members', chunk)}))"))
     whole = join_marks_sql("filter(ns, d -> d is not null)")
     return bind(nodes, "ns", bind(marks_sql("ns"), "marks", bind(
-        built, "found", f"if(size(found) > 0, found, array(substring({whole}, 1, {max_chars})))")))
+        built, "found", f"if(size(found) > 0, found, {bind(whole, 'page', sliced('page'))})")))
 
 
-def chunk_pages(cleaned: DataFrame, max_chars: int = CHUNK_CHARS, keep_text: bool = False) -> DataFrame:
+def chunk_pages(cleaned: DataFrame, max_chars: int = CHUNK_CHARS) -> DataFrame:
     """H9: chunks of cleaned pages (see ``clean_pages``): chunk_no from 1, html, n_chars.
 
-    Text directly inside an element that is split up is lost unless ``keep_text`` is set.
+    Text directly inside an element that is split up is a block of its own; a text or an element without
+    children above the limit, and a page without blocks, is sliced by ``max_chars``. No text is lost.
     """
     key = [c for c in cleaned.columns if c != "nodes"]
-    chunks = F.expr(chunks_sql("nodes", max_chars, keep_text))
+    chunks = F.expr(chunks_sql("nodes", max_chars))
     return cleaned.select(*key, F.posexplode(chunks).alias("at", "html")).select(
         *key, (F.col("at") + 1).alias("chunk_no"), "html", F.length("html").alias("n_chars"))

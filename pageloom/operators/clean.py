@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.constants import CHUNK_CHARS, KEEP_ATTRS, OVERLAY_PATTERNS, STRIP_TAGS
 from pageloom.functions.sqltext import bind, lit, lits, strip_sql
-from pageloom.operators.html import COMMENT, RAW, TEXT, VOID
+from pageloom.operators.html import COMMENT, RAW, TEXT, VOID, inside_sql
 
 
 def _cut_sql(nodes: str, root: str) -> str:
     """Null out every node ``n`` for which ``root`` holds, and all nodes inside one."""
     flags = f"transform(cs, n -> coalesce({root}, false))"
-    kept = "transform(cs, n -> if(n is null or get(roots, n.pre) or exists(n.anc, a -> get(roots, a)), null, n))"
+    kept = bind(inside_sql("cs", "roots"), "gone", "transform(cs, n -> if(get(gone, n.pre), null, n))")
     return bind(nodes, "cs", bind(flags, "roots", f"if(array_contains(roots, true), {kept}, cs)"))
 
 
@@ -43,7 +43,7 @@ def strip_overlays(parsed: DataFrame, patterns: Sequence[str] = OVERLAY_PATTERNS
 
 def _compact_sql(nodes: str) -> str:
     kept = f"map_filter(n.attrs, (k, v) -> k in ({lits(KEEP_ATTRS)}) or startswith(k, 'data-'))"
-    parts = "'pre', n.pre, 'last', n.last, 'parent', n.parent, 'anc', n.anc, 'tag', n.tag"
+    parts = "'pre', n.pre, 'last', n.last, 'parent', n.parent, 'depth', n.depth, 'tag', n.tag"
     return (f"transform({nodes}, n -> if(size(n.attrs) > 0, "
             f"named_struct({parts}, 'attrs', {kept}, 'text', n.text), n))")
 
@@ -96,25 +96,24 @@ BLOCK_TAGS = [
 ]
 
 
-def main_text_sql(nodes: str, min_chars: int = 25, max_link_share: float = 0.5) -> str:
-    """Innermost text blocks that are headings, cells or long enough and not mostly links."""
+def main_text_sql(nodes: str) -> str:
+    """Innermost text blocks that are headings, cells or hold text outside their links."""
     block = f"in ({lits(BLOCK_TAGS)})"
     innermost = f"filter(ns, n -> n.tag {block} and not exists(slice(ns, n.pre + 2, n.last - n.pre), d -> d.tag {block}))"
-    linked = "filter(inside, d -> exists(d.anc, a -> a >= n.pre and get(ns, a).tag = 'a'))"
-    link_chars = f"if(exists(inside, d -> d.tag = 'a') or exists(n.anc, a -> get(ns, a).tag = 'a'), length({text_sql(linked, ' ')}), 0)"
-    measured = bind(subtree_sql("ns", "n"), "inside",
-                    f"struct(n.tag as tag, {text_sql('inside', ' ')} as text, {link_chars} as links)")
-    wanted = (f"b.text <> '' and b.links <= length(b.text) * {max_link_share}D and "
-              f"(length(b.text) >= {min_chars} or b.tag rlike '^(?:h[1-6]|t[dh])$')")
-    dense = f"array_join(transform(filter(transform({innermost}, n -> {measured}), b -> {wanted}), b -> b.text), '\\n')"
-    return bind(cut_tags_sql(nodes), "ns", bind(dense, "dense", f"if(dense = '', {text_sql('ns', chr(10))}, dense)"))
-
-
-def main_text(parsed: DataFrame, min_chars: int = 25, max_link_share: float = 0.5) -> DataFrame:
-    """H7: main content by text density: blocks that are headings, cells or long enough and not
-    mostly links, one per line; H6 when no block qualifies."""
+    # the links of a block: a block that lies in a link as a whole is no list of links
+    own = (f"get(linked, n.pre) or exists(inside, d -> d.tag = '{TEXT}' and not get(linked, d.pre) and {strip_sql('d.text')} <> '')")
+    wanted = bind(subtree_sql("ns", "n"), "inside", f"if(n.tag rlike '^(?:h[1-6]|t[dh])$' or {own}, {text_sql('inside', ' ')}, '')")
+    found = f"array_join(filter(transform({innermost}, n -> {wanted}), t -> t <> ''), '\\n')"
+    links = inside_sql("ns", "transform(ns, n -> coalesce(n.tag = 'a', false))")
+    return bind(cut_tags_sql(nodes), "ns", bind(links, "linked", bind(
+        found, "blocks", f"if(blocks = '', {text_sql('ns', chr(10))}, blocks)")))
+
+
+def main_text(parsed: DataFrame) -> DataFrame:
+    """H7: main content by structure: blocks that are headings, cells or hold text outside their
+    links, whatever their length, one per line; H6 when no block qualifies."""
     key = [c for c in parsed.columns if c != "nodes"]
-    return parsed.select(*key, F.expr(main_text_sql("nodes", min_chars, max_link_share)).alias("text"))
+    return parsed.select(*key, F.expr(main_text_sql("nodes")).alias("text"))
 
 
 # Rendering -------------------------------------------------------------------------------------
@@ -142,18 +141,19 @@ def close_sql(tag: str) -> str:
 
 def marks_sql(nodes: str) -> str:
     """Start and end markup of every node, by index."""
-    return f"transform({nodes}, n -> if(n is null, null, struct({open_sql('n')} as o, {close_sql('n.tag')} as c)))"
+    return f"transform({nodes}, n -> if(n is null, null, struct({open_sql('n')} as o, {close_sql('n.tag')} as c, n.parent as up)))"
 
 
 def join_marks_sql(run: str) -> str:
     """Markup of ``run`` (whole sibling subtrees) from the array ``marks`` of ``marks_sql``.
 
-    The path of the next node is a prefix of this node's path plus itself, so what closes between
-    the two is the rest of that path, innermost first. No stack and no sort is needed.
+    The next node hangs from this node or from one of its ancestors, so what closes between the two
+    is this node and as many parents above it as the depths differ. No stack and no sort is needed.
     """
-    depth = "size(coalesce(get(rs, i + 1), get(rs, 0)).anc)"
-    outer = f"array_join(transform(reverse(slice(r.anc, {depth} + 1, size(r.anc))), a -> get(marks, a).c), '')"
-    closes = f"if({depth} > size(r.anc), '', concat(get(marks, r.pre).c, {outer}))"
+    rise = "r.depth - coalesce(get(rs, i + 1), get(rs, 0)).depth"
+    walk = ("aggregate(sequence(0, rise), struct(r.pre as at, '' as t), (s, k) -> struct("
+            "get(marks, s.at).up as at, concat(s.t, coalesce(get(marks, s.at).c, '')) as t), s -> s.t)")
+    closes = bind(rise, "rise", f"if(rise < 0, '', {walk})")
     return bind(run, "rs", f"array_join(transform(rs, (r, i) -> concat(get(marks, r.pre).o, {closes})), '')")
 
 

@@ -2,8 +2,8 @@
 
 ``parse_pages`` gives one row per page with its document as an array of nodes in document order.
 A node's index in the array is its ``pre`` number, ``last`` is the index of its last descendant and
-``anc`` lists the indexes of its ancestors from the root down, so "inside", "child of" and "subtree"
-are array look-ups in the same row. Every later rule (cleaning, text, links, chunks, selection) is a
+``depth`` counts its ancestors, so "child of" and "subtree" are array look-ups in the same row; "inside"
+is a flag handed down from parent to child (``inside_sql``). An array is linear in the nodes, however deep. Every later rule (cleaning, text, links, chunks, selection) is a
 Catalyst expression over that array: no shuffle, and no regrouping of nodes into pages.
 ``html_nodes`` is the flat form, one row per node.
 """
@@ -11,8 +11,9 @@ Catalyst expression over that array: no shuffle, and no regrouping of nodes into
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ NODE = T.StructType([
     T.StructField("pre", T.IntegerType()),
     T.StructField("last", T.IntegerType()),
     T.StructField("parent", T.IntegerType()),
-    T.StructField("anc", T.ArrayType(T.IntegerType())),
+    T.StructField("depth", T.IntegerType()),
     T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("text", T.StringType()),
@@ -51,7 +52,6 @@ _SCOPE = ("td", "th", "table", "button", "caption", "object", "body", "html")
 _HEAD_ONLY = frozenset("title meta link base style script noscript".split())
 _END_STOPS = frozenset("body td th table".split())
 _TABLE_PARTS = frozenset("table tr tbody thead tfoot".split())
-MAX_DEPTH = 512  # deeper elements become children of the element at this depth
 
 
 # One markup token: comment, declaration, end tag or start tag (quoted values may hold ``>``; the
@@ -83,30 +83,29 @@ class _Nodes:
 
     def __init__(self) -> None:
         self.last: list[int] = []
-        self.anc: list[list[int]] = []
+        self.parent: list[int] = []
+        self.depth: list[int] = []
         self.tag: list[str] = []
         self.attrs: list[list[tuple[str, str]] | None] = []
         self.text: list[str | None] = []
         self.open: list[int] = []
-        # ancestor lists of the open elements' children; one list is shared by all siblings
-        self.paths: list[list[int]] = [[]]
         self.seen: set[str] = set()
-        self.opened: Counter[str] = Counter()  # open elements by tag
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # stack places of the open elements by tag
 
     def _add(self, tag: str, attrs: list[tuple[str, str]] | None, text: str | None) -> None:
         self.last.append(len(self.last))
-        self.anc.append(self.paths[-1])
+        self.parent.append(self.open[-1] if self.open else -1)
+        self.depth.append(len(self.open))
         self.tag.append(tag)
         self.attrs.append(attrs)
         self.text.append(text)
 
     def _push(self, tag: str, attrs: list[tuple[str, str]]) -> None:
         self.seen.add(tag)
-        pre, path = len(self.last), self.paths[-1]
+        pre = len(self.last)
         self._add(tag, attrs, None)
+        self.places[tag].append(len(self.open))
         self.open.append(pre)
-        self.opened[tag] += 1
-        self.paths.append([*path, pre] if len(path) < MAX_DEPTH else path)
 
     def _close_to(self, depth: int) -> None:
         """Close every open element at or above ``depth`` of the stack."""
@@ -114,8 +113,7 @@ class _Nodes:
         while len(self.open) > depth:
             pre = self.open.pop()
             self.last[pre] = end
-            self.opened[self.tag[pre]] -= 1
-            self.paths.pop()
+            self.places[self.tag[pre]].pop()
 
     def _in_body(self, tag: str) -> None:
         """Open the html/head/body elements that the source leaves out."""
@@ -123,7 +121,7 @@ class _Nodes:
             self._push("html", _NO_ATTRS)
         if "body" in self.seen:
             return
-        in_head = any(self.tag[i] == "head" for i in self.open)
+        in_head = bool(self.places["head"])
         if tag in _HEAD_ONLY:
             if not in_head and "head" not in self.seen:
                 self._push("head", _NO_ATTRS)
@@ -131,20 +129,18 @@ class _Nodes:
             self._close_to(1)
             self._push("body", _NO_ATTRS)
 
+    def _topmost(self, tags: Iterable[str]) -> int:
+        """Highest stack place of an open element with one of the tags, -1 without any."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
+
     def _close_implied(self, tag: str) -> None:
-        closes = _CLOSES.get(tag)
-        if not closes or not any(self.opened[name] for name in closes):
+        closes = [places for name in _CLOSES.get(tag, ()) if (places := self.places[name])]
+        if not closes:
             return
-        barriers = _BARRIERS.get(tag, _SCOPE)
-        cut = None
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.tag[self.open[depth]]
-            if name in closes:
-                cut = depth
-            elif name in barriers:
-                break
-        if cut is not None:
-            self._close_to(cut)
+        barrier = self._topmost(_BARRIERS.get(tag, _SCOPE))
+        above = [places[at] for places in closes if (at := bisect_right(places, barrier)) < len(places)]
+        if above:
+            self._close_to(min(above))
 
     def read(self, html: str) -> None:
         pos, size, search = 0, len(html), _TOKEN.search
@@ -200,15 +196,9 @@ class _Nodes:
     def _end(self, tag: str) -> None:
         if tag in ("body", "html"):
             return  # closed at the end of the input, so trailing content stays in the body
-        if not self.opened[tag]:
-            return
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.tag[self.open[depth]]
-            if name == tag:
-                self._close_to(depth)
-                return
-            if name in _END_STOPS and tag not in _TABLE_PARTS:
-                return
+        place = self._topmost((tag,))
+        if place >= 0 and (tag in _TABLE_PARTS or self._topmost(_END_STOPS) <= place):
+            self._close_to(place)
 
     def _text(self, data: str) -> None:
         if "body" in self.seen or data.strip():
@@ -220,20 +210,19 @@ class _Nodes:
 def _node_list(documents: list[str | None]) -> pa.Array:
     """One list of node structs per document."""
     offsets = [0]
-    cols: list[list] = [[] for _ in range(5)]
+    cols: list[list] = [[] for _ in range(6)]
     for html in documents:
         reader = _Nodes()
         if html:
             reader.read(html)
-        for col, part in zip(cols, (reader.last, reader.anc, reader.tag, reader.attrs, reader.text)):
+        for col, part in zip(cols, (reader.last, reader.parent, reader.depth, reader.tag, reader.attrs, reader.text)):
             col.extend(part)
         offsets.append(len(cols[0]))
     ints = pa.int32()
     pres = [i for a, b in zip(offsets, offsets[1:]) for i in range(b - a)]
-    last, anc, tag, attrs, text = cols
+    last, parent, depth, tag, attrs, text = cols
     fields = [
-        pa.array(pres, ints), pa.array(last, ints),
-        pa.array([path[-1] if path else -1 for path in anc], ints), pa.array(anc, pa.list_(ints)),
+        pa.array(pres, ints), pa.array(last, ints), pa.array(parent, ints), pa.array(depth, ints),
         pa.array(tag, pa.string()), pa.array(attrs, pa.map_(pa.string(), pa.string())),
         pa.array(text, pa.string()),
     ]
@@ -272,12 +261,26 @@ def html_nodes(parsed: DataFrame) -> DataFrame:
     """Flat form: one row per node with depth, kind (el, text, raw, comment), classes and n_chars."""
     key = [c for c in parsed.columns if c != "nodes"]
     return parsed.select(*key, F.inline("nodes")).select(
-        *key, "pre", "last", "parent", F.size("anc").alias("depth"),
+        *key, "pre", "last", "parent", "depth",
         F.when(F.col("tag").startswith("#"), F.substring("tag", 2, 10)).otherwise("el").alias("kind"),
         "tag", "attrs", classes(F.col("attrs")).alias("classes"), "text",
         F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
 
 
+def inside_sql(nodes: str, flags: str) -> str:
+    """Per node: is it flagged, or any of its ancestors (``nodes`` and ``flags``: SQL expressions).
+
+    Each round lets a flag reach twice as far down and doubles the step up, so the rounds grow with the
+    logarithm of the depth. Null entries of ``nodes`` have no ancestors.
+    """
+    deepest = f"coalesce(array_max(transform({nodes}, n -> n.depth)), 0)"
+    rounds = f"slice(sequence(0, 31), 1, cast(ceil(log2(1 + {deepest})) as int))"
+    start = f"struct({flags} as f, transform({nodes}, n -> coalesce(n.parent, -1)) as up)"
+    step = ("struct(transform(s.f, (x, i) -> x or coalesce(get(s.f, get(s.up, i)), false)) as f, "
+            "transform(s.up, u -> coalesce(get(s.up, u), -1)) as up)")
+    return f"aggregate({rounds}, {start}, (s, k) -> {step}, s -> s.f)"
+
+
 def is_element(node: Column) -> Column:
     return ~node["tag"].startswith("#")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.constants import (
-    DEFAULT_DEPTH, DEFAULT_MAX_URLS, NO_URL_ERROR,
+    DEFAULT_DEPTH, NO_CAP, NO_URL_ERROR,
 )
 from pageloom.functions import requests as rules
 from pageloom.functions.replies import decode_response, reply_bool, reply_int, reply_string
@@ -50,7 +50,7 @@ def heuristic_intents(requests: DataFrame) -> DataFrame:
     return found.select(
         "request_id", normalise_url(url).alias("url"), "intent_type",
         rules.content_target(q, url).alias("content_target"),
-        F.lit(DEFAULT_MAX_URLS).alias("max_urls"),
+        F.lit(NO_CAP).alias("max_urls"),
         rules.intent_depth(F.col("intent_type")).alias("depth"),
         rules.output_format_hint(q).alias("output_format"),
         rules.output_file_hint(q, url).alias("output_file"),
@@ -82,7 +82,7 @@ def parse_intent_response(requests: DataFrame, responses: DataFrame) -> DataFram
     return read.select(
         "request_id", normalise_url(url).alias("url"), "intent_type",
         F.when(from_query, rules.content_target(q, url)).otherwise(F.col("target")).alias("content_target"),
-        _or_default(reply_int(d, "$.max_urls"), DEFAULT_MAX_URLS).alias("max_urls"),
+        F.coalesce(reply_int(d, "$.max_urls"), F.lit(NO_CAP)).alias("max_urls"),
         rules.intent_depth(kind, reply_int(d, "$.depth")).alias("depth"),
         rules.valid_format(reply_string(d, "$.output_format")).alias("output_format"),
         empty_to_null(reply_string(d, "$.output_file")).alias("output_file"),
@@ -124,7 +124,7 @@ def explicit_intents(given: DataFrame) -> DataFrame:
         "request_id", "url",
         F.when(target != "", "structured_data").otherwise("page_content").alias("intent_type"),
         target.alias("content_target"),
-        _or_default(optional("max_urls", "int"), DEFAULT_MAX_URLS).alias("max_urls"),
+        F.coalesce(optional("max_urls", "int"), F.lit(NO_CAP)).alias("max_urls"),
         F.coalesce(optional("depth", "int"), F.lit(DEFAULT_DEPTH)).alias("depth"),
         F.lit(None).cast("string").alias("output_format"), F.lit(None).cast("string").alias("output_file"),
         F.lit(False).alias("paginate"), F.lit(None).cast("int").alias("max_pages"))
@@ -149,7 +149,7 @@ def apply_overrides(intents: DataFrame, overrides: DataFrame) -> DataFrame:
     return joined.select(
         "request_id", "url", "intent_type",
         F.coalesce(empty_to_null(F.col("o.target")), F.col("content_target")).alias("content_target"),
-        F.coalesce(F.nullif(F.col("o.max_urls"), F.lit(0)), F.col("max_urls")).alias("max_urls"),
+        F.coalesce("o.max_urls", "max_urls").alias("max_urls"),
         F.coalesce("o.depth", "depth").alias("depth"),
         effective.alias("format"),
         F.coalesce("o.output", "output_file").alias("output"),

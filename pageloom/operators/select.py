@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pageloom.functions.sqltext import bind, lit, lits, strip_sql
 from pageloom.operators.clean import clean_sql, pieces_sql, subtree_sql, text_sql
-from pageloom.operators.html import RAW, TEXT, parse_pages
+from pageloom.operators.html import RAW, TEXT, inside_sql, parse_pages
 
 _BRACKET = r"\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\]"
 _ATTR_TEST = r"\[\s*[\w:-]+\s*(?:[~^$*|]?=\s*(?:\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\]"
@@ -27,6 +27,8 @@ _XSTEP = rf"//?(?:\*|[A-Za-z][\w-]*)(?:{_PREDICATE})*"
 XPATH = rf"^(?:{_XSTEP})*(?://?(?:text\(\)|@[\w:-]+))?$"
 
 XPATH_PREFIX = "xpath:"
+#: Selectors of a key that are tried on one parse of its pages (about; dealt by hash).
+SELECTORS_A_PARSE = 64
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "strong"]
 
 
@@ -40,6 +42,13 @@ def check_selector(selector: str) -> str:
     return selector
 
 
+def supported_sql(selector: str) -> str:
+    """Is a selector (CSS, or XPath after ``xpath:``) inside the supported subset."""
+    path = f"substring({selector}, {len(XPATH_PREFIX) + 1})"
+    return (f"if(startswith({selector}, '{XPATH_PREFIX}'), {path} <> '' and {path} rlike {lit(XPATH)}, "
+            f"{selector} rlike {lit(CSS)})")
+
+
 def _step_sql(text: str, child: str) -> str:
     """(child, tag, ids, classes, attrs) of one compound selector or XPath step."""
     value = lambda pattern: f"regexp_extract(t, {lit(pattern)}, 1)"
@@ -82,10 +91,11 @@ _STEP_HOLDS = (
 
 def _flags_sql(nodes: str, steps: str) -> str:
     """One flag per node: does it match the last of the steps."""
-    under = ("case when size(acc) = 0 then not st.child or n.parent = -1 when st.child then get(acc, n.parent) "
-             "else exists(n.anc, a -> get(acc, a)) end")
-    return (f"aggregate({steps}, cast(array() as array<boolean>), "
-            f"(acc, st) -> transform({nodes}, n -> coalesce({_STEP_HOLDS} and {under}, false)))")
+    # a descendant step asks whether the parent or anything above it is flagged
+    above = f"if(st.child or size(acc) = 0, acc, {inside_sql(nodes, 'acc')})"
+    under = "if(size(above) = 0, not st.child or n.parent = -1, get(above, n.parent))"
+    step = bind(above, "above", f"transform({nodes}, n -> coalesce({_STEP_HOLDS} and {under}, false))")
+    return f"aggregate({steps}, cast(array() as array<boolean>), (acc, st) -> {step})"
 
 
 def css_sql(nodes: str, selector: str) -> str:
@@ -111,8 +121,9 @@ def xpath_sql(nodes: str, path: str) -> str:
     steps = (f"transform(regexp_extract_all(regexp_replace(p, {ending}, ''), {lit(rf'//?(?:[^/\[]|{_BRACKET})+')}, 0), "
              f"s -> {_step_sql('regexp_replace(s, \'^//?\', \'\')', 'not startswith(s, \'//\')')})")
     # `//x` after a step also reaches the element itself for attributes, not for text()
-    below = ("(coalesce(get(flag, n.parent), false) or (startswith(e, '//') and exists(n.anc, a -> get(flag, a))))")
     every = "size(steps) = 0"
+    reach = f"if(startswith(e, '//') and not {every}, {inside_sql('ns', 'flag')}, flag)"
+    below = "coalesce(get(reach, n.parent), false)"
     whole = (f"transform(filter(ns, n -> get(flag, n.pre)), n -> {strip_sql('array_join(transform(filter(' + subtree_sql('ns', 'n') + f', d -> d.tag in (\'{TEXT}\', \'{RAW}\')), d -> d.text), \'\')')})")
     pieces = f"transform(filter(ns, n -> n.tag in ('{TEXT}', '{RAW}') and ({every} or {below})), n -> {strip_sql('n.text')})"
     value = "try_element_at(n.attrs, substring_index(e, '@', -1))"
@@ -120,7 +131,7 @@ def xpath_sql(nodes: str, path: str) -> str:
               f"or (startswith(e, '//') and {below}))), n -> {strip_sql(value)})")
     read = f"case when e = '' then {whole} when contains(e, '@') then {values} else {pieces} end"
     found = bind(nodes, "ns", bind(f"regexp_extract(p, {ending}, 0)", "e", bind(
-        steps, "steps", bind(_flags_sql("ns", "steps"), "flag", read))))
+        steps, "steps", bind(_flags_sql("ns", "steps"), "flag", bind(reach, "reach", read)))))
     return bind(path, "p", f"if(p <> '' and p rlike {lit(XPATH)}, filter({found}, x -> x <> ''), cast(array() as array<string>))")
 
 
@@ -166,13 +177,18 @@ def selector_items(pages: DataFrame, selectors: DataFrame, on: str = "page_id",
     Selectors are tried on the cleaned page (see ``clean_pages``), so menus and footers never match;
     ``cleaned=False`` tries them on the page as it is. The selectors of a key are joined as one array
     before parsing: a join that has to shuffle moves the HTML, not the larger node arrays, and each
-    page is parsed and cleaned once whatever the number of selectors. Small selector tables are
-    broadcast by the planner, which checks their size.
+    page is parsed and cleaned once for about SELECTORS_A_PARSE of them. Small selector tables are
+    broadcast by the planner, which checks their size. ``supported`` is false for a selector outside
+    the subset, which has no items.
     """
-    grouped = selectors.groupBy(on).agg(F.collect_set("selector").alias("_selectors"))
+    wanted = selectors.select(on, "selector").where(F.col("selector").isNotNull()).distinct()
+    parts = wanted.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / SELECTORS_A_PARSE).alias("_parts"))
+    grouped = (
+        wanted.join(parts, on).groupBy(on, F.expr("pmod(xxhash64(selector), _parts)").alias("_part"))
+        .agg(F.collect_list("selector").alias("_selectors")).drop("_part"))
     parsed = parse_pages(pages.join(grouped, on), html)
     key = [c for c in parsed.columns if c not in ("nodes", "_selectors")]
-    found = f"transform(_selectors, want -> struct(want as selector, {items_sql('tried', 'want')} as items))"
+    found = f"transform(_selectors, want -> struct(want as selector, {supported_sql('want')} as supported, {items_sql('tried', 'want')} as items))"
     found = bind(clean_sql("nodes") if cleaned else "nodes", "tried", found)
     return parsed.select(*key, F.expr(f"inline({found})"))
 
@@ -180,10 +196,12 @@ def selector_items(pages: DataFrame, selectors: DataFrame, on: str = "page_id",
 def apply_selectors(pages: DataFrame, selectors: DataFrame, on: str = "page_id", html: str = "html",
                     cleaned: bool = True) -> DataFrame:
     """Items of every page under its own selectors; ``selectors(on, selector)`` may hold several
-    per key. One row per item: the other columns of ``pages``, selector, pos, item."""
+    per key. One row per item: the other columns of ``pages``, selector, supported, pos, item. A selector
+    outside the subset gives one row with ``supported`` false and no item, so that it is not lost."""
     found = selector_items(pages, selectors, on, html, cleaned)
     key = [c for c in found.columns if c != "items"]
-    return found.select(*key, F.posexplode("items").alias("pos", "item"))
+    every = found.select(*key, F.posexplode_outer("items").alias("pos", "item"))
+    return every.where(F.col("pos").isNotNull() | ~F.col("supported"))
 
 
 def sample_items(items: DataFrame, k: int, seed: int = 0, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:

@@ -334,14 +334,14 @@ def _job_result(spark, sf):
 # Output -----------------------------------------------------------------------------------------
 
 def _two_fields(spark, sf):
-    """Items of the jobs with fields name and url, the texts as one more job, and their metadata."""
-    found = _items(spark, sf).where(F.col("job_id") != "parts").unionByName(_documents(spark, sf))
+    """Items of all jobs and the texts as one more job, in the fields name and url, and their metadata."""
+    found = _items(spark, sf).unionByName(_documents(spark, sf))
     meta = items.result_metadata(found, run_sql(spark, sf, _TWO_JOBS, "region"), RUN_AT)
     shown = items.with_placeholder(found, meta).drop("placeholder")
     return shown, items.records_wide(found, ["name", "url"]), meta
 
 
-_TWO_JOBS = JOB_METADATA.replace("'parts'", "'texts'")
+_TWO_JOBS = f"""{JOB_METADATA} union all select 'texts', 'https://shop.example.com/texts', 'li.text', 'llm_selector' from region where r_regionkey = 0"""
 _DOCUMENTS = "select 'texts' as job_id, doc_id as url_seq, 0 as pos, concat(source, chr(10), text) as item from documents"
 
 
@@ -349,7 +349,7 @@ def _documents(spark, sf):
     return run_sql(spark, sf, _DOCUMENTS, "documents")
 
 
-_TWO_ITEMS = f"select * from (({ITEMS}) union all ({_DOCUMENTS})) where job_id <> 'parts'"
+_TWO_ITEMS = f"({ITEMS}) union all ({_DOCUMENTS})"
 _RECORDS = f"""v as (select *, row_number() over (partition by job_id order by url_seq, pos) as n from ({_TWO_ITEMS})),
  rec as ({_sql_n3('select job_id, n, item from v', ['name', 'url'])}),
  meta as (select j.job_id, j.url, '{RUN_AT}' as timestamp, coalesce(c.n, 0)::bigint as item_count, j.selector, j.method,

@@ -146,7 +146,7 @@ e as (select request_id, query, j, coalesce(nullif(json_extract_string(j, '$.url
 i as (select request_id, case when u like '%://%' then regexp_replace(u, '/+$', '') else concat('https://', regexp_replace(u, '/+$', '')) end as url,
   t as intent_type, case when c = '' and t in ('structured_data', 'deep_content')
    then trim(regexp_replace(regexp_replace(coalesce(replace(query, u, ''), query), '(?i)\\b({_FILLER})\\b', ' ', 'g'), '\\s{{2,}}', ' ', 'g'), ' ,.?!') else c end as content_target,
-  coalesce(nullif(json_extract_string(j, '$.max_urls')::bigint, 0), 25) as max_urls,
+  coalesce(json_extract_string(j, '$.max_urls')::bigint, 0) as max_urls,
   (case t when 'deep_content' then 2 when 'url_list' then 0 else greatest(0, coalesce(json_extract_string(j, '$.depth')::bigint, 0)) end)::bigint as depth,
   case when lower(trim(json_extract_string(j, '$.output_format'))) in ('json','csv','md','text') then lower(trim(json_extract_string(j, '$.output_format'))) end as output_format,
   json_extract_string(j, '$.output_file') as output_file,
@@ -161,7 +161,7 @@ def _parse_reply(spark, sf):
     return ops.parse_intent_response(_requests(spark, sf), replies(spark, sf))
 
 
-_WORDING = f"""select request_id, {_NORM} as url, {_TYPE} as intent_type, {_TARGET} as content_target, 25::bigint as max_urls,
+_WORDING = f"""select request_id, {_NORM} as url, {_TYPE} as intent_type, {_TARGET} as content_target, 0::bigint as max_urls,
  (case {_TYPE} when 'deep_content' then 2 else 0 end)::bigint as depth, {_FORMAT} as output_format, {_FILE} as output_file,
  {_PAGINATE} as paginate, {_PAGES} as max_pages, case when {_URL} is null then '{NO_URL_ERROR}' end as error from q"""
 
@@ -183,7 +183,7 @@ def _resolve(spark, sf):
 @query("explicit_intents", """
 select page_id as request_id, url, case when page_id % 2 = 0 then 'structured_data' else 'page_content' end as intent_type,
  case when page_id % 2 = 0 then 'title' else '' end as content_target,
- (case when page_id % 3 = 0 then 25 else page_id % 3 end)::bigint as max_urls,
+ (page_id % 3)::bigint as max_urls,
  (case when page_id % 4 = 3 then 1 else page_id % 4 end)::bigint as depth from pages""")
 def _explicit(spark, sf):
     given = table(spark, sf, "pages").select(
@@ -201,7 +201,7 @@ OVERRIDES = """select page_id as request_id, cast(case when page_id % 3 = 0 then
 
 @query("apply_overrides", _Q + f""", h as ({_WORDING}), o as ({OVERRIDES})
 select h.request_id, case when o.target <> '' then o.target else h.content_target end as content_target,
- (case when o.max_urls <> 0 then o.max_urls else h.max_urls end)::bigint as max_urls, coalesce(o.depth, h.depth)::bigint as depth,
+ coalesce(o.max_urls, h.max_urls)::bigint as max_urls, coalesce(o.depth, h.depth)::bigint as depth,
  case when o.output is null and h.output_file is not null then coalesce(h.output_format, o.format, 'json')
       when h.output_format is not null and coalesce(o.format, 'json') = 'json' then h.output_format
       else coalesce(o.format, 'json') end as format,

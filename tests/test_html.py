@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -46,18 +47,43 @@ def test_numbering_invariants(documents):
     for nodes in html._node_list(documents).to_pylist():
         for i, n in enumerate(nodes):
             assert n["pre"] == i and i <= n["last"] < len(nodes)
-            assert (n["anc"] or [-1])[-1] == n["parent"] < i
-            for a in n["anc"]:
-                assert nodes[a]["last"] >= n["last"] and not nodes[a]["tag"].startswith("#")
-            inside = [d["pre"] for d in nodes if i in d["anc"]]
-            assert inside == list(range(i + 1, n["last"] + 1))
-
-
-def test_deep_nesting_is_bounded(parse):
-    d = parse("<div>" * 3000 + "x")
-    got = d.select(F.size("nodes"), F.array_max(F.transform("nodes", lambda n: F.size(n["anc"])))).first()
-    assert got[0] == 3003 and got[1] == html.MAX_DEPTH
+            above, at = [], n["parent"]
+            while at >= 0:
+                above.append(at)
+                at = nodes[at]["parent"]
+            assert n["parent"] < i and n["depth"] == len(above)
+            for a in above:
+                assert a < i <= n["last"] <= nodes[a]["last"] and not nodes[a]["tag"].startswith("#")
+            outside = [d for d in nodes[n["last"] + 1:] if d["parent"] == i]
+            assert not outside and all(d["depth"] > n["depth"] for d in nodes[i + 1:n["last"] + 1])
+
+
+def test_deep_nesting_is_kept_and_parsed_in_linear_time(parse):
+    for start in ("", "<p><button>"):
+        before = time.perf_counter()
+        nodes = html._node_list([start + "<div>" * 20_000 + "x"])
+        assert time.perf_counter() - before < 1
+        assert nodes[0][-1]["depth"].as_py() == len(nodes[0]) - 1
+    d = parse("<nav>" + "<div>" * 3000 + "y" + "</div>" * 3000 + "</nav>" + "<div>" * 3000 + "x")
     assert texts(clean.page_text(d)) == ["x"]
+    whole = parse("<div>" * 3000 + "x")
+    assert whole.select(F.array_max(F.transform("nodes", lambda n: n["depth"]))).first()[0] == 3002
+    assert clean.render_html(clean.clean_pages(whole)).first().html == "<body>" + "<div>" * 3000 + "x" + "</div>" * 3000 + "</body>"
+    assert select.select_css(whole, "body div").count() == 3000
+
+
+def test_flags_reach_all_below(spark):
+    rng = random.Random(3)
+    for size in (0, 1, 2, 40, 300):
+        parents = [rng.choice([i - 1, rng.randrange(-1, i)]) for i in range(size)]
+        flags = [rng.random() < 0.05 for _ in range(size)]
+        depth, want = [], []
+        for i, p in enumerate(parents):
+            depth.append(depth[p] + 1 if p >= 0 else 0)
+            want.append(flags[i] or (p >= 0 and want[p]))
+        rows = spark.createDataFrame([([(i, p, d) for i, (p, d) in enumerate(zip(parents, depth))], flags)],
+                                     "ns array<struct<pre: int, parent: int, depth: int>>, flags array<boolean>")
+        assert rows.select(F.expr(html.inside_sql("ns", "flags"))).first()[0] == want
 
 
 def test_links(parse):
@@ -71,7 +97,9 @@ def test_links(parse):
 def test_main_text(parse):
     d = parse("<nav><p>menu menu menu menu menu menu</p></nav><h1>Title</h1><p>A long enough paragraph of text.</p><p><a href=x>only a long link inside here</a></p><p>short</p><table><tr><td>cell</table>",
               "<div>loose words</div>")
-    assert texts(clean.main_text(d)) == ["Title\nA long enough paragraph of text.\ncell", "loose words"]
+    assert texts(clean.main_text(d)) == ["Title\nA long enough paragraph of text.\nshort\ncell", "loose words"]
+    card = parse("<ul><li><a href=x>only a link</a><li><a href=y>Book</a> 5 EUR</ul><a href=z><p>name</p></a>")
+    assert texts(clean.main_text(card)) == ["Book 5 EUR\nname"]
 
 
 def element(tag, size):
@@ -84,7 +112,7 @@ def test_chunk_fixtures(parse):
         "<body>" + element("p", 2000) + "<div>" + element("p", 4000) + element("p", 2989) + "</div>" + element("p", 1000) + "</body>"))
     rows = chunks.chunk_pages(d).orderBy("page_id", "chunk_no").select("page_id", "n_chars").collect()
     assert [tuple(r) for r in rows] == [(0, 1149), (1, 0), (2, 2000), (2, 4000), (2, 2989), (2, 1000)]
-    kept = chunks.chunk_pages(clean.clean_pages(parse("<p>a</p>" + element("div", 70) + "<p>b</p>")), 20, keep_text=True)
+    kept = chunks.chunk_pages(clean.clean_pages(parse("<p>a</p>" + element("div", 70) + "<p>b</p>")), 20)
     assert [r[0] for r in kept.orderBy("chunk_no").select("html").collect()] == ["<p>a</p>", "x" * 20, "x" * 20, "x" * 19, "<p>b</p>"]
 
 
@@ -99,7 +127,10 @@ def brute_chunks(tree, limit):
                 if current:
                     out.append(current)
                     current = []
-                walk(child[1])
+                if child[1] is None:
+                    out.extend([min(limit, child[0] - at)] for at in range(0, child[0], limit))
+                else:
+                    walk(child[1])
             else:
                 if current and sum(current) + child[0] > limit:
                     out.append(current)
@@ -115,9 +146,9 @@ def brute_chunks(tree, limit):
 def random_tree(rng, depth):
     """Markup and (size, children) of a random div."""
     kids = [random_tree(rng, depth - 1) for _ in range(rng.randint(0, 4))] if depth else []
-    inner = "x" * rng.randint(0, 30) + "".join(k[0] for k in kids)
-    markup = f"<div>{inner}</div>"
-    return markup, (len(markup), [k[1] for k in kids])
+    loose = "x" * rng.choice([0, rng.randint(0, 30), rng.randint(0, 200)])
+    markup = f"<div>{loose}{''.join(k[0] for k in kids)}</div>"
+    return markup, (len(markup), [(len(loose), None)] * bool(loose) + [k[1] for k in kids])
 
 
 def test_chunks_equal_brute_force(parse):
@@ -157,7 +188,15 @@ def test_unsupported_selectors(spark, parse):
             select.element_records(parse(PAGE), bad)
     pages = spark.createDataFrame([(1, "<p>x</p>")], "page_id int, html string")
     chosen = spark.createDataFrame([(1, "p:first-child"), (1, "p"), (1, "xpath://p[1]")], "page_id int, selector string")
-    assert [(r.selector, r.item) for r in select.apply_selectors(pages, chosen).collect()] == [("p", "x")]
+    rows = sorted((r.selector, r.supported, r.pos, r.item) for r in select.apply_selectors(pages, chosen).collect())
+    assert rows == [("p", True, 0, "x"), ("p:first-child", False, None, None), ("xpath://p[1]", False, None, None)]
+
+
+def test_many_selectors_of_a_key(spark):
+    pages = spark.createDataFrame([(1, "h", "<p class='c7 c150'>x</p>")], "page_id int, host string, html string")
+    chosen = spark.createDataFrame([("h", f"p.c{i}") for i in range(300)] * 2 + [("h", None)], "host string, selector string")
+    found = select.apply_selectors(pages, chosen, on="host")
+    assert sorted(r.selector for r in found.collect()) == ["p.c150", "p.c7"]
 
 
 def test_sample(spark):

@@ -73,7 +73,7 @@ def test_replies_and_cascade(spark):
            1: "oops", 2: '{"intent_type": "url_list"}', 3: '{"intent_type": "deep_content", "depth": 1}'}
     replies = ids.select("prompt_id", F.element_at(F.create_map(*[F.lit(x) for kv in raw.items() for x in kv]), F.col("request_id")).alias("raw"))
     parsed = {r.request_id: r for r in intents.parse_intent_response(requests, replies).collect()}
-    assert (parsed[0].url, parsed[0].content_target, parsed[0].paginate, parsed[0].max_urls) == ("https://a.test", "names", False, 25)
+    assert (parsed[0].url, parsed[0].content_target, parsed[0].paginate, parsed[0].max_urls) == ("https://a.test", "names", False, 0)
     assert parsed[1].error and parsed[2].error and parsed[3].depth == 2
     second = ids.where("request_id = 1").select("prompt_id", F.lit('{"url": "c.test", "intent_type": "page_content", "depth": 3}').alias("raw"))
     got = {r.request_id: r for r in intents.resolve_intents(requests, replies, second).collect()}
@@ -84,5 +84,5 @@ def test_replies_and_cascade(spark):
 def test_explicit(spark):
     given = spark.createDataFrame([(1, "https://example.com", None, None), (2, "https://example.com", "price", 0)], "request_id int, url string, target string, depth int")
     rows = {r.request_id: r for r in intents.explicit_intents(given).collect()}
-    assert (rows[1].intent_type, rows[1].max_urls, rows[1].depth) == ("page_content", 25, 1)
+    assert (rows[1].intent_type, rows[1].max_urls, rows[1].depth) == ("page_content", 0, 1)
     assert (rows[2].intent_type, rows[2].content_target, rows[2].depth) == ("structured_data", "price", 0)
