@@ -11,7 +11,7 @@ from pageloom.operators import chunks as chunk_ops, clean, extract, items, jobs
 from pageloom.operators.links import extract_links
 from pageloom.plans.derived import ITEMS, JOB_METADATA, SELECTOR_RESPONSES, TEXT_ITEMS
 from pageloom.plans.page_queries import (
-    CHUNKS_SQL, _LINKS, _PARAGRAPHS, DISTINCT_LINKS_SQL, MAIN_TEXT_SQL, _decoded, _pieces, _trimmed,
+    CHUNKS_SQL, _LINKS, _PARAGRAPHS, DISTINCT_LINKS_SQL, MAIN_TEXT_SQL, MENU_ITEMS_SQL, _decoded, _pieces, _trimmed,
 )
 from pageloom.plans.registry import pages, parsed, query, run_sql, table
 from pageloom.session import scratch_path
@@ -440,11 +440,19 @@ def _stream_links(spark, sf):
     return _drained(spark, streams.stream_links(source), "stream-links")
 
 
+@query("stream_items", MENU_ITEMS_SQL)
+def _stream_items(spark, sf):
+    source = streams.stream_pages(spark, sf, file_glob="pages.parquet")
+    return _drained(spark, streams.stream_items(source, "nav a"), "stream-items")
+
+
 @query("stream_dedup", "select distinct lang as job_id, md5(text) as digest from documents")
 def _stream_dedup(spark, sf):
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())])
     docs = streams.stream_pages(spark, sf, schema, file_glob="documents.parquet")
-    kept = streams.stream_dedup(docs.select(F.col("lang").alias("job_id"), F.col("text").alias("item")))
+    # a document a second; repeats lie within the delay, after which their keys are forgotten
+    timed = docs.select(F.col("lang").alias("job_id"), F.col("text").alias("item"), F.timestamp_seconds("doc_id").alias("seen_at"))
+    kept = streams.stream_dedup(timed, "seen_at", "3650 days")
     return _drained(spark, kept, "stream-dedup").select("job_id", F.md5("item").alias("digest"))
 
 

@@ -73,10 +73,10 @@ def _depth(spark, sf):
                                        rules.intent_depth(kind, suggested).alias("suggested_depth"))
 
 
-@query("content_target", _Q + f"select request_id, {_TARGET} as target from q where {_URL} is not null")
+@query("content_target", _Q + f"select request_id, {_TARGET} as target from q")
 def _target(spark, sf):
     url = urls.extract_url(F.col("query"))
-    return _requests(spark, sf).where(url.isNotNull()).select(
+    return _requests(spark, sf).select(
         "request_id", rules.content_target(F.col("query"), url).alias("target"))
 
 
@@ -215,11 +215,10 @@ def _overrides(spark, sf):
 
 @query("plan_report", _Q + f""", h as ({_WORDING}) select request_id,
  concat('{{"job_id":"job_', request_id, '","intent":{{"url":', case when url is null then 'null' else concat('"', url, '"') end,
- ',"intent_type":"', intent_type, '","content_target":', case when url is null then 'null' else to_json(content_target)::varchar end,
- ',"max_urls":', max_urls, ',"depth":', depth, '}}}}') as plan from h where url is not null""")
+ ',"intent_type":"', intent_type, '","content_target":', to_json(content_target)::varchar,
+ ',"max_urls":', max_urls, ',"depth":', depth, '}}}}') as plan from h""")
 def _plan(spark, sf):
-    resolved = ops.heuristic_intents(_requests(spark, sf)).where(F.col("error").isNull())
-    return ops.plan_report(resolved)
+    return ops.plan_report(ops.heuristic_intents(_requests(spark, sf)))
 
 
 # URL rules -------------------------------------------------------------------------------------
@@ -247,9 +246,10 @@ def _strip_fragment(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.strip_fragment(F.col("url")).alias("url"))
 
 
-@query("same_domain", """select a.page_id, split_part(split_part(a.url, '/', 3), '?', 1) = split_part(split_part(b.url, '/', 3), '?', 1) as same
-from pages a join pages b on b.page_id = a.page_id + 58""")
+@query("same_domain", """select a.page_id, coalesce(split_part(split_part(a.url, '/', 3), '?', 1) = split_part(split_part(b.url, '/', 3), '?', 1), false) as same
+from pages a left join pages b on b.page_id = a.page_id + 58""")
 def _same_domain(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "url")
     other = p.select((F.col("page_id") - 58).alias("page_id"), F.col("url").alias("other"))
-    return p.join(other, "page_id").select("page_id", urls.same_domain(F.col("url"), F.col("other")).alias("same"))
+    same = F.coalesce(urls.same_domain(F.col("url"), F.col("other")), F.lit(False))  # no other page: not the same
+    return p.join(other, "page_id", "left").select("page_id", same.alias("same"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pageloom.constants import BLOCK_SIGNATURES, JS_PHRASES
 from pageloom.functions.fetch import is_blocked, needs_js
 from pageloom.operators import crawl, fetch, jobs
+from pageloom.plans import run
 from pageloom.plans.derived import ATTEMPTS, CRAWL_EDGES, CRAWL_INTENTS, JOB_URLS
-from pageloom.plans.registry import pages, query, run_sql
+from pageloom.plans.page_queries import DISTINCT_LINKS_SQL, MAIN_TEXT_SQL
+from pageloom.plans.registry import pages, query, run_sql, table
 from pageloom.session import scratch_path
 from pageloom.sources.readers import read_attempts, read_jobs
 
@@ -69,19 +71,31 @@ def _follow(spark, sf):
 _EDGES = f"e as ({CRAWL_EDGES})"
 
 
-@query("crawl", f"""with recursive i as ({CRAWL_INTENTS}), {_EDGES},
+CRAWL_SQL = f"""with recursive i as ({CRAWL_INTENTS}), {_EDGES},
  v as (select job_id, url, 0 as hop, []::integer[] as path from i
   union select v.job_id, e.href, v.hop + 1, list_append(v.path, e.pos) from v join i on i.job_id = v.job_id join e on e.src = v.url
   where v.hop < i.depth and {_HOST_OF.format('e.href')} = {_HOST_OF.format('i.url')}),
  m as (select job_id, url, min(hop) as hop from v group by job_id, url),
  b as (select v.job_id, v.url, v.hop, min(v.path) as path from v join m on m.job_id = v.job_id and m.url = v.url and m.hop = v.hop group by v.job_id, v.url, v.hop),
  r as (select b.*, row_number() over (partition by b.job_id order by b.hop, b.path, b.url) as rank from b)
-select r.job_id, r.url, r.hop::bigint as hop, r.rank::bigint as rank from r join i on i.job_id = r.job_id where r.rank <= i.max_urls""")
+select r.job_id, r.url, r.hop::bigint as hop, r.rank::bigint as rank from r join i on i.job_id = r.job_id where r.rank <= i.max_urls"""
+
+
+@query("crawl", CRAWL_SQL)
 def _crawl(spark, sf):
     edges = run_sql(spark, sf, CRAWL_EDGES, "pages")
     return crawl.crawl(edges, _intents(spark, sf)).drop("path")
 
 
+@query("whole_run", f"""select distinct v.job_id, md5(t.text) as digest from ({CRAWL_SQL}) v
+ join pages p on p.url = v.url join ({MAIN_TEXT_SQL}) t on t.page_id = p.page_id""")
+def _whole_run(spark, sf):
+    """Walk, page results and items of every site job."""
+    intents = _intents(spark, sf).withColumn("content_target", F.lit(""))
+    visited = run.visited_pages(intents, table(spark, sf, "pages"), run_sql(spark, sf, CRAWL_EDGES, "pages"))
+    return run.job_items(run.job_results(visited)).select("job_id", F.md5("item").alias("digest"))
+
+
 @query("crawl_open", f"""with recursive i as ({CRAWL_INTENTS}), {_EDGES},
  v as (select job_id, url, 0 as hop from i
   union select v.job_id, e.href, v.hop + 1 from v join e on e.src = v.url where v.hop < 2)
@@ -168,7 +182,6 @@ def job_documents(spark, sf):
     return read_jobs(spark, path, one_per_file=False)
 
 
-from pageloom.plans.page_queries import DISTINCT_LINKS_SQL  # noqa: E402
 
 _JOBS = f"""j as (select {_JOB_ID} as job_id, page_id, url, case page_id % 4 when 0 then 'complete' when 1 then 'partial' when 2 then 'running' else 'pending' end as status,
  concat('get links of ', url) as query from pages where page_id % 10 <> 9),
