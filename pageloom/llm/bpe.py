@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
-from pageloom.llm.chunks import Chunks, as_letters, load, packed
+from pageloom.llm.chunks import Chunks, added_tokens, as_letters, load, packed
 from pageloom.llm.text import map_texts
 
 END = "</w>"
@@ -179,7 +179,7 @@ def bpe_chunks(path: str) -> Chunks:
     """
     tokenizer, model = load(path)
     bpe = WordBpe(model["vocab"], model["merges"])
-    added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    added = added_tokens(tokenizer)
     special = re.compile("|".join(f"({re.escape(x)})" for x in sorted(added, key=len, reverse=True)) or "(?!)")
 
     def words(plain: list[str]) -> list[bytes]:
@@ -201,7 +201,7 @@ def bpe_chunks(path: str) -> Chunks:
         return [b"".join(packed([p]) if isinstance(p, int) else b"".join(made[p[0]:p[1]]) for p in parts)
                 for parts in plan]
 
-    return Chunks(words, others)
+    return Chunks(words, others, added=added)
 
 
 def bpe_encode(docs: DataFrame, path: str, keep=("doc_id",), text: str = "text") -> DataFrame:

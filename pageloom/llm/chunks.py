@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -40,6 +40,14 @@ def load(path: str) -> tuple[Tokenizer, dict]:
     return tokenizer, told["model"]
 
 
+def added_tokens(tokenizer: Tokenizer) -> dict[str, int]:
+    """Added tokens and their ids; ValueError if one is not looked for in the raw text, or stands across chunks."""
+    found = tokenizer.get_added_tokens_decoder()
+    if odd := [t.content for t in found.values() if t.normalized or len(t.content.split()) != 1]:
+        raise ValueError(f"added tokens that need other ways: {odd}")
+    return {t.content: i for i, t in found.items()}
+
+
 def packed(ids) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     return np.asarray(ids, dtype="<u4").tobytes()
@@ -54,16 +62,17 @@ class Chunks:
     """``encode(texts)`` gives the packed ids of each text.
 
     ``words`` encodes plain lower-case words, ``others`` any other chunks; both take and return lists.
+    ``added`` are the added tokens, which are looked for before letters are made lower-case.
     The first ``remember`` chunks seen stay in memory, later ones only for one call, so a worker's
     memory is bounded and frequent chunks, which come early, are there.
     """
 
-    def __init__(self, words: Callable, others: Callable, remember: int = REMEMBER):
+    def __init__(self, words: Callable, others: Callable, remember: int = REMEMBER, added: Iterable[str] = ()):
         self.words, self.others, self.remember = words, others, remember
         self.known: dict[str, bytes] = {"": b""}
+        self.added = sorted({x.lower() for x in added})
 
-    @staticmethod
-    def _chunks(text: bytes) -> list[str]:
+    def _chunks(self, text: bytes) -> list[str]:
         told = text.decode("utf-8")
         if not told.isascii():
             try:
@@ -71,7 +80,11 @@ class Chunks:
             except UnicodeEncodeError:
                 return told.replace("\n", " ").split(" ")
         # in Latin-1, lower case does not depend on the place in a word or on the version of Unicode
-        return _MARK.sub(r" \g<0>", told.lower()).replace("\n", " ").split(" ")
+        small = told.lower()
+        # but what is an added token only in lower case must not become one
+        if not any(x in small for x in self.added):
+            told = small
+        return _MARK.sub(r" \g<0>", told).replace("\n", " ").split(" ")
 
     def _learn(self, new: list[str], into: dict[str, bytes]) -> None:
         known = self.known
@@ -144,4 +157,4 @@ def library_chunks(path: str, remember: int = REMEMBER) -> Chunks:
     def others(chunks: list[str]) -> list[bytes]:
         return [packed(e.ids) for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []
 
-    return Chunks(words, others, remember)
+    return Chunks(words, others, remember, added_tokens(tokenizer))
