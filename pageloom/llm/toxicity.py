@@ -11,11 +11,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.llm.text import SLICE, map_texts, text_bytes
+from pageloom.llm.text import SLICE, map_texts, text_bytes, text_key
 from pageloom.session import scratch_path
 
 SHORTEST, LONGEST = 4, 7
-#: Bound of the labelled rows that the classifier is fitted on, and of its n-grams.
+#: Bound of the labelled rows that weights are fitted on (n-grams are counted over all), and of its n-grams.
 MAX_TRAIN, MAX_FEATURES, MIN_DOCS = 8000, 30000, 4
 #: Weight of a toxic row in the fit, ridge, and steps.
 TOXIC_WEIGHT, RIDGE, STEPS = 3.0, 1e-4, 250
@@ -60,15 +60,18 @@ class _Features:
         return sorted(out)
 
 
-def training_rows(labels: DataFrame, bound: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, toxic of at most ``bound`` labelled rows outside the held-out fold, chosen by a hash of the id.
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, key, toxic, text of the labelled documents outside the held-out fold, once for each id and text.
 
     Ids labelled more than once count as toxic if any label says so; null labels and ids are left out.
+    Repeated rows are dropped by an aggregate that combines before the shuffle.
     """
-    return (
+    told = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
+        .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
+    return (
+        docs.select("doc_id", "text").join(told, "doc_id")
+        .groupBy("doc_id", text_key().alias("key")).agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")))
 
 
 def held_out(doc_id):
@@ -77,16 +80,17 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Model:
-    """Log-count ratios, n-grams and weights from a bounded sample of labelled rows (see training_rows).
+    """Log-count ratios and n-grams from all labelled rows (see training_rows), weights from ``bound`` of them.
 
-    The sample's size bounds what is broadcast, stored and sent to the driver. Without labels of both
-    kinds there are no n-grams, and every text gets the share of toxic rows (0 without any row).
+    The rows of the weight fit are chosen by a hash of id and text; their number bounds what is sent to the
+    driver, however often an id is repeated. Without labels of both kinds there are no n-grams, and every
+    text gets the share of toxic rows (0 without any row).
     """
     spark = docs.sparkSession
-    rows = training_rows(labels, bound)
     path = scratch_path(spark, "toxicity")
-    docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("toxic", "text").write.parquet(path)
-    sample = spark.read.parquet(path)
+    training_rows(docs, labels).write.parquet(path)
+    every_row = spark.read.parquet(path)
+    sample = every_row.orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(bound)
 
     def count(batches):
         for batch in batches:
@@ -102,14 +106,14 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Model:
                     "gram": pa.array(list(every), pa.string()), "n": pa.array(list(every.values()), pa.int64()),
                     "toxic": pa.array([toxic[g] for g in every], pa.int64())})
 
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = {r["toxic"]: r["n"] for r in every_row.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sum(n for k, n in totals.items() if k), totals.get(0, 0)
     if not n_toxic or not n_clean:
         share = 0.0 if not n_toxic else 1.0
         return Model({}, np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     ratio = F.log((F.col("toxic") + 1) / (n_toxic + 2.0)) - F.log((F.col("n") - F.col("toxic") + 1) / (n_clean + 2.0))
     chosen = (
-        sample.mapInArrow(count, "gram string, n bigint, toxic bigint")
+        every_row.select("toxic", "text").mapInArrow(count, "gram string, n bigint, toxic bigint")
         .groupBy("gram").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
         .where(F.col("n") >= MIN_DOCS).withColumn("ratio", ratio)
         .orderBy((F.abs("ratio") * F.sqrt("n")).desc(), "gram").limit(MAX_FEATURES).toArrow())
