@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageloom.llm import chat, line_dedup
+from pageloom.llm import chat, line_dedup, merkle
 from pageloom.llm.bpe import bpe_decode, bpe_encode
 from pageloom.llm.chat import chat_digest, format_chats
 from pageloom.llm.decontaminate import contamination
@@ -96,6 +96,10 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("doc_id", *CONTRACT_QUALITY)
 
 
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_text(F.col("doc_id"), F.col("text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup_query,
     "op2_token_file": token_file_query,
@@ -107,5 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": bpe_query,
     "op9_decontamination": decontamination_query,
     "op10_quality": quality_query,
+    "op11_merkle": merkle_query,
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.QUERY_SQL, "op6_chat_format": chat.QUERY_SQL}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.QUERY_SQL, "op6_chat_format": chat.QUERY_SQL, "op11_merkle": merkle.QUERY_SQL}
