@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageloom.llm import chat, line_dedup, merkle
+from pageloom.llm import chat, language, line_dedup, merkle
 from pageloom.llm.bpe import bpe_decode, bpe_encode
 from pageloom.llm.chat import chat_digest, format_chats
 from pageloom.llm.decontaminate import contamination
@@ -100,6 +100,12 @@ def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_text(F.col("doc_id"), F.col("text")))
 
 
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = language.predict(docs, language.fit(docs))
+    return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup_query,
     "op2_token_file": token_file_query,
@@ -112,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": decontamination_query,
     "op10_quality": quality_query,
     "op11_merkle": merkle_query,
+    "op12_language": language_query,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.QUERY_SQL, "op6_chat_format": chat.QUERY_SQL, "op11_merkle": merkle.QUERY_SQL}
