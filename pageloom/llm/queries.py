@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageloom.llm import chat, language, line_dedup, merkle
+from pageloom.llm import chat, language, line_dedup, merkle, repair
 from pageloom.llm.bpe import bpe_decode, bpe_encode
 from pageloom.llm.chat import chat_digest, format_chats
 from pageloom.llm.decontaminate import contamination
@@ -106,6 +106,10 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup_query,
     "op2_token_file": token_file_query,
@@ -119,6 +123,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality_query,
     "op11_merkle": merkle_query,
     "op12_language": language_query,
+    "op13_repair": repair_query,
 }
 ORACLES: dict[str, str] = {
-    "op1_line_dedup": line_dedup.QUERY_SQL, "op6_chat_format": chat.QUERY_SQL, "op11_merkle": merkle.QUERY_SQL}
+    "op1_line_dedup": line_dedup.QUERY_SQL, "op6_chat_format": chat.QUERY_SQL, "op11_merkle": merkle.QUERY_SQL,
+    "op13_repair": repair.QUERY_SQL}
