@@ -1,6 +1,6 @@
 """Merkle manifest of a dataset: a tree per source over its documents, a tree of the sources' roots above, proofs of all rows.
 
-Trees are cut into superblocks of ``BLOCK`` consecutive nodes. A first pass reduces each superblock to one node;
+Trees are cut into superblocks of ARITY ** LEVELS consecutive nodes. A first pass reduces each superblock to one node;
 these are the nodes of the next tier, until every source, and then the table, is one node. Proofs come down again:
 at each tier the nodes of a superblock are cogrouped with the nodes outside it that its proofs need (at most two a
 level), and reduced, joined with those and folded in one function. A group never holds more than a superblock.
@@ -18,8 +18,7 @@ from pageloom.llm.order import group_runs, in_order, part_of, stored
 from pageloom.llm.sql import crc32_sql
 
 ARITY = 3
-LEVELS = 6  # of a superblock
-BLOCK = ARITY**LEVELS
+LEVELS = 6  # of a superblock: 729 nodes
 #: Steps of a proof are numbered upwards; those of the tree over the sources from here on.
 ABOVE = 1_000
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -44,10 +43,10 @@ def tampered_text(doc_id: Column, text: Column) -> Column:
     return F.when(even, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
 
 
-def _levels(nodes: list[str], in_larger: bool) -> list[list[str]]:
+def _levels(nodes: list[str], height: int, in_larger: bool) -> list[list[str]]:
     """The levels of a superblock, nodes first; one that is a whole tree ends as soon as one node is left."""
     levels = [nodes]
-    while len(levels) <= LEVELS and (in_larger or len(levels[-1]) > 1):
+    while len(levels) <= height and (in_larger or len(levels[-1]) > 1):
         last = levels[-1]
         levels.append([_h("".join(last[i:i + ARITY])) for i in range(0, len(last), ARITY)])
     return levels
@@ -67,44 +66,43 @@ def _fold(digest: str, steps: list[tuple[str, str]]) -> str:
     return digest
 
 
-def _read_block(nodes: pd.DataFrame) -> tuple[pd.DataFrame, list[list[str]]]:
+def _read_block(nodes: pd.DataFrame, height: int) -> tuple[pd.DataFrame, list[list[str]]]:
     nodes = nodes.sort_values("rank")
-    return nodes, _levels([x.hex() for x in nodes["digest"]], bool(nodes["n"].iloc[0] > BLOCK))
+    return nodes, _levels([x.hex() for x in nodes["digest"]], height, bool(nodes["n"].iloc[0] > ARITY**height))
 
 
-def block_roots(nodes: DataFrame) -> DataFrame:
+def block_roots(nodes: DataFrame, height: int = LEVELS) -> DataFrame:
     """The nodes of the next tier (tree, rank, n, digest), from those of a tier: one for each superblock."""
     def reduce(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        (top,) = _read_block(block)[1][-1]
-        return pd.DataFrame({"tree": [key[0]], "rank": [key[1]], "n": [-(-int(block["n"].iloc[0]) // BLOCK)],
+        (top,) = _read_block(block, height)[1][-1]
+        return pd.DataFrame({"tree": [key[0]], "rank": [key[1]], "n": [-(-int(block["n"].iloc[0]) // ARITY**height)],
                              "digest": [bytes.fromhex(top)]})
 
-    block = F.expr(f"rank div {BLOCK}").alias("block")
-    return nodes.select("tree", block, "rank", "n", "digest").groupBy("tree", "block").applyInPandas(
+    return _by_block(nodes.select("tree", "rank", "n", "digest"), height).applyInPandas(
         reduce, "tree bigint, rank bigint, n bigint, digest binary")
 
 
-def _steps_down(nodes: DataFrame, outer: DataFrame, first_place: int) -> DataFrame:
+def _steps_down(nodes: DataFrame, outer: DataFrame, first_place: int, height: int) -> DataFrame:
     """The steps from each node of a tier to the root: what the superblock below it needs from outside (STEP)."""
     def join(key: tuple, block: pd.DataFrame, outside: pd.DataFrame) -> pd.DataFrame:
-        block, levels = _read_block(block)
+        block, levels = _read_block(block, height)
         beyond = list(outside.sort_values("place")[["place", "left", "right"]].itertuples(index=False, name=None))
         rows = [(key[0], rank, place, left, right) for at, rank in enumerate(block["rank"]) for place, left, right in [
             *((first_place + i, *pair) for i, pair in enumerate(_siblings(levels, at))), *beyond]]
         return pd.DataFrame(rows, columns=["tree", "block", "place", "left", "right"])
 
-    return _by_block(nodes).cogroup(outer.groupBy("tree", "block")).applyInPandas(join, STEP)
+    return _by_block(nodes, height).cogroup(outer.groupBy("tree", "block")).applyInPandas(join, STEP)
 
 
-def _by_block(nodes: DataFrame):
-    return nodes.withColumn("block", F.expr(f"rank div {BLOCK}")).groupBy("tree", "block")
+def _by_block(nodes: DataFrame, height: int):
+    return nodes.withColumn("block", F.expr(f"rank div {ARITY**height}")).groupBy("tree", "block")
 
 
-def _tiers(nodes: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+def _tiers(nodes: DataFrame, height: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """The tables of nodes of each tier, and beside each the roots of the trees that end with it."""
     tiers, ended = [], []
     while True:
-        above = stored(block_roots(nodes), "nodes")
+        above = stored(block_roots(nodes, height), "nodes")
         tiers.append(nodes)
         ended.append(above.where("n = 1"))
         nodes = above.where("n > 1")
@@ -112,7 +110,7 @@ def _tiers(nodes: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
             return tiers, ended
 
 
-def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column | None = None, height: int = LEVELS) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of each row of ``docs``.
 
     ``docs`` has FIELDS; other columns are not read. A row's leaf is made of all FIELDS; ``tampered`` is the text that
@@ -120,7 +118,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     a source, the first; within a source rows ascend by doc_id (null first), then by digest, so ties and repeated
     rows have places, each its own proof. An empty table has no rows and no root.
 
-    ``folded_root`` is the leaf of the text to verify, folded with the siblings of the untampered tree;
+    ``height`` is that of a superblock. ``folded_root`` is the leaf of the text to verify, folded with the siblings of the untampered tree;
     ``proof_sha256`` is of those siblings. A whole text is read once; all else works on digests. One digest
     (the root), the number of sources and one number a tier reach the driver.
     """
@@ -136,37 +134,37 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
                          F.col("n"), F.col("group_no").alias("tree"))
     leaves = rows.join(of_run, (part_of() == F.col("of_part")) & F.col("source").eqNullSafe(F.col("of_source"))).select(
         "doc_id", "tree", (F.col("before") + F.col("at") - F.col("first")).alias("rank"), "n", "digest", "checked")
-    tiers, ended = _tiers(leaves)
+    tiers, ended = _tiers(leaves, height)
     n_sources = (runs.agg(F.max("group_no")).first()[0] if runs.head(1) else -1) + 1
     subroots = ended[0]
     for more in ended[1:]:
         subroots = subroots.unionByName(more)
     top = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("rank"),
                           F.lit(n_sources).cast("long").alias("n"), "digest")
-    top_tiers, top_ended = _tiers(top)
+    top_tiers, top_ended = _tiers(top, height)
     last = top_ended[-1].first()
     root = bytes(last["digest"]).hex() if last else None
 
     outer = docs.sparkSession.createDataFrame([], STEP)
     for i in range(len(top_tiers) - 1, -1, -1):
-        outer = _steps_down(top_tiers[i], outer, ABOVE + i * LEVELS)
+        outer = _steps_down(top_tiers[i], outer, ABOVE + i * height, height)
     outer = stored(outer, "steps")  # of the sources' roots: block is the source
     from_root = outer.select(F.col("block").alias("tree"), F.lit(0).cast("long").alias("block"), "place", "left", "right")
     below = outer.limit(0)
     for i in range(len(tiers) - 1, -1, -1):
         below = below.unionByName(from_root.join(ended[i].select("tree"), "tree", "left_semi").select(*below.columns))
         if i:
-            below = stored(_steps_down(tiers[i], below, i * LEVELS), "steps")
+            below = stored(_steps_down(tiers[i], below, i * height, height), "steps")
     # pandas has no integers beside nulls, so ids pass it as text
-    done = _by_block(leaves.withColumn("doc_id", F.col("doc_id").cast("string"))).cogroup(
-        below.groupBy("tree", "block")).applyInPandas(_finisher(root), f"doc_id string, {PROOF}")
+    done = _by_block(leaves.withColumn("doc_id", F.col("doc_id").cast("string")), height).cogroup(
+        below.groupBy("tree", "block")).applyInPandas(_finisher(root, height), f"doc_id string, {PROOF}")
     return done.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
-def _finisher(root: str | None):
+def _finisher(root: str | None, height: int):
     """Reduces a superblock of leaves, joins its proofs with the nodes outside it and folds them."""
     def finish(block: pd.DataFrame, outside: pd.DataFrame) -> pd.DataFrame:
-        block, levels = _read_block(block)
+        block, levels = _read_block(block, height)
         outside = outside.sort_values("place")
         beyond = list(zip(outside["left"], outside["right"]))
         within = [step for step, place in zip(beyond, outside["place"]) if place < ABOVE]
