@@ -27,9 +27,7 @@ def link_table(pages: DataFrame) -> DataFrame:
 def visit_order(visits: DataFrame) -> DataFrame:
     """Visits with ``url_seq``, their place in the walk: the rank of capped jobs, numbered else."""
     capped = visits.where(F.col("rank").isNotNull()).withColumn("url_seq", F.col("rank").cast("bigint"))
-    branch = F.col("hop") * F.lit(1 << 32) + F.coalesce(F.get("path", F.lit(0)), F.lit(0))
-    free = number_rows(visits.where(F.col("rank").isNull()).withColumn("_branch", branch),
-                       ["job_id"], "_branch", ["path", "url"], name="url_seq").drop("_branch")
+    free = number_rows(visits.where(F.col("rank").isNull()), ["job_id"], "hop", ["label", "url"], name="url_seq")
     return capped.unionByName(free).select("job_id", "url", "hop", "url_seq")
 
 
@@ -78,14 +76,46 @@ def job_items(results: DataFrame, saved: DataFrame | None = None) -> DataFrame:
     return dedup_items(rows) if saved is None else new_items(rows, saved)
 
 
-def resumed_pages(jobs: DataFrame, pages: DataFrame) -> DataFrame:
-    """The pending snapshots of unfinished job documents, as ``visited_pages`` gives them.
+def job_walk(jobs: DataFrame) -> DataFrame:
+    """The walks of unfinished job documents as ``crawl`` wants them: job_id, url, hop, label, rank, state.
 
-    Failed URLs are not tried again. ``url_seq`` goes on after the results already saved.
+    Documents keep the order of their URLs and no hops, so what is pending counts as a seed: it is
+    followed as far as the intent says. Processed URLs come first, then pending ones; those that
+    failed are known and have no place.
+    """
+    open_jobs = jobs.where(F.col("status") != "complete")
+    listed = lambda c, state: F.transform(F.coalesce(F.col(c), F.array()), lambda u: F.struct(
+        u.alias("url"), F.lit(state).alias("state")))
+    queue = F.concat(listed("urls_processed", "processed"), listed("urls_pending", "pending"))
+    capped = F.coalesce(F.col("intent.max_urls"), F.lit(0)) > 0
+    placed = open_jobs.select("job_id", capped.alias("_capped"), F.posexplode(queue).alias("_at", "u")).select(
+        "job_id", "u.url", F.col("_at").cast("bigint").alias("label"),
+        F.when(F.col("_capped"), F.col("_at") + 1).alias("rank"), "u.state")
+    failed = open_jobs.select("job_id", F.explode(listed("urls_failed", "failed")).alias("u")).select(
+        "job_id", "u.url", F.lit(0).cast("bigint").alias("label"), F.lit(None).cast("int").alias("rank"), "u.state")
+    failed = failed.join(placed, ["job_id", "url"], "left_anti")
+    return placed.unionByName(failed).withColumn("hop", F.lit(0))
+
+
+def resumed_pages(jobs: DataFrame, pages: DataFrame, links: DataFrame | None = None,
+                  same_domain_only: bool = True) -> DataFrame:
+    """The snapshots that unfinished job documents still have to see, as ``visited_pages`` gives them.
+
+    These are the pending URLs and, with ``links``, what the walk reaches from them (the documents'
+    intents then have ``url``, ``max_urls`` and ``depth``). Failed URLs are not tried again.
+    ``url_seq`` goes on after the results already saved.
     """
     intents = jobs.select("job_id", "intent.intent_type", "intent.content_target",
                           F.greatest(F.size("results"), F.lit(0)).alias("_saved"))
-    return resume_frontier(jobs).join(intents, "job_id").join(pages.select("page_id", "url", "html"), "url").select(
+    todo = resume_frontier(jobs)
+    if links is not None:
+        rules = jobs.select("job_id", "intent.url", "intent.intent_type", "intent.max_urls", "intent.depth")
+        state = job_walk(jobs)
+        done = state.where(F.col("state") != "pending").select("job_id", "url")
+        walk = crawl(links, rules, same_domain_only, state=state).join(done, ["job_id", "url"], "left_anti")
+        todo = number_rows(walk, ["job_id"], "hop", ["label", "url"], name="_no").select(
+            "job_id", (F.col("_no") - 1).alias("url_seq"), "url")
+    return todo.join(intents, "job_id").join(pages.select("page_id", "url", "html"), "url").select(
         "job_id", (F.col("url_seq") + F.col("_saved")).cast("bigint").alias("url_seq"), "page_id", "url", "html",
         "intent_type", "content_target")
 

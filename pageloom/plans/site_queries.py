@@ -84,7 +84,19 @@ select r.job_id, r.url, r.hop::bigint as hop, r.rank::bigint as rank from r join
 @query("crawl", CRAWL_SQL)
 def _crawl(spark, sf):
     edges = run_sql(spark, sf, CRAWL_EDGES, "pages")
-    return crawl.crawl(edges, _intents(spark, sf)).drop("path")
+    return crawl.crawl(edges, _intents(spark, sf)).drop("label")
+
+
+@query("crawl_resumed", CRAWL_SQL)
+def _crawl_resumed(spark, sf):
+    """Walks broken off after one hop or after two, stored, and taken up again: the same visits."""
+    edges, intents = run_sql(spark, sf, CRAWL_EDGES, "pages"), _intents(spark, sf)
+    last = F.when(F.length("job_id") % 3 == 0, 1).otherwise(2)
+    begun = crawl.crawl(edges, intents, max_hops=2).where(F.col("hop") <= last)
+    seen = begun.where(F.col("hop") < last).select("job_id", "url", F.lit("processed").alias("state"))
+    path = scratch_path(spark, "walk")
+    crawl.walk_state(begun, seen).write.parquet(path)
+    return crawl.crawl(edges, intents, state=spark.read.parquet(path)).drop("label")
 
 
 @query("whole_run", f"""select distinct v.job_id, md5(t.text) as digest from ({CRAWL_SQL}) v

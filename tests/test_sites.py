@@ -21,7 +21,7 @@ def edges(spark):
 def walk(spark, depth, cap, same=True, kind="deep_content"):
     intents = spark.createDataFrame([("j", address("a"), kind, cap, depth)], "job_id string, url string, intent_type string, max_urls int, depth int")
     rows = crawl.crawl(edges(spark), intents, same).collect()
-    rows.sort(key=lambda r: (r.hop, r.path))
+    rows.sort(key=lambda r: (r.hop, r.label))
     assert [r.rank for r in rows] == ([None] * len(rows) if cap == 0 else list(range(1, len(rows) + 1)))
     return " ".join(f"{r.url[-1]}{r.hop}" for r in rows)
 
@@ -37,6 +37,34 @@ def test_closed_web(spark):
     assert walk(spark, 3, 25, kind="structured_data") == "a0"
 
 
+def _sequential(edges_of, depth, cap, steps):
+    """A queue worked off page by page, stopped after some: state rows, and the whole walk's URLs."""
+    queue, hops, done = [address("a")], {address("a"): 0}, 0
+    state = None
+    while True:
+        if done == steps:
+            state = [(u, hops[u], i + 1, "processed" if i < done else "pending") for i, u in enumerate(queue)]
+        if done == len(queue):
+            return state, queue
+        url, done = queue[done], done + 1
+        for target in edges_of[url]:
+            if target not in hops and target.startswith("https://w.test/") and hops[url] < depth and (not cap or len(queue) < cap):
+                hops[target] = hops[url] + 1
+                queue.append(target)
+
+
+def test_a_walk_goes_on_after_a_break_at_any_page(spark):
+    of = {address(s): [address(t) for t in WEB.get(s, "")] for s in "abcdefx"}
+    for cap, steps in [(25, 1), (25, 2), (5, 3), (0, 1), (0, 2), (4, 2), (25, 6)]:
+        state, whole = _sequential(of, 3, cap, steps)
+        rows = [("j", u, h, i, i if cap else None, s) for u, h, i, s in state] + [("j", address("zz"), 1, 0, None, "failed")]
+        intents = spark.createDataFrame([("j", address("a"), "deep_content", cap, 3)], "job_id string, url string, intent_type string, max_urls int, depth int")
+        stored = spark.createDataFrame(rows, "job_id string, url string, hop int, label bigint, rank int, state string")
+        got = sorted((r for r in crawl.crawl(edges(spark), intents, state=stored).collect() if r.url != address("zz")), key=lambda r: (r.hop, r.label))
+        assert [r.url for r in got] == whole
+        assert [r.rank for r in got] == (list(range(1, len(whole) + 1)) if cap else [None] * len(whole))
+
+
 def test_scope_cap(spark):
     intents = spark.createDataFrame([("j", "https://w.test/", "deep_content", 3, 1), ("free", "https://w.test/", "deep_content", 0, 1)],
                                     "job_id string, url string, intent_type string, max_urls int, depth int")
@@ -164,3 +192,18 @@ def test_resumed_run(spark):
     results = run.job_results(visited, pages.select("url", F.lit("p").alias("selector")))
     rows = run.resumed_items(results, jobs_).orderBy("url_seq").collect()
     assert [(r.url_seq, r.item[:6]) for r in rows] == [(0, "item 1"), (2, "item 2")]
+
+
+def test_resumed_run_goes_on_crawling(spark):
+    pages = spark.createDataFrame([(i, f"https://a.test/{i}", "<p>x") for i in range(9)], "page_id bigint, url string, html string")
+    links = spark.createDataFrame([(f"https://a.test/{s}", i, f"https://a.test/{t}") for s, ts in {4: [0, 3, 6, 2], 2: [7, 8], 6: [1]}.items() for i, t in enumerate(ts)],
+                                  "src string, pos int, href string")
+    for cap, want in [(0, [4, 2, 6, 7, 8]), (5, [4, 2, 6, 7]), (25, [4, 2, 6, 7, 8])]:
+        doc = {"job_id": "j", "status": "partial", "urls_pending": ["https://a.test/4", "https://a.test/2"], "urls_processed": ["https://a.test/0"],
+               "urls_failed": ["https://a.test/3"], "results": [{"url": "https://a.test/0", "items": ["x"]}],
+               "intent": {"url": "https://a.test/0", "intent_type": "deep_content", "content_target": "", "max_urls": cap, "depth": 1}}
+        docs = spark.read.schema("job_id string, status string, intent struct<url string, intent_type string, content_target string, max_urls int, depth int>, urls_pending array<string>, "
+                                 "urls_processed array<string>, urls_failed array<string>, results array<struct<url string, items array<string>>>").json(
+            spark.createDataFrame([(json.dumps(doc),)], "v string").rdd.map(lambda r: r.v))
+        seen = run.resumed_pages(docs, pages, links).orderBy("url_seq").collect()
+        assert [(r.url_seq, r.page_id) for r in seen] == list(enumerate(want, 1))
