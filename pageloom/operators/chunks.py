@@ -7,14 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from pageloom.constants import CHUNK_CHARS
 from pageloom.functions.sqltext import bind, strip_sql
 from pageloom.operators.clean import body_sql, join_marks_sql, marks_sql, subtree_sql
-from pageloom.operators.html import RAW, TEXT
+from pageloom.operators.html import RAW, TEXT, running_sum_sql
 
-# Characters of the markup of every node with its subtree (null for cut-out nodes); a node without
-# children is its own size.
+# Characters of the markup of every node with its subtree (null for cut-out nodes): a difference of running sums.
 _SIZES = bind(
-    "transform(marks, m -> coalesce(length(m.o) + length(m.c), 0))", "own",
-    "transform(ns, n -> case when n is null then null when n.last = n.pre then get(own, n.pre) "
-    "else aggregate(slice(own, n.pre + 1, n.last - n.pre + 1), 0, (x, y) -> x + y) end)")
+    "transform(marks, m -> coalesce(length(m.o) + length(m.c), 0))", "own", bind(
+        running_sum_sql("own"), "sums",
+        "transform(ns, n -> if(n is null, null, get(sums, n.last) - get(sums, n.pre) + get(own, n.pre)))"))
 
 
 def _blocks_sql(limit: int) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.constants import CHUNK_CHARS, KEEP_ATTRS, OVERLAY_PATTERNS, STRIP_TAGS
 from pageloom.functions.sqltext import bind, lit, lits, strip_sql
-from pageloom.operators.html import COMMENT, RAW, TEXT, VOID, inside_sql
+from pageloom.operators.html import COMMENT, RAW, TEXT, VOID, inside_sql, nearest_sql, running_sum_sql
 
 
 def _cut_sql(nodes: str, root: str) -> str:
@@ -96,22 +96,75 @@ BLOCK_TAGS = [
 ]
 
 
-def main_text_sql(nodes: str) -> str:
-    """Innermost text blocks that are headings, cells or hold text outside their links."""
-    block = f"in ({lits(BLOCK_TAGS)})"
-    innermost = f"filter(ns, n -> n.tag {block} and not exists(slice(ns, n.pre + 2, n.last - n.pre), d -> d.tag {block}))"
+#: Elements that part a page without saying what they hold.
+CONTAINERS = [
+    "html", "body", "main", "article", "section", "div", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr",
+    "form", "fieldset", "figure", "details", "summary", "address", "center", "hr",
+]
+#: Characters outside links that loose text must bring to count as prose, and what a character in a link costs.
+LOOSE_COST, LINK_COST = 100, 3
+
+
+def _text_blocks_sql() -> str:
+    """Blocks of text of the array ``ns`` in document order: text, prose, head, and the characters outside and in links.
+
+    A text belongs to the innermost block tag that it lies in, or else to the nearest element that parts the page;
+    texts that follow each other in the same element are one block. Needs the flags ``linked``.
+    """
+    semantic = f"transform(ns, n -> if(coalesce(n.tag in ({lits(BLOCK_TAGS)}), false), 1, 0))"
+    # innermost: no further block tag up to the last node inside
+    innermost = "transform(ns, n -> coalesce(get(sem, n.pre) = 1 and get(sums, n.last) = get(sums, n.pre), false))"
+    parts = f"transform(ns, (n, i) -> get(inner, i) or coalesce(n.tag in ({lits(BLOCK_TAGS + CONTAINERS)}), false) and not get(within, i))"
+    words = (f"transform(filter(ns, n -> n.tag = '{TEXT}' and {strip_sql('n.text')} <> ''), n -> "
+             f"struct(get(home, n.pre) as home, {strip_sql('n.text')} as t, get(linked, n.pre) as l))")
+    starts = ("filter(transform(words, (w, i) -> if(coalesce(get(words, i - 1).home <> w.home, true), i, null)), s -> s is not null)")
     # the links of a block: a block that lies in a link as a whole is no list of links
-    own = (f"get(linked, n.pre) or exists(inside, d -> d.tag = '{TEXT}' and not get(linked, d.pre) and {strip_sql('d.text')} <> '')")
-    wanted = bind(subtree_sql("ns", "n"), "inside", f"if(n.tag rlike '^(?:h[1-6]|t[dh])$' or {own}, {text_sql('inside', ' ')}, '')")
-    found = f"array_join(filter(transform({innermost}, n -> {wanted}), t -> t <> ''), '\\n')"
+    free = "filter(run, w -> not w.l or get(linked, w.home))"
+    chars = lambda ws: f"aggregate({ws}, 0, (x, w) -> x + length(w.t))"
+    tag = "get(ns, get(run, 0).home).tag"
+    block = (f"struct(array_join(transform(run, w -> w.t), ' ') as text, {tag} in ({lits(BLOCK_TAGS)}) as prose, "
+             f"{tag} rlike '^(?:h[1-6]|t[dh])$' as head, {chars(free)} as free, {chars('run')} as every)")
+    blocks = ("transform(starts, (s, i) -> " + bind("slice(words, s + 1, coalesce(get(starts, i + 1), size(words)) - s)", "run", block) + ")")
+    return bind(semantic, "sem", bind(running_sum_sql("sem"), "sums", bind(innermost, "inner", bind(
+        inside_sql("ns", "inner"), "within", bind(parts, "parts", bind(nearest_sql("ns", "parts"), "home", bind(
+            words, "words", bind(starts, "starts", blocks))))))))
+
+
+def _stretch_sql(blocks: str) -> str:
+    """First and last index of the run of blocks with the largest sum of scores, by one fold; (-1, -1) if none is above 0.
+
+    A block scores its characters outside links less LINK_COST for each in one; loose text also LOOSE_COST,
+    once for blocks of it that follow each other.
+    """
+    gain = f"x.b.free - {LINK_COST} * (x.b.every - x.b.free)"
+    alone = f"{gain} - if(x.b.prose, 0, {LOOSE_COST})"
+    longer = f"acc.sum + {gain} - if(x.b.prose or acc.loose, 0, {LOOSE_COST})"
+    better = "if(m.sum > acc.best, {}, {})"
+    step = bind(f"if({longer} >= {alone}, struct({longer} as sum, acc.at as at), struct({alone} as sum, x.i as at))", "m",
+                "struct(m.sum as sum, m.at as at, not x.b.prose as loose, greatest(m.sum, acc.best) as best, "
+                f"{better.format('m.at', 'acc.first')} as first, {better.format('x.i', 'acc.final')} as final)")
+    start = "struct(-1000000000 as sum, 0 as at, false as loose, 0 as best, -1 as first, -1 as final)"
+    return f"aggregate(transform({blocks}, (b, i) -> struct(b as b, i as i)), {start}, (acc, x) -> {step})"
+
+
+def main_text_sql(nodes: str) -> str:
+    """Blocks that are headings, cells or hold text outside their links; loose ones inside the densest stretch alone."""
     links = inside_sql("ns", "transform(ns, n -> coalesce(n.tag = 'a', false))")
+    kept = "b.prose and (b.head or b.free > 0) or b.free > 0 and i between best.first and best.final"
+    found = bind(_text_blocks_sql(), "blocks", bind(_stretch_sql("blocks"), "best", (
+        f"array_join(filter(transform(blocks, (b, i) -> if({kept}, b.text, '')), t -> t <> ''), {lit(chr(10))})")))
     return bind(cut_tags_sql(nodes), "ns", bind(links, "linked", bind(
-        found, "blocks", f"if(blocks = '', {text_sql('ns', chr(10))}, blocks)")))
+        found, "kept", f"if(kept = '', {text_sql('ns', chr(10))}, kept)")))
 
 
 def main_text(parsed: DataFrame) -> DataFrame:
-    """H7: main content by structure: blocks that are headings, cells or hold text outside their
-    links, whatever their length, one per line; H6 when no block qualifies."""
+    """H7: main content by text density, one block per line; H6 when no block qualifies.
+
+    Headings, cells and blocks of text (paragraphs, list items and the like) stay whatever their length unless
+    all their text is links. Text loose in ``div`` and other containers, or beside blocks inside an element, is a
+    block of its own and stays inside the stretch of the page with most text outside links: a lone notice does not,
+    an article written in ``div`` does. The work grows with the nodes, times the logarithm of the depth.
+    """
     key = [c for c in parsed.columns if c != "nodes"]
     return parsed.select(*key, F.expr(main_text_sql("nodes")).alias("text"))
 

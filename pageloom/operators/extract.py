@@ -15,7 +15,7 @@ from pageloom.constants import (
     NO_MATCH_REASON, SCHEMA_SAMPLES, VALIDATION_SAMPLES,
 )
 from pageloom.functions.replies import decode_response, reply_bool, reply_string
-from pageloom.functions.sqltext import lit
+from pageloom.functions.sqltext import bind, lit
 from pageloom.functions.text import let, nth
 from pageloom.functions.urls import authority
 from pageloom.operators.clean import clean_sql, main_text_sql
@@ -37,6 +37,10 @@ Answer with one JSON object holding fields (a list of names) and reasoning, and
 Wanted: """
 
 
+#: Tasks over which the pages of one host are dealt when they look up its selector.
+HOST_SALTS = 16
+
+
 def _with_id(prompts: DataFrame) -> DataFrame:
     return prompts.withColumn("prompt_id", F.sha2("prompt", 256))
 
@@ -189,6 +193,38 @@ def lookup_selector(urls: DataFrame, cache: DataFrame) -> DataFrame:
         .withColumn("selector", F.coalesce("_exact", "_hosted")).drop("_exact", "_hosted", "_host"))
 
 
+def host_hints(visits: DataFrame, choices: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """X9 in the order of a walk: visits(job_id, url_seq, url, ...) with ``hint``, the selector known when a page's turn comes.
+
+    That is the cached one of its URL, else the host's first: of those of ``cache(job_id, url, seq, selector)``, known
+    before the walk, else the one that an earlier page of the job found there, by ``choices(job_id, url_seq, selector)``
+    (what each page finds on its own, see ``choose_selector``). A page without a host, and a host's pages up
+    to the one that finds the first, have none. A page that uses a hint adds nothing new for its host, so
+    the first finder does not depend on who used it.
+
+    An as-of join with one row per job and host on its right side: an aggregate combined before the shuffle.
+    Visits of a hot host are dealt over HOST_SALTS tasks.
+    """
+    host = authority(F.col("url"))
+    salt = F.pmod(F.xxhash64("url"), F.lit(HOST_SALTS))
+    found = visits.select("job_id", "url_seq", host.alias("_host")).join(
+        choices.where(F.col("selector").isNotNull()).select("job_id", "url_seq", "selector"), ["job_id", "url_seq"])
+    firsts = found.select("job_id", "_host", F.struct(F.lit(1).alias("late"), F.col("url_seq").cast("bigint").alias("at"), "selector").alias("entry"))
+    if cache is not None:
+        known = cache.where(F.col("selector").isNotNull())
+        firsts = firsts.unionByName(known.select("job_id", host.alias("_host"), F.struct(
+            F.lit(0).alias("late"), F.col("seq").cast("bigint").alias("at"), "selector").alias("entry")))
+    firsts = firsts.groupBy("job_id", "_host").agg(F.min("entry").alias("_first")).withColumn(
+        "_salt", F.explode(F.expr(f"sequence(0L, {HOST_SALTS - 1}L)")))
+    hinted = visits.withColumn("_host", host).withColumn("_salt", salt).join(firsts, ["job_id", "_host", "_salt"], "left")
+    earlier = (F.col("_first.late") == 0) | (F.col("_first.at") < F.col("url_seq"))
+    hint = F.when(earlier, F.col("_first.selector"))
+    if cache is not None:
+        exact = known.groupBy("job_id", "url").agg(F.max_by("selector", "seq").alias("_exact"))
+        hinted, hint = hinted.join(exact, ["job_id", "url"], "left"), F.coalesce(F.col("_exact"), hint)
+    return hinted.select(*visits.columns, hint.alias("hint"))
+
+
 def schema_prompts(items: DataFrame, targets: DataFrame, key: str = "page_id") -> DataFrame:
     """A prompt naming the fields of up to ten sampled items per key."""
     samples = _samples(items, [key], SCHEMA_SAMPLES, F.concat(F.lit("  - "), "item"))
@@ -223,21 +259,26 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """X11: result per page: items, selector_used, schema_fields, cleaned_text, method.
 
     ``pages`` comes from ``with_choices``; without ``selector`` and ``fields`` columns all pages are
-    text pages. A page without selector or matches is a text page: its text is its only item. Selectors
-    are tried on the cleaned page. Other columns are kept, and everything is built inside the page's row.
+    text pages. A ``hint`` column (see ``host_hints``) is tried first and used, unvalidated, if it matches anything.
+    A page without selector or matches is a text page: its text is its only item. Selectors
+    are tried on the page cleaned once. Other columns are kept, and everything is built inside the page's row.
     """
-    for name, kind in (("selector", "string"), ("fields", "array<string>")):
+    for name, kind in (("selector", "string"), ("hint", "string"), ("fields", "array<string>")):
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast(kind))
     parsed = parse_pages(pages, html)
-    kept = [c for c in parsed.columns if c not in ("nodes", "selector", "fields")]
+    kept = [c for c in parsed.columns if c not in ("nodes", "selector", "hint", "fields")]
+    # one fold over hint and selector: the first of them that matches anything is not tried further
+    none = "struct(cast(null as string) as selector, cast(array() as array<string>) as items)"
+    step = f"if(size(acc.items) > 0, acc, struct(want as selector, {items_sql('tidy', 'want')} as items))"
+    first = f"aggregate(array_compact(array(hint, selector)), {none}, (acc, want) -> {step})"
+    used = f"if(hint is null and selector is null, {none}, {bind(clean_sql('nodes'), 'tidy', first)})"
     found = parsed.select(
-        *kept, "selector", "fields", F.expr(main_text_sql("nodes")).alias("cleaned_text"),
-        F.expr(f"if(selector is not null, {items_sql(clean_sql('nodes'), 'selector')}, null)").alias("found"))
-    by_selector = F.coalesce(F.size("found") > 0, F.lit(False))
+        *kept, "fields", F.expr(main_text_sql("nodes")).alias("cleaned_text"), F.expr(used).alias("found"))
+    by_selector = F.coalesce(F.size("found.items") > 0, F.lit(False))
     return found.select(
-        *kept, F.when(by_selector, F.col("found")).otherwise(F.array("cleaned_text")).alias("items"),
-        F.when(by_selector, F.col("selector")).alias("selector_used"),
+        *kept, F.when(by_selector, F.col("found.items")).otherwise(F.array("cleaned_text")).alias("items"),
+        F.when(by_selector, F.col("found.selector")).alias("selector_used"),
         F.when(by_selector, F.coalesce("fields", F.array(F.lit("value"))))
         .otherwise(F.array(F.lit("content"))).alias("schema_fields"),
         "cleaned_text", F.when(by_selector, "llm_selector").otherwise("text_only").alias("method"))

@@ -281,6 +281,22 @@ def inside_sql(nodes: str, flags: str) -> str:
     return f"aggregate({rounds}, {start}, (s, k) -> {step}, s -> s.f)"
 
 
+def running_sum_sql(values: str) -> str:
+    """Per entry the sum of all up to it (``values``: an array of whole numbers): sums over doubled lengths."""
+    rounds = f"slice(sequence(0, 31), 1, cast(ceil(log2(greatest(1, size({values})))) as int))"
+    return (f"aggregate({rounds}, {values}, (s, k) -> "
+            "transform(s, (x, i) -> x + coalesce(get(s, i - shiftleft(1, k)), 0)))")
+
+
+def nearest_sql(nodes: str, parts: str) -> str:
+    """Per node the index of the nearest element at or above it that ``parts`` (an array of flags) marks, else of
+    its topmost one; by pointer doubling, as in ``inside_sql``."""
+    deepest = f"coalesce(array_max(transform({nodes}, n -> n.depth)), 0)"
+    rounds = f"slice(sequence(0, 31), 1, cast(ceil(log2(1 + {deepest})) as int))"
+    up = f"transform({nodes}, (n, i) -> if(n is null or n.parent < 0 or get({parts}, i), i, n.parent))"
+    return f"aggregate({rounds}, {up}, (s, k) -> transform(s, u -> get(s, u)))"
+
+
 def is_element(node: Column) -> Column:
     return ~node["tag"].startswith("#")
 

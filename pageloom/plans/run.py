@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pageloom.operators.crawl import crawl
-from pageloom.operators.extract import extract
+from pageloom.operators.extract import extract, host_hints
 from pageloom.operators.html import parse_pages
 from pageloom.operators.items import dedup_items, dedup_links, new_items
 from pageloom.operators.links import extract_links
@@ -56,15 +56,22 @@ def job_links(visited: DataFrame) -> DataFrame:
 
 
 def job_results(visited: DataFrame, choices: DataFrame | None = None,
-                fields: DataFrame | None = None) -> DataFrame:
+                fields: DataFrame | None = None, cache: DataFrame | None = None) -> DataFrame:
     """Page results of all other jobs (see ``extract``) with job_id, url_seq and url.
 
-    ``choices(url, selector)`` and ``fields(url, fields)`` apply where the job has a target.
+    ``choices(url, selector)``, what each page finds on its own, and ``fields(url, fields)`` apply where the
+    job has a target. There a page first tries what its job knows of its host: see ``host_hints``, also
+    for ``cache``.
     """
     content = visited.where(F.col("intent_type") != "url_list")
     if choices is not None:
+        wanted = F.col("content_target") != ""
         content = content.join(choices.select("url", "selector"), "url", "left").withColumn(
-            "selector", F.when(F.col("content_target") != "", F.col("selector")))
+            "selector", F.when(wanted, F.col("selector")))
+        # narrow rows: the HTML takes part in the last join alone
+        places = content.where(wanted).select("job_id", "url_seq", "url", "selector")
+        hints = host_hints(places.drop("selector"), places, cache).select("job_id", "url_seq", "hint")
+        content = content.join(hints, ["job_id", "url_seq"], "left")
     if fields is not None:
         content = content.join(fields.select("url", "fields"), "url", "left")
     return extract(content).drop("intent_type", "content_target")

@@ -80,3 +80,39 @@ def test_coverage(spark):
     rows = [("j", "a", "1"), ("j", "a", ""), ("j", "b", "x"), ("k", "a", None)]
     got = {(r.job_id, r.field): (r.coverage, r.valid) for r in extract.field_coverage(spark.createDataFrame(rows, "job_id string, field string, value string")).collect()}
     assert got == {("j", "a"): (0.5, True), ("j", "b"): (1.0, True), ("k", "a"): (0.0, False)}
+
+
+def test_hints_in_the_order_of_the_walk(spark):
+    """Early pages have none, later ones the first selector found before them; other hosts and jobs don't mix."""
+    from pageloom.operators.extract import host_hints
+    from pageloom.plans.run import job_results
+    rows = [("j", i, f"https://a.test/{i}") for i in range(6)] + [("j", 9, "https://b.test/x"), ("j", 10, "no address"), ("k", 0, "https://a.test/0"), ("k", 5, "https://a.test/5")]
+    visits = spark.createDataFrame(rows, "job_id string, url_seq bigint, url string")
+    found = spark.createDataFrame([("j", 1, None), ("j", 2, "li"), ("j", 3, "td"), ("j", 10, "x"), ("k", 5, "dd")], "job_id string, url_seq bigint, selector string")
+    got = {(r.job_id, r.url_seq): r.hint for r in host_hints(visits, found).collect()}
+    assert len(got) == len(rows)
+    assert [got["j", i] for i in range(6)] == [None, None, None, "li", "li", "li"]
+    assert not any(got[k] for k in got if k not in {("j", 3), ("j", 4), ("j", 5)})
+    cache = spark.createDataFrame([("j", "https://a.test/4", 1, "own"), ("j", "https://b.test/y", 7, "later"), ("j", "https://b.test/z", 3, "first"), ("j", "u", 0, None)],
+                                  "job_id string, url string, seq bigint, selector string")
+    got = {(r.job_id, r.url_seq): r.hint for r in host_hints(visits, found, cache).collect()}
+    assert [got["j", i] for i in range(6)] == ["own"] * 6 and got["j", 9] == "first" and got["k", 5] is None
+
+    # a hint that matches nothing falls through to what the page finds itself, and without that to its text
+    html = {0: "<p>zero</p>", 1: "<ul><li>one</ul>", 2: "<table><tr><td>two</table>", 3: "<ul><li>three</ul><table><tr><td>no</table>", 4: "<p>four</p>"}
+    visited = spark.createDataFrame([("j", i, f"https://a.test/{i}", h, "deep_content", "" if i == 4 else "t") for i, h in html.items()],
+                                    "job_id string, url_seq bigint, url string, html string, intent_type string, content_target string")
+    own = spark.createDataFrame([("https://a.test/1", "li"), ("https://a.test/2", "td"), ("https://a.test/3", "td"), ("https://a.test/4", "p")], "url string, selector string")
+    results = {r.url_seq: (r["items"], r.selector_used) for r in job_results(visited, own).collect()}
+    assert results == {0: (["zero"], None), 1: (["one"], "li"), 2: (["two"], "td"), 3: (["three"], "li"), 4: (["four"], None)}
+
+
+def test_a_hot_host_is_no_single_task(spark):
+    from pyspark.sql import functions as F
+    from pageloom.operators.extract import HOST_SALTS, host_hints
+    visits = spark.range(4000).select(F.lit("j").alias("job_id"), F.col("id").alias("url_seq"), F.concat(F.lit("https://a.test/"), "id").alias("url"))
+    found = visits.where("url_seq % 1000 = 7").select("job_id", "url_seq", F.concat(F.lit("s"), "url_seq").alias("selector"))
+    rows = host_hints(visits, found)
+    assert rows.groupBy("hint").count().orderBy("hint").collect() == [(None, 8), ("s7", 3992)]
+    salts = visits.groupBy(F.pmod(F.xxhash64("url"), F.lit(HOST_SALTS))).count().collect()
+    assert len(salts) == HOST_SALTS and max(r[1] for r in salts) < 400

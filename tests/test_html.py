@@ -102,6 +102,41 @@ def test_main_text(parse):
     assert texts(clean.main_text(card)) == ["Book 5 EUR\nname"]
 
 
+def test_main_text_by_density(parse):
+    story = [f"Sentence number {i} of a story that somebody wrote into plain containers." for i in range(6)]
+    notice = "<div>Cookies are used here.</div>"
+    menu = "<div>" + "".join(f"<a href=/{i}>A link of the long menu {i}</a> " for i in range(9)) + "</div>"
+    d = parse(
+        f"{notice}{menu}<h1>Title</h1><div>{'</div><div>'.join(story)}</div>{menu}<div>Imprint</div>",  # an article in divs
+        f"<h1>Title</h1><div>{story[0]}{story[1]}<br>{story[2]}</div>",  # one div beside a heading
+        f"{notice}<p>One paragraph.</p>",  # a lone notice is no prose
+        "<ul><li>loose<p>x</p>tail</li></ul>",  # text beside a block inside a block
+        "<div>before <b>bold</b><p>inner</p></div>" + "<p>" + "words " * 40 + "</p>",
+        f"<table><tr><td><div>{story[0]}</div><div>b</div></td></tr></table><p><a href=x>{story[1]}</a></p>",
+        "", "<div></div>", f"<p>{story[0]}</p><div>bridge</div><p>{story[1]}</p>",
+        "<p>x" + "<b><div>" * 3000 + "deep" + "</div></b>" * 3000)
+    got = texts(clean.main_text(d))
+    assert got[0] == "\n".join(["Title", *story])
+    assert got[1] == f"Title\n{story[0]}{story[1]} {story[2]}"
+    assert got[2:4] == ["One paragraph.", "loose\nx\ntail"]
+    assert got[4] == ("words " * 40).strip().join(["inner\n", ""])
+    assert got[5] == f"{story[0]} b"
+    assert got[6:8] == ["", ""]
+    assert got[8] == f"{story[0]}\n{story[1]}"
+    assert got[9] == "x"
+
+
+def test_chunks_of_a_deep_page(parse):
+    deep = clean.clean_pages(parse("<div>" * 20_000 + "the text" + "</div>" * 20_000))
+    rows = chunks.chunk_pages(deep).collect()
+    assert "".join(r.html for r in rows).count("the text") == 1 and max(r.n_chars for r in rows) <= 6000
+
+
+def test_running_sums_and_nearest(spark):
+    rows = spark.createDataFrame([([3, 1, 4, 1, 5, 9, 2],), ([],), ([7],)], "v array<int>")
+    assert [r[0] for r in rows.select(F.expr(html.running_sum_sql("v"))).collect()] == [[3, 4, 8, 9, 14, 23, 25], [], [7]]
+
+
 def element(tag, size):
     return f"<{tag}>" + "x" * (size - 2 * len(tag) - 5) + f"</{tag}>"
 
