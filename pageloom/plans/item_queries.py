@@ -18,7 +18,7 @@ from pageloom.plans.registry import pages, parsed, query, run_sql, table
 from pageloom.session import scratch_path
 from pageloom.sources import sinks
 from pageloom.sources.readers import read_responses
-from pageloom.streaming import streams
+from pageloom.streaming import job_state, streams
 
 RUN_AT = "2026-01-01T00:00:00+00:00"
 FIELDS = {"customers": ["name", "url"], "parts": ["title", "brand", "size"], "segments": ["name", "url"]}
@@ -505,3 +505,29 @@ def _stream_state(spark, sf):
                              F.when(F.col("value") > 50, "failed").otherwise("processed").alias("state"), F.col("event_id").alias("seq"))
     states = _drained(spark, streams.stream_job_state(outcomes), "stream-state", "update")
     return states.groupBy("job_id", "url").agg(F.max_by("state", "batch_id").alias("state"))
+
+
+# Every page is queued by its site's job, some twice; a third has no outcome yet, some have both, and some URLs were never listed.
+_JOB_EVENTS = """select regexp_extract(url, '^([a-z]+://[^/]*)', 1) as job_id, url, event, page_id from (
+ select url, page_id, 'queued' as event from pages union all select url, page_id, 'queued' from pages where page_id % 5 = 0
+ union all select url, page_id, case when page_id % 4 = 0 then 'failed' else 'done' end from pages where page_id % 3 > 0
+ union all select url, page_id, 'done' from pages where page_id % 8 = 0
+ union all select concat(url, '/late'), page_id, 'failed' from pages where page_id % 6 = 0) t"""
+
+
+@query("stream_job_machine", f"""with e as ({_JOB_EVENTS}),
+ m as (select distinct job_id, url, case event when 'queued' then 'pending' when 'done' then 'processed' else 'failed' end as state from e),
+ s as (select * from m where state <> 'pending' or not exists (select 1 from m o where o.job_id = m.job_id and o.url = m.url and o.state <> 'pending')),
+ j as (select job_id, case when count(*) filter (state = 'pending') > 0 then 'running' when count(*) filter (state = 'failed') > 0 then 'partial' else 'complete' end as status from s group by job_id)
+select s.job_id, s.url, s.state, j.status from s join j on j.job_id = s.job_id""")
+def _stream_job_machine(spark, sf):
+    """Events in several micro-batches, outcomes before and after their queueing, with a restart in between."""
+    events = run_sql(spark, sf, _JOB_EVENTS, "pages")
+    source, out, state = (scratch_path(spark, f"job-{n}") for n in ("events", "changes", "state"))
+    for half in (0, 1):
+        part = events.where(F.pmod(F.xxhash64("url", "event"), F.lit(2)) == half).drop("page_id")
+        part.repartition(3, "url").write.mode("append").parquet(source)
+        stream = streams.stream_pages(spark, source, events.drop("page_id").schema, files_per_batch=2)
+        streams.drain(job_state.stream_job_changes(stream, shards=4), out, state)
+    changes = spark.read.parquet(out)
+    return job_state.url_states(changes).join(job_state.job_states(changes).select("job_id", "status"), "job_id")

@@ -39,3 +39,51 @@ def test_state_over_batches(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("job_id", "url").agg(F.max_by("state", "batch_id").alias("state"))
     want = log.groupBy("job_id", "url").agg(F.max_by("state", "seq").alias("state"))
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def _events(spark, rows):
+    return spark.createDataFrame(rows, "job_id string, url string, event string")
+
+
+def test_job_machine_over_batches_and_a_restart(spark, tmp_path):
+    """Equal to mark_urls and job_status over the whole table, in any order of events."""
+    import random
+    from pageloom.operators import jobs
+    from pageloom.streaming import job_state
+    pick = random.Random(5)
+    queued = [(f"j{i % 3}", f"u{i}", "queued") for i in range(40)] + [("closed", "u", "queued"), ("partial", "u", "queued")]
+    told = [(j, u, pick.choice(["done", "failed"])) for j, u, _ in queued[:40] for _ in range(pick.randrange(3))]
+    told += [("closed", "u", "done"), ("partial", "u", "failed"), ("closed", "never listed", "done"), ("partial", "u", "failed")]
+    rows = queued + queued[:9] + told + [(None, "u", "done"), ("closed", None, "failed"), ("closed", "u", None), ("closed", "u", "odd")]
+    pick.shuffle(rows)
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in (rows[:30], rows[30:60], rows[60:]):
+        _events(spark, part).repartition(2).write.mode("append").parquet(source)
+        stream = streams.stream_pages(spark, source, _events(spark, []).schema, files_per_batch=1)
+        streams.drain(job_state.stream_job_changes(stream, shards=3), out, state)
+    changes = spark.read.parquet(out)
+    pending = spark.createDataFrame([(j, u, "pending") for j, u, _ in queued], "job_id string, url string, state string")
+    outcomes = spark.createDataFrame(told, "job_id string, url string, outcome string")
+    want = jobs.mark_urls(pending, outcomes)
+    assert sorted(job_state.url_states(changes).collect()) == sorted(want.collect())
+    assert sorted(job_state.job_states(changes).select("job_id", "status").collect()) == sorted(jobs.job_status(want).collect())
+    marks = changes.where("url is not null").groupBy("job_id", "url", "state").count()
+    assert marks.where("count > 1").count() == 0  # each mark once, also over the restart
+    assert {r.status for r in job_state.job_states(changes).where("job_id in ('closed', 'partial')").collect()} == {"complete", "partial"}
+
+
+def test_job_machine_forgets(spark, tmp_path):
+    """Marks older than the time to live are gone, so a late outcome is told again."""
+    import time
+    from pageloom.streaming import job_state
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    for ttl, event in ((1000, "queued"), (1000, "done"), (1000, "done")):
+        _events(spark, [("j", "u", event)]).write.mode("append").parquet(source)
+        stream = streams.stream_pages(spark, source, _events(spark, []).schema, files_per_batch=1)
+        streams.drain(job_state.stream_job_changes(stream, shards=1, ttl_ms=ttl), out, state)
+        time.sleep(1.5)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    changes = spark.read.parquet(out).where("url is not null")
+    assert sorted(r.state for r in changes.collect()) == ["pending", "processed", "processed"]
+    assert [r.state for r in job_state.url_states(changes).collect()] == ["processed"]
