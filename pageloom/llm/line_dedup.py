@@ -6,22 +6,23 @@ each hash, and the lines that stay are put together again by position.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from hashlib import md5
 
-from pageloom.llm.text import text_key
-
-#: White space stripped at both ends of a line: space, and tab to carriage return.
-BLANKS = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from pyspark.sql import DataFrame, functions as F
 
+from pageloom.llm.order import stored
+from pageloom.llm.text import map_texts, text_key
 
-def line_key(line: Column) -> Column:
-    """A line without white space at its ends, A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+#: White space stripped at both ends of a line: space, and tab to carriage return.
+BLANKS = b" \t\n\x0b\x0c\r"
+#: Tasks over which one common line is dealt when its places are looked up.
+SALTS = 16
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
+    """A hash for each line: white space at its ends is left out, A-Z are lower-cased; null for a shorter one."""
+    keys = [line.strip(BLANKS).lower() for line in text.split(b"\n")]
+    return [md5(k).digest() if len(k) >= min_chars and (min_chars < 2 or len(k.decode()) >= min_chars) else None for k in keys]
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -32,34 +33,32 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     count once for a key, each row still gets its own result. Null ids count as one document. Only
     doc_id and text are read, so other columns do not matter; an empty table gives no rows.
 
-    Counting is by (key, document) before (key), so a line that all documents share is spread over
-    all tasks; it then meets its lines in a join that Spark can split. Texts move once, by document.
+    Each line is hashed once, and the hashes are stored. Counting is by (key, document) before (key), so a
+    line that all documents share is spread over all tasks; the places of common lines are looked up in salted
+    parts, and only they are gathered by document. Texts move once, by document.
     """
     docs = docs.select("doc_id", "text")
-    lines = docs.select(
-        "doc_id", text_key().alias("row"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"),
-    ).withColumn("line", line_key(F.col("line"))).select(
-        "doc_id", "row", "pos",
-        F.when(F.char_length("line") >= min_chars, F.unhex(F.md5("line"))).alias("key"))
-    common = (
-        lines.where("key is not null").select("key", "doc_id").distinct()
-        .groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
-        .where(F.col("n_docs") >= min_docs).select("key", F.lit(True).alias("common")))
-    marks = (
-        lines.join(common, "key", "left")
-        .groupBy("doc_id", "row")
-        # rows repeated whole give each position more than once, with one and the same mark
-        .agg(F.array_sort(F.collect_set(F.struct("pos", F.coalesce("common", F.lit(False)).alias("common"))))
-             .alias("marks")))
-    left = docs.withColumn("row", text_key()).alias("d")
-    joined = left.join(
-        marks.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.row") == F.col("m.row")))
-    kept = F.filter(F.arrays_zip(_lines(F.col("d.text")).alias("line"), F.col("m.marks").alias("mark")),
-                    lambda x: ~x["mark"]["common"])
-    return joined.select(
-        F.col("d.doc_id").alias("doc_id"), F.size("m.marks").cast("long").alias("n_lines"),
-        F.size(F.filter("m.marks", lambda x: x["common"])).cast("long").alias("n_dropped"),
-        F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("kept"), F.col("d.row").alias("row"))
+
+    def make():
+        return lambda texts: [[md5(t).digest() for t in texts], [line_keys(t, min_chars) for t in texts]]
+
+    hashed = stored(map_texts(docs, make, "row binary, keys array<binary>"), "line-keys")
+    common = stored(
+        hashed.select("doc_id", F.explode(F.array_distinct("keys")).alias("key")).where("key is not null").distinct()
+        .groupBy("key").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs).select("key"), "common-lines")
+    salted = common.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    places = hashed.select("doc_id", "row", F.posexplode("keys").alias("pos", "key")).withColumn(
+        "salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)))
+    # rows repeated whole give each position more than once
+    gone = places.join(salted, ["key", "salt"]).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))
+    joined = docs.withColumn("row", text_key()).alias("d").join(
+        gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.row") == F.col("g.row")), "left")
+    lines = F.split(F.coalesce(F.col("d.text"), F.lit("")), "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size("line") - 1), "gone")
+    return joined.select(F.col("d.doc_id").alias("doc_id"), lines.alias("line"), "gone", F.col("d.row").alias("row")).select(
+        "doc_id", F.size("line").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.array_join(F.when(F.col("gone").isNull(), F.col("line")).otherwise(
+            F.transform(left, lambda p: F.get("line", p))), "\n").alias("kept"), "row")
 
 
 QUERY_SQL = r"""
