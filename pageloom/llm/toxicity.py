@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import string
-from collections import Counter
 from dataclasses import dataclass
 from functools import partial
 
@@ -11,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pageloom.llm.order import stored
 from pageloom.llm.text import SLICE, map_texts, text_bytes, text_key
-from pageloom.session import scratch_path
 
 SHORTEST, LONGEST = 4, 7
 #: Bound of the labelled rows that weights are fitted on (n-grams are counted over all), and of its n-grams.
@@ -20,7 +19,8 @@ MAX_TRAIN, MAX_FEATURES, MIN_DOCS = 8000, 30000, 4
 #: Weight of a toxic row in the fit, ridge, and steps.
 TOXIC_WEIGHT, RIDGE, STEPS = 3.0, 1e-4, 250
 THRESHOLD = 0.3
-_REMEMBER = 200_000
+#: Words that a worker remembers, the length from which it doesn't, and n-grams after which it hands on its counts.
+_REMEMBER, _LONG_WORD, _HELD = 200_000, 64, 400_000
 
 
 @dataclass
@@ -40,24 +40,60 @@ def _grams(word: str) -> set[str]:
 
 
 class _Features:
-    """Distinct places of a text's known n-grams; a bounded number of words is remembered."""
+    """Which known n-grams a text has; a bounded number of words is remembered."""
 
     def __init__(self, place: dict[str, int]):
         self.place, self.known = place, {}
 
-    def _of(self, word: str) -> tuple[int, ...]:
+    def _of(self, word: str) -> np.ndarray:
         got = self.known.get(word)
         if got is None:
-            got = tuple(self.place[g] for g in _grams(word) if g in self.place)
-            if len(self.known) < _REMEMBER and len(word) < 64:
+            got = np.array([self.place[g] for g in _grams(word) if g in self.place], dtype=np.int32)
+            if len(self.known) < _REMEMBER and len(word) < _LONG_WORD:
                 self.known[word] = got
         return got
 
-    def __call__(self, text: bytes) -> list[int]:
-        out: set[int] = set()
-        for word in _words(text):
-            out.update(self._of(word))
-        return sorted(out)
+    def __call__(self, text: bytes) -> np.ndarray:
+        """Distinct places, ascending."""
+        hit = np.zeros(len(self.place), bool)
+        found = [self._of(w) for w in _words(text)]
+        if found:
+            hit[np.concatenate(found)] = True
+        return np.flatnonzero(hit)
+
+
+class _Counts:
+    """In how many texts, and toxic texts, each n-gram stands; numbers stand for n-grams, words are remembered."""
+
+    def __init__(self):
+        self.names, self.known = {}, {}
+        self.every, self.toxic = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _of(self, word: str) -> np.ndarray:
+        got = self.known.get(word)
+        if got is None:
+            got = np.array([self.names.setdefault(g, len(self.names)) for g in _grams(word)], dtype=np.int64)
+            if len(self.known) < _REMEMBER and len(word) < _LONG_WORD:
+                self.known[word] = got
+        return got
+
+    def add(self, label: int, text: bytes) -> None:
+        found = [self._of(w) for w in _words(text)]
+        if not found:
+            return
+        while len(self.names) > len(self.every):
+            self.every, self.toxic = (np.append(c, np.zeros_like(c)) for c in (self.every, self.toxic))
+        ids = np.unique(np.concatenate(found))
+        self.every[ids] += 1
+        if label:
+            self.toxic[ids] += 1
+
+    def batches(self):
+        grams = list(self.names)
+        for at in range(0, len(grams), 50_000):
+            part = grams[at:at + 50_000]
+            yield pa.RecordBatch.from_pydict({
+                "gram": pa.array(part, pa.string()), "n": self.every[at:at + len(part)], "toxic": self.toxic[at:at + len(part)]})
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -87,24 +123,22 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Model:
     text gets the share of toxic rows (0 without any row).
     """
     spark = docs.sparkSession
-    path = scratch_path(spark, "toxicity")
-    training_rows(docs, labels).write.parquet(path)
-    every_row = spark.read.parquet(path)
-    sample = every_row.orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(bound)
+    every_row = stored(training_rows(docs, labels), "toxicity")
+    # keys alone are ordered in one place; their texts are read where they lie
+    keys = every_row.select("doc_id", "key").orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(bound)
+    sample = every_row.join(stored(keys, "toxicity-sample"), ["doc_id", "key"], "left_semi")
 
     def count(batches):
+        counts = _Counts()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                toxic, every = Counter(), Counter()
                 for label, text in zip(part.column(0).to_pylist(), text_bytes(part.column(1))):
-                    grams = set().union(*map(_grams, _words(text)))
-                    every.update(grams)
-                    if label:
-                        toxic.update(grams)
-                yield pa.RecordBatch.from_pydict({
-                    "gram": pa.array(list(every), pa.string()), "n": pa.array(list(every.values()), pa.int64()),
-                    "toxic": pa.array([toxic[g] for g in every], pa.int64())})
+                    counts.add(label, text)
+                if len(counts.names) > _HELD:
+                    yield from counts.batches()
+                    counts = _Counts()
+        yield from counts.batches()
 
     totals = {r["toxic"]: r["n"] for r in every_row.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sum(n for k, n in totals.items() if k), totals.get(0, 0)

@@ -1,5 +1,8 @@
 """The rows that the classifier learns from."""
 
+import zlib
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from pageloom.llm import toxicity as tox
@@ -32,3 +35,37 @@ def test_bound_holds_for_rows_and_not_for_counted_ngrams(spark, monkeypatch):
     model = tox.fit(docs, labels, bound=10)
     assert seen == [10]
     assert "zorg" in model.place  # on too few of the ten rows, but on enough of all
+
+
+def test_ratios_and_scores_against_plain_counting(spark):
+    """Document frequencies, log-count ratios, chosen n-grams and scores, each made again from the texts."""
+    import math
+    import random
+    pick = random.Random(2)
+    words = ["garden", "river", "vile", "scorn", "Insult!", "stone", "x" * 90, "ü", "the"]
+    rows = [(i, " ".join(pick.choice(words[2:6] if i % 3 == 0 else words) for _ in range(pick.randrange(9)))) for i in range(160)]
+    docs = spark.createDataFrame([*rows, (500, None), (501, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(160)], "doc_id bigint, toxic int")
+    model = tox.fit(docs, labels)
+
+    def grams(text):
+        found = set()
+        for w in {x.strip("!") for x in (text or "").lower().split()}:
+            w = f" {w} "
+            found |= {w[i:i + n] for n in range(4, 8) for i in range(len(w) - n + 1)}
+        return found
+    learned = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    n, toxic = Counter(), Counter()
+    for i, t in learned:
+        n.update(grams(t))
+        if i % 3 == 0:
+            toxic.update(grams(t))
+    bad = sum(i % 3 == 0 for i, _ in learned)
+    assert set(model.place) == {g for g in n if n[g] >= tox.MIN_DOCS}
+    ratio = {g: math.log((toxic[g] + 1) / (bad + 2)) - math.log((n[g] - toxic[g] + 1) / (len(learned) - bad + 2)) for g in model.place}
+    order = sorted(ratio, key=lambda g: -abs(ratio[g]) * math.sqrt(n[g]))
+    strength = [abs(ratio[g]) * math.sqrt(n[g]) for g in sorted(model.place, key=model.place.get)]
+    assert all(a >= b - 1e-9 for a, b in zip(strength, strength[1:])) and len(order) == len(strength)
+    for i, text, score in [(r.doc_id, dict(rows).get(r.doc_id), r.score) for r in tox.toxicity(docs, labels, model=model).collect()]:
+        total = sum(model.weights[model.place[g]] for g in grams(text) if g in model.place) + model.bias
+        assert abs(score - 1 / (1 + math.exp(-max(-30, min(30, total))))) < 1e-9
