@@ -10,9 +10,13 @@ The parser cuts at "</s>" and takes a turn's head up to the first " [/INST]".
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 OPEN, MIDDLE, CLOSE = "<s>[INST] ", " [/INST]", "</s>"
+#: Strings that no text or role may hold as they are, also where the parser would still tell them apart.
+CONTROL = ["<s>", "</s>", "[INST]", "[/INST]"]
 
 
 def escape(text: Column) -> Column:
@@ -71,8 +75,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     and text, so ties and repeated rows have a place; null roles and texts count as empty; rows with a
     null conv_id are one conversation. Other columns are not read; an empty table gives no rows.
 
-    Each turn is first rendered as it is and parsed; turns that don't come back as they were are escaped;
-    if the whole conversation then still reads back differently, all its turns are escaped. ``turns``
+    Each turn is first rendered as it is and parsed; turns that don't come back as they were, or hold a
+    control string, are escaped; if the whole conversation then still reads back differently, all its turns are escaped. ``turns``
     (role, text, escaped, raw) is what the parser reads from ``formatted``, ``round_trip`` whether it
     equals the source. ``mask`` is the loss mask in runs (length in code points, loss) that add up to
     the formatted text; the texts of assistant turns, as they stand there, are under loss.
@@ -88,7 +92,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     # null (not of the grammar) counts as different
     same = F.coalesce(_told(back) == F.array(F.struct(F.col("t.role").alias("role"), F.col("t.text").alias("text"))),
                       F.lit(False))
-    marked = source.select("conv_id", F.struct("t.turn", "t.role", "t.text", (~same).alias("escaped")).alias("t"))
+    clean = ~reduce(Column.__or__, [F.contains(F.col(c), F.lit(x)) for c in ("t.role", "t.text") for x in CONTROL])
+    marked = source.select("conv_id", F.struct("t.turn", "t.role", "t.text", (~(same & clean)).alias("escaped")).alias("t"))
     whole = marked.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
     every = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), F.lit(True).alias("escaped")))
     first = whole.withColumn("rendered", F.transform("t", _render)).withColumn("formatted", _joined(F.col("rendered")))
@@ -119,16 +124,17 @@ def chat_digest(chats: DataFrame) -> DataFrame:
 
 QUERY_SQL = r"""
 with turns as (
-  select conv_id, turn, role, coalesce(text, '') as text from conversations
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-marked as (select *, contains(text, '</s>') as escaped,
+marked as (select *, regexp_matches(text, '</?s>|\\[/?INST\\]') or regexp_matches(role, '</?s>|\\[/?INST\\]') or ends_with(role, '*') as escaped,
+    replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<', chr(92) || 'l'), '[', chr(92) || 'b') as safe_role,
     replace(replace(replace(text, chr(92), chr(92) || chr(92)), '<', chr(92) || 'l'), '[', chr(92) || 'b') as safe from turns)
 select conv_id, count(*)::bigint as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-  sum(length('<s>[INST] ') + length(role) + length(' [/INST]') + length('</s>')
-    + case when escaped then length(safe) + 1 else length(text) end)::bigint as formatted_chars,
+  sum(length('<s>[INST] ') + length(' [/INST]') + length('</s>')
+    + case when escaped then length(safe_role) + length(safe) + 1 else length(role) + length(text) end)::bigint as formatted_chars,
   true as round_trip
 from marked group by conv_id
 """
