@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pageloom.session import use_checkpoint_dir
+from pageloom.session import scratch_path, use_checkpoint_dir
 
 
 def first_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: Column,
@@ -49,6 +49,10 @@ def number_rows(df: DataFrame, keys: Sequence[str], seq: str, ties: Sequence[str
         placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_of_part"),
                 (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")))
+    # a row for each key and part, stored: the planner sees its size and joins a small one without moving the rows again
+    path = scratch_path(df.sparkSession, "shifts")
+    shifts.write.parquet(path)
+    shifts = df.sparkSession.read.parquet(path)
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys],
                   F.col("_part") == F.col("_of_part"))
     return (

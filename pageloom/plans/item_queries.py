@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, types as T
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from pageloom.functions.items import match_key, split_parts
 from pageloom.functions.replies import decode_response, reply_string
@@ -14,9 +16,9 @@ from pageloom.plans.derived import ITEMS, JOB_METADATA, SELECTOR_RESPONSES, TEXT
 from pageloom.plans.page_queries import (
     CHUNKS_SQL, _LINKS, _PARAGRAPHS, DISTINCT_LINKS_SQL, MAIN_TEXT_SQL, MENU_ITEMS_SQL, _decoded, _pieces, _trimmed,
 )
-from pageloom.plans.registry import pages, parsed, query, run_sql, table
+from pageloom.plans.registry import ORACLES, pages, parsed, query, run_sql, table
 from pageloom.session import scratch_path
-from pageloom.sources import sinks
+from pageloom.sources import documents, sinks
 from pageloom.sources.readers import read_responses
 from pageloom.streaming import job_state, streams
 
@@ -446,6 +448,26 @@ def _format_result(spark, sf):
     return sinks.format_result(found, records, ["name", "url"], meta, "yaml")
 
 
+_FORMATS = {"json": "write_json", "csv": "write_csv", "MD ": "to_markdown", "txt": "to_text"}
+
+
+@query("format_result_each", " union all ".join(f"select '{fmt}' as fmt, job_id, line_no, line from ({ORACLES[name]})" for fmt, name in _FORMATS.items()))
+def _format_result_each(spark, sf):
+    """The documents of all jobs in each format."""
+    found, records, meta = _two_fields(spark, sf)
+    each = [sinks.format_result(found, records, ["name", "url"], meta, fmt).select(F.lit(fmt).alias("fmt"), "*") for fmt in _FORMATS]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query("write_documents", f"select job_id, line from ({ORACLES['write_json']})")
+def _write_documents(spark, sf):
+    """JSON documents of all jobs written as files and read back."""
+    _, records, meta = _two_fields(spark, sf)
+    path = scratch_path(spark, "documents")
+    documents.write_documents(sinks.to_json_lines(records, ["name", "url"], meta), path, ".json")
+    return spark.read.text(path).select("job_id", F.col("value").alias("line"))
+
+
 @query("snapshot_pages", """select page_id as job_id, concat(page_id, '_', trim(substr(regexp_replace(url, '[^\\p{L}\\p{N}_]', '_', 'g'), 1, 50), '_'), '_', substr(sha256(url), 1, 16)) as file_key, length(html)::bigint as raw_chars from pages""")
 def _snapshot(spark, sf):
     source = pages(spark, sf).select(F.col("page_id").alias("job_id"), "url", "html")

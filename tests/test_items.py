@@ -142,3 +142,43 @@ def test_placeholder_and_result(spark):
     cache = spark.createDataFrame([("j", 2, "late"), ("j", 1, "first")], "job_id string, seq int, selector string")
     r = jobs.job_result(found, cache).first()
     assert (r.item_count, r.preview, r.selector, r.method) == (8, "i0\ni1\ni2\ni3\ni4", "first", "llm_selector")
+
+
+def test_documents_are_written_whole(spark, tmp_path):
+    import csv
+    import io
+    import json
+    import os
+    import pytest
+    from pyspark.sql import functions as F
+    from pageloom.operators import items
+    from pageloom.sources import documents, sinks
+    rows = [("a/b", i, 0, f'name {i} "x", \n é') for i in range(500)] + [("two", 0, 0, "only")]
+    found = spark.createDataFrame(rows, "job_id string, url_seq bigint, pos int, name string")
+    meta = spark.createDataFrame([("a/b", "u", "t", 500, "li", "llm_selector", "high"), ("two", "v", "t", 1, None, "text_only", "low"), ("none", "w", "t", 0, None, "text_only", "low")],
+                                 "job_id string, url string, timestamp string, item_count bigint, selector string, method string, confidence string")
+
+    def read(folder, job):
+        parts = sorted(os.listdir(f"{folder}/job_id={job}"))
+        return "".join(open(f"{folder}/job_id={job}/{p}").read() for p in parts), len([p for p in parts if not p.startswith(".")])
+
+    out = str(tmp_path / "json")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts, as of large tables
+    documents.write_documents(sinks.to_json_lines(found, ["name"], meta).repartition(7), out, ".json")
+    text, parts = read(out, "a%2Fb")
+    got = json.loads(text)
+    assert [x["name"] for x in got["data"]] == [r[3] for r in rows[:500]] and got["metadata"]["item_count"] == 500
+    assert parts > 1 and json.loads(read(out, "none")[0])["data"] == []
+    documents.write_documents(sinks.to_csv_lines(found, ["name"], meta, False), out, ".csv", overwrite=True)
+    assert [r[0] for r in csv.reader(io.StringIO(read(out, "a%2Fb")[0], newline=""))] == ["name", *(r[3] for r in rows[:500])]
+    assert sorted(os.listdir(out)) == ["_SUCCESS", "job_id=a%2Fb", "job_id=two"]
+
+    # a task that fails leaves the folder as it was
+    broken = spark.range(100).select(F.lit("bad").alias("job_id"), F.col("id").alias("line_no"),
+                                     F.expr("if(id = 77, raise_error('stop'), 'x')").alias("line"))
+    before = {job: read(out, job) for job in ("a%2Fb", "two")}
+    with pytest.raises(Exception, match="stop"):
+        documents.write_documents(broken, out)
+    assert sorted(os.listdir(out)) == ["_SUCCESS", "job_id=a%2Fb", "job_id=two"]
+    assert {job: read(out, job) for job in before} == before
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
