@@ -74,3 +74,44 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["host", "links", "distinct_links", "pages"] and df.where(F.col("links") < F.col("pages")).count() == 0
     assert df.count() > 0
+
+
+def _html_is_shuffled(df):
+    """Does a column of whole pages pass an exchange?"""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        if "Exchange" not in line:
+            continue
+        below = []
+        for other in lines[i + 1:]:
+            if depth(other) <= depth(line):
+                break
+            below.append(other)
+        if any("FileScan" in x and "html" in x for x in below):
+            return True
+    return False
+
+
+def test_look_ups_come_to_a_page_store(spark):
+    from pageloom.operators import extract, select
+    from pageloom.sources import page_store
+    name = "stored_pages_of_the_test"
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    page_store.write_page_store(pages, name, mode="overwrite")
+    try:
+        store = page_store.read_page_store(spark, name)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large look-ups
+        wanted = pages.select("page_id", F.lit("article > h1").alias("selector"))
+        targets = pages.select("page_id", F.lit("names").alias("content_target"))
+        for of, shuffled in ((pages, True), (store, False)):
+            found = select.apply_selectors(of, wanted)
+            assert _html_is_shuffled(found) == shuffled
+            assert _html_is_shuffled(extract.with_choices(of, targets, wanted)) == shuffled
+        columns = ["page_id", "pos", "item"]
+        assert sorted(select.apply_selectors(store, wanted).select(*columns).collect()) == sorted(
+            select.apply_selectors(pages, wanted).select(*columns).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"drop table if exists {name}")
