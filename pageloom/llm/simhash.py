@@ -69,9 +69,10 @@ def links(prints: DataFrame) -> DataFrame:
     Both ways are exact, and neither makes more than 65 rows or PAIRWISE partners per key for a
     fingerprint, whatever the size of a group.
     """
-    # 64 rows come from each: small partitions, which the planner would put together by their present size
+    # 64 rows come from each: small partitions, which the planner would put together by their present size. Dealt
+    # by a hash of its own: by fp alone they lie so already, and the planner would drop the exchange
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    prints = prints.where("fp is not null").select("fp").repartition(parts, "fp")
+    prints = prints.where("fp is not null").select("fp").repartition(parts, F.xxhash64("fp"))
     keyed = prints.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
     keys = sizes.where("n > 1")
