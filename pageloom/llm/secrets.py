@@ -18,15 +18,24 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: Texts without a match of this hold nothing that the scans below could find (it is a superset of them).
 PREFILTER = (r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-fA-F]{24}|[A-Za-z0-9+/_-]{32}"
-             r"|-----BEGIN |ey[A-Za-z0-9_-]{8}")
+             r"|-----BEGIN |[eICD][A-Za-z0-9_-]{9}[A-Za-z0-9_-]*\.[A-Za-z0-9_-]{2}")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: In order of listing; the last three are confirmed by structure.
 KINDS = ("assign", "access", "hex", "der", "ssh", "jwt")
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{1,40}-----([A-Za-z0-9+/=\s]+)-----END [A-Z0-9 ]{1,40}-----")
+# a line end may also be the two characters that stand for it inside a quoted string
+_BREAK = r"(?:\\[rn]|[\r\n])"
+_PEM = re.compile(
+    r"-----BEGIN [A-Z0-9 ]{1,40}-----((?:" + _BREAK + r"{0,4}[A-Za-z][A-Za-z-]{1,30}:[^\r\n\\]{0,200}" + _BREAK
+    + r"){0,8}+)((?:[A-Za-z0-9+/=\s]|\\[rnt])++)-----END [A-Z0-9 ]{1,40}-----")
+_CIPHER = re.compile(r"DEK-Info:\x20*[A-Z0-9-]{3,40},((?:[0-9A-Fa-f]{2})+)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}")
-_ANY_HEX = re.compile(r"(?<![0-9a-fA-F])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9a-fA-F])")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
+_WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{32,}+" + _BREAK + r"{1,4}+[\x20\t]*+)++(?:[A-Za-z0-9+/]++={0,2})?")
+_ANY_HEX = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{32,}+")
+# an object begins with a brace or white space, so base64 of it with one of four letters
+_JWT = re.compile(
+    r"(?:(?<![A-Za-z0-9_-])|(?<=\\[rnt]))[eICD][A-Za-z0-9_-]{9,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
 _SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
 
@@ -104,19 +113,53 @@ def is_token_header(segment: str) -> bool:
     return isinstance(told, dict) and isinstance(told.get("alg"), str)
 
 
+def is_sealed_key(headers: str, data: bytes) -> bool:
+    """An encrypted key: headers name cipher and first block, and the data is whole blocks of that size."""
+    cipher = _CIPHER.search(headers)
+    block = len(cipher[1]) // 2 if cipher else 0
+    return "ENCRYPTED" in headers and block in (8, 16) and len(data) >= 2 * block and len(data) % block == 0
+
+
+def _quoted(text: str, start: int) -> int:
+    """1 if the character at ``start`` belongs to a line end or tab spelled in a quoted string, else 0."""
+    return int(start > 0 and text[start - 1] == "\\" and text[start] in "nrt")
+
+
+def _wrapped(text: str, start: int, end: int) -> list[tuple[int, int, bytes | None]]:
+    """The lines from ``start`` to ``end`` as one candidate, and without the last, which may be a word of what follows."""
+    skip, pieces = _quoted(text, start), []
+    at = start + skip
+    for gap in re.finditer(_BREAK + r"+[\x20\t]*", text[at:end]):
+        pieces.append((at, start + skip + gap.start()))
+        at = start + skip + gap.end()
+    if at < end:
+        pieces.append((at, end))
+    shorter = [pieces[:n] for n in (len(pieces), len(pieces) - 1) if n >= 2]
+    return [(p[0][0], p[-1][1], _decoded("".join(text[a:b] for a, b in p))) for p in shorter]
+
+
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of all secrets, in that order; code points, end exclusive."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     found += [(m.start(), 2, m.end()) for m in _LONG_HEX.finditer(text)]
-    candidates = [(m.start(1), m.end(1), _decoded("".join(m[1].split()))) for m in _PEM.finditer(text)]
-    candidates += [(m.start(), m.end(), _decoded(m[0])) for m in _BASE64.finditer(text)]
+    candidates = []
+    for m in _PEM.finditer(text):
+        data = _decoded(re.sub(r"\\[rnt]|\s", "", m[2]))
+        if data and m[1] and is_sealed_key(m[1], data):
+            found.append((m.start(2), 3, m.end(2)))
+        candidates.append((m.start(2), m.end(2), data))
+    for m in _BASE64.finditer(text):
+        candidates += [(m.start() + cut, m.end(), _decoded(m[0][cut:])) for cut in range(_quoted(text, m.start()) + 1)]
+    for m in _WRAPPED.finditer(text):
+        candidates += _wrapped(text, m.start(), m.end())
     candidates += [(m.start(), m.end(), bytes.fromhex(m[0])) for m in _ANY_HEX.finditer(text) if len(m[0]) % 2 == 0]
-    for start, end, data in candidates:
-        if data and is_key_der(data):
-            found.append((start, 3, end))
-        elif data and is_ssh_key(data):
-            found.append((start, 4, end))
+    reach = {3: 0, 4: 0}
+    for start, end, data in sorted(candidates, key=lambda c: (c[0], -c[1])):
+        kind = 3 if data and is_key_der(data) else 4 if data and is_ssh_key(data) else None
+        if kind and end > reach[kind]:  # a key is told once, by its longest span
+            found.append((start, kind, end))
+            reach[kind] = end
     found += [(m.start(), 5, m.end()) for m in _JWT.finditer(text) if is_token_header(m[0].split(".", 1)[0])]
     return sorted(set(found))
 
@@ -125,8 +168,9 @@ def find_secrets(docs: DataFrame, keep=("doc_id",), text: str = "text") -> DataF
     """The columns of ``keep`` and ``secrets``: array of (kind, start, end) for each row of ``docs``.
 
     Kinds assign, access and hex are patterns; der, ssh and jwt are base64 or hex whose decoded bytes
-    are a key encoding with consistent nested lengths, length-prefixed key fields, or a token with a
-    header naming its algorithm. Spans are sorted by start, then kind; spans of different kinds may
+    are a key encoding with consistent nested lengths (or the whole blocks of an encrypted one), length-prefixed
+    key fields, or a token with a header naming its algorithm. Base64 may be wrapped over lines, armoured or
+    not, and its line ends may be spelled out as in a quoted string. Spans are sorted by start, then kind; spans of different kinds may
     overlap. Null, empty and clean texts give an empty array; rows are scanned one by one, whole, so
     repeated rows give the same; no shuffle.
     """
