@@ -180,6 +180,30 @@ def _resolve(spark, sf):
     return found.select("request_id", "url", "intent_type", "max_urls", "depth", "output_file", "source", "error")
 
 
+# A second model answers every request whose number 3 does not divide: by an address and a format of its own,
+# every fifth time without any JSON.
+SECOND_REPLIES = f"""select query, case when min(request_id) % 5 = 0 then 'sorry' else concat('{{"url": "https://second.example.com/',
+ cast(min(request_id) as string), '/", "intent_type": "url_list", "max_urls": 7, "output_format": "CSV"}}') end as raw
+ from ({REQUESTS}) t where request_id % 3 <> 0 group by query"""
+
+
+@query("resolve_intents_both", _DECODED + f""", h as ({_WORDING}), s as ({SECOND_REPLIES}),
+b as (select q.request_id, regexp_replace(json_extract_string(s.raw, '$.url'), '/+$', '') as url
+ from q join s on s.query = q.query where json_valid(s.raw))
+select h.request_id, case when i.request_id is not null then i.url when b.request_id is not null then b.url else h.url end as url,
+ case when i.request_id is not null then i.intent_type when b.request_id is not null then 'url_list' else h.intent_type end as intent_type,
+ case when i.request_id is not null then i.max_urls when b.request_id is not null then 7 else h.max_urls end as max_urls,
+ case when i.request_id is not null then i.output_format when b.request_id is not null then 'csv' else h.output_format end as output_format,
+ case when i.request_id is not null then 'primary' when b.request_id is not null then 'secondary' else 'wording' end as source,
+ case when i.request_id is null and b.request_id is null then h.error end as error
+from h left join (select * from i where error is null) i on i.request_id = h.request_id left join b on b.request_id = h.request_id""")
+def _resolve_both(spark, sf):
+    second = run_sql(spark, sf, SECOND_REPLIES, "pages").select(
+        F.sha2(ops.intent_prompt(F.col("query")), 256).alias("prompt_id"), "raw")
+    found = ops.resolve_intents(_requests(spark, sf), replies(spark, sf), second)
+    return found.select("request_id", "url", "intent_type", "max_urls", "output_format", "source", "error")
+
+
 @query("explicit_intents", """
 select page_id as request_id, url, case when page_id % 2 = 0 then 'structured_data' else 'page_content' end as intent_type,
  case when page_id % 2 = 0 then 'title' else '' end as content_target,
