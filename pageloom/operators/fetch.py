@@ -44,11 +44,11 @@ def resolve_layer(attempts: DataFrame, layers: Sequence[str] = LAYERS,
     """the attempt to use per URL: the first acceptable one, else the last one made.
 
     ``layers`` lists the configured layers, plain fetch first; ``browser_only`` marks rows of URLs
-    that skip the plain fetch. One aggregate over narrow rows, combined before the shuffle.
+    that skip the plain fetch (null: don't). One aggregate over narrow rows, combined before the shuffle.
     """
     usable = attempts.where(F.col("layer").isin(*layers))
     if browser_only is not None:
-        usable = usable.where(~(browser_only & (F.col("layer") == layers[0])))
+        usable = usable.where(~(F.coalesce(browser_only, F.lit(False)) & (F.col("layer") == layers[0])))
     order = F.struct(~F.col("accepted"), F.when(F.col("accepted"), F.col("rnk")).otherwise(-F.col("rnk")))
     row = F.struct("layer", "rnk", "status_code", "error", "has_html", "blocked", "needs_js", "accepted")
     return (

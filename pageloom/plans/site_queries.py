@@ -276,6 +276,16 @@ def _resolve_layer(spark, sf):
     return fetch.resolve_layer(_attempts(spark, sf))
 
 
+_BROWSER_FLAGS = _FLAGS.replace("as accepted from f)", "as accepted from f where not (url like 'https%' and layer = 'httpx'))")
+
+
+@query("resolve_layer_browser", f"""with {_BROWSER_FLAGS}
+select url, layer, rnk::bigint as rnk, status_code::bigint as status_code, blocked, accepted, outcome, reason from s""")
+def _resolve_layer_browser(spark, sf):
+    chosen = fetch.resolve_layer(_attempts(spark, sf), browser_only=F.col("url").like("https%"))
+    return fetch.fetch_status(chosen).select("url", "layer", "rnk", "status_code", "blocked", "accepted", "outcome", "reason")
+
+
 @query("fetch_status", f"with {_FLAGS} select url, layer, outcome, reason from s")
 def _fetch_status(spark, sf):
     return fetch.fetch_status(fetch.resolve_layer(_attempts(spark, sf))).select("url", "layer", "outcome", "reason")

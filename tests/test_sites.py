@@ -103,6 +103,8 @@ def test_layers(spark):
     assert {r.url: r.html for r in fetch.chosen_html(a, chosen).collect()}["d"] == "body"
     forced = fetch.resolve_layer(a, browser_only=F.col("url") == "c")
     assert forced.where("url = 'c'").first().layer == "playwright"
+    unknown = fetch.resolve_layer(a, browser_only=F.lit(None).cast("boolean"))
+    assert sorted(unknown.collect(), key=repr) == sorted(chosen.collect(), key=repr)
     assert fetch.resolve_layer(a, layers=["httpx", "playwright"]).where("url = 'd'").first().layer == "playwright"
 
 
