@@ -22,6 +22,7 @@ from pageloom.operators.clean import clean_sql, main_text_sql
 from pageloom.operators.html import classes, is_element, parse_pages
 from pageloom.operators.ranking import first_k_per_key
 from pageloom.operators.select import XPATH_PREFIX, items_sql, sample_items, selector_items
+from pageloom.session import scratch_path
 
 SELECTOR_HEAD = """Name one CSS selector for the element that repeats once per wanted item and holds
 all wanted fields. Prefer tags, data attributes and structure over generated class names; give an
@@ -85,11 +86,10 @@ def candidate_selector(selector: Column, xpath: Column) -> Column:
     return F.coalesce(css, F.concat(F.lit(XPATH_PREFIX), F.nullif(xpath, F.lit(""))))
 
 
-def mine_selectors(parsed: DataFrame, k: int = 20) -> DataFrame:
-    """Repeating structures per host without a model: the ``k`` best ``tag.class`` signatures.
+def page_signatures(parsed: DataFrame) -> DataFrame:
+    """``tag.class`` signatures of each page: host, selector, n (elements); one row per page and signature.
 
-    Each page contributes one row per signature with its repeat count, found by one sort inside the
-    row, so page coverage is a plain count.
+    Repeats are counted by one sort inside the page's row, so page coverage is a plain count of rows.
     """
     def signature(n: Column) -> Column:
         return F.concat(n["tag"], F.array_join(F.transform(
@@ -104,7 +104,10 @@ def mine_selectors(parsed: DataFrame, k: int = 20) -> DataFrame:
             (F.coalesce(nth(fs, j + 1), F.size(s)) - f).alias("n"))))
 
     signatures = F.array_sort(F.transform(F.filter("nodes", is_element), signature))
-    per_page = parsed.select(authority(F.col("url")).alias("host"), F.inline(let(signatures, runs)))
+    return parsed.select(authority(F.col("url")).alias("host"), F.inline(let(signatures, runs)))
+
+
+def _best_signatures(per_page: DataFrame, k: int) -> DataFrame:
     totals = per_page.groupBy("host", "selector").agg(
         F.sum("n").alias("elements"), F.count(F.lit(1)).alias("pages"), F.max("n").alias("most_on_page"))
     ordered = totals.withColumn("_pages", -F.col("pages")).withColumn("_elements", -F.col("elements"))
@@ -112,6 +115,61 @@ def mine_selectors(parsed: DataFrame, k: int = 20) -> DataFrame:
         .drop("_pages", "_elements")
 
 
+def mine_selectors(parsed: DataFrame, k: int = 20) -> DataFrame:
+    """Repeating structures per host without a model: the ``k`` best ``tag.class`` signatures."""
+    return _best_signatures(page_signatures(parsed), k)
+
+
+def signature_candidates(per_page: DataFrame, k: int, tracked: int = 4096) -> DataFrame:
+    """Per host the signatures that may be among the ``k`` on most pages, from one sketch per host.
+
+    Result: host, n_rows, proven, selectors. The sketch of frequent items holds at most ``tracked``
+    counters, whatever the host's size, and merges, so a hot host is one small row per task. With
+    ``n_rows`` rows of a host, no count is wrong by more than ``3.5 * n_rows / tracked`` =: e. An estimate
+    is never below the true count; what the sketch does not report has 2e pages at most, or, when the report
+    is full, no more than its last estimate. ``proven`` says that the k-th estimate less e exceeds
+    that, or that e is below one and nothing was cut off: then no other signature can be among the
+    first ``k``, ties included. ``selectors`` are those whose estimate reaches the k-th less e.
+    """
+    reported = max(8 * k, 64)
+    if reported > tracked:
+        raise ValueError(f"tracked must be at least {reported}")
+    sketched = per_page.groupBy("host").agg(
+        F.expr(f"approx_top_k(selector, {reported}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n_rows"))
+    wrong = F.floor(F.lit(3.5) * F.col("n_rows") / F.lit(tracked))
+    known = sketched.select("host", "n_rows", "top", wrong.alias("_wrong")) \
+        .withColumn("_least", F.get("top", F.lit(k - 1))["count"] - F.col("_wrong"))
+    full = F.size("top") >= reported
+    outside = F.greatest(2 * F.col("_wrong"), F.when(full, F.element_at("top", -1)["count"]).otherwise(0))
+    proven = F.coalesce(F.col("_least") > outside, F.lit(False)) | ((F.col("_wrong") == 0) & ~full)
+    near = F.filter("top", lambda t: F.coalesce(t["count"] >= F.col("_least"), F.lit(True)))
+    return known.select("host", "n_rows", proven.alias("proven"), F.transform(near, lambda t: t["item"]).alias("selectors"))
+
+
+def mine_selectors_sketched(parsed: DataFrame, k: int = 20, tracked: int = 4096) -> DataFrame:
+    """X4 for signatures without number (generated class names): the rows of ``mine_selectors``, exactly,
+    but only candidates are counted.
+
+    Signatures are stored once, so pages are parsed once. One sketch per host names the candidates
+    (``signature_candidates``); counts are exact and cover candidates only, a few rows per host and
+    task in the shuffle instead of every signature. Hosts whose candidates are not proven complete
+    (flat counts, or fewer than ``k`` signatures on very many pages) have all their signatures counted.
+    Candidates are joined as a stored table: the planner broadcasts it if its size allows, else the
+    join moves the rows as the plain count does. Pages without an address share the host they have there.
+    """
+    spark = parsed.sparkSession
+    stored, chosen = scratch_path(spark, "signatures"), scratch_path(spark, "candidates")
+    page_signatures(parsed).write.parquet(stored)
+    per_page = spark.read.parquet(stored)
+    signature_candidates(per_page, k, tracked).write.parquet(chosen)
+    hosts = spark.read.parquet(chosen).withColumnRenamed("host", "_host")
+    same_host = F.col("host").eqNullSafe(F.col("_host"))
+    listed = hosts.where("proven").select("_host", F.explode("selectors").alias("_selector"))
+    counted = per_page.join(listed, same_host & (F.col("selector") == F.col("_selector")), "left_semi").union(
+        per_page.join(hosts.where("not proven").select("_host"), same_host, "left_semi"))
+    return _best_signatures(counted, k)
+
+
 def _samples(items: DataFrame, keys: list[str], k: int, line: Column) -> DataFrame:
     """Up to ``k`` sampled items per key as one block of lines."""
     sampled = sample_items(items, k, keys=tuple(keys)).select(

@@ -1,4 +1,5 @@
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from pageloom.operators import chunks, clean, extract
@@ -116,3 +117,26 @@ def test_a_hot_host_is_no_single_task(spark):
     assert rows.groupBy("hint").count().orderBy("hint").collect() == [(None, 8), ("s7", 3992)]
     salts = visits.groupBy(F.pmod(F.xxhash64("url"), F.lit(HOST_SALTS))).count().collect()
     assert len(salts) == HOST_SALTS and max(r[1] for r in salts) < 400
+
+
+def test_sketched_signatures_are_the_exact_ones(spark):
+    """Hosts with generated names, flat counts, few or tied signatures and no address, against the plain count."""
+    from pageloom.operators.extract import mine_selectors, mine_selectors_sketched, page_signatures, signature_candidates
+    rows = [(i, f"https://names.test/{i}", f'<div class="card"><p class="c{i}a">x</p><p class="c{i}b">y</p></div><ul>' + "<li>z" * (i % 7)) for i in range(3000)]
+    rows += [(i, f"https://flat.test/{i}", f'<b class="f{i % 500}">x</b><i class="g{i}">') for i in range(1500)]
+    rows += [(i, "https://few.test/", "<p>a<p>b") for i in range(900)] + [(i, "https://tied.test/", f'<p class="t{i % 30}">') for i in range(90)]
+    rows += [(i, None, "<em>x</em>") for i in range(5)] + [(9, "https://empty.test/", ""), (10, "https://null.test/", None)]
+    parsed = parse_pages(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(6)).cache()
+    per_page = page_signatures(parsed)
+    chosen = {r.host: r for r in signature_candidates(per_page, 5, 256).collect()}
+    proven = {host.split("/")[-1]: r.proven for host, r in chosen.items() if host}
+    assert proven["names.test"] and not proven["flat.test"] and not proven["few.test"]
+    names = next(r for host, r in chosen.items() if host and "names" in host)
+    assert len(names.selectors) < 60 < per_page.where(F.col("host") == names.host).select("selector").distinct().count()
+    for k, tracked in ((5, 256), (3, 4096), (8, 64)):
+        exact = sorted(map(tuple, mine_selectors(parsed, k).collect()), key=repr)
+        assert sorted(map(tuple, mine_selectors_sketched(parsed, k, tracked).collect()), key=repr) == exact and exact
+    with pytest.raises(ValueError):
+        mine_selectors_sketched(parsed, 100, 64)
+    assert mine_selectors_sketched(parsed.limit(0), 5).count() == 0
+    parsed.unpersist()
