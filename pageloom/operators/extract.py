@@ -21,7 +21,7 @@ from pageloom.functions.urls import authority
 from pageloom.operators.clean import clean_sql, main_text_sql
 from pageloom.operators.html import classes, is_element, parse_pages
 from pageloom.operators.ranking import first_k_per_key
-from pageloom.operators.select import XPATH_PREFIX, items_sql, sample_items, selector_items
+from pageloom.operators.select import XPATH_PREFIX, first_items_sql, sample_items, selector_items, tree_sql
 from pageloom.session import scratch_path
 
 SELECTOR_HEAD = """Name one CSS selector for the element that repeats once per wanted item and holds
@@ -324,13 +324,11 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     for name, kind in (("selector", "string"), ("hint", "string"), ("fields", "array<string>")):
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast(kind))
-    parsed = parse_pages(pages, html)
-    kept = [c for c in parsed.columns if c not in ("nodes", "selector", "hint", "fields")]
-    # one fold over hint and selector: the first of them that matches anything is not tried further
-    none = "struct(cast(null as string) as selector, cast(array() as array<string>) as items)"
-    step = f"if(size(acc.items) > 0, acc, struct(want as selector, {items_sql('tidy', 'want')} as items))"
-    first = f"aggregate(array_compact(array(hint, selector)), {none}, (acc, want) -> {step})"
-    used = f"if(hint is null and selector is null, {none}, {bind(clean_sql('nodes'), 'tidy', first)})"
+    # hint and selector as one tree: the first of them that yields anything is used
+    tries = "if(hint is null and selector is null, null, array_distinct(array_compact(array(hint, selector))))"
+    parsed = parse_pages(pages.withColumn("_tree", F.expr(tree_sql(tries))).drop("selector", "hint"), html)
+    kept = [c for c in parsed.columns if c not in ("nodes", "_tree", "fields")]
+    used = f"if(_tree is null, null, {bind(clean_sql('nodes'), 'tidy', first_items_sql('tidy', '_tree'))})"
     found = parsed.select(
         *kept, "fields", F.expr(main_text_sql("nodes")).alias("cleaned_text"), F.expr(used).alias("found"))
     by_selector = F.coalesce(F.size("found.items") > 0, F.lit(False))

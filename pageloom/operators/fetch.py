@@ -14,10 +14,10 @@ from pageloom.constants import (
     BLOCK_CODES, CONSENT_SELECTORS, LAYERS, NEXT_PAGE_SELECTORS,
 )
 from pageloom.functions.fetch import blocked_code, body_flags
-from pageloom.functions.sqltext import bind, lits
+from pageloom.functions.sqltext import bind
 from pageloom.operators.clean import body_sql, render_sql, subtree_sql
 from pageloom.operators.html import parse_pages
-from pageloom.operators.select import check_selector, css_sql
+from pageloom.operators.select import css_sql, literal_tree_sql
 
 
 def attempt_flags(attempts: DataFrame, layers: Sequence[str] = LAYERS) -> DataFrame:
@@ -82,8 +82,7 @@ def chosen_html(attempts: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def _first_match_sql(selectors: Sequence[str]) -> str:
     """(priority, node) of the first listed selector that matches anything on the page."""
-    listed = f"array({lits(check_selector(s) for s in selectors)})"
-    found = f"transform({listed}, (want, i) -> struct(i as priority, get({css_sql('nodes', 'want')}, 0) as node))"
+    found = f"transform({css_sql('nodes', literal_tree_sql(*selectors))}, (f, i) -> struct(i as priority, get(f.found, 0) as node))"
     return f"get(filter({found}, f -> f.node is not null), 0)"
 
 

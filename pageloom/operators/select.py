@@ -1,16 +1,20 @@
 """Selectors over node arrays.
 
-A selector is data: it is split into steps by string functions and evaluated by one generic
+A selector is data: string functions split it into steps, and the selectors of a key (or of a call)
+become one tree of steps, in which equal beginnings stand once (``tree_sql``). Trees are built in the
+selector table, before pages are joined; a page evaluates each step of the tree once, by one generic
 expression, so a table with any number of different selectors runs as one plan and nothing is
-collected to the driver. Each step keeps one flag per node; a later step asks for the flag of the
-parent or of any ancestor.
+collected to the driver. A step keeps one flag per node; a later step asks for the flag of the
+parent or of any ancestor. Trees of literal selectors stand in the plan as constants.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from pageloom.functions.sqltext import bind, lit, lits, strip_sql
 from pageloom.operators.clean import clean_sql, pieces_sql, subtree_sql, text_sql
@@ -64,13 +68,71 @@ def _step_sql(text: str, child: str) -> str:
                 f"regexp_extract_all(v, {lit(r'\.([\w-]+)')}, 1) as classes, {attrs} as attrs)"))
 
 
-def css_steps_sql(selector: str) -> str:
-    """Alternatives of a CSS selector, each an array of steps; none when it is not supported."""
+def _css_steps_sql(selector: str) -> str:
+    """Alternatives of a supported CSS selector, each an array of steps."""
     alternatives = f"regexp_extract_all({selector}, {lit(rf'(?:[^,\[]|{_BRACKET})+')}, 0)"
     steps = f"regexp_extract_all(alt, {lit(rf'>?\s*(?:[^\s>\[]|{_BRACKET})+')}, 0)"
     step = _step_sql(f"regexp_replace(s, {lit(r'^>\s*|^\s+')}, '')", "startswith(s, '>')")
-    supported = f"if({selector} rlike {lit(CSS)}, {alternatives}, cast(array() as array<string>))"
-    return f"transform({supported}, alt -> transform({steps}, s -> {step}))"
+    return f"transform({alternatives}, alt -> transform({steps}, s -> {step}))"
+
+
+_ENDING = r"//?(?:text\(\)|@[\w:-]+)$"
+
+
+def _xpath_steps_sql(path: str) -> str:
+    """Steps of a supported path without its ending, as its only alternative."""
+    parts = f"regexp_extract_all(regexp_replace({path}, {lit(_ENDING)}, ''), {lit(rf'//?(?:[^/\[]|{_BRACKET})+')}, 0)"
+    step = _step_sql("regexp_replace(s, '^//?', '')", "not startswith(s, '//')")
+    return f"array(transform({parts}, s -> {step}))"
+
+
+def tree_sql(selectors: str) -> str:
+    """The tree of an array of selectors: struct(levels, wanted), both empty for an empty array.
+
+    ``levels`` hold the distinct beginnings of all alternatives by their number of steps, each as
+    struct(parent, open, step): the place of the beginning one step shorter (-1: none) in the
+    levels put end to end, whether a step below asks for any ancestor, and the last step. ``wanted``
+    has one struct(selector, supported, path, ending, ends) per selector: ``ends`` are the places of its alternatives,
+    ``path`` says it is an XPath, ``ending`` what follows its steps. A selector outside the subset has no ends.
+    """
+    path = f"startswith(want, '{XPATH_PREFIX}')"
+    bare = f"substring(want, {len(XPATH_PREFIX) + 1})"
+    alternatives = (f"case when not {supported_sql('want')} then array() when {path} then {_xpath_steps_sql(bare)} "
+                    f"else {_css_steps_sql('want')} end")
+    ending = f"if({path}, regexp_extract({bare}, {lit(_ENDING)}, 0), '')"
+    split = (f"transform({selectors}, want -> struct(want as selector, {supported_sql('want')} as supported, "
+             f"{path} as path, {ending} as ending, {alternatives} as alts))")
+    begun = "array_distinct(flatten(flatten(transform(split, c -> transform(c.alts, a -> transform(a, (x, i) -> slice(a, 1, i + 1)))))))"
+    deepest = "coalesce(array_max(transform(begun, b -> size(b))), 0)"
+    grouped = f"transform(slice(sequence(1, greatest({deepest}, 1)), 1, {deepest}), d -> filter(begun, b -> size(b) = d))"
+    opened = "exists(listed, q -> size(q) = size(b) + 1 and not element_at(q, -1).child and slice(q, 1, size(b)) = b)"
+    node = ("struct(cast(array_position(listed, slice(b, 1, size(b) - 1)) as int) - 1 as parent, "
+            f"{opened} as open, element_at(b, -1) as step)")
+    wanted = ("transform(split, c -> struct(c.selector, c.supported, c.path, c.ending, "
+              "transform(filter(c.alts, a -> size(a) > 0), a -> cast(array_position(listed, a) as int) - 1) as ends))")
+    tree = f"struct(transform(grouped, g -> transform(g, b -> {node})) as levels, {wanted} as wanted)"
+    return bind(split, "split", bind(begun, "begun", bind(grouped, "grouped", bind("flatten(grouped)", "listed", tree))))
+
+
+def _constant_sql(value, kind: T.DataType) -> str:
+    """A collected value as SQL text."""
+    if isinstance(kind, T.ArrayType):
+        held = ", ".join(_constant_sql(v, kind.elementType) for v in value)
+        return f"array({held})" if held else f"cast(array() as {kind.simpleString()})"
+    if isinstance(kind, T.StructType):
+        return f"named_struct({', '.join(f'{lit(f.name)}, {_constant_sql(value[f.name], f.dataType)}' for f in kind)})"
+    return lit(value) if isinstance(kind, T.StringType) else str(value).lower()
+
+
+@lru_cache(maxsize=256)
+def literal_tree_sql(*selectors: str) -> str:
+    """The tree of literal selectors as a constant; ValueError for one outside the subset.
+
+    The optimizer evaluates ``tree_sql`` over the literal row, so there is one rule for tables and literals.
+    """
+    listed = f"array({lits(check_selector(s) for s in selectors)})"
+    found = SparkSession.active().sql(f"select {tree_sql('s')} as tree from values ({listed}) as given(s)")
+    return _constant_sql(found.first()["tree"], found.schema["tree"].dataType)
 
 
 _WORDS = "concat(' ', translate(try_element_at(n.attrs, {name}), '\\t\\r\\n\\f', '    '), ' ')"
@@ -89,20 +151,29 @@ _STEP_HOLDS = (
     f"and (size(st.attrs) = 0 or forall(st.attrs, t -> {_ATTR_HOLDS}))")
 
 
-def _flags_sql(nodes: str, steps: str) -> str:
-    """One flag per node: does it match the last of the steps."""
-    # a descendant step asks whether the parent or anything above it is flagged
-    above = f"if(st.child or size(acc) = 0, acc, {inside_sql(nodes, 'acc')})"
-    under = "if(size(above) = 0, not st.child or n.parent = -1, get(above, n.parent))"
-    step = bind(above, "above", f"transform({nodes}, n -> coalesce({_STEP_HOLDS} and {under}, false))")
-    return f"aggregate({steps}, cast(array() as array<boolean>), (acc, st) -> {step})"
+_FLAGS = "cast(array() as array<struct<hit: array<boolean>, below: array<boolean>>>)"
 
 
-def css_sql(nodes: str, selector: str) -> str:
-    """Nodes of the array matching a selector (both SQL expressions), in document order."""
-    flags = f"transform({css_steps_sql('sel')}, alt -> {_flags_sql('ns', 'alt')})"
-    return bind(nodes, "ns", bind(selector, "sel", bind(
-        flags, "fs", "filter(ns, n -> n is not null and exists(fs, f -> get(f, n.pre)))")))
+def hits_sql(nodes: str, levels: str) -> str:
+    """Per place of a tree struct(hit, below): one flag per node, does it match the beginning, and is it
+    or any ancestor such a node (null where no step asks)."""
+    above = "if(g.parent = -1, null, if(g.step.child, get(acc, g.parent).hit, get(acc, g.parent).below))"
+    under = "if(g.parent = -1, not st.child or n.parent = -1, get(above, n.parent))"
+    hit = f"transform({nodes}, n -> coalesce({_STEP_HOLDS} and {under}, false))"
+    both = bind(hit, "hit", f"struct(hit as hit, if(g.open, {inside_sql(nodes, 'hit')}, null) as below)")
+    found = bind(above, "above", bind("g.step", "st", both))
+    return f"aggregate({levels}, {_FLAGS}, (acc, level) -> concat(acc, transform(level, g -> {found})))"
+
+
+def _css_nodes_sql(nodes: str, hits: str, want: str) -> str:
+    """Nodes a wanted CSS selector matches, in document order."""
+    return f"filter({nodes}, n -> n is not null and exists({want}.ends, e -> get(get({hits}, e).hit, n.pre)))"
+
+
+def css_sql(nodes: str, tree: str) -> str:
+    """Per CSS selector of a tree struct(selector, found): the matching nodes in document order."""
+    found = f"transform(tree.wanted, want -> struct(want.selector as selector, {_css_nodes_sql('ns', 'hits', 'want')} as found))"
+    return bind(nodes, "ns", bind(tree, "tree", bind(hits_sql("ns", "tree.levels"), "hits", found)))
 
 
 def select_css(parsed: DataFrame, selector: str, key: str = "page_id") -> DataFrame:
@@ -111,35 +182,32 @@ def select_css(parsed: DataFrame, selector: str, key: str = "page_id") -> DataFr
     Supported: tag, ``*``, ``.class``, ``#id``, ``[a]``, ``[a=v]`` and the other attribute tests,
     descendant and ``>`` combinators, and lists with ``,``; anything else raises ValueError.
     """
-    hits = f"transform({css_sql('nodes', lit(check_selector(selector)))}, n -> struct(n.pre as pre, n.tag as tag))"
+    found = f"get({css_sql('nodes', literal_tree_sql(selector))}, 0).found"
+    hits = f"transform({found}, n -> struct(n.pre as pre, n.tag as tag))"
     return parsed.select(key, F.expr(f"posexplode({hits})").alias("pos", "hit")).select(key, "pos", "hit.*")
 
 
-def xpath_sql(nodes: str, path: str) -> str:
-    """Texts of the nodes a path selects, stripped, empties dropped, in document order."""
-    ending = lit(r"//?(?:text\(\)|@[\w:-]+)$")
-    steps = (f"transform(regexp_extract_all(regexp_replace(p, {ending}, ''), {lit(rf'//?(?:[^/\[]|{_BRACKET})+')}, 0), "
-             f"s -> {_step_sql('regexp_replace(s, \'^//?\', \'\')', 'not startswith(s, \'//\')')})")
+def _xpath_texts_sql(nodes: str, hits: str, want: str) -> str:
+    """Texts of the nodes a wanted path selects, stripped, empties dropped, in document order."""
     # `//x` after a step also reaches the element itself for attributes, not for text()
-    every = "size(steps) = 0"
-    reach = f"if(startswith(e, '//') and not {every}, {inside_sql('ns', 'flag')}, flag)"
+    every = f"size({want}.ends) = 0"
+    reach = f"if(startswith(e, '//') and not {every}, {inside_sql(nodes, 'flag')}, flag)"
     below = "coalesce(get(reach, n.parent), false)"
-    whole = (f"transform(filter(ns, n -> get(flag, n.pre)), n -> {strip_sql('array_join(transform(filter(' + subtree_sql('ns', 'n') + f', d -> d.tag in (\'{TEXT}\', \'{RAW}\')), d -> d.text), \'\')')})")
-    pieces = f"transform(filter(ns, n -> n.tag in ('{TEXT}', '{RAW}') and ({every} or {below})), n -> {strip_sql('n.text')})"
+    whole = (f"transform(filter({nodes}, n -> get(flag, n.pre)), n -> {strip_sql('array_join(transform(filter(' + subtree_sql(nodes, 'n') + f', d -> d.tag in (\'{TEXT}\', \'{RAW}\')), d -> d.text), \'\')')})")
+    pieces = f"transform(filter({nodes}, n -> n.tag in ('{TEXT}', '{RAW}') and ({every} or {below})), n -> {strip_sql('n.text')})"
     value = "try_element_at(n.attrs, substring_index(e, '@', -1))"
-    values = (f"transform(filter(ns, n -> {value} is not null and ({every} or get(flag, n.pre) "
+    values = (f"transform(filter({nodes}, n -> {value} is not null and ({every} or get(flag, n.pre) "
               f"or (startswith(e, '//') and {below}))), n -> {strip_sql(value)})")
     read = f"case when e = '' then {whole} when contains(e, '@') then {values} else {pieces} end"
-    found = bind(nodes, "ns", bind(f"regexp_extract(p, {ending}, 0)", "e", bind(
-        steps, "steps", bind(_flags_sql("ns", "steps"), "flag", bind(reach, "reach", read)))))
-    return bind(path, "p", f"if(p <> '' and p rlike {lit(XPATH)}, filter({found}, x -> x <> ''), cast(array() as array<string>))")
+    found = bind(f"{want}.ending", "e", bind(f"get({hits}, get({want}.ends, 0)).hit", "flag", bind(reach, "reach", read)))
+    return f"if({want}.supported, filter({found}, x -> x <> ''), cast(array() as array<string>))"
 
 
 def select_xpath(parsed: DataFrame, path: str, key: str = "page_id") -> DataFrame:
     """One row per text a path selects: key, pos, text. Paths outside the subset raise."""
-    bare = path.removeprefix(XPATH_PREFIX)
-    check_selector(XPATH_PREFIX + bare)
-    return parsed.select(key, F.expr(f"posexplode({xpath_sql('nodes', lit(bare))})").alias("pos", "text"))
+    tree = literal_tree_sql(XPATH_PREFIX + path.removeprefix(XPATH_PREFIX))
+    texts = items_sql("nodes", tree)
+    return parsed.select(key, F.expr(f"posexplode(get({texts}, 0).items)").alias("pos", "text"))
 
 
 def record_sql(nodes: str, node: str) -> str:
@@ -155,18 +223,30 @@ def record_sql(nodes: str, node: str) -> str:
         address, "address", f"if(address is not null, {linked}, {text_sql('inside', chr(10))})"))
 
 
-def items_sql(nodes: str, selector: str) -> str:
-    """Item strings a selector (CSS, or XPath after ``xpath:``) yields on one page."""
-    records = f"transform({css_sql('page', 'chosen')}, m -> {record_sql('page', 'm')})"
-    by_path = xpath_sql("page", f"substring(chosen, {len(XPATH_PREFIX) + 1})")
-    return bind(nodes, "page", bind(selector, "chosen", (
-        f"if(startswith(chosen, '{XPATH_PREFIX}'), {by_path}, filter({records}, r -> r <> ''))")))
+def _items_of_sql(nodes: str, hits: str, want: str) -> str:
+    records = f"transform({_css_nodes_sql(nodes, hits, want)}, m -> {record_sql(nodes, 'm')})"
+    return f"if({want}.path, {_xpath_texts_sql(nodes, hits, want)}, filter({records}, r -> r <> ''))"
+
+
+def items_sql(nodes: str, tree: str) -> str:
+    """Per selector of a tree struct(selector, supported, items): the item strings it yields on one page."""
+    found = (f"transform(tree.wanted, want -> struct(want.selector as selector, want.supported as supported, "
+             f"{_items_of_sql('page', 'hits', 'want')} as items))")
+    return bind(nodes, "page", bind(tree, "tree", bind(hits_sql("page", "tree.levels"), "hits", found)))
+
+
+def first_items_sql(nodes: str, tree: str) -> str:
+    """struct(selector, items) of the first selector of a tree that yields anything; of none: nulls and no items."""
+    none = "struct(cast(null as string) as selector, cast(array() as array<string>) as items)"
+    step = f"if(size(acc.items) > 0, acc, struct(want.selector as selector, {_items_of_sql('page', 'hits', 'want')} as items))"
+    return bind(nodes, "page", bind(tree, "tree", bind(
+        hits_sql("page", "tree.levels"), "hits", f"aggregate(tree.wanted, {none}, (acc, want) -> {step})")))
 
 
 def element_records(parsed: DataFrame, selector: str, key: str = "page_id") -> DataFrame:
     """One row per item of a literal selector: key, pos, item."""
-    items = items_sql("nodes", lit(check_selector(selector)))
-    return parsed.select(key, F.expr(f"posexplode({items})").alias("pos", "item"))
+    items = items_sql("nodes", literal_tree_sql(selector))
+    return parsed.select(key, F.expr(f"posexplode(get({items}, 0).items)").alias("pos", "item"))
 
 
 def selector_items(pages: DataFrame, selectors: DataFrame, on: str = "page_id", html: str = "html",
@@ -175,8 +255,8 @@ def selector_items(pages: DataFrame, selectors: DataFrame, on: str = "page_id",
     columns of ``pages``, selector, items (empty when nothing matches).
 
     Selectors are tried on the cleaned page (see ``clean_pages``), so menus and footers never match;
-    ``cleaned=False`` tries them on the page as it is. The selectors of a key are joined as one array
-    before parsing: a join that has to shuffle moves the HTML, not the larger node arrays, and each
+    ``cleaned=False`` tries them on the page as it is. The selectors of a key are joined as one tree
+    (``tree_sql``, built once for the key) before parsing: a join that has to shuffle moves the HTML, not the larger node arrays, and each
     page is parsed and cleaned once for about SELECTORS_A_PARSE of them. Small selector tables are
     broadcast by the planner, which checks their size. ``supported`` is false for a selector outside
     the subset, which has no items.
@@ -185,11 +265,11 @@ def selector_items(pages: DataFrame, selectors: DataFrame, on: str = "page_id",
     parts = wanted.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / SELECTORS_A_PARSE).alias("_parts"))
     grouped = (
         wanted.join(parts, on).groupBy(on, F.expr("pmod(xxhash64(selector), _parts)").alias("_part"))
-        .agg(F.collect_list("selector").alias("_selectors")).drop("_part"))
+        .agg(F.array_sort(F.collect_list("selector")).alias("_selectors"))
+        .select(on, F.expr(tree_sql("_selectors")).alias("_tree")))
     parsed = parse_pages(pages.join(grouped, on), html)
-    key = [c for c in parsed.columns if c not in ("nodes", "_selectors")]
-    found = f"transform(_selectors, want -> struct(want as selector, {supported_sql('want')} as supported, {items_sql('tried', 'want')} as items))"
-    found = bind(clean_sql("nodes") if cleaned else "nodes", "tried", found)
+    key = [c for c in parsed.columns if c not in ("nodes", "_tree")]
+    found = bind(clean_sql("nodes") if cleaned else "nodes", "tried", items_sql("tried", "_tree"))
     return parsed.select(*key, F.expr(f"inline({found})"))
 
 
