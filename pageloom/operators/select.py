@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from pageloom.functions.sqltext import bind, lit, lits, strip_sql
 from pageloom.operators.clean import clean_sql, pieces_sql, subtree_sql, text_sql
-from pageloom.operators.html import RAW, TEXT, inside_sql, parse_pages
+from pageloom.operators.html import RAW, TEXT, inside_sql, parse_pages, running_sum_sql
 
 _BRACKET = r"\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\]"
 _ATTR_TEST = r"\[\s*[\w:-]+\s*(?:[~^$*|]?=\s*(?:\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\]"
-_SIMPLE = rf"(?:(?:\*|[A-Za-z][\w-]*)(?:[.#][\w-]+|{_ATTR_TEST})*|(?:[.#][\w-]+|{_ATTR_TEST})+)"
+_PLACE = r":(?:first-child|last-child|nth-child\([1-9]\d{0,4}\)|nth-last-child\([1-9]\d{0,4}\))"
+_TEST = rf"(?:[.#][\w-]+|{_ATTR_TEST}|{_PLACE})"
+_SIMPLE = rf"(?:(?:\*|[A-Za-z][\w-]*){_TEST}*|{_TEST}+)"
 _COMPLEX = rf"\s*{_SIMPLE}(?:(?:\s*>\s*|\s+){_SIMPLE})*\s*"
 CSS = rf"^{_COMPLEX}(?:,{_COMPLEX})*$"
 
@@ -54,18 +56,21 @@ def supported_sql(selector: str) -> str:
 
 
 def _step_sql(text: str, child: str) -> str:
-    """(child, tag, ids, classes, attrs) of one compound selector or XPath step."""
+    """(child, tag, ids, classes, attrs, places) of one compound selector or XPath step."""
     value = lambda pattern: f"regexp_extract(t, {lit(pattern)}, 1)"
     double, single, bare = value(r"[=,]\s*\"([^\"]*)\""), value(r"[=,]\s*'([^']*)'"), value(r"=\s*([\w-]+)")
     test = (f"struct(lower({value(r'@?([\w:-]+)\s*[~^$*|=,\]]')}) as name, "
             f"if(contains(t, 'contains('), '*=', {value(r'([~^$*|]?=)')}) as op, "
             f"case when {double} <> '' then {double} when {single} <> '' then {single} else {bare} end as value)")
     attrs = f"transform(regexp_extract_all(w, {lit(_BRACKET)}, 0), t -> {test})"
+    # place among the element children of the parent; from the end below zero
+    number = "cast(coalesce(nullif(regexp_extract(c, '([0-9]+)', 1), ''), '1') as int)"
+    places = f"transform(regexp_extract_all(v, {lit(_PLACE)}, 0), c -> if(contains(c, 'last'), -{number}, {number}))"
     bare_text = f"regexp_replace(w, {lit(_BRACKET)}, '')"
     return bind(text, "w", bind(bare_text, "v", f"struct({child} as child, "
                 f"lower(regexp_extract(v, '^([A-Za-z][A-Za-z0-9_-]*)', 1)) as tag, "
                 f"regexp_extract_all(v, {lit(r'#([\w-]+)')}, 1) as ids, "
-                f"regexp_extract_all(v, {lit(r'\.([\w-]+)')}, 1) as classes, {attrs} as attrs)"))
+                f"regexp_extract_all(v, {lit(r'\.([\w-]+)')}, 1) as classes, {attrs} as attrs, {places} as places)"))
 
 
 def _css_steps_sql(selector: str) -> str:
@@ -148,7 +153,23 @@ _STEP_HOLDS = (
     "(st.tag = n.tag or (st.tag = '' and not startswith(n.tag, '#'))) "
     "and (size(st.ids) = 0 or forall(st.ids, i -> coalesce(try_element_at(n.attrs, 'id') = i, false))) "
     f"and (size(st.classes) = 0 or forall(st.classes, c -> coalesce(contains({_WORDS.format(name=chr(39) + 'class' + chr(39))}, concat(' ', c, ' ')), false))) "
-    f"and (size(st.attrs) = 0 or forall(st.attrs, t -> {_ATTR_HOLDS}))")
+    f"and (size(st.attrs) = 0 or forall(st.attrs, t -> {_ATTR_HOLDS})) "
+    "and (size(st.places) = 0 or forall(st.places, c -> get(places, n.pre).at = if(c > 0, c, get(places, n.pre).of + 1 + c)))")
+
+
+def places_sql(nodes: str) -> str:
+    """Per node struct(at, of): its place from 1 among the element children of its parent, and their number.
+
+    Nodes are sorted by parent, numbered from the first of each run, and sorted back; texts and null
+    entries (what cleaning took out) share a run of their own and count nowhere.
+    """
+    by_parent = f"array_sort(transform({nodes}, (n, i) -> struct(if(n is null or startswith(n.tag, '#'), -2, n.parent) as up, i as i)))"
+    starts = "transform(kin, (x, j) -> if(j = 0 or get(kin, j - 1).up <> x.up, 1, 0))"
+    firsts = "filter(transform(starts, (x, j) -> if(x = 1, j, null)), j -> j is not null)"
+    first, after = "get(firsts, get(run, j) - 1)", "coalesce(get(firsts, get(run, j)), size(kin))"
+    back = f"array_sort(transform(kin, (x, j) -> struct(x.i as i, cast(j - {first} + 1 as int) as at, cast({after} - {first} as int) as of)))"
+    return bind(by_parent, "kin", bind(starts, "starts", bind(running_sum_sql("starts"), "sums", bind(
+        "transform(sums, x -> cast(x as int))", "run", bind(firsts, "firsts", back)))))
 
 
 _FLAGS = "cast(array() as array<struct<hit: array<boolean>, below: array<boolean>>>)"
@@ -162,7 +183,8 @@ def hits_sql(nodes: str, levels: str) -> str:
     hit = f"transform({nodes}, n -> coalesce({_STEP_HOLDS} and {under}, false))"
     both = bind(hit, "hit", f"struct(hit as hit, if(g.open, {inside_sql(nodes, 'hit')}, null) as below)")
     found = bind(above, "above", bind("g.step", "st", both))
-    return f"aggregate({levels}, {_FLAGS}, (acc, level) -> concat(acc, transform(level, g -> {found})))"
+    asked = f"if(exists({levels}, level -> exists(level, g -> size(g.step.places) > 0)), {places_sql(nodes)}, null)"
+    return bind(asked, "places", f"aggregate({levels}, {_FLAGS}, (acc, level) -> concat(acc, transform(level, g -> {found})))")
 
 
 def _css_nodes_sql(nodes: str, hits: str, want: str) -> str:
@@ -180,7 +202,7 @@ def select_css(parsed: DataFrame, selector: str, key: str = "page_id") -> DataFr
     """One row per element matching a CSS selector: key, pos (from 0), pre, tag.
 
     Supported: tag, ``*``, ``.class``, ``#id``, ``[a]``, ``[a=v]`` and the other attribute tests,
-    descendant and ``>`` combinators, and lists with ``,``; anything else raises ValueError.
+    ``:first-child``, ``:last-child``, ``:nth-child(3)``, ``:nth-last-child(3)`` (places among elements), descendant and ``>`` combinators, and lists with ``,``; anything else raises ValueError.
     """
     found = f"get({css_sql('nodes', literal_tree_sql(selector))}, 0).found"
     hits = f"transform({found}, n -> struct(n.pre as pre, n.tag as tag))"
