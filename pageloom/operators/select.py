@@ -22,7 +22,7 @@ from pageloom.operators.html import RAW, TEXT, inside_sql, parse_pages, running_
 
 _BRACKET = r"\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\]"
 _ATTR_TEST = r"\[\s*[\w:-]+\s*(?:[~^$*|]?=\s*(?:\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\]"
-_PLACE = r":(?:first-child|last-child|nth-child\([1-9]\d{0,4}\)|nth-last-child\([1-9]\d{0,4}\))"
+_PLACE = r":(?:last-child|nth-child\([1-9]\d{0,4}\)|nth-last-child\([1-9]\d{0,4}\))"
 _TEST = rf"(?:[.#][\w-]+|{_ATTR_TEST}|{_PLACE})"
 _SIMPLE = rf"(?:(?:\*|[A-Za-z][\w-]*){_TEST}*|{_TEST}+)"
 _COMPLEX = rf"\s*{_SIMPLE}(?:(?:\s*>\s*|\s+){_SIMPLE})*\s*"
@@ -202,7 +202,7 @@ def select_css(parsed: DataFrame, selector: str, key: str = "page_id") -> DataFr
     """One row per element matching a CSS selector: key, pos (from 0), pre, tag.
 
     Supported: tag, ``*``, ``.class``, ``#id``, ``[a]``, ``[a=v]`` and the other attribute tests,
-    ``:first-child``, ``:last-child``, ``:nth-child(3)``, ``:nth-last-child(3)`` (places among elements), descendant and ``>`` combinators, and lists with ``,``; anything else raises ValueError.
+    ``:last-child``, ``:nth-child(3)``, ``:nth-last-child(3)`` (places among elements), descendant and ``>`` combinators, and lists with ``,``; anything else raises ValueError.
     """
     found = f"get({css_sql('nodes', literal_tree_sql(selector))}, 0).found"
     hits = f"transform({found}, n -> struct(n.pre as pre, n.tag as tag))"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pageloom.operators import extract, fetch, select
 from pageloom.operators.html import parse_pages
 
-STEPS = ["div:first-child", "ul:last-child", ":nth-child(2)", "div.b:nth-last-child(3)", ".a:first-child:last-child", "div", "ul", "li", ".a", "div.b", "li.a.b", "#x", "[t]", 'li[t="1"]', "*"]
+STEPS = ["div:nth-child(1)", "ul:last-child", ":nth-child(2)", "div.b:nth-last-child(3)", ".a:nth-child(1):last-child", "div", "ul", "li", ".a", "div.b", "li.a.b", "#x", "[t]", 'li[t="1"]', "*"]
 
 
 def plain_match(nodes, selector):
@@ -17,7 +17,7 @@ def plain_match(nodes, selector):
     def place(n, text):
         kin = [m.pre for m in nodes if m.parent == n.parent and not m.tag.startswith("#")]
         at = kin.index(n.pre)
-        return all((len(kin) - 1 - at if last else at) + 1 == int(k or 1) for last, k in re.findall(r":(?:first|nth)?(?:-?(last))?-child(?:\((\d+)\))?", text))
+        return all((len(kin) - 1 - at if last else at) + 1 == int(k or 1) for last, k in re.findall(r":(?:nth)?(?:-?(last))?-child(?:\((\d+)\))?", text))
 
     def simple(n, text):
         if n.tag.startswith("#"):
@@ -83,9 +83,9 @@ def test_trees_match_like_a_plain_matcher(spark):
 
 def test_places_leave_out_texts_and_what_was_cleaned(spark):
     pages = spark.createDataFrame([(1, "<div>t<nav>m</nav><p>a</p>u<p>b</p><!-- c --><p>c</p></div>"), (2, "<p>only"), (3, "")], "page_id int, html string")
-    wanted = spark.createDataFrame([(i, s) for i in (1, 2, 3) for s in ("div > p:first-child", "p:nth-child(2)", "p:last-child", "p:nth-child(0)")], "page_id int, selector string")
+    wanted = spark.createDataFrame([(i, s) for i in (1, 2, 3) for s in ("div > p:nth-child(1)", "p:nth-child(2)", "p:last-child", "p:nth-child(0)")], "page_id int, selector string")
     got = {(r.page_id, r.selector): (r.supported, r["items"]) for r in select.selector_items(pages, wanted).collect()}
-    assert got[1, "div > p:first-child"] == (True, ["a"]) and got[1, "p:nth-child(2)"] == (True, ["b"]) and got[1, "p:last-child"] == (True, ["c"])
+    assert got[1, "div > p:nth-child(1)"] == (True, ["a"]) and got[1, "p:nth-child(2)"] == (True, ["b"]) and got[1, "p:last-child"] == (True, ["c"])
     assert got[2, "p:last-child"] == (True, ["only"]) and got[3, "p:last-child"] == (True, []) and not got[1, "p:nth-child(0)"][0]
 
 
