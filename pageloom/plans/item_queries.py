@@ -497,20 +497,20 @@ def _drained(spark, stream, name, mode="append"):
 
 @query("stream_links", f"select page_id, pos, text, href from ({DISTINCT_LINKS_SQL})")
 def _stream_links(spark, sf):
-    source = streams.stream_pages(spark, sf, file_glob="pages.parquet")
+    source = streams.stream_table(spark, sf, "pages")
     return _drained(spark, streams.stream_links(source), "stream-links")
 
 
 @query("stream_items", MENU_ITEMS_SQL)
 def _stream_items(spark, sf):
-    source = streams.stream_pages(spark, sf, file_glob="pages.parquet")
+    source = streams.stream_table(spark, sf, "pages")
     return _drained(spark, streams.stream_items(source, "nav a"), "stream-items")
 
 
 @query("stream_dedup", "select distinct lang as job_id, md5(text) as digest from documents")
 def _stream_dedup(spark, sf):
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())])
-    docs = streams.stream_pages(spark, sf, schema, file_glob="documents.parquet")
+    docs = streams.stream_table(spark, sf, "documents", schema)
     # a document a second; repeats lie within the delay, after which their keys are forgotten
     timed = docs.select(F.col("lang").alias("job_id"), F.col("text").alias("item"), F.timestamp_seconds("doc_id").alias("seen_at"))
     kept = streams.stream_dedup(timed, "seen_at", "3650 days")
@@ -522,7 +522,7 @@ def _stream_dedup(spark, sf):
 def _stream_state(spark, sf):
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
                            T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
-    events = streams.stream_pages(spark, sf, schema, file_glob="events.parquet")
+    events = streams.stream_table(spark, sf, "events", schema)
     outcomes = events.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("url"),
                              F.when(F.col("value") > 50, "failed").otherwise("processed").alias("state"), F.col("event_id").alias("seq"))
     states = _drained(spark, streams.stream_job_state(outcomes), "stream-state", "update")

@@ -21,13 +21,21 @@ PAGES = T.StructType([
 
 def stream_pages(spark: SparkSession, path: str, schema: T.StructType = PAGES,
                  files_per_batch: int = 1000, file_glob: str | None = None) -> DataFrame:
-    """Page snapshots as a stream of Parquet files."""
+    """Page snapshots as a stream of Parquet files; ``file_glob`` is matched with names of files, not of folders."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
     return reader.parquet(path)
 
 
+def stream_table(spark: SparkSession, folder: str, name: str, schema: T.StructType = PAGES) -> DataFrame:
+    """A table of a folder as a stream, be it one Parquet file or a folder of them.
+
+    The braces make the path a pattern: a stream refuses the plain path of a single file.
+    """
+    return stream_pages(spark, f"{folder}/{{{name}.parquet}}", schema)
+
+
 def stream_links(pages: DataFrame) -> DataFrame:
     """Links of newly arrived pages; stateless, one pass."""
     return extract_links(parse_pages(pages))

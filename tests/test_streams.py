@@ -41,6 +41,24 @@ def test_state_over_batches(spark, tmp_path):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_tables_of_one_file_and_of_many(spark, tmp_path):
+    """The stream queries over a folder whose tables are single files, and one whose tables are folders of files."""
+    import os
+    import pyarrow.parquet as pq
+    from pageloom.plans.catalog import QUERIES
+    pages = spark.createDataFrame([(i, f"https://h{i % 3}.test/{i}", f'<nav><a href="/{i}">l{i}</a></nav>') for i in range(20)], streams.PAGES)
+    docs = spark.range(60).selectExpr("id as doc_id", "concat('text ', id % 7) as text", "if(id % 2 = 0, 'en', 'de') as lang")
+    events = spark.range(60).selectExpr("id as event_id", "id % 5 as user_id", "if(id % 3 = 0, 'a', 'b') as event_type", "double(id * 7 % 100) as value")
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    os.makedirs(one)
+    for name, df in (("pages", pages), ("documents", docs), ("events", events)):
+        df.repartition(3).write.parquet(f"{many}/{name}.parquet")
+        pq.write_table(pq.read_table(f"{many}/{name}.parquet"), f"{one}/{name}.parquet")
+    for name, n in (("stream_links", 20), ("stream_items", 20), ("stream_dedup", 14), ("stream_job_state", 10)):
+        got = [sorted(QUERIES[name](spark, folder).collect()) for folder in (one, many)]
+        assert got[0] == got[1] and len(got[0]) == n, name
+
+
 def _events(spark, rows):
     return spark.createDataFrame(rows, "job_id string, url string, event string")
 
