@@ -374,14 +374,25 @@ def _job_result(spark, sf):
 
 # Output -----------------------------------------------------------------------------------------
 
-def _two_fields(spark, sf):
-    """Items of all jobs and the texts as one more job, in the fields name and url, and their metadata."""
+def _all_jobs(spark, sf):
+    """Items of all jobs and the texts as one more job, and their metadata."""
     found = _items(spark, sf).unionByName(_documents(spark, sf))
-    meta = items.result_metadata(found, run_sql(spark, sf, _TWO_JOBS, "region"), RUN_AT)
+    return found, items.result_metadata(found, run_sql(spark, sf, _TWO_JOBS, "region"), RUN_AT)
+
+
+def _two_fields(spark, sf):
+    """Items of all jobs, what they give in the fields name and url, and their metadata."""
+    found, meta = _all_jobs(spark, sf)
     shown = items.with_placeholder(found, meta).drop("placeholder")
     return shown, items.records_wide(found, ["name", "url"]), meta
 
 
+def _stored(spark, df, name):
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 _TWO_JOBS = f"""{JOB_METADATA} union all select 'texts', 'https://shop.example.com/texts', 'li.text', 'llm_selector' from region where r_regionkey = 0"""
 _DOCUMENTS = "select 'texts' as job_id, doc_id as url_seq, 0 as pos, concat(source, chr(10), text) as item from documents"
 
@@ -453,8 +464,15 @@ _FORMATS = {"json": "write_json", "csv": "write_csv", "MD ": "to_markdown", "txt
 
 @query("format_result_each", " union all ".join(f"select '{fmt}' as fmt, job_id, line_no, line from ({ORACLES[name]})" for fmt, name in _FORMATS.items()))
 def _format_result_each(spark, sf):
-    """The documents of all jobs in each format."""
-    found, records, meta = _two_fields(spark, sf)
+    """The documents of all jobs in each format: counted, numbered and shaped once for all formats."""
+    found, meta = _all_jobs(spark, sf)
+    meta = _stored(spark, meta, "meta")
+    # shaped where the items lie: numbering deals rows evenly, so few of its parts hold the long texts
+    kept = items.with_placeholder(found, meta).withColumn("whole", F.col("item"))
+    shaped = _stored(spark, items.records_wide(kept, ["name", "url"]), "shaped")
+    numbered = sinks.number_items(shaped)
+    found = numbered.withColumnRenamed("whole", "item").drop("placeholder", "name", "url")
+    records = numbered.where(~F.col("placeholder")).drop("placeholder", "whole")
     each = [sinks.format_result(found, records, ["name", "url"], meta, fmt).select(F.lit(fmt).alias("fmt"), "*") for fmt in _FORMATS]
     return reduce(DataFrame.unionByName, each)
 

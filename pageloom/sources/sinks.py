@@ -18,11 +18,22 @@ from pageloom.operators.html import parse_pages
 from pageloom.operators.ranking import number_rows
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
+#: The column by which rows tell that ``number_items`` has numbered them.
+_NUMBER = "_n"
+
+
+def number_items(items: DataFrame) -> DataFrame:
+    """Items (job_id, url_seq, pos, …) numbered once for several formats, which then don't number them again.
+
+    Records made of numbered items have the same numbers; give both to each format.
+    """
+    return number_rows(items, ["job_id"], "url_seq", ["pos"], name=_NUMBER)
 
 
 def _numbered(records: DataFrame) -> DataFrame:
     """Records (job_id, url_seq, pos, …) with ``n`` from 1 per job."""
-    return number_rows(records, ["job_id"], "url_seq", ["pos"], name="n")
+    numbered = records if _NUMBER in records.columns else number_items(records)
+    return numbered.withColumn("n", F.col(_NUMBER)).drop(_NUMBER)
 
 
 def _lines(df: DataFrame, line_no: Column, line: Column) -> DataFrame:

@@ -115,3 +115,31 @@ def test_look_ups_come_to_a_page_store(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql(f"drop table if exists {name}")
+
+
+def test_formats_share_one_numbering(spark, tmp_path, monkeypatch):
+    """Each format alone and all at once give the same lines; all at once number and shape the items once."""
+    from pageloom.plans import item_queries
+    from pageloom.sources import sinks
+    rows = {"customer": [(i, f"c {i}", ["A", None][i % 2], i) for i in range(9)], "part": [(i, f"p|{i}", None, i) for i in range(5)],
+            "region": [(i, f"R{i}") for i in range(5)], "documents": [(i // 2, [None, "", "name: x\nurl: y", "a, b"][i % 4], "s") for i in range(12)]}
+    kinds = {"customer": "c_custkey bigint, c_name string, c_mktsegment string, c_nationkey bigint",
+             "part": "p_partkey bigint, p_name string, p_brand string, p_size bigint", "region": "r_regionkey bigint, r_name string",
+             "documents": "doc_id bigint, text string, source string"}
+    for name, kind in kinds.items():
+        spark.createDataFrame(rows[name], kind).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    calls, number, shape = [], sinks.number_rows, items.records_wide
+    monkeypatch.setattr(sinks, "number_rows", lambda *a, **k: (calls.append("number"), number(*a, **k))[1])
+    monkeypatch.setattr(items, "records_wide", lambda *a, **k: (calls.append("shape"), shape(*a, **k))[1])
+    got = QUERIES["format_result_each"](spark, str(tmp_path))
+    assert sorted(calls) == ["number", "shape"]
+    got = got.collect()
+    for fmt, name in item_queries._FORMATS.items():
+        key = lambda r: tuple((x is not None, x) for x in r)
+        count = lambda found: sorted(((r.job_id, r.line_no) for r in found), key=key)
+        alone = QUERIES[name](spark, str(tmp_path)).collect()
+        mine = [r for r in got if r.fmt == fmt]
+        assert count(mine) == count(alone)
+        # two documents of one id may come in either order
+        of = lambda found: sorted(((r.job_id, r.line_no, r.line) for r in found if r.job_id != "texts"), key=key)
+        assert of(mine) == of(alone)
