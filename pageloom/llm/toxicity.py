@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from array import array
 from dataclasses import dataclass
 from functools import partial
 
@@ -34,9 +35,10 @@ def _words(text: bytes) -> set[str]:
     return {w.strip(string.punctuation) for w in text.decode("utf-8").lower().split()}
 
 
-def _grams(word: str) -> set[str]:
+def _grams(word: str) -> list[str]:
+    """The n-grams of a word, one that it repeats more than once: both users mark places, which repeats don't change."""
     word = f" {word} "
-    return {word[i:i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(word) - n + 1)}
+    return [word[i:i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(word) - n + 1)]
 
 
 class _Features:
@@ -45,10 +47,10 @@ class _Features:
     def __init__(self, place: dict[str, int]):
         self.place, self.known = place, {}
 
-    def _of(self, word: str) -> np.ndarray:
+    def _of(self, word: str) -> bytes:
         got = self.known.get(word)
         if got is None:
-            got = np.array([self.place[g] for g in _grams(word) if g in self.place], dtype=np.int32)
+            got = array("i", [p for p in map(self.place.get, _grams(word)) if p is not None]).tobytes()
             if len(self.known) < _REMEMBER and len(word) < _LONG_WORD:
                 self.known[word] = got
         return got
@@ -56,9 +58,7 @@ class _Features:
     def __call__(self, text: bytes) -> np.ndarray:
         """Distinct places, ascending."""
         hit = np.zeros(len(self.place), bool)
-        found = [self._of(w) for w in _words(text)]
-        if found:
-            hit[np.concatenate(found)] = True
+        hit[np.frombuffer(b"".join(map(self._of, _words(text))), np.intc)] = True
         return np.flatnonzero(hit)
 
 
@@ -69,22 +69,20 @@ class _Counts:
         self.names, self.known = {}, {}
         self.every, self.toxic = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _of(self, word: str) -> np.ndarray:
+    def _of(self, word: str) -> bytes:
         got = self.known.get(word)
         if got is None:
-            got = np.array([self.names.setdefault(g, len(self.names)) for g in _grams(word)], dtype=np.int64)
+            names = self.names
+            got = array("i", [names.setdefault(g, len(names)) for g in _grams(word)]).tobytes()
             if len(self.known) < _REMEMBER and len(word) < _LONG_WORD:
                 self.known[word] = got
         return got
 
     def add(self, label: int, text: bytes) -> None:
-        found = [self._of(w) for w in _words(text)]
-        if not found:
-            return
+        ids = np.frombuffer(b"".join(map(self._of, _words(text))), np.intc)
         while len(self.names) > len(self.every):
             self.every, self.toxic = (np.append(c, np.zeros_like(c)) for c in (self.every, self.toxic))
-        ids = np.unique(np.concatenate(found))
-        self.every[ids] += 1
+        self.every[ids] += 1  # a place that comes more than once is raised once
         if label:
             self.toxic[ids] += 1
 

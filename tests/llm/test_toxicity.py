@@ -69,3 +69,14 @@ def test_ratios_and_scores_against_plain_counting(spark):
     for i, text, score in [(r.doc_id, dict(rows).get(r.doc_id), r.score) for r in tox.toxicity(docs, labels, model=model).collect()]:
         total = sum(model.weights[model.place[g]] for g in grams(text) if g in model.place) + model.bias
         assert abs(score - 1 / (1 + math.exp(-max(-30, min(30, total))))) < 1e-9
+
+
+def test_an_ngram_that_a_text_repeats_is_one():
+    """In one word, in several, and in words that are too long to be remembered."""
+    counts = tox._Counts()
+    for label, text in ((1, "abababababab abab, abab"), (0, "abab " + "ab" * 90), (1, "ABAB!"), (0, "")):
+        counts.add(label, text.encode())
+    at = counts.names
+    assert [(counts.every[at[g]], counts.toxic[at[g]]) for g in ("abab", " aba", "babab", "abab ")] == [(3, 2), (3, 2), (2, 1), (3, 2)]
+    features = tox._Features({"abab": 0, "zzzz": 1, " aba": 2})
+    assert [features(t).tolist() for t in (b"abababab abab", b"", b"cabab", b"ab" * 90)] == [[0, 2], [], [0], [0, 2]]
