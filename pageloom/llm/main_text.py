@@ -1,15 +1,18 @@
-"""Main text of pages: structure decides what it can, a suffix array over each host's pages the rest."""
+"""Main text of pages: suffix arrays over all text of each host's pages find what repeats, structure checks the verdict."""
 
 from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
+from collections.abc import Callable
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pageloom.llm.text import SLICE
 from pageloom.session import scratch_path
@@ -17,8 +20,9 @@ from pageloom.session import scratch_path
 #: Shortest repeated stretch of a host's pages, in tokens, and on how many of its distinct pages it must be: a
 #: share of them, since on large hosts real text repeats a few words too, and at least a number.
 MIN_TOKENS, MIN_SHARE, MIN_PAGES = 8, 0.25, 2
-#: Tokens of one suffix array; hosts with more are dealt over several.
-SHARD_TOKENS = 1 << 14
+#: Tokens of one suffix array; hosts with more are dealt over several. Long pages share one of more tokens, so that
+#: it has about SHARD_PAGES of them (a share of few pages says little), but LONG_TOKENS at most.
+SHARD_TOKENS, SHARD_PAGES, LONG_TOKENS = 1 << 14, 16, 1 << 20
 #: Names of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript xmp iframe noembed noframes".split())
@@ -157,56 +161,115 @@ def page_blocks(page: str) -> tuple[list[tuple[str, str, float]], bool]:
     return blocks, marked
 
 
-_PARSED = ("page_id bigint, url string, page binary, row binary, host string, text string, "
-           "blocks array<struct<text: string, open: boolean>>, stream array<struct<text: string, block: int>>")
+#: Kinds of a block: furniture by structure, undecided by it, settled main text.
+FURNISHED, OPEN, SETTLED = "f", "o", "m"
+#: Pages whose digests a task remembers, so that it sends copies once.
+REMEMBER = 200_000
 
 
 def _digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode(), digest_size=16).digest()
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
-    """For each page: its text if structure settles all of it, else its blocks; and its token stream.
+def _lines(url: str | None, page: str) -> tuple[str | None, bytes, bytes, list[str]]:
+    """host (null if the url has none), page, row, and all blocks of a page, each behind the letter of its kind.
 
     ``page`` stands for the host and the kept blocks, wherever they are found: copies at other addresses and
-    with other menus are one page (without kept blocks, all blocks count). ``host`` is null if the url has none.
+    with other menus are one page (without kept blocks, all blocks count). ``row`` stands for the other blocks
+    too; the smallest row of a page speaks for it, one that has something outside settled main text first.
     """
+    found, marked = page_blocks(page)
+    lines, kept, loose = [], [], []
+    for text, zone, share in found:
+        kind = FURNISHED
+        if zone == "main" or zone == "open" and not marked:
+            kind = OPEN if zone == "open" or share >= LINKED else SETTLED
+            kept.append(f"{kind == OPEN} {text}")
+        lines.append(kind + text)
+        if kind != SETTLED:
+            loose.append(f"{-1 if kind == FURNISHED else len(kept) - 1} {text}")
+    host = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", url or "")
+    host = host[1].lower() if host else None
+    told = kept or ["", *(x[1:] for x in lines)]
+    row = (b"\1" if lines and not loose else b"\0") + _digest("\n".join(loose))
+    return host, _digest(f"{host!r}\n" + "\n".join(told)), row, lines
+
+
+def _read(pages: DataFrame, kept: tuple[str, ...], fields: str, make: Callable[[], Callable]) -> DataFrame:
+    """The columns of ``kept`` and those of ``fields`` that a function makes from a page's ``_lines``; rows
+    for which it gives none are left out. ``make`` runs once in each task and returns the function."""
+    new = T.StructType.fromDDL(fields)
+    source = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
+                          F.col("html").cast("string").alias("html"))
+    schema = T.StructType([*source.select(*kept).schema.fields, *new.fields])
+    kinds = [{"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "boolean": pa.bool_()}[f.dataType.simpleString()]
+             for f in new]
+
     def run(batches):
+        told = make()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                out = []
-                for url, page in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    page = page or ""
-                    found, marked = page_blocks(page)
-                    kept, stream, undecided = [], [], False
-                    for text, zone, share in found:
-                        if zone == "main" or zone == "open" and not marked:
-                            open_ = zone == "open" or share >= LINKED
-                            undecided |= open_
-                            kept.append({"text": text, "open": open_})
-                            if open_:
-                                stream.append({"text": text, "block": len(kept) - 1})
-                        else:
-                            stream.append({"text": text, "block": -1})
-                    host = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", url or "")
-                    host = host[1].lower() if host else None
-                    told = [f"{b['open']} {b['text']}" for b in kept] or ["", *(b["text"] for b in stream)]
-                    out.append({
-                        "page": _digest(f"{host!r}\n" + "\n".join(told)),
-                        "row": _digest("\n".join(f"{b['block']} {b['text']}" for b in stream)),
-                        "host": host,
-                        "text": None if undecided else " ".join(b["text"] for b in kept),
-                        "blocks": kept if undecided else None, "stream": stream})
-                made = pa.RecordBatch.from_pylist(out, schema=pa.schema([
-                    ("page", pa.binary()), ("row", pa.binary()), ("host", pa.string()), ("text", pa.string()),
-                    ("blocks", pa.list_(pa.struct([("text", pa.string()), ("open", pa.bool_())]))),
-                    ("stream", pa.list_(pa.struct([("text", pa.string()), ("block", pa.int32())])))]))
+                out = [told(*_lines(url, page or "")) for url, page in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                part = part.filter(pa.array([x is not None for x in out], pa.bool_()))
+                made = list(zip(*(x for x in out if x is not None))) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *made.columns], names=["page_id", "url", *made.schema.names])
+                    [*(part.column(c) for c in kept), *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def _words(lines: list[str]) -> int:
+    return sum(x.count(" ") + 1 for x in lines)
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
-                        F.col("html").cast("string").alias("html")).mapInArrow(run, _PARSED)
+
+def _shard_of() -> Column:
+    return F.pmod(F.xxhash64("page"), F.col("shards")).cast("int")
+
+
+def _hosts(pages: DataFrame) -> DataFrame:
+    """For each host its shards, the pages a stretch must be on (needed), and on how many at most one may be that
+    no shard names (unnamed); of all pages, and (loose) of those with text outside settled main text."""
+    def make():
+        return lambda host, page, row, lines: (
+            (host, page, _words(lines), row[:1] == b"\0") if host is not None and lines else None)
+
+    spark = pages.sparkSession
+    path = scratch_path(spark, "told")
+    _read(pages, (), "host string, page binary, n int, loose boolean", make).groupBy("host", "page").agg(
+        F.max("n").alias("n"), F.max("loose").alias("loose")).write.option("compression", "zstd").parquet(path)
+    told = spark.read.parquet(path)
+    shards = F.greatest(F.ceil(F.sum("n") / LONG_TOKENS),
+                        F.least(F.ceil(F.sum("n") / SHARD_TOKENS), F.ceil(F.count(F.lit(1)) / SHARD_PAGES)))
+    hosts = told.groupBy("host").agg(shards.cast("int").alias("shards"), *[
+        F.greatest(F.lit(MIN_PAGES), F.ceil(n * MIN_SHARE)).cast("long").alias(name)
+        for name, n in (("needed", F.count(F.lit(1))), ("needed_loose", F.count_if("loose")))])
+    unnamed = told.join(hosts, "host").groupBy("host", _shard_of().alias("shard")).agg(*[
+        F.greatest(F.lit(0), F.ceil(n * MIN_SHARE) - 1).cast("long").alias(name)
+        for name, n in (("unnamed", F.count(F.lit(1))), ("unnamed_loose", F.count_if("loose")))
+    ]).groupBy("host").agg(F.sum("unnamed").alias("unnamed"), F.sum("unnamed_loose").alias("unnamed_loose"))
+    path = scratch_path(spark, "hosts")
+    hosts.join(unnamed, "host").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _streams(pages: DataFrame) -> DataFrame:
+    """host, page, row, and all blocks of each page of a host, packed. A task sends a page again only for a smaller row."""
+    def make():
+        seen: dict[bytes, bytes] = {}
+        codec = pa.Codec("zstd")
+
+        def told(host, page, row, lines):
+            if host is None or not lines or page in seen and seen[page] <= row:
+                return None
+            if len(seen) >= REMEMBER:
+                seen.clear()
+            seen[page] = row
+            packed = "\n".join(lines).encode()
+            return host, page, row, len(packed), codec.compress(packed, asbytes=True)
+        return told
+
+    return _read(pages, (), "host string, page binary, row binary, size int, packed binary", make)
 
 
 def suffix_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,86 +284,163 @@ def suffix_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
-def _stretches(table: pa.Table) -> pa.Table:
-    """host, digest, needed, n_pages, places for each distinct stretch of MIN_TOKENS tokens of one shard of a host."""
-    host, needed = table.column("host")[0].as_py(), table.column("needed")[0].as_py()
-    numbers: dict[str, int] = {}
-    words, tokens, pages, blocks, places = [], [], [], [], []
-    keys = table.column("page").to_pylist()
-    for n, stream in enumerate(table.column("stream").to_pylist()):
-        for block in stream:
-            for i, word in enumerate(block["text"].split(" ")):
-                words.append(word)
-                tokens.append(numbers.setdefault(word, len(numbers)))
-                pages.append(n)
-                blocks.append(block["block"])
-                places.append(i)
-        # an end that equals no other token, so that no stretch goes from one page into the next
-        words.append("")
-        tokens.append(-1 - n)
-        pages.append(n)
-        blocks.append(-1)
-        places.append(-1)
-    token, page = np.array(tokens, dtype=np.int64), np.array(pages, dtype=np.int64)
-    token[token < 0] = len(numbers) - 1 - token[token < 0]
-    order, rank = suffix_order(token, MIN_TOKENS)
-    ends = np.flatnonzero(np.array(places) < 0)
-    length = ends[np.searchsorted(ends, np.arange(len(token)))] - np.arange(len(token))
-    out = {"host": [], "digest": [], "needed": [], "n_pages": [], "places": []}
-    # neighbours in the suffix array with a common beginning of MIN_TOKENS stand together
-    for group in np.split(order, np.flatnonzero(np.diff(rank[order])) + 1):
-        first = int(group[0])
-        if length[first] < MIN_TOKENS:
-            continue
-        out["host"].append(host)
-        out["digest"].append(_digest(" ".join(words[first:first + MIN_TOKENS])))
-        out["needed"].append(needed)
-        out["n_pages"].append(len(np.unique(page[group])))
-        out["places"].append([
-            {"page": keys[pages[j]], "block": blocks[j], "token": places[j]}
-            for i in group.tolist() for j in range(i, i + MIN_TOKENS) if blocks[j] >= 0])
+class _Shard:
+    """The text of a shard's pages as one suffix array, with ``asked`` stretches as further texts.
+
+    A page gives two texts: what is outside settled main text, and settled main text. Each text ends in a
+    token that equals no other, so that no stretch goes from one into the next.
+    """
+
+    def __init__(self, table: pa.Table, asked: list[str] = ()):
+        codec = pa.Codec("zstd")
+        rows: dict[bytes, tuple] = {}
+        for page, *row in zip(*(table.column(c).to_pylist() for c in ("page", "row", "size", "packed"))):
+            if page not in rows or row < rows[page]:
+                rows[page] = row
+        self.keys = list(rows)
+        self.lines = [codec.decompress(packed, size, asbytes=True).decode().split("\n") for _, size, packed in rows.values()]
+        texts, pages, loose = [], [], []
+        for n, lines in enumerate(self.lines):
+            for outside in (True, False):
+                if text := " ".join(x[1:] for x in lines if (x[0] != SETTLED) == outside):
+                    texts.append(text)
+                    pages.append(n)
+                    loose.append(outside)
+        self.texts = len(texts)
+        split = pc.split_pattern(pa.array([f"{t} \n{n}" for n, t in enumerate([*texts, *asked])], pa.large_string()), " ")
+        self.tokens = split.flatten()
+        ends = split.offsets.to_numpy()[1:] - 1
+        self.starts = split.offsets.to_numpy()[:-1]
+        text = np.repeat(np.arange(len(ends)), np.diff(split.offsets.to_numpy()))
+        self.order, self.rank = suffix_order(self.tokens.dictionary_encode().indices.to_numpy(zero_copy_only=False), MIN_TOKENS)
+        self.whole = np.flatnonzero((ends[text] - np.arange(len(text)) >= MIN_TOKENS) & (text < self.texts))
+        self.page = np.array([*pages, *[-1] * len(asked)])[text]
+        self.loose = np.array([*loose, *[False] * len(asked)])[text]
+
+    def pages_of(self, at: np.ndarray, kind: np.ndarray, kinds: int) -> np.ndarray:
+        """For each kind, on how many pages it is; ``kind`` tells that of the stretches at ``at``."""
+        n = max(1, len(self.keys))
+        return np.bincount(np.unique(kind * n + self.page[at]) // n, minlength=kinds)
+
+    def found(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where the stretches of some ranks are, which each is, and on how many pages, anywhere and in loose text."""
+        number = np.full(len(self.rank), -1)
+        number[ranks] = np.arange(len(ranks))
+        at = self.whole[number[self.rank[self.whole]] >= 0]
+        which, loose = number[self.rank[at]], self.loose[at]
+        return at, which, self.pages_of(at, which, len(ranks)), self.pages_of(at[loose], which[loose], len(ranks))
+
+
+_NAMED_BY = "host string, words string, n bigint, n_loose bigint, unnamed bigint, unnamed_loose bigint"
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """The stretches of MIN_TOKENS tokens that MIN_SHARE of a shard's pages have, on how many pages each is, and how
+    many could have one unnamed. What the host's pages have in that share is named by one shard at least; a host's
+    only shard names what is on enough pages."""
+    shard, chosen, unnamed = _Shard(table), np.zeros(0, dtype=np.int64), []
+    for needed, at in (("needed", shard.whole), ("needed_loose", shard.whole[shard.loose[shard.whole]])):
+        pages = len(shard.keys) if needed == "needed" else len(np.unique(shard.page[shard.loose]))
+        unnamed.append(max(0, math.ceil(MIN_SHARE * pages) - 1))
+        least = table.column(needed)[0].as_py() if table.column("shards")[0].as_py() == 1 else unnamed[-1] + 1
+        # a stretch is on no more pages than places
+        at = at[np.bincount(shard.rank[at], minlength=len(shard.rank))[shard.rank[at]] >= least]
+        chosen = np.union1d(chosen, np.flatnonzero(shard.pages_of(at, shard.rank[at], 1) >= least))
+    # neighbours in the suffix array with a common beginning of MIN_TOKENS stand together: the first of each
+    first = shard.order[np.flatnonzero(np.diff(shard.rank[shard.order], prepend=-1))][chosen]
+    words = shard.tokens.take(pa.array((first[:, None] + np.arange(MIN_TOKENS)).ravel())).to_pylist()
+    words = [" ".join(words[i:i + MIN_TOKENS]) for i in range(0, len(words), MIN_TOKENS)]
+    _, _, n, n_loose = shard.found(chosen)
+    host = table.column("host")[0].as_py()
+    return pa.table({
+        "host": pa.array([host] * len(words), pa.string()), "words": pa.array(words, pa.string()),
+        "n": pa.array(n, pa.int64()), "n_loose": pa.array(n_loose, pa.int64()),
+        "unnamed": pa.array([unnamed[0]] * len(words), pa.int64()), "unnamed_loose": pa.array([unnamed[1]] * len(words), pa.int64())})
+
+
+_COUNTED = "host string, words string, n bigint, n_loose bigint, places array<struct<page: binary, at: int, n: int>>"
+_PLACES = pa.list_(pa.struct([("page", pa.binary()), ("at", pa.int32()), ("n", pa.int32())]))
+
+
+def _counted(table: pa.Table, asked: pa.Table) -> pa.Table:
+    """On how many pages of a shard each asked stretch is, anywhere and outside settled main text, and its places.
+
+    A place tells the first of a page's kept tokens in the stretch and how many; open blocks' tokens count first,
+    then those of settled ones. Places without kept tokens are not told.
+    """
+    out = {"words": [], "n": [], "n_loose": [], "places": []}
+    if table.num_rows and asked.num_rows:
+        words = asked.column("words").to_pylist()
+        shard = _Shard(table, words)
+        at, which, n, n_loose = shard.found(shard.rank[shard.starts[shard.texts:]])
+        kept = np.full(len(shard.rank), -1)
+        text = 0
+        for lines in shard.lines:
+            told = 0
+            for outside in (True, False):
+                i = int(shard.starts[text]) if text < shard.texts else 0
+                own = [x for x in lines if (x[0] != SETTLED) == outside]
+                for x in own:
+                    size = x.count(" ") + 1
+                    if x[0] != FURNISHED:
+                        kept[i:i + size] = np.arange(told, told + size)
+                        told += size
+                    i += size
+                text += bool(own)
+        window = kept[at[:, None] + np.arange(MIN_TOKENS)]
+        many = (window >= 0).sum(axis=1)
+        begin = np.where(window >= 0, window, len(kept)).min(axis=1, initial=len(kept))
+        places: list[list] = [[] for _ in words]
+        for i in np.flatnonzero(many).tolist():
+            places[which[i]].append({"page": shard.keys[shard.page[at[i]]], "at": int(begin[i]), "n": int(many[i])})
+        for i in np.flatnonzero(n).tolist():
+            out["words"].append(words[i])
+            out["n"].append(int(n[i]))
+            out["n_loose"].append(int(n_loose[i]))
+            out["places"].append(places[i])
+    host = table.column("host")[0].as_py() if out["words"] else None
     return pa.table({
-        "host": pa.array(out["host"], pa.string()), "digest": pa.array(out["digest"], pa.binary()),
-        "needed": pa.array(out["needed"], pa.int64()), "n_pages": pa.array(out["n_pages"], pa.int64()),
-        "places": pa.array(out["places"], pa.list_(pa.struct([
-            ("page", pa.binary()), ("block", pa.int32()), ("token", pa.int32())])))})
+        "host": pa.array([host] * len(out["words"]), pa.string()), "words": pa.array(out["words"], pa.string()),
+        "n": pa.array(out["n"], pa.int64()), "n_loose": pa.array(out["n_loose"], pa.int64()), "places": pa.array(out["places"], _PLACES)})
 
 
-def _covered(parsed: DataFrame) -> DataFrame:
-    """page, covered (block, token) of undecided blocks: tokens inside stretches on MIN_SHARE of the host's pages.
+def _covered(pages: DataFrame) -> DataFrame:
+    """page, spans (at, n, loose) of kept tokens inside stretches on MIN_SHARE of the host's pages; loose: on that
+    share of those with text outside settled main text, there.
 
-    Rows of one page are reduced to one before the shuffle. Suffix arrays are made over shards of a host's
-    pages, whole pages dealt by their digest; a page is in one shard, so the page counts of a stretch add up
-    over shards. Pages without a host have nothing to be compared with and are left out.
+    Suffix arrays are made over shards of a host's pages, whole pages dealt by their digest; a page is in one
+    shard, so the page counts of a stretch add up over shards. Each shard names its candidates; every shard of
+    the host counts those that may be on enough pages. Both read the texts from one shuffle. Pages without a host have nothing to be
+    compared with and are left out.
     """
-    spark = parsed.sparkSession
-    streams = (
-        parsed.where(F.col("host").isNotNull() & (F.size("stream") > 0))
-        .groupBy("host", "page").agg(F.min_by("stream", "row").alias("stream"))
-        .withColumn("n", F.aggregate(
-            "stream", F.lit(0).cast("long"), lambda a, b: a + F.size(F.split(b["text"], " ")))))
-    path = scratch_path(spark, "streams")
-    streams.write.option("compression", "zstd").parquet(path)
-    streams = spark.read.parquet(path)
-    hosts = streams.groupBy("host").agg(
-        F.ceil(F.sum("n") / SHARD_TOKENS).cast("int").alias("shards"),
-        F.greatest(F.lit(MIN_PAGES), F.ceil(F.count(F.lit(1)) * MIN_SHARE)).cast("long").alias("needed"))
-    dealt = streams.join(hosts, "host").select(
-        "host", F.pmod(F.xxhash64("page"), F.col("shards")).alias("shard"), "needed", "page", "stream")
+    spark = pages.sparkSession
+    hosts = _hosts(pages)
+    # dealt by host and shard: a join's exchange by host would put all shards of a host into one task
+    dealt = _streams(pages).join(hosts, "host").select(
+        "host", _shard_of().alias("shard"), "shards", "needed", "needed_loose",
+        "page", "row", "size", "packed").repartition("host", "shard")
+    sums = [F.sum(c).alias(f"{c}_here") for c in ("n", "n_loose", "unnamed", "unnamed_loose")]
+    may = [F.col(f"n{x}_here") + F.col(f"unnamed{x}") - F.col(f"unnamed{x}_here") >= F.col(f"needed{x}") for x in ("", "_loose")]
+    candidates = dealt.groupBy("host", "shard").applyInArrow(_candidates, _NAMED_BY).groupBy("host", "words").agg(*sums)
+    asked = candidates.join(hosts, "host").where(may[0] | may[1]).select(
+        "host", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "words")
     path = scratch_path(spark, "stretches")
-    # dealt anew: the join's exchange by host would put all shards of a host into one task
-    dealt.repartition("host", "shard").groupBy("host", "shard").applyInArrow(
-        _stretches, "host string, digest binary, needed bigint, n_pages bigint, "
-                    "places array<struct<page: binary, block: int, token: int>>").write.parquet(path)
-    stretches = spark.read.parquet(path)
+    dealt.groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInArrow(
+        _counted, _COUNTED).write.option("compression", "zstd").parquet(path)
+    counted = spark.read.parquet(path)
+    loose = F.col("n_loose") >= F.col("needed_loose")
     repeated = (
-        stretches.groupBy("host", "digest").agg(
-            F.sum("n_pages").alias("n"), F.max("needed").alias("needed"), F.max(F.size("places")).alias("open"))
-        .where((F.col("n") >= F.col("needed")) & (F.col("open") > 0)).select("host", "digest"))
-    return (
-        stretches.where(F.size("places") > 0).join(repeated, ["host", "digest"])
-        .select(F.explode("places").alias("p")).select("p.page", F.struct("p.block", "p.token").alias("at")).distinct()
-        .groupBy("page").agg(F.array_sort(F.collect_list("at")).alias("covered")))
+        counted.groupBy("host", "words").agg(
+            F.sum("n").alias("n"), F.sum("n_loose").alias("n_loose"), F.max(F.size("places")).alias("kept"))
+        .join(hosts, "host").where("kept > 0").where((F.col("n") >= F.col("needed")) | loose)
+        .select("host", "words", loose.alias("loose")))
+    path = scratch_path(spark, "covered")
+    (
+        counted.where(F.size("places") > 0).select("host", "words", "places").join(repeated, ["host", "words"])
+        .select(F.explode("places").alias("p"), "loose")
+        .groupBy("p.page").agg(F.collect_set(F.struct("p.at", "p.n", "loose")).alias("spans"))
+        .write.option("compression", "zstd").parquet(path))
+    return spark.read.parquet(path)
 
 
 def _left(words: list[str], gone: list[bool]) -> str:
@@ -315,39 +455,61 @@ def _left(words: list[str], gone: list[bool]) -> str:
     return " ".join(out)
 
 
+def _checked(lines: str, spans: list[dict] | None) -> tuple[str, int]:
+    """Text of a page's kept blocks, and how many of their tokens are in repeated stretches.
+
+    The check of the verdict: what repeats leaves open blocks if it is also furniture by its count outside
+    settled main text; settled blocks stay whole.
+    """
+    blocks = lines.split("\n") if lines else []
+    if not spans:
+        return " ".join(x[1:] for x in blocks), 0
+    size = _words(blocks)
+    repeated, gone = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+    for span in spans:
+        repeated[span["at"]:span["at"] + span["n"]] = True
+        if span["loose"]:
+            gone[span["at"]:span["at"] + span["n"]] = True
+    out, at = [], 0
+    for block in blocks:
+        if block[0] == SETTLED:
+            out.append(block[1:])
+            continue
+        words = block[1:].split(" ")
+        out.append(_left(words, gone[at:at + len(words)].tolist()))
+        at += len(words)
+    return " ".join(filter(None, out)), int(repeated.sum())
+
+
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text for each row of ``pages`` (page_id, url, html).
+    """page_id, url, text, n_repeated for each row of ``pages`` (page_id, url, html).
 
-    Scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and comments are known by
-    their elements or by words of class, id and role; what is inside article or main is main text.
-    The rest is undecided: blocks of pages that mark no main part, and blocks of links inside the
-    main part. All blocks that are not settled main text make the page's token stream; a suffix array
-    over the streams of a host finds stretches of 8 tokens or more that stand on a quarter of its distinct
-    pages, on two at least; runs of those tokens leave undecided blocks and the other runs stay. Settled
-    main text is kept whole, also where pages repeat it.
+    All blocks of all pages of a host meet in suffix arrays, which find the stretches of 8 tokens or more that
+    stand on a quarter of its distinct pages, on two at least. Structure checks that verdict: scripts, styles,
+    menus, headers, footers, sidebars, notices, adverts, forms and comments, known by their elements or by words
+    of class, id and role, are furniture whether they repeat or not; what is inside article or main is settled
+    main text and kept whole, also where pages repeat it. The rest is open: blocks of pages that mark no main
+    part, and blocks of links inside the main part. Repeated stretches leave open blocks if they stand outside
+    settled main text on that share of the pages that have such text; the other runs stay.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by
-    one space. Null and empty html give an empty text. Rows with the same text blocks on one host count as
-    one page, whatever their addresses, and each get the text; pages without a host keep their undecided
-    blocks whole; other columns are not read; an empty table gives no rows. Settled texts never move; only undecided pages meet the repeated stretches.
+    one space. Null and empty html give an empty text. ``n_repeated`` counts the tokens of settled and open
+    blocks that are in repeated stretches, kept or not. Rows with the same text blocks on one host count as
+    one page, whatever their addresses, and each get the text; pages without a host keep their open
+    blocks whole; other columns are not read; an empty table gives no rows. Pages are parsed three times, for the
+    sizes of hosts, for the arrays and for the texts, which takes less disk than storing what was parsed.
     """
-    spark = pages.sparkSession
-    path = scratch_path(spark, "pages")
-    _parsed(pages).write.option("compression", "zstd").parquet(path)
-    parsed = spark.read.parquet(path)
-    settled = parsed.where("text is not null").select("page_id", "url", "text")
-    undecided = parsed.where("text is null").select("page_id", "url", "page", "blocks")
-    joined = undecided.join(_covered(parsed), "page", "left").select("page_id", "url", "blocks", "covered")
+    def make():
+        return lambda host, page, row, lines: (page, "\n".join(x for x in lines if x[0] != FURNISHED))
+
+    read = _read(pages, ("page_id", "url"), "page binary, lines string", make)
+    joined = read.join(_covered(pages), "page", "left").select("page_id", "url", "lines", "spans")
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for blocks, covered in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                gone = {(c["block"], c["token"]) for c in covered or ()}
-                runs = [_left(b["text"].split(" "), [(i, j) in gone for j in range(b["text"].count(" ") + 1)])
-                        if b["open"] else b["text"] for i, b in enumerate(blocks)]
-                texts.append(" ".join(filter(None, runs)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
-                                             names=["page_id", "url", "text"])
-
-    return settled.unionByName(joined.mapInArrow(run, T.StructType(settled.schema.fields)))
+            made = [_checked(lines, spans) for lines, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())],
+                names=["page_id", "url", "text", "n_repeated"])
+
+    return joined.mapInArrow(run, "page_id bigint, url string, text string, n_repeated bigint")

@@ -1,4 +1,4 @@
-"""Repeated stretches of a host's pages against a plain count, on pages that mark no main part."""
+"""Repeated stretches of a host's pages against a plain count, on pages that mark a main part and on pages that don't."""
 
 import math
 import random
@@ -62,6 +62,58 @@ def test_pages_without_a_host_are_not_compared(spark):
     assert _texts(spark, rows) == [f"{NOTICE} {i}" for i in range(5)]
 
 
+def _repeated(spark, rows):
+    """text and n_repeated of each page, in order."""
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id bigint, url string, html string").repartition(3)
+    return [(r["text"], r["n_repeated"]) for r in sorted(main_text(pages).collect(), key=lambda r: r["page_id"])]
+
+
+def test_articles_meet_the_arrays_and_stay_whole(spark):
+    rnd = random.Random(4)
+    shared = [" ".join(f"s{k}x{j}" for j in range(9 + k)) for k in range(4)]
+    texts = []
+    for _ in range(900):  # over several suffix arrays
+        told = []
+        for k, text in enumerate(shared):  # on most pages, around the quarter, and on few
+            told += [" ".join(f"w{rnd.randrange(4000)}" for _ in range(15))] + [text] * (rnd.random() < (0.7, 0.27, 0.23, 0.02)[k])
+        texts.append(" ".join(told))
+    got = _repeated(spark, [(f"http://big.example/{i}", f"<nav>menu {i}</nav><article><p>{t}</p></article>") for i, t in enumerate(texts)])
+    assert [t for t, _ in got] == texts
+    want = [len(t.split()) - len(left.split()) for t, left in zip(texts, _plain(texts))]
+    assert [n for _, n in got] == want and 0 < sum(n > 0 for n in want) < 900
+
+
+def test_long_articles_meet_the_arrays(spark):
+    # each is more than one suffix array should hold; shared with a quarter of the pages, and with one less
+    long = [" ".join(f"p{i}w{j}" for j in range(17_000)) for i in range(8)]
+    often, rare = (" ".join(f"{x}{j}" for j in range(9)) for x in ("o", "r"))
+    texts = [f"{long[i]} {often if i < 2 else ''} {rare if i == 5 else ''}".strip() for i in range(8)]
+    texts = [" ".join(t.split()) for t in texts]
+    got = _repeated(spark, [(f"http://long.example/{i}", f"<article><p>{t}</p></article>") for i, t in enumerate(texts)])
+    assert got == [(t, 9 if i < 2 else 0) for i, t in enumerate(texts)]
+
+
+def test_what_repeats_in_articles_only_stays_in_open_blocks(spark):
+    text = "a passage of more than eight words which other pages have in their article"
+    rows = [("http://o.example/0", f"<div>{text} 0</div>")] + [
+        (f"http://o.example/{i}", f"<nav>{NOTICE}</nav><article><p>{text} {i}</p></article>") for i in (1, 2, 3)]
+    assert _repeated(spark, rows) == [(f"{text} {i}", len(text.split())) for i in range(4)]
+
+
+def test_kept_tokens_are_told_in_the_order_of_their_blocks(spark):
+    links = "<a href=x>" + NOTICE + "</a>"
+    rows = [(f"http://l.example/{i}", f"<nav>{NOTICE}</nav><article><p>own words {i}</p><div>{links}</div><p>more words {i} " + (
+        NOTICE if i == 0 else "") + "</p></article>") for i in range(3)]
+    size = len(NOTICE.split())
+    # the list of links leaves, the same words in article text stay and are counted
+    assert _repeated(spark, rows) == [(f"own words 0 more words 0 {NOTICE}", 2 * size)] + [(f"own words {i} more words {i}", size) for i in (1, 2)]
+
+
+def test_no_pages_and_pages_without_text(spark):
+    assert _repeated(spark, []) == []
+    assert _repeated(spark, [(None, None), ("http://e.example/", None), ("http://e.example/", "")]) == [("", 0)] * 3
+
+
 def _text(page):
     from pageloom.llm.main_text import page_blocks
     return [t for t, zone, _ in page_blocks(page)[0] if zone == "main"]
