@@ -410,8 +410,8 @@ def _covered(pages: DataFrame) -> DataFrame:
 
     Suffix arrays are made over shards of a host's pages, whole pages dealt by their digest; a page is in one
     shard, so the page counts of a stretch add up over shards. Each shard names its candidates; every shard of
-    the host counts those that may be on enough pages. Both read the texts from one shuffle. Pages without a host have nothing to be
-    compared with and are left out.
+    the host counts those that may be on enough pages. Both read the texts from one shuffle. Pages without a host
+    have nothing to be compared with and are left out.
     """
     spark = pages.sparkSession
     hosts = _hosts(pages)

@@ -93,6 +93,23 @@ def test_long_articles_meet_the_arrays(spark):
     assert got == [(t, 9 if i < 2 else 0) for i, t in enumerate(texts)]
 
 
+def test_shards_of_few_pages_give_the_same(spark, monkeypatch):
+    from pageloom.llm import main_text as module
+    rnd = random.Random(6)
+    shared = [" ".join(f"s{k}x{j}" for j in range(rnd.randrange(6, 20))) for k in range(8)]
+    rows = []
+    for i in range(60):
+        parts = [f"<{tag}><p>own {i} {' '.join(f'w{rnd.randrange(500)}' for _ in range(9))}</p>" + "".join(
+            f"<p>{text}</p>" for k, text in enumerate(shared) if rnd.random() < 0.1 * k) + f"</{tag}>"
+            for tag in rnd.sample(["nav", "article", "div"], 2)]
+        rows += [(f"http://{rnd.choice('aaab')}.example/{i}{copy}", "".join(parts)) for copy in range(rnd.choice((1, 1, 2)))]
+    want = _repeated(spark, rows)
+    assert any(n for _, n in want)
+    for name, value in (("SHARD_TOKENS", 100), ("SHARD_PAGES", 3), ("LONG_TOKENS", 120)):
+        monkeypatch.setattr(module, name, value)
+        assert _repeated(spark, rows) == want
+
+
 def test_what_repeats_in_articles_only_stays_in_open_blocks(spark):
     text = "a passage of more than eight words which other pages have in their article"
     rows = [("http://o.example/0", f"<div>{text} 0</div>")] + [
